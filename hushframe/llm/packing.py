@@ -139,6 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096) -> Data
             own = [batch.column(i) for i in range(5)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(bins[row] + k // per[row]), pa.array(offset[row] + k % per[row] * length)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = table.join(by_task.select("length", "task", "before"), ["length", "task"])
+    # the counts grow with the number of tasks, and their files look smaller than they are: no broadcast
+    ranked = table.join(by_task.select("length", "task", "before").hint("merge"), ["length", "task"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(put, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

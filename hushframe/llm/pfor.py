@@ -33,34 +33,40 @@ _HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("spare", "u1
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of 1024 values below 2**width as rows of 16 * width 64-bit words: 64 values share ``width`` words."""
-    groups = values.astype(np.uint64).reshape(len(values), 16, 64)
-    out = np.zeros((len(values), 16, width), np.uint64)
+    lanes = np.ascontiguousarray(values.reshape(-1, 64).T).astype(np.uint64)
+    out = np.zeros((width, lanes.shape[1]), np.uint64)
     for i in range(64):
         word, bit = divmod(i * width, 64)
-        out[:, :, word] |= groups[:, :, i] << np.uint64(bit)
+        out[word] |= lanes[i] << np.uint64(bit)
         if bit + width > 64:
-            out[:, :, word + 1] |= groups[:, :, i] >> np.uint64(64 - bit)
-    return out.reshape(len(values), 16 * width)
+            out[word + 1] |= lanes[i] >> np.uint64(64 - bit)
+    return np.ascontiguousarray(out.T).reshape(len(values), 16 * width)
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     """The inverse of :func:`_pack`."""
-    groups = words.reshape(len(words), 16, width)
-    out = np.zeros((len(words), 16, 64), np.uint64)
+    lanes = np.ascontiguousarray(words.reshape(-1, width).T)
+    out = np.empty((64, lanes.shape[1]), np.uint32)
     mask = np.uint64((1 << width) - 1)
     for i in range(64):
         word, bit = divmod(i * width, 64)
-        v = groups[:, :, word] >> np.uint64(bit)
+        v = lanes[word] >> np.uint64(bit)
         if bit + width > 64:
-            v = v | (groups[:, :, word + 1] << np.uint64(64 - bit))
-        out[:, :, i] = v & mask
-    return out.reshape(len(words), 1024)
+            v |= lanes[word + 1] << np.uint64(64 - bit)
+        out[i] = v & mask
+    return np.ascontiguousarray(out.T).reshape(len(words), BLOCK)
+
+
+#: Blocks that are packed or unpacked together, so that they stay in the processor's cache.
+TOGETHER = 256
 
 
 def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
     """The blocks of ``ids`` (unsigned 32-bit), each as bytes; only the last may be short."""
-    if not len(ids):
-        return []
+    return [x for a in range(0, len(ids), TOGETHER * BLOCK) for x in _encode(ids[a : a + TOGETHER * BLOCK], percentile)]
+
+
+def _encode(ids: np.ndarray, percentile: float) -> list[bytes]:
     n = -(-len(ids) // BLOCK)
     full = np.full(n * BLOCK, ids[-1], np.uint32)
     full[: len(ids)] = ids
@@ -69,41 +75,46 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes
     counts[-1] = len(ids) - (n - 1) * BLOCK
     least = full.min(axis=1)
     rest = full - least[:, None]
-    bits = np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.uint8)
-    widths = np.sort(bits, axis=1)[:, min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1)]
+    k = min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1)
+    bound = np.partition(rest, k, axis=1)[:, k]
+    widths = np.array([int(x).bit_length() for x in bound])
     out: list[bytes] = [b""] * n
     for width in np.unique(widths):
         rows = np.flatnonzero(widths == width)
         own = rest[rows]
-        over = bits[rows] > width
+        high = own >> np.uint32(width) if width < 32 else np.zeros_like(own)
         packed = _pack(own & np.uint32((1 << int(width)) - 1), int(width)) if width else None
-        where, place = np.nonzero(over)
-        high = own[where, place] >> np.uint32(width) if width < 32 else own[where, place]
+        where, place = np.nonzero(high)
+        high = high[where, place].astype("<u4")
+        place = place.astype("<u2")
         ends = np.searchsorted(where, np.arange(len(rows) + 1))
-        for k, r in enumerate(rows):
+        heads = np.zeros(len(rows), _HEAD)
+        heads["least"], heads["n"], heads["width"], heads["exceptions"] = least[rows], counts[rows], width, np.diff(ends)
+        for k, r in enumerate(rows.tolist()):
             a, b = ends[k], ends[k + 1]
-            head = np.array([(least[r], counts[r], width, 0, b - a)], _HEAD).tobytes()
-            out[r] = head + (packed[k].tobytes() if width else b"") + place[a:b].astype("<u2").tobytes() + high[a:b].astype("<u4").tobytes()
+            out[r] = b"".join((heads[k].tobytes(), packed[k].tobytes() if width else b"", place[a:b].tobytes(), high[a:b].tobytes()))
     return out
 
 
 def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     """The ids of the consecutive blocks that begin at ``starts`` in ``data``."""
-    if not len(starts):
-        return np.zeros(0, np.uint32)
-    heads = np.array([np.frombuffer(data, _HEAD, 1, int(s))[0] for s in starts])
+    parts = [_decode(data, starts[a : a + TOGETHER]) for a in range(0, len(starts), TOGETHER)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+def _decode(data: bytes, starts: np.ndarray) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8)
+    heads = raw[starts[:, None] + np.arange(_HEAD.itemsize)].view(_HEAD)[:, 0]
     values = np.zeros((len(starts), BLOCK), np.uint32)
     for width in np.unique(heads["width"]):
         rows = np.flatnonzero(heads["width"] == width)
         if width:
             words = np.stack([np.frombuffer(data, "<u8", 16 * int(width), int(starts[r]) + _HEAD.itemsize) for r in rows])
-            values[rows] = _unpack(words, int(width)).astype(np.uint32)
-    for r in np.flatnonzero(heads["exceptions"]):
-        h = heads[r]
-        at = int(starts[r]) + _HEAD.itemsize + 128 * int(h["width"])
-        place = np.frombuffer(data, "<u2", int(h["exceptions"]), at)
-        high = np.frombuffer(data, "<u4", int(h["exceptions"]), at + 2 * int(h["exceptions"]))
-        values[r, place] |= high << np.uint32(h["width"])
+            values[rows] = _unpack(words, int(width))
+    for r in np.flatnonzero(heads["exceptions"]).tolist():
+        width, n = int(heads["width"][r]), int(heads["exceptions"][r])
+        at = int(starts[r]) + _HEAD.itemsize + 128 * width
+        values[r, np.frombuffer(data, "<u2", n, at)] |= np.frombuffer(data, "<u4", n, at + 2 * n) << np.uint32(width)
     values += heads["least"][:, None]
     if int(heads["n"].min()) == BLOCK:
         return values.reshape(-1)
@@ -125,10 +136,11 @@ class Writer:
         self.rest = np.zeros(0, np.uint32)
 
     def _put(self, ids: np.ndarray) -> None:
-        for block in encode_blocks(ids):
+        blocks = encode_blocks(ids)
+        for block in blocks:
             self.starts.append(self.at)
-            self.out.write(block)
             self.at += len(block)
+        self.out.write(b"".join(blocks))
 
     def add(self, docs: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         self.docs.append(docs)

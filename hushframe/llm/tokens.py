@@ -166,7 +166,7 @@ def encoder(path: str, blank_matters: bool) -> PieceEncoder:
     return _ENCODERS[key]
 
 
-def runs(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def runs(texts: list[str], most: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of at most about ``most`` characters; a longer text is a range of its own."""
     a, chars = 0, 0
     for i, t in enumerate(texts):
