@@ -26,7 +26,7 @@ from .quality import _powers
 from .store import written
 from .tokens import runs
 
-DEPTH, SHARE, ALPHA = 5, 1e-6, 2.0
+DEPTH, SHARE, ALPHA = 5, 1e-7, 2.0
 #: Words with at least this share of all training tokens go to every task (1 / share of them at most); others are joined.
 COMMON = 1e-6
 _TOP = np.uint64(1 << 63)
