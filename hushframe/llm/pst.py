@@ -87,7 +87,7 @@ END = _TOP
 class _Tally:
     """Counts of keys, merged now and then."""
 
-    def __init__(self, most: int = 4_000_000):
+    def __init__(self, most: int = 1_500_000):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.rows, self.most = 0, most
 
@@ -117,7 +117,7 @@ def count(docs: DataFrame) -> DataFrame:
         grams, words = _Tally(), _Tally()
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
-            for a, b in runs(texts):
+            for a, b in runs(texts, 1_500_000):
                 spelled = _spell(texts[a:b])
                 grams.add(_keys(spelled))
                 words.add(_word_hashes(spelled)[0])
@@ -195,7 +195,7 @@ class Tree:
 
 
 #: Keys whose scores a worker remembers.
-MEMORY = 2_000_000
+MEMORY = 1_000_000
 
 
 class Scorer:
@@ -260,7 +260,7 @@ def score(docs: DataFrame, usable: Column) -> DataFrame:
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
-            for a, b in runs(texts):
+            for a, b in runs(texts, 1_500_000):
                 spelled = _spell(texts[a:b])
                 size = np.fromiter(map(len, spelled), np.int64, b - a)
                 scores = np.add.reduceat(scorer(_keys(spelled)), np.cumsum(size) - size)
