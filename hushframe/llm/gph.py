@@ -28,7 +28,7 @@ LARGE = 40_000
 #: Buckets up to this size are compared pair by pair, larger ones from a growing front.
 SMALL = 64
 #: Work of a probe row in comparisons.
-PROBE = 150
+PROBE = 300
 ONES = (1 << 64) - 1
 
 
@@ -173,23 +173,24 @@ class Links:
             if a != b:
                 self.up[max(a, b)] = min(a, b)
                 out.append(k)
-        if len(self.up) > 1_000_000:  # bounded memory: forgotten joins are only found again
+        if len(self.up) > 200_000:  # bounded memory: forgotten joins are only found again
             self.up.clear()
         return out
 
 
 def _near(sigs: list[np.ndarray], i, j, limits: list[int]) -> np.ndarray:
-    """Whether rows i and j are within the limits: the first signature's, then that of all of them together."""
+    """Which of the pairs of rows i and j are within the limits: the first signature's, then that of both together."""
     d = np.bitwise_count(sigs[0][i] ^ sigs[0][j])
-    ok = d <= limits[0]
-    if len(sigs) > 1:
-        ok &= (d + np.bitwise_count(sigs[1][i] ^ sigs[1][j])) <= limits[1]
-    return ok
+    hit = np.flatnonzero(d <= limits[0])
+    if len(sigs) > 1 and len(hit):
+        pick = lambda k: k[hit] if isinstance(k, np.ndarray) else k
+        hit = hit[d[hit] + np.bitwise_count(sigs[1][pick(i)] ^ sigs[1][pick(j)]) <= limits[1]]
+    return hit
 
 
-def _pairs(bucket: np.ndarray, sigs: list[np.ndarray], limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """All near pairs of rows in the same bucket; the rows are sorted by bucket and no bucket is large."""
-    left, right, at, d = [], [], np.arange(len(bucket) - 1), 1
+def _pairs(bucket: np.ndarray, centre: np.ndarray, sigs: list[np.ndarray], limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """All near pairs of a row that is at home in a bucket and any other there; rows are sorted, those at home first."""
+    left, right, at, d = [], [], np.flatnonzero(centre[:-1]), 1
     while len(at):
         at = at[at + d < len(bucket)]
         at = at[bucket[at] == bucket[at + d]]
@@ -200,28 +201,39 @@ def _pairs(bucket: np.ndarray, sigs: list[np.ndarray], limits: list[int]) -> tup
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
-def _front(sigs: list[np.ndarray], limits: list[int]) -> tuple[list[int], list[int]]:
-    """A spanning forest of the near pairs of one bucket: what is reached is not compared with what was reached before."""
-    left, right, rest = [], [], np.arange(len(sigs[0]))
+def _front(home: int, sigs: list[np.ndarray], limits: list[int]) -> tuple[list[int], list[int]]:
+    """A spanning forest of the near pairs of one bucket of which one is among the first ``home`` rows.
+
+    What is reached leaves the rows that are still compared, so a dense cluster costs little more than its size.
+    """
+    left, right = [], []
+    centres, others = np.arange(home), np.arange(home, len(sigs[0]))
     front: list[int] = []
-    while len(rest):
-        if not front:
-            front, rest = [int(rest[0])], rest[1:]
-            continue
-        q = front.pop()
-        near = _near(sigs, rest, q, limits)
-        if near.any():
-            got = rest[near].tolist()
-            rest = rest[~near]
-            left += [q] * len(got)
-            right += got
-            front += got
+    while len(centres) or front:
+        if front:
+            q = front.pop()
+        else:
+            q, centres = int(centres[0]), centres[1:]
+        got: list[int] = []
+        if len(centres):
+            near = _near(sigs, centres, q, limits)
+            if len(near):
+                got += centres[near].tolist()
+                centres = np.delete(centres, near)
+        if q < home and len(others):
+            near = _near(sigs, others, q, limits)
+            if len(near):
+                got += others[near].tolist()
+                others = np.delete(others, near)
+        left += [q] * len(got)
+        right += got
+        front += got
     return left, right
 
 
-def _emit(kind: int, used: int, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+def _emit(kind: int, used: int, home: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
     n = len(columns[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, signed(used), np.int64)), *(pa.array(c.view(np.int64)) for c in columns)], names)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, signed(used), np.int64)), pa.array(home.astype(np.int8)), *(pa.array(c.view(np.int64)) for c in columns)], names)
 
 
 def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | None = None) -> DataFrame:
@@ -235,7 +247,7 @@ def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | N
     limits = [limit] if wide is None else [limit, wide]
     chosen = plan(prints, limit, parts)
     probes = [(i, np.uint64(mask_of(b)), mask_of(b), _flips(b, t)) for i, (b, t) in enumerate(chosen) if t >= 0]
-    names = ["used", "bucket", *sig]
+    names = ["used", "away", "bucket", *sig]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,71 +255,73 @@ def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | N
                 own = [np.ascontiguousarray(batch.slice(at, 4096).column(c).to_numpy()).view(np.uint64) for c in sig]
                 for i, mask, used, flips in probes:
                     value = ((own[0] & mask)[:, None] ^ flips[None, :]).ravel()
-                    n = len(value)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, signed(used), np.int64)), pa.array(_bucket(value, i).view(np.int64)), *(pa.array(np.repeat(x, len(flips)).view(np.int64)) for x in own)], names)
+                    away = np.broadcast_to((flips != 0).astype(np.int8), (len(own[0]), len(flips))).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), signed(used), np.int64)), pa.array(away), pa.array(_bucket(value, i).view(np.int64)), *(pa.array(np.repeat(x, len(flips)).view(np.int64)) for x in own)], names)
 
-    out_names = ["deferred", "used", "bucket", *(f"{s}_{c}" for c in sig for s in "ab")]
+    out_names = ["deferred", "used", "away", "bucket", *(f"{s}_{c}" for c in sig for s in "ab")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Links()
         held: list[list[np.ndarray]] = []  # the bucket that may go on in the next batch
         size, spilling = 0, False
-        schema = out_names
+        final = 64 - 16  # fixed bits from which a bucket is small enough by itself
 
-        def joined(i, j, columns) -> pa.RecordBatch:
+        def joined(i, j, columns: list[np.ndarray]) -> pa.RecordBatch:
             i, j = np.asarray(i, np.int64), np.asarray(j, np.int64)
-            key = [reduce(lambda h, c: h * 1_000_003 ^ int(c), row, 0) for row in zip(*(c[i].tolist() for c in columns), strict=True)] if len(columns) > 1 else columns[0][i].tolist()
-            yek = [reduce(lambda h, c: h * 1_000_003 ^ int(c), row, 0) for row in zip(*(c[j].tolist() for c in columns), strict=True)] if len(columns) > 1 else columns[0][j].tolist()
-            keep = np.array(known.new(zip(key, yek, strict=True)), np.int64)
+            mix = reduce(lambda h, c: h * _ODD ^ c, columns[1:], columns[0])
+            keep = np.array(known.new(zip(mix[i].tolist(), mix[j].tolist(), strict=True)), np.int64)
             i, j = i[keep], j[keep]
-            ends = [c[x] for c in columns for x in (i, j)]
-            return _emit(0, 0, [np.zeros(len(i), np.uint64), *ends], schema)
+            return _emit(0, 0, np.zeros(len(i)), [np.zeros(len(i), np.uint64), *(c[x] for c in columns for x in (i, j))], out_names)
 
-        def again(used: int, bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        def again(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             """The rows of a large bucket, dealt by the bits that it does not fix."""
+            used, (away, bucket), columns = int(rows[0][0]), rows[1:3], rows[3:]
             free = [b for b in range(64) if not used >> b & 1]
             for k in range(limit + 1):
-                own = free[k :: limit + 1]
-                if own:
+                if own := free[k :: limit + 1]:
                     with np.errstate(over="ignore"):
                         deeper = _bucket((columns[0] & np.uint64(mask_of(own))) ^ bucket, k + 1)
-                    yield _emit(1, used | mask_of(own), [deeper, *(c for c in columns for _ in "ab")], schema)
+                    yield _emit(1, used | mask_of(own), away, [deeper, *(c for c in columns for _ in "ab")], out_names)
 
         def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             """Whole buckets, sorted: small ones together, others one by one."""
-            used, bucket, columns = rows[0], rows[1], rows[2:]
+            used, away, bucket, columns = rows[0], rows[1], rows[2], rows[3:]
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
             sizes = np.diff(cut)
-            small = np.repeat(sizes <= SMALL, sizes) & np.repeat(sizes > 1, sizes)
+            homes = np.add.reduceat((away == 0).astype(np.int64), cut[:-1])
+            wanted = (sizes > 1) & (homes > 0)
+            small = np.repeat(wanted & (sizes <= SMALL), sizes)
             if small.any():
                 own = [c[small] for c in columns]
-                i, j = _pairs(bucket[small], own, limits)
+                i, j = _pairs(bucket[small], away[small] == 0, own, limits)
                 if len(i):
                     yield joined(i, j, own)
-            for k in np.flatnonzero(sizes > SMALL):
+            for k in np.flatnonzero(wanted & (sizes > SMALL)):
                 a, b = cut[k], cut[k + 1]
-                own = [c[a:b] for c in columns]
-                if b - a > LARGE and bin(int(used[a])).count("1") < 64 - 16:
-                    yield from again(int(used[a]), bucket[a:b], own)
+                if b - a > LARGE and int(used[a]).bit_count() < final:
+                    yield from again([r[a:b] for r in rows])
                 else:
-                    i, j = _front(own, limits)
+                    own = [c[a:b] for c in columns]
+                    i, j = _front(int(homes[k]), own, limits)
                     if i:
                         yield joined(i, j, own)
 
         for batch in batches:
-            rows = [np.ascontiguousarray(batch.column(c).to_numpy()).view(np.uint64) for c in names]
+            rows = [np.ascontiguousarray(batch.column(c).to_numpy()) for c in names]
+            rows = [r if r.itemsize == 1 else r.view(np.uint64) for r in rows]
             if not len(rows[0]):
                 continue
-            if held and held[-1][1][-1] != rows[1][0]:
+            if held and held[-1][2][-1] != rows[2][0]:
                 if not spilling:
                     yield from settle([np.concatenate(x) for x in zip(*held, strict=True)])
                 held, size, spilling = [], 0, False
-            last = int(np.searchsorted(rows[1].view(np.int64), rows[1].view(np.int64)[-1], side="left"))
+            order = rows[2].view(np.int64)
+            last = int(np.searchsorted(order, order[-1], side="left"))
             if last:
                 whole = [r[:last] for r in rows]
                 if spilling:  # the rest of a large bucket that is being dealt again, then other buckets
-                    n = int(np.searchsorted(whole[1].view(np.int64), held[-1][1].view(np.int64)[-1], side="right"))
-                    yield from again(int(whole[0][0]), whole[1][:n], [c[:n] for c in whole[2:]])
+                    n = int(np.searchsorted(order[:last], held[-1][2].view(np.int64)[-1], side="right"))
+                    yield from again([r[:n] for r in whole])
                     whole = [r[n:] for r in whole]
                 elif held:
                     whole = [np.concatenate(x) for x in zip(*held, whole, strict=True)]
@@ -316,29 +330,28 @@ def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | N
                     yield from settle(whole)
             tail = [r[last:] for r in rows]
             if spilling:
-                yield from again(int(tail[0][0]), tail[1], tail[2:])
+                yield from again(tail)
                 held = [tail]
                 continue
             held.append(tail)
             size += len(tail[0])
-            if size > LARGE and bin(int(tail[0][0])).count("1") < 64 - 16:
-                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                yield from again(int(whole[0][0]), whole[1], whole[2:])
+            if size > LARGE and int(tail[0][0]).bit_count() < final:
+                yield from again([np.concatenate(x) for x in zip(*held, strict=True)])
                 held, spilling = [tail], True
         if held and not spilling:
             yield from settle([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    rows = prints.select(*sig).mapInArrow(probe, ", ".join(f"{c} long" for c in names))
-    schema = "deferred tinyint, used long, bucket long, " + ", ".join(f"{c} long" for c in out_names[3:])
+    rows = prints.select(*sig).mapInArrow(probe, "used long, away tinyint, " + ", ".join(f"{c} long" for c in names[2:]))
+    schema = "deferred tinyint, used long, away tinyint, bucket long, " + ", ".join(f"{c} long" for c in out_names[4:])
     found = []
     while True:
-        dealt = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", *sig)
+        dealt = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "away", *sig)
         table = written(dealt.mapInArrow(compare, schema), "links")
-        found.append(table.where("deferred = 0").select(*out_names[3:]))
+        found.append(table.where("deferred = 0").select(*out_names[4:]))
         deeper = table.where("deferred = 1")
         if deeper.isEmpty():
             break
-        rows = deeper.select("used", "bucket", *(F.col(f"a_{c}").alias(c) for c in sig)).distinct()
+        rows = deeper.select("used", "away", "bucket", *(F.col(f"a_{c}").alias(c) for c in sig)).distinct()
     return reduce(DataFrame.unionByName, found).distinct()
 
 

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .store import plain_names
 from .tokens import runs
 
 #: Labelled documents that are learned from: those of the smallest hashes. A bound on the training set, not on scoring.
-SAMPLE = 3000
+SAMPLE = 2000
 BITS, DIM, EPOCHS, RATE, GRAMS = 18, 12, 12, 2.0, (2, 3, 4)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -113,7 +114,7 @@ def gathered(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct table entries of a text and their shares."""
     parts = [slots[a[0] : b[0]] for slots, a, b in features([text])]
     at, n = np.unique(np.concatenate([np.array([END], np.uint64), *parts]), return_counts=True)
-    return at.astype(np.int64), (n / n.sum()).astype(np.float32)
+    return at.astype(np.int32), (n / n.sum()).astype(np.float32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, usable: Column, sample: int = SAMPLE) -> Broadcast:
@@ -148,7 +149,8 @@ def log_odds(texts: list[str], table: np.ndarray) -> np.ndarray:
 
 def scored(docs: DataFrame, model: Broadcast, column: str = "score") -> DataFrame:
     """``docs`` with the probability of label 1; the text alone decides it."""
-    out = docs.drop(column)
+    docs = docs.drop(column)
+    out = plain_names(docs)
     names = out.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +161,8 @@ def scored(docs: DataFrame, model: Broadcast, column: str = "score") -> DataFram
             p = 1 / (1 + np.exp(-np.concatenate(odds))) if odds else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p)], [*names, column])
 
-    return out.mapInArrow(score, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields) + f", `{column}` double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+    return out.mapInArrow(score, f"{kinds}, `{column}` double").toDF(*docs.columns, column)
 
 
 def learns(doc_id: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -86,3 +87,13 @@ def range_bucket(column, edges: list):
         return F.when(column >= F.lit(edges[mid]), halve(mid + 1, hi)).otherwise(halve(lo, mid))
 
     return halve(0, len(edges)).cast("int")
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """``df`` with other names for columns that Python functions cannot take: repeated ones and those with odd characters."""
+    seen: set[str] = set()
+    names = []
+    for i, c in enumerate(df.columns):
+        names.append(c if re.fullmatch(r"\w+", c) and c.lower() not in seen else f"_column_{i}")
+        seen.add(c.lower())
+    return df.toDF(*names)

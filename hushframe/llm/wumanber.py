@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .store import written
+from .store import plain_names, written
 
 #: What stands for a byte before the text is split: letters A-Z in lower case, everything that is no word character a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -100,7 +100,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """
     spark = docs.sparkSession
     own = ["n_words", "spans", "items"]
-    out = docs.drop(*own)
+    docs = docs.drop(*own)
+    out = plain_names(docs)
     names = out.columns
     extra = "`n_words` long, `spans` array<struct<`first`:long,`last`:long>>, `items` array<string>"
     plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
@@ -136,7 +137,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         if not first:
             out = written(out, "hits")
         first = False
-    return out
+    return out.toDF(*docs.columns, *own)
 
 
 def hit_columns(found: DataFrame) -> DataFrame:
