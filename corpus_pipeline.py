@@ -13,29 +13,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hushframe.llm import packing, quality, simhash, wumanber
 from hushframe.llm.queries import tokenizer_file
 from hushframe.llm.store import new_path
+from hushframe.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return quality.reject(docs, labels).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more."""
+    ship(spark)
     return simhash.deduplicate(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of ten benchmark words."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return wumanber.contamination(docs.select(*COLUMNS), items, window=10).where(F.size("spans") == 0).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens."""
+    ship(spark)
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), 1, 4096)
 
 

@@ -96,7 +96,12 @@ def groups(prints: DataFrame, limit: int, wide: int | None = None, parts: int |
     sig = ["fp"] if wide is None else ["fp", "fp2"]
     node = (lambda p: F.col(f"{p}fp")) if wide is None else (lambda p: F.xxhash64(f"{p}fp", f"{p}fp2"))
     distinct = written(prints.groupBy(*sig).agg(F.min("doc_id").alias("first_id")), "prints")
-    found = links(distinct, limit, wide, parts).select(node("a_").alias("a"), node("b_").alias("b"))
+    pair = [node("a_").alias("a"), node("b_").alias("b")]
+    found = links(distinct, limit, wide, parts).select(*pair)
+    if wide is not None:  # what the first fingerprint misses, the second one finds
+        back = {f"{s}_{a}": f"{s}_{b}" for s in "ab" for a, b in (("fp", "fp2"), ("fp2", "fp"))}
+        swapped = links(distinct.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), limit, wide, parts)
+        found = found.union(swapped.select(*(F.col(c).alias(back[c]) for c in swapped.columns)).select(*pair))
     of = components(found)
     named = distinct.withColumn("node", node("")).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -110,12 +115,12 @@ def near_groups(docs: DataFrame, size: int = 4, limit: int = 4, parts: int | Non
     return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, size: int = 5, limit: int = 12, wide: int = 23) -> DataFrame:
+def deduplicate(docs: DataFrame, size: int = 5, limit: int = 12, wide: int = 24) -> DataFrame:
     """``docs`` without all but the document of the smallest ``doc_id`` in each near-duplicate group.
 
-    Shingle sets of Jaccard similarity 0.8 differ in about 15 % of SimHash bits.  The 64-bit fingerprint finds candidates
-    at up to 12 differing bits; a second, independent one confirms them: at most 23 of all 128 bits may differ, which
-    unrelated texts (64 on average) do not reach.  Of equal rows one stays.
+    Shingle sets of Jaccard similarity 0.8 differ in about 15 % of SimHash bits.  Two independent 64-bit fingerprints each
+    propose pairs at up to 12 differing bits; of all 128 bits at most 24 may differ, which nearly all pairs of that
+    similarity keep to and unrelated texts (64 on average) do not reach.  Rows that share the kept ``doc_id`` all stay.
     """
     prints = written(fingerprints(docs, size, wide=True), "fingerprints")
     of = groups(prints, limit, wide)
@@ -123,4 +128,4 @@ def deduplicate(docs: DataFrame, size: int = 5, limit: int = 12, wide: int = 23)
     keep = written(keep, "kept")
     first = docs.join(keep.where("doc_id is not null"), "doc_id", "left_semi")
     alone = docs.where("doc_id is null")
-    return first.unionByName(alone)
+    return first.union(alone)
