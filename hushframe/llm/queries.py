@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import digest, hilbert, licenses, packing, pfor, pst, quality, simhash, warc, wumanber
+from .sql import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,5 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_hilbert": op10_hilbert,
 }
-#: SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "tokenizer_file"]
