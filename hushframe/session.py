@@ -22,4 +22,7 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(out))
         _SHIPPED.add(app)
+        # rows hold whole texts: the default of 10,000 to a batch is too many
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
