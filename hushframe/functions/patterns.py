@@ -6,6 +6,7 @@ Patterns are written once, in the dialect of the formats they come from (ASCII \
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -41,9 +42,9 @@ DETECTORS: list[Detector] = [
     Detector("key_api_hex", "API_KEY", 0.9, r"\bapi\s*:?\s*([a-f0-9]{32,64})\b", 1, True, needs=r"[0-9A-Fa-f]{32}"),
     Detector("key_api_key_hex", "API_KEY", 0.88, r"\bapi\s*key\b[^.\n]{0,60}?\b([a-f0-9]{32,64})\b", 1, True, needs=r"[0-9A-Fa-f]{32}"),
     Detector("aws_access_key", "AWS_ACCESS_KEY", 0.95, r"\b(?:AKIA|ASIA|AROA|AIDA|AGPA|ANPA|ANVA|AIPA)[A-Z0-9]{12,20}\b", needs=r"A[A-Z]{3}[A-Z0-9]{12}"),
-    Detector("key_vendor", "API_KEY", 0.88, r"\b(?:sk|pk|rk|xox[baprs]-|ghp_|gho_|github_pat_)[A-Za-z0-9_-]{8,}\b", needs=r"[spr]k|xox|gh[po]_|github_pat_"),
+    Detector("key_vendor", "API_KEY", 0.88, r"\b(?:sk|pk|rk|xox[baprs]-|ghp_|gho_|github_pat_)[A-Za-z0-9_-]{8,}\b", needs=r"[spr]k[A-Za-z0-9_-]{8}|xox|gh[po]_|github_pat_"),
     Detector("key_assigned", "API_KEY", 0.8, r"\b(?:api[_-]?key|access[_-]?key|secret[_-]?key|auth[_-]?token)[:\s=]+['\"]?([A-Za-z0-9_\-./+=]{12,})['\"]?", 1, True, needs=r"(?i)key|token"),
-    Detector("key_generic", "API_KEY", 0.8, r"\b(?:sk|pk|api|key|token|secret)[-_]?[A-Za-z0-9]{16,}\b", needs=r"[A-Za-z0-9]{16}"),
+    Detector("key_generic", "API_KEY", 0.8, r"\b(?:sk|pk|api|key|token|secret)[-_]?[A-Za-z0-9]{16,}\b", needs=r"(?:sk|pk|api|key|token|secret)[-_]?[A-Za-z0-9]{16}"),
     Detector("key_secret_is", "API_KEY", 0.75, r"\bsecret\s+is\s+([A-Za-z0-9_-]{8,})", 1, True, needs=r"(?i)secret"),
     Detector("url_credential", "URL_CREDENTIAL", 0.97, r"(?:https?:\/\/|ftp:\/\/)(?:[^@\/\s]+):([^@\/\s]+)@", 1, needs="://"),
     Detector("url_query_secret", "URL_QUERY_SECRET", 0.95, r"[?&](?:token|access_token|api_key|signature|password|secret|sig|code)=([^&\s\"]{8,})", 1, True, needs="="),
@@ -87,6 +88,10 @@ PUBLIC_TERMS = (
 _SPACE = r"\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 
 
+#: Beginnings of patterns whose first character is a word character, so that only what is before it decides on an edge.
+_WORD_FIRST = ("(?:sk", "(?:api", "(?:AKIA", "(?:25", "(?:phone", "(?:postgres", "(?:Insurance", "(?:my", "(?:patient", "(?:company", "(?:city", "(?:name", "(?:Dr", "([A-Z]", "(New", "[6-9]", "\\d", "(?:\\d", "gsk", "api", "secret", "redis", "MRN", "Patient", "Contact", "zip")
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
     r"""The pattern for Java: ASCII word edges, all white space in \s, and $ as the very end."""
     out, i, inside = "", 0, False
@@ -94,7 +99,9 @@ def java(pattern: str, ignore_case: bool = False) -> str:
         c = pattern[i]
         if c == "\\":
             e = pattern[i + 1]
-            if e == "b" and not inside:
+            if e == "b" and not out and pattern[2:].startswith(_WORD_FIRST):
+                out += r"(?<![A-Za-z0-9_])"
+            elif e == "b" and not inside:
                 out += r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
             elif e == "s":
                 out += _SPACE if inside else f"[{_SPACE}]"
@@ -127,5 +134,7 @@ def duckdb(pattern: str, ignore_case: bool = False) -> str:
 
 def may_match(text: Column, needs: str) -> Column:
     """Whether a text passes the cheap test of a detector."""
-    plain = not any(c in needs for c in r"\[](){}|?*") and needs not in ("+", ".")
-    return F.contains(text, F.lit(needs)) if plain or needs == "+" else text.rlike(java(needs.removeprefix("(?i)"), needs.startswith("(?i)")))
+    words = [needs] if needs == "+" else needs.split("|")
+    if needs == "+" or not any(c in needs for c in r"\[](){}?*+"):
+        return reduce(lambda a, b: a | b, (F.contains(text, F.lit(w)) for w in words))
+    return text.rlike(java(needs.removeprefix("(?i)"), needs.startswith("(?i)")))

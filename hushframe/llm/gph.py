@@ -76,23 +76,11 @@ def allocate(cost: list[list[float]], limit: int) -> list[int]:
     return best[limit + 1][1]
 
 
-def uniform_parts(n: int, limit: int) -> int:
-    """The number of parts that would cost least if bits were independent."""
-
-    def cost(m: int) -> float:
-        w = 64 / m
-        table = [[0.0] + [sum(comb(int(w), d) for d in range(t + 1)) * (PROBE + n / 2**w) for t in range(4)]] * m
-        try:
-            chosen = allocate(table, limit)
-        except KeyError:
-            return float("inf")
-        return sum(table[0][t + 1] for t in chosen)
-
-    return min(range(2, limit + 2), key=cost)
-
-
 def plan(prints: DataFrame, limit: int, parts: int | None = None) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each part, from statistics over all rows of ``prints`` (fp)."""
+    """(bits, threshold) of each part, from statistics over all rows of ``prints`` (fp).
+
+    The number of parts follows from the limit alone, so that each fingerprint probes about as often at every size.
+    """
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros((64, 64)), 0
@@ -110,7 +98,7 @@ def plan(prints: DataFrame, limit: int, parts: int | None = None) -> list[tuple[
             n = r["c"]
         else:
             together[r["i"], r["j"]] = r["c"]
-    groups = correlated_parts(together, n, parts or uniform_parts(n, limit))
+    groups = correlated_parts(together, n, parts or limit // 2 + 1)
     # pairs that agree in a part but for k given bits: from them follow the pairs at each distance within the part
     masks, rng = [], np.random.default_rng(0)
     for g, bits in enumerate(groups):
