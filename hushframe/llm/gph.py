@@ -161,7 +161,7 @@ class Links:
             if a != b:
                 self.up[max(a, b)] = min(a, b)
                 out.append(k)
-        if len(self.up) > 200_000:  # bounded memory: forgotten joins are only found again
+        if len(self.up) > 100_000:  # bounded memory: forgotten joins are only found again
             self.up.clear()
         return out
 

@@ -24,6 +24,8 @@ from .tokens import runs
 
 #: Labelled documents that are learned from: those of the smallest hashes. A bound on the training set, not on scoring.
 SAMPLE = 2000
+#: Characters that a worker scores together; a longer text is scored by itself.
+RUN = 400_000
 BITS, DIM, EPOCHS, RATE, GRAMS = 18, 12, 12, 2.0, (2, 3, 4)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -31,13 +33,15 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
+    """Powers of an odd base modulo 2**64 and of its inverse; those of a very long text are not remembered."""
+    known = _POWERS
+    if "up" not in known or len(known["up"]) < n:
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+        known = _POWERS if n <= 2 * RUN else {}
         with np.errstate(over="ignore"):
             for name, base in (("up", _BASE), ("down", inverse)):
-                _POWERS[name] = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, base, np.uint64))]) if n > 1 else np.ones(1, np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+                known[name] = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n - 1, base, np.uint64))]) if n > 1 else np.ones(1, np.uint64)
+    return known["up"], known["down"]
 
 
 def _slot(key: np.ndarray, kind: int) -> np.ndarray:
@@ -157,7 +161,7 @@ def scored(docs: DataFrame, model: Broadcast, column: str = "score") -> DataFram
         table = np.frombuffer(model.value, np.float32)
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
-            odds = [log_odds(texts[a:b], table) for a, b in runs(texts, 1_500_000)]
+            odds = [log_odds(texts[a:b], table) for a, b in runs(texts, RUN)]
             p = 1 / (1 + np.exp(-np.concatenate(odds))) if odds else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(p)], [*names, column])
 

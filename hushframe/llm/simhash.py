@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, size: int = 4, wide: bool = False) -> DataFram
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
-            for a, b in runs(texts, 2_000_000):
+            for a, b in runs(texts, 500_000):
                 hashes, many = shingle_hashes(texts[a:b], size)
                 prints = [_majority(h, many).view(np.int64) for h in ((hashes, _mixed(hashes)) if wide else (hashes,))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *map(pa.array, prints)], ["doc_id", "fp", "fp2"][: 1 + len(prints)])
