@@ -20,7 +20,7 @@ import regex
 #: Characters that send a text to the tokenizer as a whole: controls, other white space, marks that could combine.
 IRREGULAR = regex.compile(r"[\p{C}\p{Z}\s\p{M}]")
 #: Distinct pieces that a worker remembers; any more are encoded anew in each batch.
-MEMORY = 200_000
+MEMORY = 400_000
 #: How the two vocabularies split a text before merging. Fixed values.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
