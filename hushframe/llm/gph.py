@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .store import partitions, written
 
-#: Fingerprints of a bucket that are compared in one task (a few MB); larger buckets are dealt again, which copies each row
+#: Fingerprints of a bucket that are compared in one task; larger buckets are dealt again, which copies each row
 #: ``limit + 1`` times.
-LARGE = 250_000
+LARGE = 40_000
 #: Buckets up to this size are compared pair by pair, larger ones from a growing front.
 SMALL = 64
 #: Work of a probe row in comparisons.
