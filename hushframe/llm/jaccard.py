@@ -1,0 +1,145 @@
+"""Links between texts of a Jaccard similarity of at least 0.8 over their word shingles, each checked exactly.
+
+MinHash bands propose pairs: a text has ``BANDS`` buckets of ``ROWS`` minima, so two texts at the threshold share none with
+odds (1 - 0.8 ** 6) ** 32 = 6e-5, and fewer above it.  A proposed pair is a link only if its shingle sets, as bytes, share
+enough.  Only components matter, so buckets are first compared with one member each; pairs that are joined by then need no
+check, all others get one.
+
+Cases: texts of the same words are one node, wordless and null ones too, and those have no shingles and no links; a text of
+fewer words than a shingle is one shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from .gph import components
+from .store import written
+from .tokens import runs
+
+BANDS, ROWS = 32, 6
+#: A link: NUM / DEN of the shingles of either text are shared.
+NUM, DEN = 4, 5
+#: Buckets are compared with one member while more than this many pairs a node are open, ``STARS`` times at most.
+OPEN, STARS = 4, 6
+_FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(text: str, size: int) -> set[bytes]:
+    """The distinct shingles of a text."""
+    words = _words(text)
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def buckets(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bucket in each band of each run of hashes that begins at ``starts``."""
+    out = np.zeros((len(starts), BANDS), np.uint64)
+    if not len(starts):
+        return out
+    for band in range(BANDS):
+        x = np.full(len(starts), band, np.uint64)
+        for factor in _FACTORS[band * ROWS : (band + 1) * ROWS]:
+            x = (x ^ np.minimum.reduceat(hashes * factor, starts)) * _ODD
+            x ^= x >> np.uint64(29)
+        out[:, band] = x
+    return out
+
+
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, node (128 bits of the words), n (distinct shingles), buckets (empty for a wordless text)."""
+    from .simhash import shingle_hashes
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").fill_null("").to_pylist()
+            for a, b in runs(texts, 500_000):
+                hashes, many = shingle_hashes(texts[a:b], size)
+                ends = np.cumsum(many)
+                full = many > 0
+                own = np.zeros(len(many), np.int32)
+                own[full] = [len(np.unique(hashes[e - m : e])) for e, m in zip(ends[full], many[full], strict=True)]
+                found = buckets(hashes, (ends - many)[full])
+                offsets = np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel().view(np.int64)))
+                nodes = [xxhash.xxh3_128_digest(b" ".join(_words(t))) for t in texts[a:b]]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(nodes, pa.binary()), pa.array(own), lists], ["doc_id", "node", "n", "buckets"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, node binary, n int, buckets array<long>")
+
+
+def checked(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``pairs`` (a, b) with ``near``: whether their shingle sets are similar enough."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, left = None, set()
+        for batch in batches:
+            near = []
+            for node, x, y in zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                if node != last:
+                    last, left = node, shingles(x.as_py(), size)
+                right = shingles(y.as_py(), size)
+                shared = len(left & right)
+                near.append(DEN * shared >= NUM * (len(left) + len(right) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
+
+    side = lambda node, text: texts.select(F.col("node").alias(node), F.col("text").alias(text))
+    both = pairs.join(side("b", "y"), "b").join(side("a", "x"), "a").select("a", "b", "x", "y")
+    return both.mapInArrow(compare, "a binary, b binary, near boolean")
+
+
+def links(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """node, component of every node with a link; ``found`` holds the signatures of ``docs``."""
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("buckets").alias("buckets"))
+    rows = written(nodes.where("n > 0").select("node", "doc_id", "n", F.explode("buckets").alias("bucket")), "bands")
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket")
+    members = written(rows.join(shared, "bucket", "left_semi"), "members")
+    named = written(members.select("node", "doc_id").distinct(), "named")
+    many = named.count()
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [xxhash.xxh3_128_digest(b" ".join(_words(t or ""))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), batch.column("text")], ["node", "text"])
+
+    wanted = named.select("doc_id").distinct()
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = held.join(wanted, held["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("text").mapInArrow(only, "node binary, text string")
+    texts = written(held.join(named.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+
+    spark = docs.sparkSession
+    joined = spark.createDataFrame([], "node binary, component binary")
+    tested = spark.createDataFrame([], "a binary, b binary, near boolean")
+    size_fits = f"{DEN} * least(a_n, b_n) >= {NUM} * greatest(a_n, b_n)"
+    for turn in range(STARS + 1):
+        now = members.join(joined, "node", "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("own"))
+        mixed = now.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("bucket")
+        now = written(now.join(mixed, "bucket", "left_semi"), "mixed")
+        parts = now.groupBy("bucket", "own").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        per = parts.groupBy("bucket").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        left = per.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).head()[0] or 0  # pairs not yet joined, as often as they meet
+        if not left:
+            break
+        last = turn == STARS or left <= OPEN * BANDS * many
+        one = now.select("bucket", *(F.col(c).alias(f"a_{c}") for c in ("node", "n", "own")))
+        if not last:
+            one = one.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("a_node", F.lit(turn)), "a_node", "a_n", "a_own")).alias("s")).select("bucket", "s.a_node", "s.a_n", "s.a_own")
+        two = now.select("bucket", *(F.col(c).alias(f"b_{c}") for c in ("node", "n", "own")))
+        meet = one.join(two, "bucket").where("a_own <> b_own").where(size_fits)
+        pairs = meet.where("a_node < b_node") if last else meet
+        pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = tested.union(written(checked(pairs, texts, size), "checked"))
+        joined = components(tested.where("near").select("a", "b"))
+        if last:
+            break
+    return joined

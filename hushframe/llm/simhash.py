@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from . import jaccard
 from .gph import components, links
 from .store import written
 from .tokens import runs
@@ -115,16 +116,17 @@ def near_groups(docs: DataFrame, size: int = 4, limit: int = 4, parts: int | Non
     return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, size: int = 5, limit: int = 12, wide: int = 24) -> DataFrame:
+def deduplicate(docs: DataFrame, size: int = 5) -> DataFrame:
     """``docs`` without all but the document of the smallest ``doc_id`` in each near-duplicate group.
 
-    Shingle sets of Jaccard similarity 0.8 differ in about 15 % of SimHash bits.  Two independent 64-bit fingerprints each
-    propose pairs at up to 12 differing bits; of all 128 bits at most 24 may differ, which nearly all pairs of that
-    similarity keep to and unrelated texts (64 on average) do not reach.  Rows that share the kept ``doc_id`` all stay.
+    Groups are the components of links of :mod:`jaccard`: shingle sets of similarity 0.8 or more, checked exactly.
+    SimHash bits only estimate that, so they are not asked here.  Rows that share the kept ``doc_id`` all stay.
     """
-    prints = written(fingerprints(docs, size, wide=True), "fingerprints")
-    of = groups(prints, limit, wide)
-    keep = prints.join(of, ["fp", "fp2"]).where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
+    found = written(jaccard.signatures(docs, size), "signatures")
+    of = jaccard.links(docs, found, size)
+    named = written(found.select("doc_id", "node").join(of, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    keep = named.join(least, "component").where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
     keep = written(keep, "kept")
     first = docs.join(keep.where("doc_id is not null"), "doc_id", "left_semi")
     alone = docs.where("doc_id is null")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline as C
-from hushframe.llm import simhash
+from hushframe.llm import jaccard as links_of, simhash
 
 
 def words(rng, n):
@@ -67,6 +67,54 @@ def test_near_duplicates_against_jaccard(spark, sf):
             continue
 
 
+def exact_kept(texts):
+    """The smallest id of each component of exact links at a similarity of 0.8, by brute force."""
+    ids = sorted(texts)
+    sets = {}
+    for i in ids:
+        w = (texts[i] or "").lower().split()
+        sets[i] = {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    up = {i: i for i in ids}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            shared = len(sets[a] & sets[b])
+            if a < b and 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                up[max(top(a), top(b))] = min(top(a), top(b))
+    return {i for i in ids if top(i) == i}
+
+
+def test_only_links_of_the_stated_similarity_count(spark):
+    rng = random.Random(9)
+    texts = {}
+    for k in range(60):  # pairs of about 0.67 to 0.9, of long and of short texts
+        own = words(rng, 24 if k % 3 == 0 else 250).split()
+        texts[2 * k] = " ".join(own)
+        for at in range(rng.randint(1, 10) if len(own) > 30 else 1):
+            own[-1 if len(own) < 30 and k % 2 else at * 20 + 7] = "changed"
+        texts[2 * k + 1] = " ".join(own)
+    texts |= {500 + k: words(rng, 6) for k in range(60)} | {600: "", 601: None}
+    assert kept(C.drop_near_duplicates(spark, table(spark, texts), "")) == exact_kept(texts)
+
+
+def test_large_groups_are_joined_through_others(spark, monkeypatch):
+    monkeypatch.setattr(links_of, "OPEN", 0)
+    rng = random.Random(3)
+    own, texts = words(rng, 200).split(), {}
+    for k in range(80):  # edits of one text, in turn farther from it
+        if k % 8 == 0:
+            own = words(rng, 200).split() if k % 40 == 0 else own
+        own = list(own)
+        own[rng.randrange(200)] = f"changed{k}"
+        texts[k] = " ".join(own)
+    assert kept(C.drop_near_duplicates(spark, table(spark, texts), "")) == exact_kept(texts)
+
+
 def test_decontamination_drops_hits_only(spark, tmp_path):
     rng = random.Random(1)
     item = words(rng, 30)
