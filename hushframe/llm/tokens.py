@@ -64,15 +64,18 @@ class PieceEncoder:
                 core = " " + core
             else:
                 core = core.lower() if core.isascii() else self.tokenizer.normalizer.normalize_str(core)
+            end = tail if tail in (".", ",") else ""
+            if not self.blank and not core.isalpha():  # a capital dotted I becomes a letter and a mark
+                return [i for part in self.split.findall(core + end) for i in self._merge(part)]
             out = self._merge(core)
-            return out + self._merge(tail) if tail in (".", ",") else out
+            return out + self._merge(end) if end else out
         if self.blank:
             body = key[1:] if key[:1] in ("\t", "\n") else key
             piece = body if key[:1] == "\t" else key if key[:1] == "\n" else " " + key
         else:
             body = piece = key
         if not body or (not body.isascii() or not body.isprintable()) and IRREGULAR.search(body):
-            return [] if key == "\t" else None
+            return [] if self.blank and key == "\t" else None
         if not self.blank:
             piece = piece.lower() if piece.isascii() else self.tokenizer.normalizer.normalize_str(piece)
         return [i for part in self.split.findall(piece) for i in self._merge(part)]
@@ -120,8 +123,10 @@ class PieceEncoder:
         """The ids of all texts one after another, each followed by ``end``, and the number of ids of each."""
         if not texts:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        tabbed = np.array([self.blank and "\t" in t for t in texts])
         if self.blank:
-            column = pc.replace_substring(pa.array(["\t" + t for t in texts], pa.large_string()), "\n", " \n")
+            # a tab marks the first piece, so texts with tabs of their own are encoded whole
+            column = pc.replace_substring(pa.array(["\t" + t * (not own) for t, own in zip(texts, tabbed, strict=True)], pa.large_string()), "\n", " \n")
         else:
             column = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " ")
         lists = pc.split_pattern(column, " ")
@@ -131,7 +136,7 @@ class PieceEncoder:
         numbers = self._numbers(keys)[coded.indices.to_numpy(zero_copy_only=False)]
         chunk_end = np.cumsum(counts)
         odd = np.concatenate([[0], np.cumsum(self.whole[numbers])])
-        odd = odd[chunk_end] > odd[chunk_end - counts]
+        odd = (odd[chunk_end] > odd[chunk_end - counts]) | tabbed
         start, size = self.start[numbers], self.size[numbers]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(start - total[:-1], size) + np.arange(total[-1])]

@@ -125,6 +125,18 @@ def test_pieces_encode_like_the_tokenizer(name, blank, docs, monkeypatch):
             assert ids[ends[i] - lengths[i] : ends[i]].tolist() == [*own.tokenizer.encode(x, add_special_tokens=False).ids, 7]
 
 
+TABS = ["a \tb", "a \t b", "\ta", "\t", "a\t", "a \t", "\t\tb", "if x:\n\ty = 1\n \tz", "\n\ta b", "İ", "İstanbul. İ, aİb"]
+
+
+@pytest.mark.parametrize("name,blank", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_tabs_and_dotted_capitals_encode_like_the_tokenizer(name, blank):
+    own = tokens.PieceEncoder(tokenizer_file(name), blank)
+    ids, lengths = own(TABS, 7)
+    ends = np.cumsum(lengths)
+    got = [ids[e - n : e].tolist() for e, n in zip(ends, lengths, strict=True)]
+    assert got == [[*own.tokenizer.encode(x, add_special_tokens=False).ids, 7] for x in TABS]
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000])
 @pytest.mark.parametrize("top", [1, 2, 200, 50_256, (1 << 32) - 1])
 def test_blocks_round_trip(n, top):
