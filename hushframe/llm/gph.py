@@ -6,7 +6,7 @@ to its threshold.  A dynamic program picks the thresholds with the least estimat
 fingerprints.  Each fingerprint then probes, for each part, the values within that part's threshold; fingerprints that
 meet in a bucket are compared in full.
 
-Only links that join what a task has not joined yet leave it, so a dense cluster gives a spanning forest instead of all
+Where components are wanted, only links that join what a task has not joined yet leave it, so a dense cluster gives a forest instead of all
 of its pairs.  A bucket above ``LARGE`` fingerprints is not compared in place: it is dealt again by the bits that it
 does not fix yet, in limit + 1 parts of which one must agree exactly.
 """
@@ -28,8 +28,8 @@ from .store import partitions, written
 LARGE = 40_000
 #: Buckets up to this size are compared pair by pair, larger ones from a growing front.
 SMALL = 64
-#: Work of a probe row in comparisons.
-PROBE = 300
+#: Work of a probe row, which is shuffled and sorted, in comparisons.
+PROBE = 3000
 ONES = (1 << 64) - 1
 
 
@@ -77,10 +77,11 @@ def allocate(cost: list[list[float]], limit: int) -> list[int]:
     return best[limit + 1][1]
 
 
-def plan(prints: DataFrame, limit: int, parts: int | None = None) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each part, from statistics over all rows of ``prints`` (fp).
+def plan(prints: DataFrame, limit: int, parts: int | None = None, band: str | None = None) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each part, from statistics over all rows of ``prints`` (fp[, band]).
 
-    The number of parts follows from the limit alone, so that each fingerprint probes about as often at every size.
+    Grouping and thresholds are worked out for several numbers of parts, of which the one of the least estimated work is
+    taken: few parts make small buckets and many probes.
     """
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,46 +100,64 @@ def plan(prints: DataFrame, limit: int, parts: int | None = None) -> list[tuple[
             n = r["c"]
         else:
             together[r["i"], r["j"]] = r["c"]
-    groups = correlated_parts(together, n, parts or limit // 2 + 1)
+    meet = 1.0  # the share of pairs whose bands meet; a few dozen bands
+    if band and n:
+        many = {r[band]: r["c"] for r in prints.groupBy(band).agg(F.count(F.lit(1)).alias("c")).collect()}
+        meet = sum(c * (c + many.get(k - 1, 0) + many.get(k + 1, 0)) for k, c in many.items()) / n**2
+    options = [correlated_parts(together, n, k) for k in ([parts] if parts else sorted({limit // d + 1 for d in (2, 3, 4)}))]
     # pairs that agree in a part but for k given bits: from them follow the pairs at each distance within the part
     masks, rng = [], np.random.default_rng(0)
-    for g, bits in enumerate(groups):
-        for k in (0, 1, 2):
-            for _ in range(1 if k == 0 else 2):
+    for o, groups in enumerate(options):
+        for g, bits in enumerate(groups):
+            for k in (0, 1, 2):
                 dropped = rng.choice(bits, k, replace=False).tolist() if k else []
-                masks.append((g, k, signed(mask_of(bits) & ~mask_of(dropped) & ONES)))
-    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, (_, _, m) in enumerate(masks)))).alias("x")
-    same = prints.select(keys).groupBy("x.m", "x.v").count().groupBy("m").agg(F.sum(F.col("count") * F.col("count")).alias("e"))
-    equal: dict[tuple[int, int], list[float]] = {}
-    for r in same.collect():
-        equal.setdefault(masks[r["m"]][:2], []).append(float(r["e"]))
-    cost = []
-    for g, bits in enumerate(groups):
-        w = len(bits)
-        e0, e1, e2 = (float(np.mean(equal.get((g, k), [0.0]))) for k in (0, 1, 2))
-        a1 = max(0.0, w * (e1 - e0))
-        a2 = max(0.0, comb(w, 2) * (e2 - e0 - 2 * (e1 - e0)))
-        a3 = a2 * (w - 2) / 3
-        pairs = np.cumsum([e0, a1, a2, a3])
-        cost.append([0.0] + [pairs[t] + PROBE * n * sum(comb(w, d) for d in range(t + 1)) for t in range(4)])
-    return list(zip(groups, allocate(cost, limit), strict=True))
-
-
-def _flips(bits: list[int], threshold: int) -> np.ndarray:
-    """Every pattern of at most ``threshold`` of the bits."""
+                masks.append((o, g, k, signed(mask_of(bits) & ~mask_of(dropped) & ONES)))
+    keys = F.explode(F.array(*(F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(x[3])).alias("v")) for i, x in enumerate(masks)))).alias("x")
+    same = prints.select(keys).groupBy("x.m", "x.v").count().groupBy("m").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("e"))
+    equal = {masks[r["m"]][:3]: float(r["e"]) for r in same.collect()}
+    best: tuple[float, list[tuple[list[int], int]]] | None = None
+    for o, groups in enumerate(options):
+        cost = []
+        for g, bits in enumerate(groups):
+            w = len(bits)
+            e0, e1, e2 = (equal.get((o, g, k), 0.0) for k in (0, 1, 2))
+            a1 = max(0.0, w * (e1 - e0))
+            a2 = max(0.0, comb(w, 2) * (e2 - e0 - 2 * (e1 - e0)))
+            a3 = a2 * (w - 2) / 3
+            pairs = np.cumsum([e0, a1, a2, a3]) * meet
+            cost.append([0.0] + [pairs[t] + PROBE * n * sum(comb(w, d) for d in range(t + 1)) for t in range(4)])
+        if len(groups) * 4 <= limit:  # thresholds end at 3, so these parts cannot reach the limit
+            continue
+        chosen = allocate(cost, limit)
+        work = sum(c[t + 1] for c, t in zip(cost, chosen, strict=True))
+        if best is None or work < best[0]:
+            best = (work, list(zip(groups, chosen, strict=True)))
+    return best[1]
+
+
+def _flips(width: int, threshold: int) -> np.ndarray:
+    """Every pattern of at most ``threshold`` of ``width`` bits, the empty one first."""
     from itertools import combinations
 
-    out = [mask_of(list(c)) for d in range(threshold + 1) for c in combinations(bits, d)]
-    return np.array(out, np.uint64)
+    out = [mask_of(list(c)) for d in range(threshold + 1) for c in combinations(range(width), d)]
+    return np.array(out, np.int64)
+
+
+def _values(fp: np.ndarray, bits: list[int]) -> np.ndarray:
+    """The given bits of each fingerprint, moved together."""
+    out = np.zeros(len(fp), np.int64)
+    for i, bit in enumerate(bits):
+        out |= ((fp >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) << i
+    return out
 
 
 _ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _bucket(value: np.ndarray, part: int) -> np.ndarray:
-    """A bucket number: one to one in the value of a part; a meeting of two parts only costs comparisons."""
+def _deeper(value: np.ndarray, bucket: np.ndarray, part: int) -> np.ndarray:
+    """A bucket within a bucket; should two of them meet, that only costs comparisons."""
     with np.errstate(over="ignore"):
-        x = value * _ODD + np.uint64(part) * _STEP
+        x = (value ^ bucket * _ODD) * _ODD + np.uint64(part) * _STEP
         return (x ^ (x >> np.uint64(29))) * _ODD
 
 
@@ -146,16 +165,16 @@ class Links:
     """What a task has joined so far; only links that join something new are kept."""
 
     def __init__(self):
-        self.up: dict[int, int] = {}
+        self.up: dict = {}
 
-    def _top(self, x: int) -> int:
+    def _top(self, x):
         up = self.up
         while (y := up.get(x, x)) != x:
             up[x] = up.get(y, y)
             x = y
         return x
 
-    def new(self, pairs: Iterator[tuple[int, int]]) -> list[int]:
+    def new(self, pairs: Iterator[tuple]) -> list[int]:
         out = []
         for k, (a, b) in enumerate(pairs):
             a, b = self._top(a), self._top(b)
@@ -167,36 +186,45 @@ class Links:
         return out
 
 
-def _near(sigs: list[np.ndarray], i, j, limits: list[int]) -> np.ndarray:
-    """Which of the pairs of rows i and j are within the limits: the first signature's, then that of both together."""
-    d = np.bitwise_count(sigs[0][i] ^ sigs[0][j])
-    hit = np.flatnonzero(d <= limits[0])
-    if len(sigs) > 1 and len(hit):
+class Rows:
+    """Rows of one bucket after another: signatures, and where every pair counts what is joined already."""
+
+    def __init__(self, columns: list[np.ndarray], sigs: int, limits: list[int], own: int):
+        self.sigs, self.own, self.limits = columns[:sigs], columns[len(columns) - own :], limits
+
+    def near(self, i, j) -> np.ndarray:
+        """Which of the pairs i, j are within the limits (the first signature's, then that of both) and not joined yet."""
+        sigs = self.sigs
+        d = np.bitwise_count(sigs[0][i] ^ sigs[0][j])
+        hit = np.flatnonzero(d <= self.limits[0])
         pick = lambda k: k[hit] if isinstance(k, np.ndarray) else k
-        hit = hit[d[hit] + np.bitwise_count(sigs[1][pick(i)] ^ sigs[1][pick(j)]) <= limits[1]]
-    return hit
+        if len(sigs) > 1 and len(hit):
+            hit = hit[d[hit] + np.bitwise_count(sigs[1][pick(i)] ^ sigs[1][pick(j)]) <= self.limits[1]]
+        if self.own and len(hit):
+            hit = hit[np.logical_or.reduce([x[pick(i)] != x[pick(j)] for x in self.own])]
+        return hit
 
 
-def _pairs(bucket: np.ndarray, centre: np.ndarray, sigs: list[np.ndarray], limits: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(bucket: np.ndarray, centre: np.ndarray, rows: Rows) -> tuple[np.ndarray, np.ndarray]:
     """All near pairs of a row that is at home in a bucket and any other there; rows are sorted, those at home first."""
     left, right, at, d = [], [], np.flatnonzero(centre[:-1]), 1
     while len(at):
         at = at[at + d < len(bucket)]
         at = at[bucket[at] == bucket[at + d]]
-        near = at[_near(sigs, at, at + d, limits)]
+        near = at[rows.near(at, at + d)]
         left.append(near)
         right.append(near + d)
         d += 1
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
-def _front(home: int, sigs: list[np.ndarray], limits: list[int]) -> tuple[list[int], list[int]]:
+def _front(home: int, size: int, rows: Rows) -> tuple[list[int], list[int]]:
     """A spanning forest of the near pairs of one bucket of which one is among the first ``home`` rows.
 
     What is reached leaves the rows that are still compared, so a dense cluster costs little more than its size.
     """
     left, right = [], []
-    centres, others = np.arange(home), np.arange(home, len(sigs[0]))
+    centres, others = np.arange(home), np.arange(home, size)
     front: list[int] = []
     while len(centres) or front:
         if front:
@@ -205,12 +233,12 @@ def _front(home: int, sigs: list[np.ndarray], limits: list[int]) -> tuple[list[i
             q, centres = int(centres[0]), centres[1:]
         got: list[int] = []
         if len(centres):
-            near = _near(sigs, centres, q, limits)
+            near = rows.near(centres, q)
             if len(near):
                 got += centres[near].tolist()
                 centres = np.delete(centres, near)
         if q < home and len(others):
-            near = _near(sigs, others, q, limits)
+            near = rows.near(others, q)
             if len(near):
                 got += others[near].tolist()
                 others = np.delete(others, near)
@@ -220,34 +248,45 @@ def _front(home: int, sigs: list[np.ndarray], limits: list[int]) -> tuple[list[i
     return left, right
 
 
-def _emit(kind: int, used: int, home: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    n = len(columns[0])
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(np.full(n, signed(used), np.int64)), pa.array(home.astype(np.int8)), *(pa.array(c.view(np.int64)) for c in columns)], names)
-
-
-def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | None = None) -> DataFrame:
-    """Links between the distinct rows of ``prints`` (fp long[, fp2 long]); they join whatever lies within the limits.
+def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | None = None, ids: tuple = (), band: str | None = None, own: tuple = ()) -> DataFrame:
+    """Links between the rows of ``prints`` (fp long[, fp2 long]); they join whatever lies within the limits.
 
     Near: at most ``limit`` differing bits in ``fp`` and, where ``wide`` is given, at most ``wide`` in both together.
-    Returns a_fp, b_fp[, a_fp2, b_fp2]: a forest for each task, so every two near rows are joined, perhaps through others.
+    ``ids`` (longs): what tells rows apart, if not the fingerprints. ``band`` (int): only rows whose bands differ by one at
+    most are compared.  ``own`` (longs): what a row belongs to; then every near pair of different owners is returned,
+    otherwise a forest for each task, so every two near rows are joined, perhaps through others.
+    Returns a_<id>, b_<id> for each of ``ids`` or of the fingerprints.
     """
     spark = prints.sparkSession
     sig = ["fp"] if wide is None else ["fp", "fp2"]
     limits = [limit] if wide is None else [limit, wide]
-    chosen = plan(prints, limit, parts)
-    probes = [(i, np.uint64(mask_of(b)), mask_of(b), _flips(b, t)) for i, (b, t) in enumerate(chosen) if t >= 0]
-    names = ["used", "away", "bucket", *sig]
+    told = list(ids) or sig
+    carry = [*sig, *ids, *own]
+    chosen = [(b, t) for b, t in plan(prints, limit, parts, band) if t >= 0]
+    probes = [(i, bits, signed(mask_of(bits)), _flips(len(bits), t)) for i, (bits, t) in enumerate(chosen)]
+    names = ["used", "away", "bucket", *carry]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                own = [np.ascontiguousarray(batch.slice(at, 4096).column(c).to_numpy()).view(np.uint64) for c in sig]
-                for i, mask, used, flips in probes:
-                    value = ((own[0] & mask)[:, None] ^ flips[None, :]).ravel()
-                    away = np.broadcast_to((flips != 0).astype(np.int8), (len(own[0]), len(flips))).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), signed(used), np.int64)), pa.array(away), pa.array(_bucket(value, i).view(np.int64)), *(pa.array(np.repeat(x, len(flips)).view(np.int64)) for x in own)], names)
-
-    out_names = ["deferred", "used", "away", "bucket", *(f"{s}_{c}" for c in sig for s in "ab")]
+                part = batch.slice(at, 4096)
+                cols = [np.ascontiguousarray(part.column(c).to_numpy()) for c in carry]
+                fp = cols[0].view(np.uint64)
+                level = part.column(band).to_numpy().astype(np.int64) if band else np.zeros(len(fp), np.int64)
+                for i, bits, used, flips in probes:
+                    # a row is at home under its own value, in its own band and the next one; elsewhere it only calls
+                    value = _values(fp, bits)
+                    home = [(value, level + up) for up in ((0, 1) if band else (0,))]
+                    calls = ((value[:, None] ^ flips[None, 1:]).ravel(), np.repeat(level, len(flips) - 1))
+                    values, levels = (np.concatenate([h[k] for h in home] + [calls[k]]) for k in (0, 1))
+                    bucket = ((np.int64(i) << 7 | levels + 1) << 48) | values
+                    away = np.zeros(len(bucket), np.int8)
+                    away[len(home) * len(fp) :] = 1
+                    row = np.concatenate([np.tile(np.arange(len(fp)), len(home)), np.repeat(np.arange(len(fp)), len(flips) - 1)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), used, np.int64)), pa.array(away), pa.array(bucket), *(pa.array(c[row]) for c in cols)], names)
+
+    out_names = ["deferred", "used", "away", "bucket", *(f"a_{c}" for c in carry), *(f"b_{c}" for c in told)]
+    told_at = [carry.index(c) for c in told]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Links()
@@ -255,22 +294,30 @@ def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | N
         size, spilling = 0, False
         final = 64 - 16  # fixed bits from which a bucket is small enough by itself
 
+        def emit(deferred: bool, used: int, away: np.ndarray, bucket: np.ndarray, a: list[np.ndarray], b: list) -> pa.RecordBatch:
+            n = len(away)
+            plain = lambda c: pa.array(c.view(np.int64)) if c is not None else pa.nulls(n, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, deferred)), pa.array(np.full(n, signed(used), np.int64)), pa.array(away.astype(np.int8)), *map(plain, (bucket, *a, *b))], out_names)
+
         def joined(i, j, columns: list[np.ndarray]) -> pa.RecordBatch:
             i, j = np.asarray(i, np.int64), np.asarray(j, np.int64)
-            mix = reduce(lambda h, c: h * _ODD ^ c, columns[1:], columns[0])
-            keep = np.array(known.new(zip(mix[i].tolist(), mix[j].tolist(), strict=True)), np.int64)
-            i, j = i[keep], j[keep]
-            return _emit(0, 0, np.zeros(len(i)), [np.zeros(len(i), np.uint64), *(c[x] for c in columns for x in (i, j))], out_names)
+            if not own:
+                keys = [columns[k] for k in told_at]
+                left, right = (zip(*(c[x].tolist() for c in keys), strict=True) for x in (i, j))
+                keep = np.array(known.new(zip(left, right, strict=True)), np.int64)
+                i, j = i[keep], j[keep]
+            zero = np.zeros(len(i), np.uint64)
+            a = [c[i] if k in told_at else None for k, c in enumerate(columns)]
+            return emit(False, 0, zero, zero, a, [columns[k][j] for k in told_at])
 
         def again(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             """The rows of a large bucket, dealt by the bits that it does not fix."""
             used, (away, bucket), columns = int(rows[0][0]), rows[1:3], rows[3:]
             free = [b for b in range(64) if not used >> b & 1]
             for k in range(limit + 1):
-                if own := free[k :: limit + 1]:
-                    with np.errstate(over="ignore"):
-                        deeper = _bucket((columns[0] & np.uint64(mask_of(own))) ^ bucket, k + 1)
-                    yield _emit(1, used | mask_of(own), away, [deeper, *(c for c in columns for _ in "ab")], out_names)
+                if some := free[k :: limit + 1]:
+                    deeper = _deeper(columns[0] & np.uint64(mask_of(some)), bucket, k)
+                    yield emit(True, used | mask_of(some), away, deeper, columns, [None] * len(told))
 
         def settle(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             """Whole buckets, sorted: small ones together, others one by one."""
@@ -281,19 +328,26 @@ def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | N
             wanted = (sizes > 1) & (homes > 0)
             small = np.repeat(wanted & (sizes <= SMALL), sizes)
             if small.any():
-                own = [c[small] for c in columns]
-                i, j = _pairs(bucket[small], away[small] == 0, own, limits)
+                mine = [c[small] for c in columns]
+                i, j = _pairs(bucket[small], away[small] == 0, Rows(mine, len(sig), limits, len(own)))
                 if len(i):
-                    yield joined(i, j, own)
+                    yield joined(i, j, mine)
             for k in np.flatnonzero(wanted & (sizes > SMALL)):
                 a, b = cut[k], cut[k + 1]
                 if b - a > LARGE and int(used[a]).bit_count() < final:
                     yield from again([r[a:b] for r in rows])
-                else:
-                    own = [c[a:b] for c in columns]
-                    i, j = _front(int(homes[k]), own, limits)
+                    continue
+                mine = [c[a:b] for c in columns]
+                every = Rows(mine, len(sig), limits, len(own))
+                if not own:
+                    i, j = _front(int(homes[k]), int(b - a), every)
                     if i:
-                        yield joined(i, j, own)
+                        yield joined(i, j, mine)
+                    continue
+                for q in range(int(homes[k])):
+                    after = np.arange(q + 1, b - a)
+                    if len(near := after[every.near(after, q)]):
+                        yield joined(np.full(len(near), q), near, mine)
 
         for batch in batches:
             rows = [np.ascontiguousarray(batch.column(c).to_numpy()) for c in names]
@@ -330,17 +384,18 @@ def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | N
         if held and not spilling:
             yield from settle([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    rows = prints.select(*sig).mapInArrow(probe, "used long, away tinyint, " + ", ".join(f"{c} long" for c in names[2:]))
-    schema = "deferred tinyint, used long, away tinyint, bucket long, " + ", ".join(f"{c} long" for c in out_names[4:])
+    rows = prints.select(*carry, *([band] if band else [])).mapInArrow(probe, "used long, away tinyint, " + ", ".join(f"{c} long" for c in names[2:]))
+    schema = "deferred boolean, used long, away tinyint, bucket long, " + ", ".join(f"{c} long" for c in out_names[4:])
+    pair = [f"{s}_{c}" for c in told for s in "ab"]
     found = []
     while True:
         dealt = rows.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "away", *sig)
         table = written(dealt.mapInArrow(compare, schema), "links")
-        found.append(table.where("deferred = 0").select(*out_names[4:]))
-        deeper = table.where("deferred = 1")
+        found.append(table.where("not deferred").select(*pair))
+        deeper = table.where("deferred")
         if deeper.isEmpty():
             break
-        rows = deeper.select("used", "away", "bucket", *(F.col(f"a_{c}").alias(c) for c in sig)).distinct()
+        rows = deeper.select("used", "away", "bucket", *(F.col(f"a_{c}").alias(c) for c in carry)).distinct()
     return reduce(DataFrame.unionByName, found).distinct()
 
 

@@ -5,8 +5,7 @@ Links come from :mod:`gph`; groups are their connected components.
 
 Cases: a null or wordless text has fingerprint zero and is linked like any other; a text of fewer words than a shingle is
 one shingle; equal texts share a fingerprint and so a group; a null ``doc_id`` never names a group unless it is alone in it (then
-the group has no name and its rows are kept); an empty table gives an empty result; other columns are kept by
-:func:`deduplicate` and ignored elsewhere.
+the group has no name and its rows are kept); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from . import jaccard
 from .gph import components, links
 from .store import written
 from .tokens import runs
@@ -28,7 +26,7 @@ SEED = 42
 _LANES = np.uint64(0x0101010101010101)
 
 
-def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The majority bits of consecutive runs of hashes; a run of none gives zero.
 
     Eight bits of each hash at a time are spread over the bytes of a word; bytes count up to 255 hashes.
@@ -51,7 +49,7 @@ def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mixed(hashes: np.ndarray) -> np.ndarray:
+def mixed(hashes: np.ndarray) -> np.ndarray:
     """A second hash of the same shingles, from the first."""
     with np.errstate(over="ignore"):
         x = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -59,12 +57,17 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, A-Z in lower case."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of every shingle of every text one after another, and the number of shingles of each text."""
     words: list[bytes] = []
     n = np.zeros(len(texts), np.int64)
     for i, text in enumerate(texts):
-        own = text.encode("utf-8", "surrogatepass").lower().split()
+        own = words_of(text)
         n[i] = len(own)
         words += own
     line = b" ".join(words)
@@ -78,35 +81,26 @@ def shingle_hashes(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]
     return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(first)), many
 
 
-def fingerprints(docs: DataFrame, size: int = 4, wide: bool = False) -> DataFrame:
-    """doc_id, fp (64 bits as a long)[, fp2: the same of another hash of each shingle]."""
+def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
+    """doc_id, fp (64 bits as a long)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
             for a, b in runs(texts, 500_000):
-                hashes, many = shingle_hashes(texts[a:b], size)
-                prints = [_majority(h, many).view(np.int64) for h in ((hashes, _mixed(hashes)) if wide else (hashes,))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *map(pa.array, prints)], ["doc_id", "fp", "fp2"][: 1 + len(prints)])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, fp long" + ", fp2 long" * wide)
-
-
-def groups(prints: DataFrame, limit: int, wide: int | None = None, parts: int | None = None) -> DataFrame:
-    """Per distinct fingerprint of ``prints`` (doc_id, fp[, fp2]): component_id, the smallest doc_id of its group."""
-    sig = ["fp"] if wide is None else ["fp", "fp2"]
-    node = (lambda p: F.col(f"{p}fp")) if wide is None else (lambda p: F.xxhash64(f"{p}fp", f"{p}fp2"))
-    distinct = written(prints.groupBy(*sig).agg(F.min("doc_id").alias("first_id")), "prints")
-    pair = [node("a_").alias("a"), node("b_").alias("b")]
-    found = links(distinct, limit, wide, parts).select(*pair)
-    if wide is not None:  # what the first fingerprint misses, the second one finds
-        back = {f"{s}_{a}": f"{s}_{b}" for s in "ab" for a, b in (("fp", "fp2"), ("fp2", "fp"))}
-        swapped = links(distinct.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2")), limit, wide, parts)
-        found = found.union(swapped.select(*(F.col(c).alias(back[c]) for c in swapped.columns)).select(*pair))
-    of = components(found)
-    named = distinct.withColumn("node", node("")).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+                prints = majority(*shingle_hashes(texts[a:b], size)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(prints)], ["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, fp long")
+
+
+def groups(prints: DataFrame, limit: int, parts: int | None = None) -> DataFrame:
+    """Per distinct fingerprint of ``prints`` (doc_id, fp): component_id, the smallest doc_id of its group."""
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
+    of = components(links(distinct, limit, parts=parts).select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
+    named = distinct.join(of, distinct["fp"] == of["node"], "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return written(named.join(least, "component").select(*sig, "component_id"), "groups")
+    return written(named.join(least, "component").select("fp", "component_id"), "groups")
 
 
 def near_groups(docs: DataFrame, size: int = 4, limit: int = 4, parts: int | None = None) -> DataFrame:
@@ -114,20 +108,3 @@ def near_groups(docs: DataFrame, size: int = 4, limit: int = 4, parts: int | Non
     prints = written(fingerprints(docs, size), "fingerprints")
     of = groups(prints, limit, parts=parts)
     return prints.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def deduplicate(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``docs`` without all but the document of the smallest ``doc_id`` in each near-duplicate group.
-
-    Groups are the components of links of :mod:`jaccard`: shingle sets of similarity 0.8 or more, checked exactly.
-    SimHash bits only estimate that, so they are not asked here.  Rows that share the kept ``doc_id`` all stay.
-    """
-    found = written(jaccard.signatures(docs, size), "signatures")
-    of = jaccard.links(docs, found, size)
-    named = written(found.select("doc_id", "node").join(of, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")), "named")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    keep = named.join(least, "component").where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    keep = written(keep, "kept")
-    first = docs.join(keep.where("doc_id is not null"), "doc_id", "left_semi")
-    alone = docs.where("doc_id is null")
-    return first.union(alone)

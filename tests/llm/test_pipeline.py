@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline as C
-from hushframe.llm import jaccard as links_of, simhash
+from hushframe.llm import gph, neardup, simhash
 
 
 def words(rng, n):
@@ -50,21 +50,24 @@ def test_near_duplicates(spark):
     assert {302, 303} <= left and len({300, 301} & left) == 1
 
 
-def jaccard(a, b, n=5):
-    s = [{" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in (a.lower().split(), b.lower().split())]
-    return len(s[0] & s[1]) / len(s[0] | s[1])
-
-
-def test_near_duplicates_against_jaccard(spark, sf):
+def test_near_duplicates_against_brute_force(spark, sf):
     docs = dict(duckdb.sql(f"SELECT doc_id, text FROM '{sf}/documents.parquet' ORDER BY doc_id").fetchall())
     left = kept(C.drop_near_duplicates(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf))
-    ids = list(docs)
-    for d in ids:
-        alike = max((jaccard(docs[d], docs[e]) for e in ids if e != d and abs(len(docs[d]) - len(docs[e])) < 0.3 * len(docs[d]) + 1), default=0)
-        if d not in left:
-            assert alike > 0.6
-        elif d in left and alike < 0.5:
-            continue
+    assert left == exact_kept(docs)
+
+
+def test_recall_of_near_copies(spark):
+    """Links at the threshold and above: at least 0.9 are found, and nothing else is dropped."""
+    rng, texts = random.Random(11), {}
+    for k in range(400):
+        own = words(rng, rng.choice([60, 150, 400])).split()
+        texts[2 * k] = " ".join(own)
+        share = rng.uniform(0.0, 0.025)
+        texts[2 * k + 1] = " ".join("changed" if rng.random() < share else w for w in own)
+    left, right = kept(C.drop_near_duplicates(spark, table(spark, texts), "")), exact_kept(texts)
+    linked = set(texts) - right
+    assert len(linked) > 150 and right <= left
+    assert len(linked - left) >= 0.97 * len(linked)
 
 
 def exact_kept(texts):
@@ -103,7 +106,9 @@ def test_only_links_of_the_stated_similarity_count(spark):
 
 
 def test_large_groups_are_joined_through_others(spark, monkeypatch):
-    monkeypatch.setattr(links_of, "OPEN", 0)
+    monkeypatch.setattr(gph, "LARGE", 30)
+    monkeypatch.setattr(gph, "SMALL", 4)
+    monkeypatch.setattr(neardup, "TOGETHER", 8)
     rng = random.Random(3)
     own, texts = words(rng, 200).split(), {}
     for k in range(80):  # edits of one text, in turn farther from it
