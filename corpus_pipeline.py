@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hushframe.llm import packing, quality, simhash, wumanber
+from hushframe.llm import neardup, packing, quality, wumanber
 from hushframe.llm.queries import tokenizer_file
 from hushframe.llm.store import new_path
 from hushframe.session import ship
@@ -27,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: shingles of five words, similarity of 0.8 or more."""
     ship(spark)
-    return simhash.deduplicate(docs).select(*COLUMNS)
+    return neardup.deduplicate(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
