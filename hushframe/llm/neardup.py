@@ -6,9 +6,12 @@ about 15 % of the bits differ, so a pair at the threshold is missed with odds of
 pairs hardly ever.  The similarity also bounds the ratio of the sizes of the sets by 1.25, so only texts of the same or
 neighbouring bands of size are compared, which loses nothing.  Each proposed pair is then checked by its shingle sets.
 
-A dense cluster has very many pairs.  Therefore a forest of the proposed pairs is checked first; where it did not join
-all of a cluster, every proposed pair between what is still apart is checked too.  Sets are told by 64-bit hashes of
-the shingles, equal texts by 128 bits of their words.
+A dense cluster has very many pairs, so pairs are no rows: a forest of the proposed pairs gives the clusters, and a task gets
+the sets of a cluster once, checks what is proposed between texts that are not joined yet, and returns the links that join.
+A cluster of more sets than a task may hold is first joined along its forest; then its largest component needs no check
+in itself, and blocks of the rest meet each other and the blocks of that component.  Work grows with the square of what
+stays apart within a cluster, never with that of what is alike.  Sets are told by 64-bit hashes of the shingles, equal
+texts by 128 bits of their words.
 
 Cases: texts of the same words are one node, wordless and null ones too, and those have no links; a text of fewer words
 than a shingle is one shingle; an empty table has no links.
@@ -32,8 +35,8 @@ from .tokens import runs
 LIMIT, WIDE = 12, 30
 #: A link: NUM / DEN of the shingles of either text are shared.
 NUM, DEN = 4, 5
-#: Texts of a cluster whose sets a task holds for each of the two sides of the pairs that it checks.
-TOGETHER = 128
+#: Shingles of a block: a task holds two blocks of a cluster's sets.
+TOGETHER = 2_000_000
 #: Characters whose shingles a worker holds together; a longer text is taken by itself.
 RUN = 250_000
 
@@ -90,41 +93,72 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return held.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, cluster, m: nodes of the cluster) with ``near``: whether their sets are similar enough.
-
-    The nodes of a cluster fall into blocks of about ``TOGETHER``; a task checks the pairs of two blocks and gets each of
-    their sets once, so a set travels with the number of blocks and not of pairs.
-    """
-    block = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("m") / TOGETHER))
-    rows = pairs.select("a", "b", F.xxhash64("cluster", F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))).alias("task"))
-    rows = written(rows, "to-check")
-    needed = rows.select("task", F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node")
-    empty = lambda kind: F.lit(None).cast(kind)
-    both = needed.select("task", F.col("node").alias("a"), empty("struct<k1:long,k2:long>").alias("b"), "hashes").unionByName(rows.select("task", "a", "b", empty("binary").alias("hashes")))
-    both = both.select("task", F.col("b").isNotNull().alias("pair"), F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("b.k1").alias("b1"), F.col("b.k2").alias("b2"), "hashes")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, known = None, {}
+LINKS = "a1 long, a2 long, b1 long, b2 long"
+
+
+class Block:
+    """The sets of some nodes, with what the nodes belong to and what has been joined here."""
+
+    def __init__(self, rows: list[tuple], away: int):
+        """``rows``: k1, k2, fp, fp2, o1, o2, hashes; the last ``away`` of them are not compared with each other."""
+        self.node = [(r[0], r[1]) for r in rows]
+        self.fp, self.fp2 = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in (2, 3))
+        number: dict[tuple, int] = {}
+        self.own = np.array([number.setdefault((r[4], r[5]), len(number)) for r in rows])
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        self.n = np.fromiter(map(len, sets), np.int64, len(sets))
+        self.start = np.cumsum(self.n) - self.n
+        _, self.shingle = np.unique(np.concatenate(sets), return_inverse=True)
+        self.homes = len(rows) - away
+
+    def links(self) -> list[tuple[int, int, int, int]]:
+        """Links that join what was apart, by every pair that is proposed and not joined."""
+        out, marked = [], np.zeros(int(self.shingle.max()) + 1 if len(self.shingle) else 0, bool)
+        for q in range(min(self.homes, len(self.node) - 1)):
+            d, e = (np.bitwise_count(x[q + 1 :] ^ x[q]) for x in (self.fp, self.fp2))
+            near = ((d <= LIMIT) | (e <= LIMIT)) & (d + e <= WIDE) & (self.own[q + 1 :] != self.own[q])
+            near &= DEN * np.minimum(self.n[q + 1 :], self.n[q]) >= NUM * np.maximum(self.n[q + 1 :], self.n[q])
+            at = np.flatnonzero(near) + q + 1
+            if not len(at):
+                continue
+            mine = self.shingle[self.start[q] : self.start[q] + self.n[q]]
+            marked[mine] = True
+            n = self.n[at]
+            first = np.cumsum(n) - n
+            theirs = self.shingle[np.repeat(self.start[at] - first, n) + np.arange(int(n.sum()))]
+            shared = np.add.reduceat(marked[theirs].astype(np.int64), first)
+            marked[mine] = False
+            for k in at[DEN * shared >= NUM * (n + self.n[q] - shared)].tolist():
+                if self.own[k] != self.own[q]:
+                    self.own[self.own == self.own[k]] = self.own[q]
+                    out.append((*self.node[q], *self.node[k]))
+        return out
+
+
+def closed(rows: DataFrame) -> DataFrame:
+    """Links (a1, a2, b1, b2) within each task of ``rows`` (task, away, k1, k2, fp, fp2, o1, o2, hashes)."""
+    names = ["task", "away", "k1", "k2", "fp", "fp2", "o1", "o2", "hashes"]
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, away, out = None, [], 0, []
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 4)], ["a1", "a2", "b1", "b2"])
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("task", "pair", "a1", "a2", "b1", "b2")]
-            hashes, hits = batch.column("hashes"), []
-            for k, (t, pair, a1, a2, b1, b2) in enumerate(zip(*cols, strict=True)):
+            for t, far, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if t != task:
-                    task, known = t, {}
-                if not pair:
-                    known[a1, a2] = np.frombuffer(hashes[k].as_py(), np.uint64)
-                    continue
-                x, y = known[a1, a2], known[b1, b2]
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                hits.append((a1, a2, b1, b2, bool(DEN * shared >= NUM * (len(x) + len(y) - shared))))
-            columns = list(zip(*hits, strict=True)) or [()] * 5
-            kinds = [pa.int64()] * 4 + [pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a1", "a2", "b1", "b2", "near"])
-
-    dealt = both.repartition(partitions(pairs.sparkSession), "task").sortWithinPartitions("task", "pair")
-    out = dealt.mapInArrow(compare, "a1 long, a2 long, b1 long, b2 long, near boolean")
-    return out.select(_node("a1", "a2").alias("a"), _node("b1", "b2").alias("b"), "near")
+                    if len(held) > 1:
+                        out += Block(held, away).links()
+                    task, held, away = t, [], 0
+                held.append(row)
+                away += far
+            if len(out) > 10_000:
+                yield table()
+                out = []
+        if len(held) > 1:
+            out += Block(held, away).links()
+        yield table()
+
+    dealt = rows.select(*names).repartition(partitions(rows.sparkSession), "task").sortWithinPartitions("task", "away")
+    return dealt.mapInArrow(close, LINKS)
 
 
 def _node(k1: str, k2: str) -> Column:
@@ -136,44 +170,66 @@ def _ordered(found: DataFrame) -> DataFrame:
     return found.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
-def _proposed(rows: DataFrame, own: tuple = ()) -> DataFrame:
-    """Proposed pairs (a, b) of ``rows`` (fp, fp2, k1, k2, band[, own]): by the first fingerprint and by the second one."""
-    swapped = rows.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "k1", "k2", "band", *own)
-    found = [links(r, LIMIT, WIDE, ids=("k1", "k2"), band="band", own=own) for r in (rows, swapped)]
+def _proposed(rows: DataFrame) -> DataFrame:
+    """A forest of proposed pairs (a, b) of ``rows`` (fp, fp2, k1, k2, band): by the first fingerprint and by the second one."""
+    swapped = rows.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "k1", "k2", "band")
+    found = [links(r, LIMIT, WIDE, ids=("k1", "k2"), band="band") for r in (rows, swapped)]
     return _ordered(found[0].unionByName(found[1]))
 
 
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(_node("a1", "a2").alias("a"), _node("b1", "b2").alias("b"))
+
+
+def _apart(sets: DataFrame, forest: DataFrame, big: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows for :func:`closed` of the clusters in ``big`` (cluster), and the links of their forest."""
+    own = sets.join(big, "cluster", "left_semi")
+    # forest pairs are checked by two: each is a task, and a set travels with its pairs, which are as many as the texts
+    pairs = forest.join(own.select(F.col("node").alias("a")), "a", "left_semi").withColumn("task", F.xxhash64("a", "b"))
+    ends = pairs.select("task", F.explode(F.array("a", "b")).alias("node"))
+    tested = ends.join(own, "node").select("task", F.lit(0).alias("away"), "k1", "k2", "fp", "fp2", F.col("k1").alias("o1"), F.col("k2").alias("o2"), "hashes")
+    joined = written(_edges(closed(tested)), "joined")
+    now = own.join(components(joined), "node", "left").withColumn("own", F.coalesce("component", "node"))
+    now = written(now.drop("component"), "apart")
+    sizes = now.groupBy("cluster", "own").agg(F.sum("n").alias("n"))
+    whole = sizes.groupBy("cluster").agg(F.max_by("own", F.struct("n", "own")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    whole = whole.where("most < all")  # else one component already
+    rows = now.join(whole, "cluster").withColumn("is_main", F.col("own") == F.col("main"))
+    blocks = lambda n: F.ceil(n / F.lit(TOGETHER)).cast("int")
+    mains, others = blocks(F.col("most")), blocks(F.col("all") - F.col("most"))
+    at = F.when(F.col("is_main"), F.pmod(F.xxhash64("node"), mains)).otherwise(F.pmod(F.xxhash64("node"), others)).cast("int")
+    rows = rows.withColumn("at", at)
+    # a block of the rest meets every block of the rest, and every block of the main component
+    every = F.sequence(F.lit(0), others - 1)
+    with_rest = F.transform(every, lambda x: F.struct(F.lit(0).alias("kind"), F.least(x, F.col("at")).alias("i"), F.greatest(x, F.col("at")).alias("j"), (x < F.col("at")).cast("int").alias("away")))
+    with_main = F.transform(F.sequence(F.lit(0), mains - 1), lambda x: F.struct(F.lit(1).alias("kind"), F.col("at").alias("i"), x.alias("j"), F.lit(0).alias("away")))
+    of_main = F.transform(every, lambda x: F.struct(F.lit(1).alias("kind"), x.alias("i"), F.col("at").alias("j"), F.lit(1).alias("away")))
+    meets = F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(with_rest, with_main))).alias("x")
+    rows = rows.select("cluster", "k1", "k2", "fp", "fp2", F.col("own.k1").alias("o1"), F.col("own.k2").alias("o2"), "hashes", meets)
+    return rows.select(F.xxhash64("cluster", "x.kind", "x.i", "x.j").alias("task"), F.col("x.away").alias("away"), "k1", "k2", "fp", "fp2", "o1", "o2", "hashes"), joined
+
+
 def groups(docs: DataFrame, found: DataFrame, size: int) -> DataFrame:
     """node, component of every node with a link; ``found`` holds the :func:`signatures` of ``docs``."""
     nodes = found.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "fp", "fp2")))
     band = F.floor(F.log(F.col("n").cast("double")) / log(DEN / NUM)).cast("int")
-    nodes = written(nodes.select("doc_id", "k1", "k2", "fp", "fp2", band.alias("band")), "nodes")
-    forest = written(_proposed(nodes.drop("doc_id")), "proposed")
+    nodes = written(nodes.select("doc_id", "k1", "k2", "n", "fp", "fp2", band.alias("band")), "nodes")
+    forest = written(_proposed(nodes.select("k1", "k2", "fp", "fp2", "band")), "proposed")
 
     cluster = components(forest).select("node", F.col("component").alias("cluster"))
     # a cluster is named by its smallest node, which components() does not list
-    cluster = written(cluster.union(cluster.select("cluster", "cluster").distinct()), "clusters")
-    sizes = written(cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")), "cluster-sizes")
-    known = nodes.select(_node("k1", "k2").alias("node"), "doc_id", "k1", "k2", "fp", "fp2", "band")
-    members = written(known.join(cluster, "node"), "members")
-    sets = written(shingle_sets(docs, members, size), "sets")
-
-    of = lambda pairs: pairs.join(cluster.withColumnRenamed("node", "a"), "a").join(sizes, "cluster")
-    tested = written(checked(of(forest), sets), "checked")
-    joined = components(tested.where("near").select("a", "b"))
-
-    # clusters of which some pair may be open: not all one component yet, and not all pairs checked
-    now = members.join(joined, "node", "left").withColumn("own", F.coalesce("component", "node"))
-    apart = now.groupBy("cluster").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    done = of(forest).groupBy("cluster").agg(F.count(F.lit(1)).alias("pairs"))
-    apart = apart.join(done, "cluster").where("pairs < m * (m - 1) / 2").select("cluster")
-    left = now.join(apart, "cluster", "left_semi").select("fp", "fp2", "k1", "k2", "band", F.col("own.k1").alias("o1"), F.col("own.k2").alias("o2"))
-    left = written(left, "apart")
-    if left.isEmpty():
-        return joined
-    more = written(_proposed(left, own=("o1", "o2")).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "proposed")
-    tested = tested.unionByName(written(checked(of(more), sets), "checked"))
-    return components(tested.where("near").select("a", "b"))
+    cluster = cluster.union(cluster.select("cluster", "cluster").distinct())
+    members = written(nodes.withColumn("node", _node("k1", "k2")).join(cluster, "node"), "members")
+    sets = shingle_sets(docs, members.select("node", "doc_id"), size)
+    sets = written(members.join(sets, "node"), "sets")
+    big = written(sets.groupBy("cluster").agg(F.sum("n").alias("all")).where(F.col("all") > TOGETHER).select("cluster"), "big")
+    own = sets.join(big, "cluster", "left_anti")
+    rows = own.select(F.xxhash64("cluster").alias("task"), F.lit(0).alias("away"), "k1", "k2", "fp", "fp2", F.col("k1").alias("o1"), F.col("k2").alias("o2"), "hashes")
+    edges = _edges(closed(rows))
+    if not big.isEmpty():
+        rows, joined = _apart(sets, forest, big)
+        edges = edges.unionByName(_edges(closed(rows))).unionByName(joined)
+    return components(edges)
 
 
 def deduplicate(docs: DataFrame, size: int = 5) -> DataFrame:

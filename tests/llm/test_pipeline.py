@@ -108,7 +108,7 @@ def test_only_links_of_the_stated_similarity_count(spark):
 def test_large_groups_are_joined_through_others(spark, monkeypatch):
     monkeypatch.setattr(gph, "LARGE", 30)
     monkeypatch.setattr(gph, "SMALL", 4)
-    monkeypatch.setattr(neardup, "TOGETHER", 8)
+    monkeypatch.setattr(neardup, "TOGETHER", 1000)
     rng = random.Random(3)
     own, texts = words(rng, 200).split(), {}
     for k in range(80):  # edits of one text, in turn farther from it
