@@ -50,7 +50,7 @@ def test_op1(spark, sf, docs):
         assert r.score < 0
 
 
-def brute_tree(texts, share, depth):
+def brute_tree(texts, depth):
     """Counts by dictionary, kept contexts and scores by the definitions."""
     counts = Counter()
     for s in texts:
@@ -58,41 +58,36 @@ def brute_tree(texts, share, depth):
         for i in range(depth, len(full)):
             for d in range(depth + 1):
                 counts[full[i - d : i], full[i]] += 1
-    totals = Counter()
-    for (c, _), n in counts.items():
+    totals, contexts = Counter(), {}
+    for (c, x), n in counts.items():
         totals[c] += n
-    least = max(1, int(share * totals[b""]))
-    shown = {k: n for k, n in counts.items() if n >= least}
-    contexts = {}
-    for (c, x), n in shown.items():
         contexts.setdefault(c, {})[x] = n
-    kept = {b""}
+    kept = {c for c in contexts if len(c) < 2}
     for c, own in contexts.items():
-        if not c:
-            continue
         t, up, ut = totals[c], contexts[c[1:]], totals[c[1:]]
         gain = sum(n * math.log(n / t * ut / up[x]) for x, n in own.items())
-        rest, prest = t - sum(own.values()), max(1 - sum(up[x] / ut for x in own), 1e-12)
-        gain += rest * math.log(rest / t / prest) if rest else 0
-        if 2 * gain > len(own) + 3 * math.sqrt(2 * len(own)):
+        if len(c) > 1 and t >= pst.LEAST and 2 * gain > len(own) + 3 * math.sqrt(2 * len(own)):
             kept |= {c[k:] for k in range(len(c) + 1)}
 
     def p(c, x):
         while c not in kept:
             c = c[1:]
-        own, t = contexts.get(c, {}), totals[c]
         below = p(c[1:], x) if c else 1 / 256
-        return (own.get(x, 0) + (t - sum(own.values()) + pst.ALPHA) * below) / (t + pst.ALPHA)
+        return (contexts.get(c, {}).get(x, 0) + pst.ALPHA * below) / (totals[c] + pst.ALPHA)
 
-    return p
+    return p, kept
 
 
-def test_suffix_tree_equals_definitions(spark, docs):
+@pytest.mark.parametrize("block", [None, 2000])
+def test_suffix_tree_equals_definitions(spark, docs, monkeypatch, block):
+    if block:  # several blocks, of which each scores some of the bytes
+        monkeypatch.setattr(pst, "BLOCK", block)
     texts = [t for t in docs.values() if t][:25]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in pst.score(df, F.col("doc_id") % 2 == 0).collect()}
     spelled = pst._spell(texts)
-    p = brute_tree(spelled[::2], pst.SHARE, pst.DEPTH)
+    p, kept = brute_tree(spelled[::2], pst.DEPTH)
+    assert {len(c) for c in kept} == set(range(pst.DEPTH + 1))
     for i in (0, 1, 2, 7):
         full = b"\n" * pst.DEPTH + spelled[i]
         want = sum(math.log10(p(full[k - pst.DEPTH : k], full[k])) for k in range(pst.DEPTH, len(full)))
@@ -137,6 +132,27 @@ def test_tabs_and_dotted_capitals_encode_like_the_tokenizer(name, blank):
     assert got == [[*own.tokenizer.encode(x, add_special_tokens=False).ids, 7] for x in TABS]
 
 
+@pytest.mark.parametrize("name,blank", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_every_letter_encodes_like_the_tokenizer(name, blank):
+    own = tokens.PieceEncoder(tokenizer_file(name), blank)
+    codes = [c for c in [*range(1, 0x3400), *range(0xAB30, 0xAC20), *range(0xF900, 0x10000), *range(0x1D100, 0x1D200), *range(0x2F800, 0x2FA20)]]
+    texts = [f"x a{c}b y {c} {c}{c}. {c}\n{c}a, q{c}." for c in map(chr, codes) if unicodedata.category(c) not in ("Cn", "Co", "Cs")]
+    ids, lengths = own(texts, 7)
+    ends, want = np.cumsum(lengths), own.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, w, e, n in zip(texts, want, ends, lengths, strict=True) if ids[e - n : e].tolist() != [*w.ids, 7]] == []
+
+
+def test_encoder_forgets_and_learns_again(docs, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 300)
+    own = tokens.PieceEncoder(tokenizer_file("byte_bpe_50k.json"), True)
+    texts = [*list(docs.values())[:40], "averyveryverylongpieceofletters " * 3, "12345678 1234567890123456 12345678901234567"]
+    want = [[*own.tokenizer.encode(x, add_special_tokens=False).ids, 7] for x in texts]
+    for batch in (texts, texts[::-1], texts[:5] * 3, texts):
+        for x, ids in zip(batch, (own([x], 7)[0].tolist() for x in batch), strict=True):
+            assert ids == want[texts.index(x)]
+    assert own.n <= 300 + 5000
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000])
 @pytest.mark.parametrize("top", [1, 2, 200, 50_256, (1 << 32) - 1])
 def test_blocks_round_trip(n, top):
