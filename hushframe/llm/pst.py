@@ -1,13 +1,15 @@
 """Language-model scores from a probabilistic suffix tree over bytes.
 
 A text is its lower-cased words joined by blanks and closed by a line feed, so the bytes spell its tokens one to one.  The
-tree's states are byte contexts of up to ``DEPTH`` symbols.  Counts come from all training texts.  A context is kept if its
-next-symbol distribution diverges from that of its suffix by more than chance would (a likelihood-ratio test), together
-with its suffixes.  The distribution of a state is smoothed towards its suffix's, down to even odds for all 256 bytes, so
-every text has a probability.  A byte is scored in the longest kept suffix of what stands before it.
+tree's states are byte contexts of up to ``DEPTH`` symbols.  Counts come from all training texts.  A context that occurs
+``LEAST`` times or more is kept if its next-symbol distribution diverges from that of its suffix by more than chance would
+(a likelihood-ratio test), together with its suffixes; contexts of one symbol always are.  The distribution of a state is
+smoothed towards its suffix's, down to even odds for all 256 bytes, so every text has a probability.  A byte is scored in
+the longest kept suffix of what stands before it.
 
-Only continuations with at least ``SHARE`` of all training bytes enter the tree: that bounds the model by
-(DEPTH + 1) / SHARE entries however large the corpus is; what is left out counts towards the suffix's distribution.
+The tree grows with the corpus.  Contexts with the same last two symbols and all their suffixes lie in one partition, so
+branches are grown by tasks of their own.  The grown tree is sent round in blocks of at most ``BLOCK`` rows, by those two
+symbols; each block scores the bytes that are its own, and the sums of all blocks are a text's score.
 
 Cases: a null or wordless text is just the end token; without training text every byte has even odds; repeated rows are
 scored each; an empty table gives an empty result; other columns are ignored.
@@ -15,7 +17,9 @@ scored each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +27,15 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .quality import _powers
-from .store import written
+from .store import partitions, written
 from .tokens import runs
 
-DEPTH, SHARE, ALPHA = 5, 1e-7, 2.0
+#: Symbols of the longest contexts, occurrences from which a context is tested, and the weight of the suffix.
+DEPTH, LEAST, ALPHA = 5, 8, 2.0
+#: Rows of the tree that a task holds at once: 16 bytes each.
+BLOCK = 4_000_000
+#: Characters that a worker counts or scores together; a longer text is taken by itself.
+RUN = 1_500_000
 #: Words with at least this share of all training tokens go to every task (1 / share of them at most); others are joined.
 COMMON = 1e-6
 _TOP = np.uint64(1 << 63)
@@ -117,7 +126,7 @@ def count(docs: DataFrame) -> DataFrame:
         grams, words = _Tally(), _Tally()
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
-            for a, b in runs(texts, 1_500_000):
+            for a, b in runs(texts, RUN):
                 spelled = _spell(texts[a:b])
                 grams.add(_keys(spelled))
                 words.add(_word_hashes(spelled)[0])
@@ -128,48 +137,63 @@ def count(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-class Tree:
-    """The kept states, by depth: continuations with their log10 probability, contexts with the log10 share of their suffix."""
+def _groups(sorted_values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+
 
-    def __init__(self, depth: np.ndarray, key: np.ndarray, n: np.ndarray, total: np.ndarray):
-        """Continuations: depth of the context, context and symbol as a number, count, and count of the context."""
-        self.entries: list[tuple[np.ndarray, np.ndarray]] = []
-        self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
+class Tree:
+    """Kept states by depth: continuations with their log10 probability, contexts with the log10 share of their suffix."""
+
+    def __init__(self, rows: dict[tuple[bool, int], tuple[np.ndarray, np.ndarray]] | None = None):
+        """``rows``: keys and values of the contexts (True) and continuations (False) of each depth."""
+        none = (np.zeros(0, np.uint64), np.zeros(0))
+        self.contexts, self.entries = ([(rows or {}).get((kind, d), none) for d in range(DEPTH + 1)] for kind in (True, False))
+        for level in (self.contexts, self.entries):
+            for d, (key, value) in enumerate(level):
+                order = np.argsort(key)
+                level[d] = (key[order], value[order])
+
+    @classmethod
+    def grown(cls, keys: np.ndarray, n: np.ndarray, low_keys: np.ndarray, low_n: np.ndarray) -> Tree:
+        """From counts: ``low`` of all pairs of a symbol and the next, ``keys`` of the deepest continuations of some branches."""
         levels = []
         for d in range(DEPTH + 1):
-            own = depth == d
-            order = np.argsort(key[own])
-            levels.append([key[own][order].astype(np.uint64), n[own][order].astype(np.float64), total[own][order].astype(np.float64)])
-        kept: list[np.ndarray] = [np.zeros(1, np.uint64)]
-        for d in range(1, DEPTH + 1):
+            own, count = (low_keys, low_n) if d < 2 else (keys, n)
+            own = own & np.uint64((1 << 8 * (d + 1)) - 1)
+            order = np.argsort(own)
+            own, count = own[order], count[order].astype(np.float64)
+            first = _groups(own)
+            k, c = own[first], np.add.reduceat(count, first) if len(first) else count
+            first = _groups(k >> np.uint64(8))
+            total = np.repeat(np.add.reduceat(c, first), np.diff(np.append(first, len(k)))) if len(first) else c
+            levels.append((k, c, total))
+        kept = [np.unique(k >> np.uint64(8)) for k, _, _ in levels[:2]]
+        for d in range(2, DEPTH + 1):
             k, c, t = levels[d]
+            own = t >= LEAST
+            k, c, t = k[own], c[own], t[own]
             pk, pc, pt = levels[d - 1]
             at = np.searchsorted(pk, k & np.uint64((1 << 8 * d) - 1))  # there: a suffix occurs at least as often
-            gain = c * np.log(c / t * pt[at] / pc[at]) if len(k) else c
             ctx = k >> np.uint64(8)
-            first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(k) else np.zeros(0, np.int64)
+            first = _groups(ctx)
             if len(first):
                 symbols = np.diff(np.append(first, len(k)))
-                # what is left out of the context is one more symbol of the test
-                rest = t[first] - np.add.reduceat(c, first)
-                prest = np.maximum(1 - np.add.reduceat(pc[at] / pt[at], first), 1e-12)
-                gain = np.add.reduceat(gain, first) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1e-12) / t[first] / prest), 0)
+                gain = np.add.reduceat(c * np.log(c / t * pt[at] / pc[at]), first)
                 ctx = ctx[first][2 * gain > symbols + 3 * np.sqrt(2 * symbols)]
             kept.append(ctx)
-        for d in range(DEPTH, 1, -1):  # a kept context needs its suffixes
+        for d in range(DEPTH, 2, -1):  # a kept context needs its suffixes
             kept[d - 1] = np.union1d(kept[d - 1], kept[d] & np.uint64((1 << 8 * (d - 1)) - 1))
+        tree = cls()
         for d in range(DEPTH + 1):
             k, c, t = levels[d]
-            ctx = k >> np.uint64(8)
-            own = np.isin(ctx, kept[d])
-            k, c, t, ctx = k[own], c[own], t[own], ctx[own]
-            first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(k) else np.zeros(0, np.int64)
-            shown = np.add.reduceat(c, first) if len(first) else np.zeros(0)
-            share = (t[first] - shown + ALPHA) / (t[first] + ALPHA)
-            self.contexts.append((ctx[first], np.log10(share)))
-            below = 10.0 ** self.log10(k, d - 1) if d and len(k) else np.full(len(k), 1 / 256)
-            each = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(k)))) if len(first) else np.zeros(0, np.int64)
-            self.entries.append((k, np.log10((c + (t - shown[each] + ALPHA) * below) / (t + ALPHA))))
+            own = np.isin(k >> np.uint64(8), kept[d])
+            k, c, t = k[own], c[own], t[own]
+            first = _groups(k >> np.uint64(8))
+            tree.contexts[d] = ((k >> np.uint64(8))[first], np.log10(ALPHA / (t[first] + ALPHA)))
+            below = 10.0 ** tree.log10(k, d - 1) if d and len(k) else np.full(len(k), 1 / 256)
+            tree.entries[d] = (k, np.log10((c + ALPHA * below) / (t + ALPHA)))
+        return tree
 
     @staticmethod
     def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,20 +245,105 @@ class Scorer:
         return value[back]
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
+
 
+def _scorer(name: str, tree: Tree) -> Scorer:
+    """The scorer of this worker for a broadcast tree; only one is kept."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = Scorer(tree)
+    return _SCORERS[name]
 
-def build(counts: DataFrame, share: float = SHARE) -> Tree:
-    """The tree of stored ``counts``; what is brought together here has at most (DEPTH + 1) / share rows."""
+
+def _block(branch: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each branch: the last two symbols of a context."""
+    return ((branch * _MUL) >> np.uint64(40)) % np.uint64(blocks)
+
+
+def build(counts: DataFrame) -> DataFrame:
+    """The tree of stored ``counts`` as a table: branch (-1 for contexts of less than two symbols), context, depth, key, value."""
+    spark = counts.sparkSession
     grams = counts.where("key >= 0")
-    total = grams.agg(F.sum("n")).head()[0] or 0
-    deep = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("k")) for d in range(DEPTH + 1)))).alias("x")
-    levels = written(grams.select(deep, "n").groupBy("x.d", "x.k").agg(F.sum("n").alias("n")), "grams")
-    context = F.shiftright("k", 8).alias("c")
-    of = levels.groupBy("d", context).agg(F.sum("n").alias("t"))
-    kept = levels.where(F.col("n") >= max(1, int(share * total))).withColumn("c", F.shiftright("k", 8))
-    got = kept.join(of, ["d", "c"]).select("d", "k", "n", "t").toArrow()
-    return Tree(*(got.column(i).to_numpy() for i in range(4)))
+    low = grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
+    pairs = spark.sparkContext.broadcast((low.column(0).to_numpy().view(np.uint64), low.column(1).to_numpy()))
+    names = ["branch", "context", "depth", "key", "value"]
+    schema = "branch long, context boolean, depth int, key long, value double"
+
+    def rows(tree: Tree, depths: range) -> Iterator[pa.RecordBatch]:
+        for context, level in ((True, tree.contexts), (False, tree.entries)):
+            for d in depths:
+                key, value = level[d]
+                branch = (key if context else key >> np.uint64(8)) & np.uint64(0xFFFF)
+                branch = branch.view(np.int64) if d > 1 else np.full(len(key), -1)
+                for a in range(0, len(key), 100_000):
+                    n = len(key[a : a + 100_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(branch[a : a + n]), pa.array(np.full(n, context)), pa.array(np.full(n, d, np.int32)), pa.array(key[a : a + n].view(np.int64)), pa.array(value[a : a + n])], names)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy()) for b in batches if b.num_rows]
+        if parts:
+            keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            yield from rows(Tree.grown(keys, n, *pairs.value), range(2, DEPTH + 1))
+
+    dealt = grams.select("key", "n").repartition(partitions(spark), F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+    branches = written(dealt.mapInArrow(grow, schema), "branches")
+    none = np.zeros(0, np.uint64)
+    stem = pa.Table.from_batches(rows(Tree.grown(none, none.view(np.int64), *pairs.value), range(2)), schema=pa.schema([("branch", pa.int64()), ("context", pa.bool_()), ("depth", pa.int32()), ("key", pa.int64()), ("value", pa.float64())]))
+    return branches.unionByName(spark.createDataFrame(stem))
+
+
+def _trees(table: DataFrame) -> Iterator[tuple[int, int, Tree]]:
+    """(block, blocks, tree) for each block of a tree's table; one is on the driver at a time."""
+    blocks = -(-table.count() // BLOCK) or 1
+    for block in range(blocks):
+        own = table
+        if blocks > 1:
+            size = table.groupBy("branch").count()  # 65,537 rows at most
+            mine = [int(x) for x in size.toArrow().column(0).to_numpy() if x < 0 or _block(np.array([x], np.uint64), blocks)[0] == block]
+            own = table.join(F.broadcast(table.sparkSession.createDataFrame([(x,) for x in mine], "branch long")), "branch")
+        got = own.select("context", "depth", "key", "value").toArrow()
+        context, depth, key, value = (got.column(i).to_numpy() for i in range(4))
+        rows = {(kind, d): (key[at].view(np.uint64), value[at]) for kind in (True, False) for d in range(DEPTH + 1) if len(at := np.flatnonzero((context == kind) & (depth == d)))}
+        yield block, blocks, Tree(rows)
+
+
+def _spell_scores(docs: DataFrame, table: DataFrame) -> tuple[Broadcast, DataFrame | None]:
+    """The first block of the tree, and the scores (row, score) of all texts by its other blocks, if there are more."""
+    spark = docs.sparkSession
+    first, more, other = None, [], uuid.uuid4().hex
+    for block, blocks, tree in _trees(table):
+        model = spark.sparkContext.broadcast((tree, block, blocks))
+        if first is None:
+            first = model
+            continue
+
+        def apply(batches: Iterator[pa.RecordBatch], model=model, block=block) -> Iterator[pa.RecordBatch]:
+            row = TaskContext.get().partitionId() << 33
+            for batch in batches:
+                texts = batch.column("text").fill_null("").to_pylist()
+                for a, b in runs(texts, RUN):
+                    scores = _sums(_spell(texts[a:b]), model.value, f"{other}-{block}")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b - a)), pa.array(scores)], ["row", "score"])
+                    row += b - a
+
+        more.append(written(docs.select("text").mapInArrow(apply, "row long, score double"), "block-scores"))
+    return first, reduce(DataFrame.unionByName, more).groupBy("row").agg(F.sum("score").alias("more_score")) if more else None
+
+
+def _sums(spelled: list[bytes], model: tuple[Tree, int, int], name: str) -> np.ndarray:
+    """What a block of the tree adds to the score of each text."""
+    tree, block, blocks = model
+    size = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    keys = _keys(spelled)
+    scorer = _scorer(name, tree)
+    if blocks == 1:
+        each = scorer(keys)
+    else:
+        own = _block((keys >> np.uint64(8)) & np.uint64(0xFFFF), blocks) == block
+        each = np.zeros(len(keys))
+        each[own] = scorer(keys[own])
+    return np.add.reduceat(each, np.cumsum(size) - size)
 
 
 def score(docs: DataFrame, usable: Column) -> DataFrame:
@@ -250,20 +359,19 @@ def score(docs: DataFrame, usable: Column) -> DataFrame:
     common = words.where(F.col("n") >= max(1, int(COMMON * n_all))).orderBy("key").toArrow()
     common_keys = common.column(0).to_numpy().view(np.uint64) if len(common) else np.zeros(0, np.uint64)
     common_n = common.column(1).to_numpy() if len(common) else np.zeros(0, np.int64)
-    model: Broadcast = spark.sparkContext.broadcast((build(counts), common_keys, common_n))
-    bottom = float(np.log10(n_all + distinct + 1))
+    tree, more_scores = _spell_scores(docs, written(build(counts), "tree"))
+    model: Broadcast = spark.sparkContext.broadcast((common_keys, common_n))
+    bottom, name = float(np.log10(n_all + distinct + 1)), uuid.uuid4().hex
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, keys, n = model.value
-        scorer = _SCORERS.get(id(tree)) or _SCORERS.setdefault(id(tree), Scorer(tree))
+        keys, n = model.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column("text").fill_null("").to_pylist()
-            for a, b in runs(texts, 1_500_000):
+            for a, b in runs(texts, RUN):
                 spelled = _spell(texts[a:b])
-                size = np.fromiter(map(len, spelled), np.int64, b - a)
-                scores = np.add.reduceat(scorer(_keys(spelled)), np.cumsum(size) - size)
+                scores = _sums(spelled, tree.value, name)
                 hashes, many = _word_hashes(spelled)
                 owner = np.repeat(np.arange(b - a), many)
                 each, back = np.unique(hashes, return_inverse=True)
@@ -285,6 +393,8 @@ def score(docs: DataFrame, usable: Column) -> DataFrame:
     far = made.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     found = far.join(words, "key").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("of"))
     out = made.drop("rare", "times").join(found, "row", "left")
+    if more_scores is not None:
+        out = out.join(more_scores, "row").withColumn("score", F.col("score") + F.col("more_score"))
     return out.select(
         "doc_id",
         "held_out",
