@@ -10,7 +10,7 @@ import hmac
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The kinds of scopes.
 SCOPE_KINDS = ("global", "installation", "session", "request", "document", "policy")
@@ -19,6 +19,18 @@ CANONICAL = r"\[PAI1_([A-Z][A-Z0-9_]{0,63})_([A-F0-9]{24,64})\]"
 LEGACY = r"\[([A-Za-z][A-Za-z0-9_]{0,63})_([0-9]{1,10})\]"
 
 
+def nfc(value: Column) -> Column:
+    """The composed normal form; ICU, which Spark brings along, makes it of what is not ASCII."""
+    made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(False))
+    return F.when(value.rlike(r"[^\x00-\x7F]"), made).otherwise(value)
+
+
+def nfkc(value: Column) -> Column:
+    """The composed compatibility form."""
+    made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(True))
+    return F.when(value.rlike(r"[^\x00-\x7F]"), made).otherwise(value)
+
+
 def serialized_string(value: Column) -> Column:
     """A string as s, its bytes, a colon and itself."""
     return F.concat(F.lit("s"), F.octet_length(value).cast("string"), F.lit(":"), value)
@@ -74,7 +86,10 @@ class Identity:
         return serialized_record({"kind": serialized_string(F.lit(self.kind)), "id": serialized_string(own)})
 
     def protected_value(self, value: Column, normalization: str = "nfc", scope_id: Column | None = None) -> Column:
-        """pvi1: id of a value; the value must already be in the normal form named."""
+        """pvi1: id of a value in the normal form named (nfc, or none for the value as it is)."""
+        if normalization not in ("nfc", "none"):
+            raise ValueError(f"unknown normalization: {normalization}")
+        value = nfc(value) if normalization == "nfc" else value
         material = {"version": F.lit("d1"), "scope": self._scope(scope_id), "normalization": serialized_string(F.lit(normalization)), "value": serialized_string(value)}
         return F.concat(F.lit("pvi1:"), self.derive("protected-value", serialized_record(material)))
 
@@ -107,7 +122,7 @@ class Identity:
 
 def category(value: Column, fallback: str = "PRIVATE_VALUE") -> Column:
     """A category name: upper case, other characters to one underscore, none at the ends; the fallback if none is left."""
-    plain = F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(value, F.lit(fallback))), r"[^A-Z0-9_]+", "_"), r"^_+|_+$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.upper(nfkc(F.coalesce(value, F.lit(fallback)))), r"[^A-Z0-9_]+", "_"), r"^_+|_+$", "")
     return F.when(plain.rlike(r"^[A-Z][A-Z0-9_]{0,63}$"), plain).otherwise(fallback)
 
 
@@ -143,5 +158,11 @@ def next_legacy_alias(alias: Column, occupied: Column) -> Column:
     return F.get(F.filter(made, lambda c: ~F.array_contains(occupied, F.lower(c))), 0)
 
 
+def collisions(ids: DataFrame, id_column: str, value: str) -> DataFrame:
+    """Of distinct pairs of id and value: n_values, n_ids, and n_collisions, the ids that stand for more than one value."""
+    by_id = ids.groupBy(id_column).agg(F.countDistinct(value).alias("n"))
+    return by_id.agg(F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("n_ids"), F.sum((F.col("n") > 1).cast("long")).alias("n_collisions"))
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..session import stored
 
 # Event types.
 EVENT_TYPES = (
@@ -44,17 +46,36 @@ def first_seen(events: DataFrame, key: str) -> DataFrame:
     return own.groupBy(key).agg(F.min(F.struct("occurred_at", "event_id", "session_id")).alias("x")).select(key, F.col("x.event_id").alias("origin_event_id"), F.col("x.session_id").alias("session_id"), F.col("x.occurred_at").alias("created_at"))
 
 
-def causal_path(spark: SparkSession, events: DataFrame, starts: DataFrame, depth: int = 64) -> DataFrame:
-    """Each start event's ancestors up to its root: start_id, event_id, parent_event_id, depth.
+def causal_path(events: DataFrame, starts: DataFrame) -> DataFrame:
+    """Each start event's ancestors up to its root: start_id, event_id, parent_event_id, depth, error_code.
 
-    A recursive query joins the frontier with the log once a level; ``depth`` ends cycles.
+    Ancestors 1, 2, 4, ... levels up are found by joining the log with itself, so the number of joins is the logarithm of
+    the longest path.  A start above which an event is missing (PARENT_NOT_FOUND), or whose path runs in a circle
+    (CAUSAL_CYCLE), or that is not in the log (EVENT_NOT_FOUND) has one row with that code instead of a path.  Repeated
+    event ids count once.
     """
-    events.select("event_id", "parent_event_id").createOrReplaceTempView("_lineage_events")
-    starts.select("event_id").createOrReplaceTempView("_lineage_starts")
-    return spark.sql(
-        f"""WITH RECURSIVE path(start_id, event_id, parent_event_id, depth) AS (
-              SELECT s.event_id, e.event_id, e.parent_event_id, 0 FROM _lineage_starts s JOIN _lineage_events e ON e.event_id = s.event_id
-              UNION ALL
-              SELECT p.start_id, e.event_id, e.parent_event_id, p.depth + 1 FROM path p JOIN _lineage_events e ON e.event_id = p.parent_event_id WHERE p.depth < {int(depth)}
-            ) SELECT start_id, event_id, parent_event_id, depth FROM path"""
-    )
+    log = events.groupBy("event_id").agg(F.min("parent_event_id").alias("parent_event_id"))
+    known = log.select(F.col("event_id").alias("parent_event_id"), F.lit(True).alias("_there"))
+    log = stored(log.join(known, "parent_event_id", "left").select("event_id", "parent_event_id", (F.col("parent_event_id").isNotNull() & F.col("_there").isNull()).alias("lost")))
+    up = stored(log.where("parent_event_id is not null and not lost").select("event_id", F.col("parent_event_id").alias("above")))
+    most, steps, hops = log.count(), 1, [up]
+    while steps < most and not hops[-1].isEmpty():
+        last = hops[-1]
+        hops.append(stored(last.join(last.select(F.col("event_id").alias("above"), F.col("above").alias("_next")), "above").select("event_id", F.col("_next").alias("above"))))
+        steps *= 2
+    # who still has an ancestor as many levels up as there are events goes round in a circle
+    circling = hops[-1].select("event_id").distinct() if steps >= most else up.where("false").select("event_id")
+    begun = starts.select("event_id").distinct()
+    path = begun.join(circling, "event_id", "left_anti").select(F.col("event_id").alias("start_id"), "event_id", F.lit(0).alias("depth"))
+    for k in reversed(range(len(hops))):
+        further = path.join(hops[k], "event_id").select("start_id", F.col("above").alias("event_id"), (F.col("depth") + (1 << k)).alias("depth"))
+        path = stored(path.union(further))
+    found = path.join(log, "event_id")
+    cut = found.where("lost").select("start_id", F.lit("PARENT_NOT_FOUND").alias("error_code"))
+    absent = begun.join(log, "event_id", "left_anti").select(F.col("event_id").alias("start_id"), F.lit("EVENT_NOT_FOUND").alias("error_code"))
+    round_ = begun.join(circling, "event_id", "left_semi").select(F.col("event_id").alias("start_id"), F.lit("CAUSAL_CYCLE").alias("error_code"))
+    errors = stored(cut.union(absent).union(round_).distinct())
+    good = found.join(errors.select("start_id"), "start_id", "left_anti").select("start_id", "event_id", "parent_event_id", "depth", F.lit(None).cast("string").alias("error_code"))
+    none = F.lit(None)
+    bad = errors.select("start_id", none.cast("string").alias("event_id"), none.cast("string").alias("parent_event_id"), none.cast("int").alias("depth"), "error_code")
+    return good.union(bad)

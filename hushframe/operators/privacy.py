@@ -130,12 +130,15 @@ def classified(found: Column, spans: Column) -> Column:
 
 
 def free_stand_in(text: Column, kind: Column, number: Column, taken: Column) -> Column:
-    """The first stand-in from ``number`` on that neither the text holds, whatever its case, nor a replacement uses."""
+    """The first stand-in from ``number`` on that neither the text holds, whatever its case, nor a replacement uses.
+
+    It is an error if 1024 in a row are taken: a text must not go on without one.
+    """
     low = F.lower(text)
     made = F.transform(F.sequence(number, number + 1023), lambda n: stand_in(kind, n))
     unused = lambda c: ~F.contains(low, F.lower(c)) & ~F.exists(taken, lambda r: r["replacement"] == c)
     first = stand_in(kind, number)
-    return F.when(unused(first), first).otherwise(F.get(F.filter(made, unused), 0))
+    return F.when(unused(first), first).otherwise(F.coalesce(F.get(F.filter(made, unused), 0), F.raise_error(F.lit("DUMMY_ALLOCATION_EXHAUSTED")).cast("string")))
 
 
 def _replacement(s: Column, value: Column, replacement: Column, reason: str) -> Column:
@@ -211,7 +214,9 @@ def restore(text: Column, session: Column) -> Column:
 def leaks(text: Column, session: Column) -> Column:
     """The originals that a text still holds, whatever their case, with placeholders blanked out."""
     low = F.aggregate(F.array_sort(session, lambda a, b: (F.length(b["placeholder"]) - F.length(a["placeholder"])).cast("int")), F.lower(text), lambda t, e: F.replace(t, F.lower(e["placeholder"]), F.repeat(F.lit(" "), F.length(e["placeholder"]))))
-    return F.array_distinct(F.transform(F.filter(session, lambda e: F.contains(low, F.lower(e["original"]))), lambda e: e["original"]))
+    # the blanked text is made once: inside the filter it would be made for every entry
+    held = F.transform(F.array(low), lambda t: F.transform(F.filter(session, lambda e: F.contains(t, F.lower(e["original"]))), lambda e: e["original"]))
+    return F.array_distinct(F.get(held, 0))
 
 
 def unresolved(text: Column) -> Column:

@@ -2,40 +2,50 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 class Restorer:
     """Puts originals in for placeholders in chunked text; holds back what could still become a placeholder."""
 
     def __init__(self, session: dict[str, str], buffer: str = ""):
-        self.session = session
-        self.names = sorted(session, key=lambda p: (-len(p), p))
-        self.buffer = buffer
+        self.session, self.buffer = session, buffer
+        names = sorted(filter(None, session), key=lambda p: (-len(p), p))
+        self.whole = re.compile("|".join(map(re.escape, names))) if names else None
+        self.heads = {n[:k] for n in names for k in range(1, len(n))}
+        self.longest = max(map(len, names), default=0)
+
+    def _restored(self, text: str) -> str:
+        return self.whole.sub(lambda m: self.session[m[0]], text) if self.whole else text
 
     def push(self, chunk: str) -> str:
-        text, at, out = self.buffer + chunk, 0, []
-        while at < len(text):
-            own = [n for n in self.names if n[0] == text[at]]
-            if any(len(n) > len(text) - at and n.startswith(text[at:]) for n in own):
-                break
-            hit = next((n for n in own if text.startswith(n, at)), None)
-            out.append(self.session[hit] if hit else text[at])
-            at += len(hit) if hit else 1
+        """What is certain by now: all before the first place from which the text may be the beginning of a placeholder."""
+        text = self.buffer + chunk
+        end = len(text)
+        at = self._open(text)
+        while at < end and self.whole and (m := self._across(text, at)):  # a placeholder that ends within the tail takes it along
+            at = self._open(text, m.end())
         self.buffer = text[at:]
-        return "".join(out)
+        return self._restored(text[:at])
+
+    def _open(self, text: str, least: int = 0) -> int:
+        """The first place whose rest is a proper beginning of a placeholder."""
+        first = max(least, len(text) - self.longest + 1)
+        return next((i for i in range(first, len(text)) if text[i:] in self.heads), len(text))
+
+    def _across(self, text: str, at: int):
+        """The match that begins before ``at`` and goes past it."""
+        return next((m for m in self.whole.finditer(text) if m.start() < at < m.end()), None)
 
     def flush(self) -> str:
         """What was held back, with whole placeholders restored."""
-        text, self.buffer, at, out = self.buffer, "", 0, []
-        while at < len(text):
-            hit = next((n for n in self.names if text.startswith(n, at)), None)
-            out.append(self.session[hit] if hit else text[at])
-            at += len(hit) if hit else 1
-        return "".join(out)
+        text, self.buffer = self.buffer, ""
+        return self._restored(text)
 
 
 def restore_chunks(chunks: DataFrame, sessions: DataFrame, key: str) -> DataFrame:
@@ -67,17 +77,26 @@ def restore_chunks(chunks: DataFrame, sessions: DataFrame, key: str) -> DataFram
 def first_in_window(events: DataFrame, keys: list[str], at: str, window: int) -> DataFrame:
     """Events that are not within ``window`` of the last one let through of their key; a clock that goes back lets one through.
 
-    An ordered fold over each key's times; not a tumbling window.  Adds ``emitted``.
+    An ordered fold (by ``event_id``) over each key; not a tumbling window.  A key's events pass in order through a sorted
+    partition and only the last time let through is held.
     """
-    times = F.array_sort(F.collect_list(F.struct("event_id", at)))
+    kinds = dict(events.dtypes)
+    rows = events.select(*keys, "event_id", at).repartition(*keys).sortWithinPartitions(*keys, "event_id")
 
-    def step(acc: Column, e: Column) -> Column:
-        fresh = acc["last"].isNull() | (e[at] - acc["last"] >= window) | (e[at] < acc["last"])
-        return F.struct(F.when(fresh, e[at]).otherwise(acc["last"]).alias("last"), F.when(fresh, F.concat(acc["out"], F.array(e["event_id"]))).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("out"))
-    kept = events.groupBy(*keys).agg(F.aggregate(times, start, step, lambda a: a["out"]).alias("ids"))
-    return kept.select(*keys, F.explode("ids").alias("event_id"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for batch in batches:
+            keep = []
+            times = batch.column(len(keys) + 1).to_pylist()
+            for i, (own, time) in enumerate(zip(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True), times, strict=True)):
+                if own != key:
+                    key, last = own, None
+                if time is not None and (last is None or time - last >= window or time < last):
+                    last = time
+                    keep.append(i)
+            yield batch.select([*keys, "event_id"]).take(pa.array(keep, pa.int64()))
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "event_id"]))
 
 
 def newest(items: DataFrame, key: str, order: list[str], limit: int) -> DataFrame:

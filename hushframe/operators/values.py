@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Chunking of long texts.
@@ -47,6 +49,24 @@ def strings(df: DataFrame, column: str, key: str, keys: bool = False) -> DataFra
     return df.select(key, column).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, path string, value string")
 
 
+def stable(df: DataFrame, column: str, into: str) -> DataFrame:
+    """``df`` with the stable form of a JSON column: object keys in code point order, no white space; null if it is broken."""
+
+    def form(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([form(x) for x in batch.column(column).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, into])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != into)
+    return df.drop(into).mapInArrow(run, f"{fields}, `{into}` string")
+
+
 def rewritten(df: DataFrame, column: str, session: str, into: str, keys: bool = False) -> DataFrame:
     """``df`` with the strings of a JSON column rewritten by a map column (from, to): all occurrences, the longest first.
 
@@ -136,20 +156,26 @@ def chunks(df: DataFrame, key: str, column: str = "text", most_chars: int = 4096
 def packed(units: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
     """Units put into batches one after another: a new batch begins where the next unit would not fit.
 
-    An ordered fold over each group's sizes; a unit larger than a batch has one of its own.  Adds ``batch``.
+    An ordered fold over each group's sizes; a unit larger than a batch has one of its own, a null size counts as 0.  A
+    group's units pass in order through a sorted partition.  Adds ``batch``.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields)
 
-    def step(acc: Column, u: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + u["s"] > most)
-        batch = acc["batch"] + over.cast("int")
-        used = F.when(over, u["s"]).otherwise(acc["used"] + u["s"])
-        return F.struct(used.alias("used"), batch.alias("batch"), F.concat(acc["out"], F.array(F.struct(u["o"].alias("o"), batch.alias("batch")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, key, used, number = True, None, 0, 0
+        for batch in batches:
+            out = []
+            for own, n in zip(batch.column(group).to_pylist(), batch.column(size).to_pylist(), strict=True):
+                n = n or 0
+                if first or own != key:
+                    first, key, used, number = False, own, 0, 0
+                if used and used + n > most:
+                    used, number = 0, number + 1
+                used += n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "batch"])
 
-    kind = dict(units.dtypes)[order]
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("batch"), F.array().cast(f"array<struct<o:{kind},batch:int>>").alias("out"))
-    placed = units.groupBy(group).agg(F.aggregate(rows, start, step, lambda a: a["out"]).alias("x")).select(group, F.explode("x").alias("x"))
-    return units.join(placed.select(group, F.col("x.o").alias(order), F.col("x.batch").alias("batch")), [group, order])
+    return units.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, f"{fields}, `batch` int")
 
 
 def apply_edits(df: DataFrame, key: str, column: str, edits: str) -> DataFrame:
@@ -215,19 +241,34 @@ def edit_text(text: str | None, edits: list) -> tuple[str | None, str | None]:
     return text, None
 
 
+_TOKEN = regex.compile(r"[\p{L}\p{N}_@.+:/-]+|\[private\]")
+
+
+def coverage(original: str, safe: str) -> float:
+    """The share of the original's tokens that the other text has in the same order, each at its first place after the last."""
+    own, theirs = _TOKEN.findall(original.lower()), _TOKEN.findall(safe.lower())
+    if not own:
+        return 0.0 if theirs else 1.0
+    places: dict[str, list[int]] = {}
+    for i, token in enumerate(theirs):
+        places.setdefault(token, []).append(i)
+    at = matched = 0
+    for token in own:
+        spots = places.get(token, ())
+        k = bisect_left(spots, at)
+        if k < len(spots):
+            at, matched = spots[k] + 1, matched + 1
+    return matched / len(own)
+
+
 def token_coverage(original: Column, safe: Column) -> Column:
-    """The share of the original's tokens that the other text has in the same order, greedily matched."""
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_@.+:/-]+|\[private\]"), F.lit(0))
-    theirs = tokens(safe)
-
-    def step(acc: Column, token: Column) -> Column:
-        rest = F.slice(theirs, acc["at"] + 1, F.greatest(F.size(theirs) - acc["at"], F.lit(0)))
-        hit = F.array_position(rest, token).cast("int")
-        return F.when(hit > 0, F.struct((acc["at"] + hit).alias("at"), (acc["n"] + 1).alias("n"))).otherwise(acc)
-
-    own = tokens(original)
-    matched = F.aggregate(own, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), step, lambda a: a["n"])
-    return F.when(F.size(own) == 0, F.when(F.size(theirs) == 0, 1.0).otherwise(0.0)).otherwise(matched / F.size(own))
+    """:func:`coverage` of two text columns; null where either is."""
+
+    @F.pandas_udf("double")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else coverage(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return of(original, safe)
 
 
 def isolated(original: Column, safe: Column, context: Column) -> Column:

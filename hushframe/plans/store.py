@@ -146,7 +146,7 @@ def artifact_metrics(t: Tables) -> DataFrame:
 
 @query(
     "manifest_fingerprints",
-    "SELECT source, sha256(string_agg(concat_ws(chr(0), doc_id::VARCHAR, sha256(text)), chr(10) ORDER BY encode(concat_ws(chr(0), doc_id::VARCHAR, sha256(text))))) AS fingerprint, count(*) AS n_entries FROM documents GROUP BY ALL",
+    "SELECT source, sha256(concat_ws(':', n::VARCHAR, " + ", ".join(f"s{k}::VARCHAR" for k in range(4)) + ")) AS fingerprint, n AS n_entries FROM (SELECT source, count(*) AS n, " + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT)::HUGEINT) AS s{k}" for k in range(4)) + " FROM (SELECT source, sha256(concat_ws(chr(0), doc_id::VARCHAR, sha256(text))) AS h FROM documents) GROUP BY ALL)",
 )
 def manifest_fingerprints(t: Tables) -> DataFrame:
     """A digest of each manifest, whatever the order of its entries."""
@@ -156,11 +156,11 @@ def manifest_fingerprints(t: Tables) -> DataFrame:
 
 @query(
     "manifests_incomplete",
-    "SELECT DISTINCT source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND d.n_chars > 20000",
+    "SELECT DISTINCT source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
 )
 def manifests_incomplete(t: Tables) -> DataFrame:
     """Manifests with an entry whose content is gone."""
-    entries = t.documents.where("n_chars > 20000").select("source", "doc_id")
+    entries = t.documents.select("source", "doc_id")
     return S.incomplete(t.documents.select("source").distinct(), entries, t.labels.select("doc_id"), "source", "doc_id")
 
 
@@ -188,7 +188,17 @@ def ledger_constraints(t: Tables) -> DataFrame:
     return rows.agg(many(F.coalesce(F.col("l_shipdate") < F.col("o_orderdate"), F.lit(False))).alias("reversed"), many(F.col("l_quantity") < 0).alias("negative"), many(F.col("o_orderkey").isNull()).alias("orphans"))
 
 
-@query("mutation_states")
+@query(
+    "mutation_states",
+    """WITH RECURSIVE x AS (SELECT user_id AS mutation_id, (['stage', 'commit', 'rollback'])[CAST(event_id % 3 + 1 AS INT)] AS op, event_id % 2 AS planned, event_id % 5 % 2 AS actual, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    f AS (SELECT DISTINCT mutation_id, 0::BIGINT AS n, 'missing' AS state, NULL::BIGINT AS planned, 0 AS conflicts FROM x UNION ALL
+      SELECT x.mutation_id, x.n,
+        CASE WHEN op = 'stage' AND state IN ('missing', 'rolled_back') THEN 'pending' WHEN op = 'commit' AND state = 'pending' AND actual = f.planned THEN 'committed' WHEN op = 'rollback' AND state = 'pending' THEN 'rolled_back' ELSE state END,
+        CASE WHEN op = 'stage' AND state IN ('missing', 'rolled_back') THEN x.planned ELSE f.planned END,
+        f.conflicts + CASE WHEN op = 'stage' AND state IN ('pending', 'committed') AND x.planned <> f.planned OR op = 'commit' AND state IN ('pending', 'committed') AND actual <> f.planned OR op = 'rollback' AND state = 'committed' THEN 1 ELSE 0 END
+      FROM f JOIN x ON x.mutation_id = f.mutation_id AND x.n = f.n + 1)
+    SELECT mutation_id, arg_max(state, n) AS state, CAST(arg_max(conflicts, n) AS INT) AS conflicts FROM f GROUP BY ALL""",
+)
 def mutation_states(t: Tables) -> DataFrame:
     """States of mutations after their operations: events of a user are stage, commit and rollback by their number."""
     op = F.get(F.array(F.lit("stage"), F.lit("commit"), F.lit("rollback")), (F.col("event_id") % 3).cast("int"))
@@ -198,19 +208,19 @@ def mutation_states(t: Tables) -> DataFrame:
 
 # ---- geometry: every hundredth character of a document begins a span of 20; edits lie every 250 characters
 
-_SPANS_SQL = "SELECT doc_id, i * 100 AS s, i * 100 + 20 AS e FROM documents, range(0, 60) r(i) WHERE i * 100 + 20 <= n_chars"
-_EDITS_SQL = "SELECT doc_id, n_chars, j * 250 + 10 AS s, j * 250 + 10 + (doc_id + j) % 4 * 5 AS e, (doc_id * 7 + j) % 13 AS inserted FROM documents, range(0, 12) r(j) WHERE j * 250 + 40 <= n_chars"
+_SPANS_SQL = "SELECT doc_id, i * 100 AS s, i * 100 + 20 AS e FROM (SELECT doc_id, unnest(range(0, (n_chars - 20) // 100 + 1)) AS i FROM documents WHERE n_chars >= 20)"
+_EDITS_SQL = "SELECT doc_id, n_chars, j * 250 + 10 AS s, j * 250 + 10 + (doc_id + j) % 4 * 5 AS e, (doc_id * 7 + j) % 13 AS inserted FROM (SELECT doc_id, n_chars, unnest(range(0, (n_chars - 40) // 250 + 1)) AS j FROM documents WHERE n_chars >= 40)"
 
 
 def _spans(t: Tables) -> DataFrame:
-    i = F.explode(F.sequence(F.lit(0), F.lit(59))).alias("i")
-    rows = t.documents.select("doc_id", "n_chars", i).where("i * 100 + 20 <= n_chars")
+    i = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_chars") - 20) / 100))).alias("i")
+    rows = t.documents.where("n_chars >= 20").select("doc_id", "n_chars", i)
     return rows.select("doc_id", (F.col("i") * 100).cast("long").alias("start"), (F.col("i") * 100 + 20).cast("long").alias("end"))
 
 
 def _edits(t: Tables) -> DataFrame:
-    j = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("j")
-    rows = t.documents.select("doc_id", "n_chars", j).where("j * 250 + 40 <= n_chars")
+    j = F.explode(F.sequence(F.lit(0), F.floor((F.col("n_chars") - 40) / 250))).alias("j")
+    rows = t.documents.where("n_chars >= 40").select("doc_id", "n_chars", j)
     at = F.col("j") * 250 + 10
     return rows.select("doc_id", "n_chars", at.cast("long").alias("start"), (at + (F.col("doc_id") + F.col("j")) % 4 * 5).cast("long").alias("end"), ((F.col("doc_id") * 7 + F.col("j")) % 13).cast("long").alias("inserted"))
 
@@ -266,12 +276,16 @@ def boxes(t: Tables) -> DataFrame:
     return held.select("l_orderkey", *(F.get("b", i).cast("long").alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
 
 
-@query("box_overlaps")
+@query(
+    "box_overlaps",
+    """WITH b AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_discount * 100 AS y, lag(l_quantity) OVER w AS px, lag(l_discount * 100) OVER w AS py FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount * 100))
+    SELECT l_orderkey, l_linenumber, round(greatest(0, least(px + 10, x + 10) - greatest(px, x)) * greatest(0, least(py + 5, y + 5) - greatest(py, y)) / 50.0, 6) AS overlap FROM b WHERE px IS NOT NULL""",
+)
 def box_overlaps(t: Tables) -> DataFrame:
     """Neighbouring lines of an order that cover the same region."""
     x, y = F.col("l_quantity"), F.col("l_discount") * 100
     rows = t.lineitem.select("l_orderkey", "l_linenumber", F.array(x, y, x + 10, y + 5).alias("b"))
-    before = F.lag("b").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    before = F.lag("b").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", F.get("b", 0), F.get("b", 1)))
     return rows.withColumn("a", before).where("a is not null").select("l_orderkey", "l_linenumber", F.round(G.box_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
@@ -338,13 +352,13 @@ def lineage_value(t: Tables) -> DataFrame:
 
 @query(
     "lineage_causal",
-    f"WITH {_LINEAGE_SQL}, s AS (SELECT conv_id, max(turn) AS last FROM ev GROUP BY ALL) SELECT e2.event_id AS start_id, e.event_id, e.parent_event_id, CAST(s.last - e.turn AS INT) AS depth FROM ev e JOIN s USING (conv_id) JOIN ev e2 ON e2.conv_id = e.conv_id AND e2.turn = s.last WHERE e.conv_id % 10 = 0",
+    f"WITH {_LINEAGE_SQL}, s AS (SELECT conv_id, max(turn) AS last FROM ev GROUP BY ALL) SELECT e2.event_id AS start_id, e.event_id, e.parent_event_id, CAST(s.last - e.turn AS INT) AS depth, CAST(NULL AS VARCHAR) AS error_code FROM ev e JOIN s USING (conv_id) JOIN ev e2 ON e2.conv_id = e.conv_id AND e2.turn = s.last WHERE s.last = (SELECT count(*) - 1 FROM ev x WHERE x.conv_id = e.conv_id) UNION ALL SELECT e2.event_id, NULL, NULL, NULL, 'PARENT_NOT_FOUND' FROM s JOIN ev e2 ON e2.conv_id = s.conv_id AND e2.turn = s.last WHERE s.last <> (SELECT count(*) - 1 FROM ev x WHERE x.conv_id = s.conv_id)",
 )
 def lineage_causal(t: Tables) -> DataFrame:
     """From the last event of sessions up to their roots."""
-    ev = events_of(t).where("conv_id % 10 = 0")
+    ev = events_of(t)
     starts = ev.groupBy("conv_id").agg(F.max_by("event_id", "turn").alias("event_id"))
-    return L.causal_path(t.spark, ev, starts)
+    return L.causal_path(ev, starts)
 
 
 @query("lineage_chronological", f"WITH {_LINEAGE_SQL} SELECT event_id, occurred_at FROM ev WHERE occurred_at BETWEEN 5000 AND 20010 ORDER BY occurred_at, event_id LIMIT 10000")

@@ -185,11 +185,11 @@ def secret_types(t: Tables) -> DataFrame:
     "token_estimates",
     r"""SELECT doc_id, greatest(1, CAST(list_sum(list_transform(regexp_extract_all(text, '\s+|[A-Za-z]+|[0-9]+|[^\x00-\x7F]|[^A-Za-z0-9\s]'), lambda x:
     CASE WHEN regexp_matches(x, '^\s') THEN ceil(length(x) / 4.0) WHEN regexp_matches(x, '^[A-Za-z]') THEN ceil(length(x) / 3.0) WHEN regexp_matches(x, '^[0-9]') THEN ceil(length(x) / 2.0)
-    WHEN regexp_matches(x, '^[^\x00-\x7F]') THEN 2 ELSE 1 END)) AS BIGINT)) AS tokens FROM documents WHERE text <> ''""",
+    WHEN regexp_matches(x, '^[^\x00-\x7F]') THEN 2 ELSE 1 END)) AS BIGINT)) * (text <> '')::BIGINT AS tokens FROM documents""",
 )
 def token_estimates(t: Tables) -> DataFrame:
     """Estimated tokens of every document."""
-    return t.documents.where("text <> ''").select("doc_id", estimated_tokens(F.col("text")).alias("tokens"))
+    return t.documents.select("doc_id", estimated_tokens(F.col("text")).alias("tokens"))
 
 
 # ---- identities
@@ -228,12 +228,15 @@ def identities(t: Tables) -> DataFrame:
     return rows.select("value", "category", who.protected_value(v).alias("value_id"), who.placeholder(v, c).alias("placeholder_id"), who.alias(v, c).alias("alias"))
 
 
-@query("identity_collisions", "SELECT count(DISTINCT url) AS n_values, count(DISTINCT url) AS n_ids, 0 AS n_collisions FROM pages")
+@query(
+    "identity_collisions",
+    f"""WITH a AS (SELECT DISTINCT url AS v FROM pages), b AS (SELECT v, substr({_sql_derive('protected-value', _PVI)}, 1, 2) AS id FROM a), g AS (SELECT id, count(*) AS n FROM b GROUP BY ALL)
+    SELECT sum(n)::BIGINT AS n_values, count(*) AS n_ids, count(*) FILTER (n > 1) AS n_collisions FROM g""",
+)
 def identity_collisions(t: Tables) -> DataFrame:
-    """Ids that stand for more than one value: none."""
+    """Ids cut to two digits, so that some stand for more than one value."""
     rows = t.pages.select(F.col("url").alias("value"), I.Identity(KEY).protected_value(F.col("url")).alias("id")).distinct()
-    by_id = rows.groupBy("id").agg(F.countDistinct("value").alias("n"))
-    return by_id.agg(F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("n_ids"), F.sum((F.col("n") > 1).cast("int")).cast("int").alias("n_collisions"))
+    return I.collisions(rows.withColumn("id", F.substring("id", 6, 2)), "id", "value")
 
 
 _ALIASES = ["[PAI1_EMAIL_ECBB0E783762732B0EA17ECF]", "[PERSON_12]", "[person_0]", "[PAI1_EMAIL_12]", "api key", "x", "[Phone_7]", "user@example", "555 call", "[A__B_3]"]
@@ -415,25 +418,25 @@ def session_orientation(t: Tables) -> DataFrame:
 
 @query(
     "session_valid_entries",
-    f"WITH {_ENTRIES_SQL}, t AS (SELECT conv_id, turn, text FROM conversations WHERE turn = 0) SELECT e.conv_id, e.placeholder, contains(lower(t.text), lower(e.original)) AND length(e.original) <= 512 AND NOT (length(e.original) > 80 AND length(e.original) > length(t.text) * 0.35) AS valid FROM entries e JOIN t USING (conv_id)",
+    f"WITH {_ENTRIES_SQL} SELECT e.conv_id, t.turn, e.placeholder, contains(lower(t.text), lower(e.original)) AND length(e.original) <= 512 AND NOT (length(e.original) > 80 AND length(e.original) > length(t.text) * 0.35) AS valid FROM entries e JOIN conversations t USING (conv_id)",
 )
 def session_valid_entries(t: Tables) -> DataFrame:
-    """Entries that a first turn supports: held by it, on one line, not too long."""
+    """Entries that a turn supports: held by it, on one line, not too long."""
     o, x = F.col("original"), F.col("text")
-    rows = entries(t).join(t.conversations.where("turn = 0").select("conv_id", "text"), "conv_id")
+    rows = entries(t).join(t.conversations.select("conv_id", "turn", "text"), "conv_id")
     valid = F.contains(F.lower(x), F.lower(o)) & ~o.rlike("[\\r\\n]") & (F.length(o) <= 512) & ~((F.length(o) > 80) & (F.length(o) > F.length(x) * 0.35))
-    return rows.select("conv_id", "placeholder", valid.alias("valid"))
+    return rows.select("conv_id", "turn", "placeholder", valid.alias("valid"))
 
 
 @query(
     "session_casing",
-    f"WITH {_ENTRIES_SQL}, t AS (SELECT conv_id, text FROM conversations WHERE turn = 0) SELECT e.conv_id, e.placeholder, CASE WHEN instr(lower(t.text), lower(e.original)) > 0 THEN substr(t.text, instr(lower(t.text), lower(e.original)), length(e.original)) ELSE upper(e.original) END AS original FROM entries e JOIN t USING (conv_id)",
+    f"WITH {_ENTRIES_SQL} SELECT e.conv_id, t.turn, e.placeholder, CASE WHEN instr(lower(t.text), lower(e.original)) > 0 THEN substr(t.text, instr(lower(t.text), lower(e.original)), length(e.original)) ELSE upper(e.original) END AS original FROM entries e JOIN conversations t USING (conv_id)",
 )
 def session_casing(t: Tables) -> DataFrame:
-    """Originals spelled as the source text first spells them."""
-    rows = entries(t).join(t.conversations.where("turn = 0").select("conv_id", "text"), "conv_id")
+    """Originals spelled as a turn first spells them."""
+    rows = entries(t).join(t.conversations.select("conv_id", "turn", "text"), "conv_id")
     at = F.instr(F.lower("text"), F.lower("original"))
-    return rows.select("conv_id", "placeholder", F.when(at > 0, F.substring(F.col("text"), at, F.length("original"))).otherwise(F.upper("original")).alias("original"))
+    return rows.select("conv_id", "turn", "placeholder", F.when(at > 0, F.substring(F.col("text"), at, F.length("original"))).otherwise(F.upper("original")).alias("original"))
 
 
 @query(

@@ -29,10 +29,15 @@ def json_round_trip(t: Tables) -> DataFrame:
     return rows.select("event_id", F.md5("restored").alias("digest"))
 
 
-@query("json_fingerprints", "SELECT sha256(props) AS fingerprint, count(*) AS n FROM events GROUP BY ALL")
+@query(
+    "json_fingerprints",
+    """WITH k AS (SELECT event_id, props, unnest(list_sort(json_keys(props))) AS k FROM events), f AS (SELECT event_id, '{' || string_agg('"' || k || '":' || json_extract(props, '$.' || k)::VARCHAR, ',' ORDER BY k) || '}' AS form FROM k GROUP BY event_id)
+    SELECT sha256(form) AS fingerprint, count(*) AS n FROM f GROUP BY ALL""",
+)
 def json_fingerprints(t: Tables) -> DataFrame:
-    """Values by the digest of their text."""
-    return t.events.groupBy(F.sha2("props", 256).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
+    """Values by the digest of their stable form; the order of keys does not matter."""
+    rows = B.stable(t.events.select("event_id", "props"), "props", "form")
+    return rows.groupBy(F.sha2("form", 256).alias("fingerprint")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("slot_identity", r"SELECT page_id, '/' || array_to_string(list_transform(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: replace(replace(x, '~', '~0'), '/', '~1')), '/') AS pointer, CASE WHEN contains(url, '?') THEN 'tool_output' WHEN contains(url, '#') THEN 'assistant_message' ELSE 'message_text' END AS artifact_type FROM pages")
@@ -77,18 +82,16 @@ def chunks_cover(t: Tables) -> DataFrame:
     return rows.select("doc_id", fresh.cast("long").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("covered"))
 
 
-@query("units_packed")
+@query(
+    "units_packed",
+    """WITH RECURSIVE u AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), f AS (SELECT conv_id, n, size AS used, 0 AS batch FROM u WHERE n = 1
+    UNION ALL SELECT u.conv_id, u.n, CASE WHEN f.used > 0 AND f.used + u.size > 1000 THEN u.size ELSE f.used + u.size END, f.batch + CASE WHEN f.used > 0 AND f.used + u.size > 1000 THEN 1 ELSE 0 END FROM f JOIN u ON u.conv_id = f.conv_id AND u.n = f.n + 1)
+    SELECT conv_id, turn, CAST(size AS INT) AS size, batch FROM u JOIN f USING (conv_id, n)""",
+)
 def units_packed(t: Tables) -> DataFrame:
-    """Turns of a conversation in batches of 4000 characters, in order."""
+    """Turns of a conversation in batches of 1000 characters, in order."""
     units = t.conversations.select("conv_id", "turn", F.length("text").alias("size"))
-    return B.packed(units, "conv_id", "turn", "size", 4000)
-
-
-@query("units_totals", "SELECT conv_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY ALL")
-def units_totals(t: Tables) -> DataFrame:
-    """Packing loses nothing."""
-    units = t.conversations.select("conv_id", "turn", F.length("text").alias("size"))
-    return B.packed(units, "conv_id", "turn", "size", 4000).groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"))
+    return B.packed(units, "conv_id", "turn", "size", 1000)
 
 
 @query("token_budgets", "SELECT ctx, out, ctx - out - greatest(768, ctx // 8) AS tokens, 2 * (ctx - out - greatest(768, ctx // 8)) AS chars, ctx - out - greatest(768, ctx // 8) >= 768 AS usable FROM (SELECT DISTINCT CAST(2048 + user_id % 16 * 1024 AS BIGINT) AS ctx, CAST(256 + user_id % 2 * 256 AS BIGINT) AS out FROM events)")
@@ -102,12 +105,23 @@ def token_budgets(t: Tables) -> DataFrame:
 # ---- edits and rewrites
 
 
-@query("text_edits", "SELECT doc_id, replace(text, substr(text, 3, 6), '<edit>') AS text, CAST(NULL AS VARCHAR) AS error_code FROM documents WHERE length(text) > 300 AND NOT contains(substr(text, 3, 6), '''')")
+_FRAGMENT = "substr(text, 3, 6)"
+
+
+@query(
+    "text_edits",
+    f"""WITH e AS (SELECT doc_id, text, {_FRAGMENT} AS old, len(string_split(text, {_FRAGMENT})) - 1 AS n FROM documents)
+    SELECT doc_id, CASE WHEN error_code IS NULL THEN CASE WHEN doc_id % 3 = 0 THEN replace(text, old, '<edit>') ELSE substr(text, 1, instr(text, old) - 1) || '<edit>' || substr(text, instr(text, old) + length(old)) END END AS text, error_code
+    FROM (SELECT *, CASE WHEN text IS NULL THEN 'INVALID_TEXT_EDITS' WHEN old = '' THEN 'INVALID_TEXT_EDIT' WHEN length(text) >= 256 AND length(old) >= length(text) * 0.8 THEN 'WHOLE_DOCUMENT_EDIT' WHEN doc_id % 3 = 1 AND n > 1 THEN 'AMBIGUOUS_TEXT_EDIT' END AS error_code FROM e)""",
+)
 def text_edits(t: Tables) -> DataFrame:
-    """A fragment of each long document replaced wherever it occurs."""
-    edit = F.struct(F.substring("text", 3, 6).alias("search"), F.lit("<edit>").alias("replace"), F.lit(None).cast("int").alias("occurrence"), F.lit(True).alias("all"), F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"))
-    rows = t.documents.where("length(text) > 300").where(~F.contains(F.substring("text", 3, 6), F.lit("'"))).select("doc_id", "text", F.array(edit).alias("edits"))
-    return B.apply_edits(rows, "doc_id", "text", "edits")
+    """A fragment of each document replaced: wherever it occurs, where it may occur only once, and at its first place."""
+    way = F.col("doc_id") % 3
+    edit = F.struct(
+        F.substring("text", 3, 6).alias("search"), F.lit("<edit>").alias("replace"), F.when(way == 2, 1).cast("int").alias("occurrence"), (way == 0).alias("all"),
+        F.lit(None).cast("string").alias("before"), F.lit(None).cast("string").alias("after"),
+    )
+    return B.apply_edits(t.documents.select("doc_id", "text", F.array(edit).alias("edits")), "doc_id", "text", "edits")
 
 
 @query("edit_offsets", "SELECT doc_id, len(string_split(text, 'the')) - 1 AS n FROM documents WHERE contains(text, 'the')")
@@ -118,28 +132,53 @@ def edit_offsets(t: Tables) -> DataFrame:
     return t.documents.where(F.contains("text", F.lit("the"))).select("doc_id", F.size(occurrences(F.col("text"), F.lit("the"))).cast("long").alias("n"))
 
 
-@query("rewrite_checks", r"""SELECT conv_id, turn, len(regexp_extract_all(text, '\r\n|\r|\n')) AS breaks, len(string_split(text, '```')) - 1 AS fences, length(text) >= greatest(0, length(text) * 0.72 - 80) AND length(text) <= length(text) * 1.25 + 120 AS length_ok FROM conversations""")
+_BEFORE = "SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations"
+
+
+def _with_before(t: Tables) -> DataFrame:
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.conversations.select("conv_id", "turn", "text", before.alias("before")).where("before is not null")
+
+
+@query(
+    "rewrite_checks",
+    rf"""WITH b AS ({_BEFORE}) SELECT conv_id, turn, len(regexp_extract_all(text, '\r\n|\r|\n')) = len(regexp_extract_all(before, '\r\n|\r|\n')) AS breaks_ok, len(string_split(text, '```')) = len(string_split(before, '```')) AS fences_ok,
+    length(text) >= greatest(0, length(before) * 0.72 - 80) AND length(text) <= length(before) * 1.25 + 120 AS length_ok FROM b WHERE before IS NOT NULL""",
+)
 def rewrite_checks(t: Tables) -> DataFrame:
-    """What a rewritten text must share with its source."""
-    n = F.length("text")
-    breaks = F.size(F.regexp_extract_all("text", F.lit(r"\r\n|\r|\n"), F.lit(0))).cast("long")
-    fences = (F.size(F.split("text", "```", -1)) - 1).cast("long")
-    return t.conversations.select("conv_id", "turn", breaks.alias("breaks"), fences.alias("fences"), ((n >= F.greatest(F.lit(0), n * 0.72 - 80)) & (n <= n * 1.25 + 120)).alias("length_ok"))
+    """What a rewritten text must share with its source, asked of each turn and the one before it."""
+    x, y = F.col("text"), F.col("before")
+    breaks = lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\r\n|\r|\n"), F.lit(0)))
+    fences = lambda c: F.size(F.split(c, "```", -1))
+    fits = (F.length(x) >= F.greatest(F.lit(0), F.length(y) * 0.72 - 80)) & (F.length(x) <= F.length(y) * 1.25 + 120)
+    return _with_before(t).select("conv_id", "turn", (breaks(x) == breaks(y)).alias("breaks_ok"), (fences(x) == fences(y)).alias("fences_ok"), fits.alias("length_ok"))
+
 
+_TOKENS = r"[\p{L}\p{N}_@.+:/-]+|\[private\]"
 
-@query("rewrite_coverage", "SELECT conv_id, turn, 1.0::DOUBLE AS coverage FROM conversations WHERE length(text) < 400")
+
+@query(
+    "rewrite_coverage",
+    f"""WITH RECURSIVE b AS ({_BEFORE}), k AS (SELECT conv_id, turn, regexp_extract_all(lower(before), '{_TOKENS}') AS own, regexp_extract_all(lower(text), '{_TOKENS}') AS theirs FROM b WHERE before IS NOT NULL),
+    f AS (SELECT conv_id, turn, 0 AS i, 0 AS spot, 0 AS n FROM k UNION ALL
+      SELECT conv_id, turn, i + 1, CASE WHEN hit > 0 THEN spot + hit ELSE spot END, CASE WHEN hit > 0 THEN n + 1 ELSE n END FROM (SELECT f.*, coalesce(list_position(k.theirs[f.spot + 1:], k.own[f.i + 1]), 0) AS hit FROM f JOIN k ON k.conv_id = f.conv_id AND k.turn = f.turn AND f.i < len(k.own)))
+    SELECT k.conv_id, k.turn, CASE WHEN len(own) = 0 THEN CASE WHEN len(theirs) = 0 THEN 1.0 ELSE 0.0 END ELSE n / len(own) END::DOUBLE AS coverage FROM k JOIN f ON k.conv_id = f.conv_id AND k.turn = f.turn AND f.i = len(k.own)""",
+)
 def rewrite_coverage(t: Tables) -> DataFrame:
-    """A text covers itself."""
-    rows = t.conversations.where("length(text) < 400")
-    return rows.select("conv_id", "turn", B.token_coverage(F.col("text"), F.col("text")).alias("coverage"))
+    """How much of the turn before a turn keeps, in order."""
+    return _with_before(t).select("conv_id", "turn", B.token_coverage(F.col("before"), F.col("text")).alias("coverage"))
 
 
-@query("context_isolation", "SELECT conv_id, turn, true AS isolated FROM conversations WHERE turn > 0")
+@query(
+    "context_isolation",
+    f"""WITH b AS (SELECT *, CASE WHEN turn % 2 = 0 THEN text || ' ' || substr(before, 1, 60) WHEN turn % 5 = 0 THEN text || ' [Context]' ELSE text END AS safe FROM ({_BEFORE}) WHERE before IS NOT NULL)
+    SELECT conv_id, turn, NOT regexp_matches(upper(safe), '[[]CONTEXT[]]|REFERENCE HISTORY') AND len(list_filter(list_transform(regexp_split_to_array(before, '[.,!?;' || chr(10) || ']'), lambda x: lower(trim(x))), lambda x: length(x) >= 10 AND NOT contains(lower(text), x) AND contains(lower(safe), x))) = 0 AS isolated FROM b""",
+)
 def context_isolation(t: Tables) -> DataFrame:
-    """Turns take nothing from the turns before that they did not hold themselves."""
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = t.conversations.withColumn("context", before).where("turn > 0")
-    return rows.select("conv_id", "turn", B.isolated(F.col("text"), F.col("text"), F.coalesce("context", F.lit(""))).alias("isolated"))
+    """Rewritten turns, some with a piece of the turn before put in, and whether they take anything from it."""
+    x, y, n = F.col("text"), F.col("before"), F.col("turn")
+    safe = F.when(n % 2 == 0, F.concat(x, F.lit(" "), F.substring(y, 1, 60))).when(n % 5 == 0, F.concat(x, F.lit(" [Context]"))).otherwise(x)
+    return _with_before(t).select("conv_id", "turn", B.isolated(x, safe, y).alias("isolated"))
 
 
 # ---- streams
@@ -211,12 +250,11 @@ def stream_compactor(t: Tables) -> DataFrame:
 _SSE = "'event: turn' || chr(10) || 'data: ' || replace(text, chr(10), chr(10) || 'data: ') || chr(10) || chr(10)"
 
 
-@query("sse_frames", "SELECT conv_id, CAST(turn AS INT) AS nth, 'turn' AS event, text AS data, true AS complete FROM conversations WHERE text <> '' AND conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING min(turn) = 0 AND max(turn) = count(*) - 1)")
+@query("sse_frames", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS nth, 'turn' AS event, text AS data, true AS complete FROM conversations")
 def sse_frames(t: Tables) -> DataFrame:
     """Turns written as server-sent events and read again."""
-    whole = t.conversations.groupBy("conv_id").agg(F.min("turn").alias("a"), F.max("turn").alias("b"), F.count(F.lit(1)).alias("n")).where("a = 0 AND b = n - 1").select("conv_id")
-    data = F.replace("text", F.lit("\n"), F.lit("\ndata: "))
-    frames = t.conversations.join(whole, "conv_id", "left_semi").select("conv_id", F.col("turn").alias("nth"), F.lit("turn").alias("event"), data.alias("data"))
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    frames = t.conversations.select("conv_id", nth.alias("nth"), F.lit("turn").alias("event"), F.replace("text", F.lit("\n"), F.lit("\ndata: ")).alias("data"))
     return K.sse_frames(K.sse_text(frames, "conv_id"), "conv_id", "body")
 
 
@@ -225,22 +263,30 @@ def sse_frames(t: Tables) -> DataFrame:
 
 @query(
     "startup_files",
-    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'metadata' WHEN doc_id % 3 = 0 THEN 'blob' ELSE 'read' END AS tier FROM documents",
+    """WITH d AS (SELECT doc_id, source, n_chars, sha256(text) AS h FROM documents), m AS (SELECT doc_id, h, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM d WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT h FROM d WHERE source < 'src5')
+    SELECT d.doc_id, CASE WHEN m.size = d.n_chars THEN 'metadata' WHEN b.h IS NOT NULL THEN 'blob' ELSE 'read' END AS tier, d.h AS content_hash FROM d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN b ON b.h = d.h""",
 )
 def startup_files(t: Tables) -> DataFrame:
-    """Contents found by metadata, by blob, or by reading."""
-    files = t.documents.select("doc_id")
-    metadata = files.where("doc_id % 2 = 0").withColumn("m", F.lit(True))
-    blobs = files.where("doc_id % 3 = 0").withColumn("b", F.lit(True))
-    rows = files.join(metadata, "doc_id", "left").join(blobs, "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("m"), "metadata").when(F.col("b"), "blob").otherwise("read").alias("tier"))
+    """Contents known by unchanged metadata, by a blob of the same digest, or by reading."""
+    files = t.documents.select("doc_id", "source", "n_chars", F.sha2("text", 256).alias("h"))
+    size = F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))  # some have changed since
+    last = files.where("doc_id % 2 = 0").select("doc_id", size.alias("size"))
+    blobs = files.where("source < 'src5'").select("h").distinct()
+    return X.content_tiers(files, last, blobs).select("doc_id", "tier", F.col("h").alias("content_hash"))
+
 
+_STARTS = "[0, 8, 20, 28, 40]"
 
-@query("plan_references", "SELECT doc_id, 0 AS nth, substr(text, 1, 8) AS value, sha256(substr(text, 1, 8)) AS reference, '[WORD_1]' AS placeholder FROM documents WHERE n_chars >= 40 UNION ALL SELECT doc_id, 1, substr(text, 21, 8), sha256(substr(text, 21, 8)), CASE WHEN substr(text, 21, 8) = substr(text, 1, 8) THEN '[WORD_1]' ELSE '[WORD_2]' END FROM documents WHERE n_chars >= 40")
+
+@query(
+    "plan_references",
+    f"""WITH s AS (SELECT doc_id, CAST(i - 1 AS INT) AS nth, substr(text, ({_STARTS})[i] + 1, 8) AS value FROM documents, range(1, 6) r(i) WHERE length(text) > ({_STARTS})[i]), f AS (SELECT *, min(nth) OVER (PARTITION BY doc_id, value) AS first FROM s)
+    SELECT doc_id, nth, value, sha256(value) AS reference, '[WORD_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY first) || ']' AS placeholder FROM f""",
+)
 def plan_references(t: Tables) -> DataFrame:
     """Spans of a plan checked against the text by digest, and numbered by first occurrence of their value."""
-    spans = F.explode(F.array(F.struct(F.lit(0).alias("nth"), F.lit(0).alias("start")), F.struct(F.lit(1).alias("nth"), F.lit(20).alias("start")))).alias("x")
-    rows = t.documents.where("n_chars >= 40").select("doc_id", "text", spans).select("doc_id", "x.nth", F.substring(F.col("text"), F.col("x.start") + 1, F.lit(8)).alias("value"))
+    spans = F.posexplode(F.array(*map(F.lit, (0, 8, 20, 28, 40)))).alias("nth", "start")
+    rows = t.documents.select("doc_id", "text", spans).where("length(text) > start").select("doc_id", "nth", F.substring(F.col("text"), F.col("start") + 1, F.lit(8)).alias("value"))
     first = F.min("nth").over(Window.partitionBy("doc_id", "value"))
     rows = rows.withColumn("first", first)
     number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first"))

@@ -6,11 +6,22 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder that the session names; one of its own only where none is named."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hushframe-"))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's source files to the executors of the session, once an application."""
     app = spark.sparkContext.applicationId

@@ -68,3 +68,13 @@ def snapshot(df: DataFrame, path: str) -> DataFrame:
     df.write.mode("errorifexists").parquet(path)
     back = df.sparkSession.read.parquet(path)
     return back.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*back.columns)).alias("checksum"))
+
+
+def content_tiers(files: DataFrame, last: DataFrame, blobs: DataFrame) -> DataFrame:
+    """How each file's content is known: ``tier`` is metadata, blob or read.
+
+    ``files``: doc_id, n_chars, h (digest); ``last``: doc_id and size when it was last read; ``blobs``: digests at hand.
+    """
+    rows = files.join(last, "doc_id", "left").join(blobs.select("h", F.lit(True).alias("_blob")), "h", "left")
+    tier = F.when(F.col("size") == F.col("n_chars"), "metadata").when(F.col("_blob"), "blob").otherwise("read")
+    return rows.withColumn("tier", tier).drop("size", "_blob")

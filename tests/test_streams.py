@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.operators import geometry as G, store as S, streams as K, values as B
+from hushframe.operators import geometry as G, lineage as L, store as S, streams as K, values as B
 from hushframe.sources import formats as X
 from hushframe.streaming.restore import once_a_window, restore_stream
 
@@ -111,3 +111,36 @@ def test_json_rewrite(spark):
     got = {r["id"]: r["out"] for r in B.rewritten(df, "j", "m", "out").collect()}
     assert got == {1: '{"a":["Z y","Z"],"n":1}', 2: None, 3: None}
     assert isinstance(pd.DataFrame(B.strings(df, "j", "id").collect()), pd.DataFrame)
+
+
+def test_causal_paths_and_their_errors(spark):
+    long = [(f"e{i}", f"e{i - 1}" if i else None) for i in range(150)]  # far deeper than any table here
+    rows = [*long, ("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("x", "gone"), ("y", "x"), ("self", "self")]
+    ev = spark.createDataFrame(rows, "event_id string, parent_event_id string")
+    starts = spark.createDataFrame([(e,) for e in ("e149", "e0", "d", "y", "self", "nowhere")], "event_id string")
+    got = L.causal_path(ev, starts).collect()
+    path = {(r["start_id"], r["depth"]): r["event_id"] for r in got if r["error_code"] is None}
+    assert path == {("e149", k): f"e{149 - k}" for k in range(150)} | {("e0", 0): "e0"}
+    assert {r["start_id"]: r["error_code"] for r in got if r["error_code"]} == {"d": "CAUSAL_CYCLE", "self": "CAUSAL_CYCLE", "y": "PARENT_NOT_FOUND", "nowhere": "EVENT_NOT_FOUND"}
+    assert L.causal_path(ev.limit(0), starts.limit(0)).count() == 0
+
+
+def test_coverage_is_that_of_a_plain_search():
+    def plain(a, b):
+        own, theirs, at, n = a.split(), b.split(), 0, 0
+        for token in own:
+            if token in theirs[at:]:
+                at += theirs[at:].index(token) + 1
+                n += 1
+        return n / len(own)
+
+    a, b = "the cat saw the dog and the cat ran", "cat the the dog cat cat ran the"
+    assert B.coverage(a, b) == plain(a, b) and B.coverage("", "") == 1 and B.coverage("", "x") == 0
+    words = "a b c d " * 20_000  # linear: a quadratic search would not end here
+    assert B.coverage(words, words) == 1
+
+
+def test_repeated_and_null_keys_pack_in_order(spark):
+    rows = [(g, i, s) for g in ("x", None) for i, s in enumerate([3, 4, None, 9, 20, 1])]
+    got = B.packed(spark.createDataFrame(rows, "g string, o int, s int"), "g", "o", "s", 10).collect()
+    assert {(r["g"], r["o"]): r["batch"] for r in got} == {(g, i): b for g in ("x", None) for i, b in enumerate([0, 0, 0, 1, 2, 3])}
