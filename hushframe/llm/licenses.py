@@ -2,7 +2,7 @@
 
 Terms are words and word pairs.  Document frequencies are counted over all lines of all files, for the terms of the
 templates; any other term has the frequency zero, so the vocabulary that is sent round is bounded by the templates.  Each
-line, each pair of neighbouring lines and, for licence files, the whole text is compared with every template.
+line, each run of up to ``LINES`` neighbouring lines and, for licence files, the whole text is compared with every template.
 
 A file that says nothing takes the licence of the nearest directory above it that holds a licence file: a file whose name
 says so (LICENSE, COPYING, ...) or whose whole text is one of the templates.
@@ -24,28 +24,80 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .store import written
 
-#: Short notices and the openings of headers, by licence. Fixed values.
+# The wording of permissive licences.
+_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights '
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, '
+    "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD = (
+    f"{_BSD_HEAD} 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. "
+    "You should have received a copy of the GNU {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+_GNU = [("AGPL-3.0", "Affero General Public License", 3), ("GPL-2.0", "General Public License", 2), ("GPL-3.0", "General Public License", 3), ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", 3)]
+#: Short notices, headers of files and whole licences. Fixed values.
 TEMPLATES: list[tuple[str, str]] = [
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    *((spdx, f"This work is licensed under the GNU {name}, version {version}.") for spdx, name, version in _GNU),
+    *((spdx, _GPL.format(name=name, version=version)) for spdx, name, version in _GNU),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following two conditions are met"),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
+        "See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", _BSD_HEAD),
+    ("BSD-2-Clause", _BSD + _BSD_END),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_END),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released into the public domain under CC0 1.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("ISC", _ISC),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", _MIT + _WARRANTY),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Proprietary", "All rights reserved."),
+    ("Proprietary", "Copyright. All rights reserved."),
     ("Proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 #: Cosine from which a line or a file counts as a template.
 THRESHOLD = 0.7
+#: Cosine from which a file that is named like a licence counts as a template.
+NAMED = 0.5
+#: Neighbouring lines that are compared together, at most.
+LINES = 6
+#: Parts in which the files of a directory look up its licence.
+PARTS = 16
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 _FILE_NAME = r"(?i)^(un)?licen[cs]es?(\.\w+)?$|^copying(\.\w+)?$|^copyright(\.\w+)?$"
 
@@ -86,6 +138,21 @@ class Model:
         i = min(dots, key=lambda i: (-dots[i], self.names[i], i))
         return dots[i] / sqrt(total), self.names[i]
 
+    def weights(self, line: str) -> tuple[float, float]:
+        """What the template terms of a line weigh, squared, and what its other terms do."""
+        words = _WORD.findall(line.lower())
+        idf = self.idf
+        own = [idf.get(w) for w in words]
+        if not any(own):
+            return 0.0, 1.0
+        if len(set(words)) < len(words):  # repeated terms count by the square of their number
+            weights = [(idf.get(t), n) for t, n in terms(line).items()]
+            return sum((x * n) ** 2 for x, n in weights if x), sum((self.other * n) ** 2 for x, n in weights if not x)
+        pairs = [idf.get(f"{a} {b}") for a, b, x, y in zip(words, words[1:], own, own[1:]) if x and y]
+        known = sum(x * x for x in own if x) + sum(x * x for x in pairs if x)
+        other = own.count(None) + len(own) - 1 - sum(x is not None for x in pairs)
+        return known, other * self.other * self.other
+
 
 def frequencies(files: DataFrame, templates: list[tuple[str, str]]) -> tuple[int, dict[str, int]]:
     """The number of lines in all files and of those that hold each template term."""
@@ -115,40 +182,38 @@ def scan(files: DataFrame, path: Column, templates: list[tuple[str, str]] | None
     """doc_id, path, licence, similarity, place ('line', 'file' or null), line, is_file (a licence file) of every file."""
     templates = templates or TEMPLATES
     model = files.sparkSession.sparkContext.broadcast(Model(templates, *frequencies(files, templates)))
-    # a line can reach the threshold only if it shares a term with a template that few lines have
     rows = files.select("doc_id", path.alias("path"), "text")
 
+    def found_in(m: Model, text: str, named: bool) -> tuple[str | None, float | None, str | None, int | None, bool]:
+        found: tuple[float, str | None, str | None, int | None] = (0.0, None, None, None)
+        lines = text.split("\n")
+        # a cosine of t needs a share of t * t of the squared weight in known terms
+        share = threshold * threshold
+        shared = [known > 0 and known >= share * (known + other) for known, other in map(m.weights, lines)]
+        for i, first in enumerate(shared):
+            if not first:
+                continue
+            for last in range(i, min(i + LINES, len(lines))):  # a run begins and ends in a line that shares enough
+                if not shared[last]:
+                    continue
+                s, name = m.best(" ".join(lines[i : last + 1]))
+                if s >= threshold and s > found[0]:
+                    found = (s, name, "line", i)
+        alone = False
+        if named or any(shared):
+            s, name = m.best(text)
+            alone = s >= threshold
+            if (alone or (named and s >= NAMED)) and s >= found[0]:
+                found = (s, name, "file", None)
+        return found[1], found[0] if found[1] else None, found[2], found[3], (named and found[1] is not None) or alone
+
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        known = frozenset(t for t in m.holders if " " not in t)
         kinds = [pa.string(), pa.float64(), pa.string(), pa.int64(), pa.bool_()]
         names = ["doc_id", "path", "licence", "similarity", "place", "line", "is_file"]
         for batch in batches:
-            out = []
-            for where, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found: tuple[float, str | None, str | None, int | None] = (0.0, None, None, None)
-                lines = (text or "").split("\n")
-                shared = []
-                for i, line in enumerate(lines):
-                    words = _WORD.findall(line.lower())
-                    # a cosine of t needs a share of t*t of the line's squared weight in known words and their pairs
-                    shared.append(len(words) > 0 and 2 * sum(w in known for w in words) >= len(words) * threshold * threshold)
-                    if shared[i]:
-                        s, name = m.best(line)
-                        if s >= threshold and s > found[0]:
-                            found = (s, name, "line", i)
-                    if i and shared[i] and shared[i - 1]:
-                        s, name = m.best(lines[i - 1] + " " + line)
-                        if s >= threshold and s > found[0]:
-                            found = (s, name, "line", i - 1)
-                named = where is not None and re.search(_FILE_NAME, where.rpartition("/")[2]) is not None
-                alone = False
-                if named or any(shared):
-                    s, name = m.best(text or "")
-                    alone = s >= threshold
-                    if (alone or (named and s > 0)) and s >= found[0]:
-                        found = (s, name, "file", None)
-                out.append((found[1], found[0] if found[1] else None, found[2], found[3], (named and found[1] is not None) or alone))
+            paths = batch.column("path").to_pylist()
+            named = [p is not None and re.search(_FILE_NAME, p.rpartition("/")[2]) is not None for p in paths]
+            out = [found_in(model.value, text or "", own) for text, own in zip(batch.column("text").to_pylist(), named, strict=True)]
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), *columns], names)
 
@@ -172,7 +237,10 @@ def inherit(scanned: DataFrame) -> DataFrame:
     pairs = asking.select("directory", F.explode(ups).alias("x")).select("directory", "x.depth", "x.above").distinct()
     near = pairs.join(holders, "above").groupBy("directory").agg(F.max(F.struct("depth", "above", "given")).alias("x"))
     near = near.select("directory", F.col("x.above").alias("from_directory"), F.col("x.given").alias("given"))
-    out = rows.join(near, "directory", "left")
+    # a directory may hold a third of all files: its answer is there once for each part of them
+    part = F.pmod(F.xxhash64("path", "doc_id"), F.lit(PARTS)).cast("int")
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    out = rows.withColumn("part", part).join(near, ["directory", "part"], "left")
     silent = F.col("licence").isNull()
     return out.select(
         *scanned.columns,
