@@ -6,7 +6,7 @@ pattern (m - 1 where no pattern holds the block); where it may not move, the buc
 patterns that end in it there, and their words are compared directly.
 
 Cases: a null text has no words; items without words are left out; an item of fewer words than a window is one window;
-repeated items each count; an empty benchmark hits nothing; other columns are kept and may clash with nothing but the
+repeated items each count; a null ``item_id`` is in no list of items, but its windows hit; an empty benchmark hits nothing; other columns are kept and may clash with nothing but the
 result columns, which replace them.
 """
 
@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .store import plain_names, written
@@ -77,8 +79,8 @@ def windows(items: list[tuple[object, str | None]], size: int) -> list[dict[tupl
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-#: Text bytes of benchmark items that are searched for in one pass over the documents.
-BLOCK_BYTES = 64 << 20
+#: Characters of benchmark items that are searched for in one pass over the documents; their tables take about 80 times that.
+BLOCK_BYTES = 1 << 20
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
@@ -93,51 +95,96 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
     yield block
 
 
+def _hits(searches: list[Search], words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    """The spans of all occurrences, and the items that have them."""
+    spans, items = [], set()
+    for s in searches:
+        for a, b, who in s.find(words):
+            spans.append((a, b))
+            items.update(str(x) for x in who if x is not None)
+    return spans, items
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    out: list[dict[str, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1]["last"]:
+            out[-1]["last"] = max(out[-1]["last"], b)
+        else:
+            out.append({"first": a, "last": b})
+    return out
+
+
+def _later_hits(docs: DataFrame, tables: Broadcast) -> DataFrame:
+    """row (partition and place), spans, items of the documents that a further block of the benchmark hits."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            rows, spans, items = [], [], []
+            for text in batch.column("text").to_pylist():
+                found, who = _hits(tables.value, words_of(text))
+                if found:
+                    rows.append(row)
+                    spans.append(_merged(found))
+                    items.append(sorted(who))
+                row += 1
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], ["row", "more_spans", "more_items"])
+
+    return docs.select("text").mapInArrow(search, "row long, more_spans array<struct<`first`:long,`last`:long>>, more_items array<string>")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with n_words, spans (hit ranges of words, merged), items (ids as sorted strings).
 
-    The benchmark is the query set: it is taken in blocks of bounded size, each searched for in all documents.
+    The benchmark is the query set: it is taken in blocks of bounded size, each searched for in all documents.  What later
+    blocks hit is kept by the place of the row in its partition, without its text, and joined in the end.
     """
     spark = docs.sparkSession
     own = ["n_words", "spans", "items"]
     docs = docs.drop(*own)
-    out = plain_names(docs)
-    names = out.columns
-    extra = "`n_words` long, `spans` array<struct<`first`:long,`last`:long>>, `items` array<string>"
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    first = True
+    plain = plain_names(docs)
+    names = plain.columns
+    extra = "`n_words` long, `spans` array<struct<`first`:long,`last`:long>>, `items` array<string>, `_row` long"
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
+    first, more = None, []
     for block in _blocks(benchmark):
         tables = spark.sparkContext.broadcast([Search(p) for p in windows(block, window)])
-
-        def search(batches: Iterator[pa.RecordBatch], tables=tables, first=first) -> Iterator[pa.RecordBatch]:
-            searches = tables.value
-            for batch in batches:
-                counts, spans, found = [], [], []
-                old = [(None, None)] * batch.num_rows if first else list(zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True))
-                for text, (had, knew) in zip(batch.column("text").to_pylist(), old, strict=True):
-                    words = words_of(text)
-                    hits, items = [(x["first"], x["last"]) for x in had or ()], set(knew or ())
-                    for s in searches:
-                        for a, b, who in s.find(words):
-                            hits.append((a, b))
-                            items.update(map(str, who))
-                    merged: list[list[int]] = []
-                    for a, b in sorted(hits):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    counts.append(len(words))
-                    spans.append([{"first": a, "last": b} for a, b in merged])
-                    found.append(sorted(items))
-                new = [pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, *own])
-
-        out = out.mapInArrow(search, f"{plain}, {extra}")
-        if not first:
-            out = written(out, "hits")
-        first = False
-    return out.toDF(*docs.columns, *own)
+        if first is None:
+            first = tables
+        else:
+            more.append(written(_later_hits(docs, tables), "hits"))
+            tables.unpersist()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            counts, spans, found = [], [], []
+            for text in batch.column("text").to_pylist():
+                words = words_of(text)
+                hits, items = _hits(first.value, words)
+                counts.append(len(words))
+                spans.append(_merged(hits))
+                found.append(sorted(items))
+            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
+            new = [pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string())), rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, *own, "_row"])
+
+    out = plain.mapInArrow(search, f"{kinds}, {extra}").toDF(*docs.columns, *own, "_row")
+    if not more:
+        return out.drop("_row")
+    later = reduce(DataFrame.unionByName, more).groupBy("row").agg(F.flatten(F.collect_list("more_spans")).alias("more_spans"), F.flatten(F.collect_list("more_items")).alias("more_items"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    kind = "array<struct<first:bigint,last:bigint>>"
+    spans = F.array_sort(F.concat("spans", none(F.col("more_spans"), kind)))
+    joined = F.aggregate(
+        spans, F.array().cast(kind),
+        lambda acc, s: F.when((F.size(acc) > 0) & (s["first"] <= F.element_at(acc, -1)["last"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], s["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(s))),
+    )
+    out = out.join(later.withColumnRenamed("row", "_row"), "_row", "left")
+    items = F.array_sort(F.array_distinct(F.concat("items", none(F.col("more_items"), "array<string>"))))
+    return out.withColumn("spans", joined).withColumn("items", items).select(*docs.columns, *own)
 
 
 def hit_columns(found: DataFrame) -> DataFrame:
