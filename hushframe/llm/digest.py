@@ -105,17 +105,23 @@ def edits(docs: DataFrame) -> DataFrame:
         ),
         "hashed",
     )
-    pair = lambda a, b, kind: rows.select("at", "next_at", F.col(a).alias("h1"), F.col(b).alias("h2"), F.lit(kind).alias("kind"))
+    about = ["h1", "h2", "at", "next_h1", "next_h2", "next_at"]
+    pair = lambda a, b, kind: rows.select(F.col(a).alias("d1"), F.col(b).alias("d2"), F.lit(kind).alias("kind"), *about)
     every = pair("h1", "h2", 0).unionByName(pair("e1", "e2", 1))
-    shared = every.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    shared = written(every.join(shared, ["h1", "h2"], "left_semi"), "shared")
-    # the texts of equal digests alone are fetched again, to be compared
+    shared = every.groupBy("d1", "d2").count().where("count > 1").select("d1", "d2")
+    shared = written(every.join(shared, ["d1", "d2"], "left_semi").distinct(), "shared")
+    # the texts of equal digests alone are fetched again, by id and digest, to be compared
+    wanted = shared.select("at").union(shared.where("kind = 1").select("next_at")).distinct()
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    own = shared.join(text, "at")
-    following = text.select(F.col("at").alias("next_at"), F.col("text").alias("next_text"))
-    made = own.where("kind = 1").join(following, "next_at").withColumn("text", edited_text(F.col("text"), F.col("next_text")))
-    forms = own.where("kind = 0").select("h1", "h2", "text").unionByName(made.select("h1", "h2", "text")).withColumn("form", canonical(F.col("text")))
-    again = wide_hash(F.col("form"))  # rows that share a doc_id with another text are told apart by their digest
+    text = text.join(wanted, "at", "left_semi").withColumn("form", canonical(F.col("text")))
+    # rows that share id and canonical text are one here
+    text = text.select("at", *(h.alias(n) for h, n in zip(wide_hash(F.col("form")), ("h1", "h2"), strict=True)), "form", "text").dropDuplicates(["at", "h1", "h2", "text"])
+    own = text.join(shared.where("kind = 0").select("at", "h1", "h2").distinct(), ["at", "h1", "h2"], "left_semi").select("h1", "h2", "form")
+    following = text.select(*(F.col(c).alias(f"next_{c}") for c in ("at", "h1", "h2", "text")))
+    made = shared.where("kind = 1").join(text.drop("form"), ["at", "h1", "h2"]).join(following, ["next_at", "next_h1", "next_h2"])
+    made = made.select(F.col("d1").alias("h1"), F.col("d2").alias("h2"), canonical(edited_text(F.col("text"), F.col("next_text"))).alias("form"))
+    forms = own.unionByName(made)
+    again = wide_hash(F.col("form"))  # rows that share id and digest with another text are told apart by their digest
     odd = written(clashes(forms.where((again[0] == F.col("h1")) & (again[1] == F.col("h2"))).select("h1", "h2", "form")), "clashes")
     same = lambda a, b: ((F.col(a[0]) == F.col(b[0])) & (F.col(a[1]) == F.col(b[1]))).cast("double")
     if odd.isEmpty():
