@@ -76,6 +76,11 @@ def curve_index(coordinates: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(planes, F.struct(F.lit(0).alias("s"), F.lit(0).alias("h")), step, lambda acc: acc["h"])
 
 
+def first_bytes(text: Column) -> Column:
+    """The first seven bytes of a string as a number of the same order, so that ranges of it are ranges of strings."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
 def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, cell (place on the curve), shard, slot of every row of ``docs`` (doc_id, text, lang, source)."""
     text = F.coalesce("text", F.lit(""))
@@ -91,9 +96,10 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
     groups = rows.groupBy("same", "size").agg(F.min("source").alias("source"), F.min("lang").alias("lang"), F.min("doc_id").alias("first"), F.sum("size").alias("weight"))
     slots = 1 << BITS
+    named = rows.select(*(first_bytes(F.col(c)).alias(c) for c in ("source", "lang")))
     place = curve_index([
-        F.pmod(F.xxhash64("source"), F.lit(slots)).cast("int"),
-        F.pmod(F.xxhash64("lang"), F.lit(slots)).cast("int"),
+        range_bucket(first_bytes(F.col("source")), range_edges(named, "source", slots)),
+        range_bucket(first_bytes(F.col("lang")), range_edges(named, "lang", slots)),
         range_bucket(F.col("size"), range_edges(rows, "size", slots)),
         range_bucket(F.col("first"), range_edges(rows, "doc_id", slots)),
     ])
@@ -124,12 +130,21 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     return ranked.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", "cell", "shard", (F.col("at") - F.col("from")).alias("slot"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, folder: str | None = None) -> str:
-    """``docs`` written as one folder a shard, rows in slot order, so that file statistics prune; returns the folder."""
+def write_shards(docs: DataFrame, placed: DataFrame, folder: str | None = None, files: int = 64) -> str:
+    """``docs`` written as one folder a shard (in_shard), in about ``files`` files of runs of the curve, whose statistics prune.
+
+    Returns the folder.
+    """
     folder = folder or new_path(docs.sparkSession, "shards")
-    at = placed.select("doc_id", "shard", "cell", "slot").dropDuplicates(["doc_id"])
-    out = docs.join(at, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    out.write.partitionBy("shard").parquet(folder)
+    # rows of one doc_id, size and text are the same row as often as they are there: they are paired by a number
+    twin = ["_id", "_size", "_crc"]
+    number = F.row_number().over(Window.partitionBy(*twin).orderBy(F.lit(0))).alias("_nth")
+    text = F.coalesce("text", F.lit(""))
+    left = docs.select("*", F.struct("doc_id").alias("_id"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc")).select("*", number)
+    right = placed.select(F.struct("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).select("*", number)
+    out = left.join(right, [*twin, "_nth"]).select(*docs.columns, F.col("_shard").alias("in_shard"), "_slot")
+    out = out.repartitionByRange(max(1, files), "in_shard", "_slot").sortWithinPartitions("in_shard", "_slot").drop("_slot")
+    out.write.partitionBy("in_shard").parquet(folder)
     return folder
 
 
