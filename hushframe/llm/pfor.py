@@ -26,6 +26,8 @@ BLOCK = 1024
 MAGIC = b"HPFOR1\0\0"
 #: The share of a block's values that the packed width must hold.
 PERCENTILE = 0.9
+#: Ids from which a file ends with the document at hand and the next one begins.
+ROLL = 1 << 27
 #: Stands for a null document id in a file.
 NO_ID = -(1 << 63)
 _HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("width", "u1"), ("spare", "u1"), ("exceptions", "<u2")])
@@ -205,38 +207,43 @@ class Reader:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) and write its ids in ascending ``doc_id`` order; returns the manifest.
 
-    One range of ``doc_id`` makes one file.  A task writes under a name of its own and only names in the stored manifest
-    count, so a retried or doubled task leaves at most an unlisted file.  Manifest: bucket, file, n_docs, n_ids, base (ids
-    in all files before it).
+    One range of ``doc_id`` makes one file, or several of ``ROLL`` ids.  A task writes under a name of its own and only names in the stored manifest
+    count, so a retried or doubled task leaves at most an unlisted file.  Manifest: bucket, part, file, n_docs, n_ids, base
+    (ids in all files before it).
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     edges = range_edges(docs, "doc_id", partitions(spark))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out, name, bucket, n_docs = encoder(tokenizer, True), None, "", 0, 0
+        encode, out, name, bucket, part, n_docs = encoder(tokenizer, True), None, "", 0, -1, 0
+
+        def ended() -> pa.RecordBatch:
+            out.close()
+            return pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "part": pa.array([part], pa.int32()), "file": [name], "n_docs": [n_docs], "n_ids": [out.ids]})
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if out is None:
-                bucket = batch.column("bucket")[0].as_py()
-                name = f"{folder}/ids-{bucket:06d}-{uuid.uuid4().hex}.pfor"
-                out = Writer(name)
             texts = batch.column("text").fill_null("").to_pylist()
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy().astype(np.int64)
             for a, b in runs(texts):
+                if out is None:
+                    bucket, part, n_docs = batch.column("bucket")[0].as_py(), part + 1, 0
+                    name = f"{folder}/ids-{bucket:06d}-{part:04d}-{uuid.uuid4().hex}.pfor"
+                    out = Writer(name)
                 got, lengths = encode(texts[a:b], end_id)
                 out.add(ids[a:b], got, lengths)
-            n_docs += batch.num_rows
+                n_docs += b - a
+                if out.ids >= ROLL:
+                    yield ended()
+                    out = None
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "file": [name], "n_docs": [n_docs], "n_ids": [out.ids]})
+            yield ended()
 
     dealt = docs.select("doc_id", "text", range_bucket(F.col("doc_id"), edges).alias("bucket"))
     dealt = dealt.repartitionById(len(edges) + 1, "bucket").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    made = written(dealt.mapInArrow(put, "bucket int, file string, n_docs long, n_ids long"), "manifest")
+    made = written(dealt.mapInArrow(put, "bucket int, part int, file string, n_docs long, n_ids long"), "manifest")
     # one row a file: the running sum is over the file list, not over rows
-    base = F.sum("n_ids").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    base = F.sum("n_ids").over(Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1))
     return made.withColumn("base", F.coalesce(base, F.lit(0)).cast("long"))
 
 
@@ -260,7 +267,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         rows = []
                 yield table(rows)
 
-    dealt = manifest.repartition(partitions(manifest.sparkSession), "bucket")
+    dealt = manifest.repartition(partitions(manifest.sparkSession), "bucket", "part")
     return dealt.mapInArrow(get, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session, without a trailing slash."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="hushframe-")
@@ -46,12 +48,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate written so far; call it once the results that use them have been stored."""
+def release(spark: SparkSession, keep: str | None = None) -> None:
+    """Delete every intermediate written so far but ``keep``; call it once the results that use them have been stored."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    gone = [p for p in _WRITTEN if p != keep]
+    _WRITTEN[:] = [keep] if keep else []
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         with contextlib.suppress(Exception):
             path.getFileSystem(conf).delete(path, True)
 
