@@ -187,21 +187,22 @@ class Links:
 
 
 class Rows:
-    """Rows of one bucket after another: signatures, and where every pair counts what is joined already."""
+    """Rows of one bucket after another: signatures, and the parts (mask, threshold) in which near pairs have met before."""
 
-    def __init__(self, columns: list[np.ndarray], sigs: int, limits: list[int], own: int):
-        self.sigs, self.own, self.limits = columns[:sigs], columns[len(columns) - own :], limits
+    def __init__(self, columns: list[np.ndarray], sigs: int, limits: list[int], before: list[tuple[np.uint64, int]]):
+        self.sigs, self.limits, self.before = columns[:sigs], limits, before
 
     def near(self, i, j) -> np.ndarray:
-        """Which of the pairs i, j are within the limits (the first signature's, then that of both) and not joined yet."""
+        """Which of the pairs i, j are within the limits (the first signature's, then that of both) and meet here first."""
         sigs = self.sigs
         d = np.bitwise_count(sigs[0][i] ^ sigs[0][j])
         hit = np.flatnonzero(d <= self.limits[0])
         pick = lambda k: k[hit] if isinstance(k, np.ndarray) else k
         if len(sigs) > 1 and len(hit):
             hit = hit[d[hit] + np.bitwise_count(sigs[1][pick(i)] ^ sigs[1][pick(j)]) <= self.limits[1]]
-        if self.own and len(hit):
-            hit = hit[np.logical_or.reduce([x[pick(i)] != x[pick(j)] for x in self.own])]
+        for mask, threshold in self.before:
+            if len(hit):
+                hit = hit[np.bitwise_count((sigs[0][pick(i)] ^ sigs[0][pick(j)]) & mask) > threshold]
         return hit
 
 
@@ -248,23 +249,24 @@ def _front(home: int, size: int, rows: Rows) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | None = None, ids: tuple = (), band: str | None = None, own: tuple = ()) -> DataFrame:
+def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | None = None, ids: tuple = (), band: str | None = None) -> DataFrame:
     """Links between the rows of ``prints`` (fp long[, fp2 long]); they join whatever lies within the limits.
 
     Near: at most ``limit`` differing bits in ``fp`` and, where ``wide`` is given, at most ``wide`` in both together.
     ``ids`` (longs): what tells rows apart, if not the fingerprints. ``band`` (int): only rows whose bands differ by one at
-    most are compared.  ``own`` (longs): what a row belongs to; then every near pair of different owners is returned,
-    otherwise a forest for each task, so every two near rows are joined, perhaps through others.
-    Returns a_<id>, b_<id> for each of ``ids`` or of the fingerprints.
+    most are compared.  Returns a_<id>, b_<id> for each of ``ids`` or of the fingerprints: a forest for each task, so every
+    two near rows are joined, perhaps through others.  A near pair counts in the first of the parts in which it agrees.
     """
     spark = prints.sparkSession
     sig = ["fp"] if wide is None else ["fp", "fp2"]
     limits = [limit] if wide is None else [limit, wide]
     told = list(ids) or sig
-    carry = [*sig, *ids, *own]
+    carry = [*sig, *ids]
     chosen = [(b, t) for b, t in plan(prints, limit, parts, band) if t >= 0]
     probes = [(i, bits, signed(mask_of(bits)), _flips(len(bits), t)) for i, (bits, t) in enumerate(chosen)]
     names = ["used", "away", "bucket", *carry]
+    in_order = [(np.uint64(mask_of(bits)), t) for bits, t in chosen]
+    earlier = {int(mask): in_order[:k] for k, (mask, _) in enumerate(in_order)}
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,11 +303,10 @@ def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | N
 
         def joined(i, j, columns: list[np.ndarray]) -> pa.RecordBatch:
             i, j = np.asarray(i, np.int64), np.asarray(j, np.int64)
-            if not own:
-                keys = [columns[k] for k in told_at]
-                left, right = (zip(*(c[x].tolist() for c in keys), strict=True) for x in (i, j))
-                keep = np.array(known.new(zip(left, right, strict=True)), np.int64)
-                i, j = i[keep], j[keep]
+            keys = [columns[k] for k in told_at]
+            left, right = (zip(*(c[x].tolist() for c in keys), strict=True) for x in (i, j))
+            keep = np.array(known.new(zip(left, right, strict=True)), np.int64)
+            i, j = i[keep], j[keep]
             zero = np.zeros(len(i), np.uint64)
             a = [c[i] if k in told_at else None for k, c in enumerate(columns)]
             return emit(False, 0, zero, zero, a, [columns[k][j] for k in told_at])
@@ -327,9 +328,10 @@ def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | N
             homes = np.add.reduceat((away == 0).astype(np.int64), cut[:-1])
             wanted = (sizes > 1) & (homes > 0)
             small = np.repeat(wanted & (sizes <= SMALL), sizes)
-            if small.any():
-                mine = [c[small] for c in columns]
-                i, j = _pairs(bucket[small], away[small] == 0, Rows(mine, len(sig), limits, len(own)))
+            for part in np.unique(used[small]):  # buckets of the same fixed bits together
+                at = small & (used == part)
+                mine = [c[at] for c in columns]
+                i, j = _pairs(bucket[at], away[at] == 0, Rows(mine, len(sig), limits, earlier.get(int(part), [])))
                 if len(i):
                     yield joined(i, j, mine)
             for k in np.flatnonzero(wanted & (sizes > SMALL)):
@@ -338,16 +340,9 @@ def links(prints: DataFrame, limit: int, wide: int | None = None, parts: int | N
                     yield from again([r[a:b] for r in rows])
                     continue
                 mine = [c[a:b] for c in columns]
-                every = Rows(mine, len(sig), limits, len(own))
-                if not own:
-                    i, j = _front(int(homes[k]), int(b - a), every)
-                    if i:
-                        yield joined(i, j, mine)
-                    continue
-                for q in range(int(homes[k])):
-                    after = np.arange(q + 1, b - a)
-                    if len(near := after[every.near(after, q)]):
-                        yield joined(np.full(len(near), q), near, mine)
+                i, j = _front(int(homes[k]), int(b - a), Rows(mine, len(sig), limits, earlier.get(int(used[a]), [])))
+                if i:
+                    yield joined(i, j, mine)
 
         for batch in batches:
             rows = [np.ascontiguousarray(batch.column(c).to_numpy()) for c in names]

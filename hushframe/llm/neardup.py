@@ -88,7 +88,8 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     ids = wanted.select("doc_id").distinct()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    held = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInArrow(make, "k1 long, k2 long, hashes binary")
+    # texts are dealt by id at every size: a list that is broadcast while it is short would be another plan for small tables
+    held = docs.join(ids.hint("merge"), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").mapInArrow(make, "k1 long, k2 long, hashes binary")
     held = held.select(F.struct("k1", "k2").alias("node"), "hashes")
     return held.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
@@ -245,4 +246,4 @@ def deduplicate(docs: DataFrame, size: int = 5) -> DataFrame:
     keep = named.join(least, "component", "left").where("component_id is null or doc_id = component_id").select("doc_id").distinct()
     # rows of one doc_id may lie in several groups: what any of them keeps stays
     gone = named.select("doc_id").distinct().join(keep, "doc_id", "left_anti").where("doc_id is not null")
-    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(written(gone, "gone").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
