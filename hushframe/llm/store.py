@@ -48,12 +48,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: str | None = None) -> None:
-    """Delete every intermediate written so far but ``keep``; call it once the results that use them have been stored."""
+def mark() -> int:
+    """A point in time for :func:`release`."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, keep: str | None = None, since: int = 0) -> None:
+    """Delete every intermediate written (since a :func:`mark`) but ``keep``; call it once what uses them has been stored."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    gone = [p for p in _WRITTEN if p != keep]
-    _WRITTEN[:] = [keep] if keep else []
+    gone = [p for p in _WRITTEN[since:] if p != keep]
+    _WRITTEN[since:] = [keep] if keep in _WRITTEN[since:] else []
     for name in gone:
         path = jvm.org.apache.hadoop.fs.Path(name)
         with contextlib.suppress(Exception):
