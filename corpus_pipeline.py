@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``documents``.
+
+Cases, for every stage: a null text is an empty one; an empty text has a quality score like any other, is a duplicate of
+every other empty text, holds no benchmark words and is packed as its end id alone; rows without a ``doc_id`` are never
+dropped as duplicates; repeated rows stay if the row that they repeat stays; texts are taken whole, however long; equal
+scores and equal lengths are settled by ``doc_id`` or not at all; an empty table gives an empty table; further columns are
+dropped.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hushframe.llm import neardup, packing, quality, wumanber
 from hushframe.llm.queries import tokenizer_file
-from hushframe.llm.store import new_path
+from hushframe.llm.store import mark, new_path, release
 from hushframe.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -53,10 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over ``documents``."""
+    """All stages in turn over ``documents``; what a stage wrote on its way is deleted once its result is stored."""
+    begun = mark()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = new_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark, keep=path, since=begun)
         docs = spark.read.parquet(path)
     return docs
