@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import identity as I, patterns as P
 from ..functions.spans import find_spans, occurrences
 from ..functions.text import estimated_tokens, is_vague, looks_like_secret, luhn, secret_type, stand_in
-from ..operators import privacy as V
+from ..operators import privacy as V, sessions as M
 from .registry import Tables, query
 
 #: Detectors whose patterns have no look-around, which DuckDB can run.
@@ -461,3 +461,84 @@ def unresolved_placeholders(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.array_join(F.array_sort(V.unresolved(text)), "|").alias("found"))
 
 
+
+
+# ---- rules of session maps
+
+_SPOILED = """sp AS (SELECT conv_id, ord, CASE WHEN conv_id % 7 = 1 AND ord = 3 THEN '[PAI1_BAD_1]' WHEN conv_id % 7 = 2 AND ord = 2 THEN lower('[PRIVATE_VALUE_1]') ELSE placeholder END AS placeholder,
+    CASE WHEN conv_id % 7 = 3 AND ord = 2 THEN '[private_value_1]' WHEN conv_id % 7 = 4 AND ord = 2 THEN '' ELSE original END AS original FROM entries)"""
+
+
+def _spoiled(t: Tables) -> DataFrame:
+    """Session entries of which some break a rule."""
+    c, n = F.col("conv_id") % 7, F.col("ord")
+    name = F.when((c == 1) & (n == 3), "[PAI1_BAD_1]").when((c == 2) & (n == 2), "[private_value_1]").otherwise(F.col("placeholder"))
+    value = F.when((c == 3) & (n == 2), "[private_value_1]").when((c == 4) & (n == 2), "").otherwise(F.col("original"))
+    return entries(t).select("conv_id", "ord", name.alias("placeholder"), value.alias("original"))
+
+
+@query(
+    "session_rules",
+    f"""WITH {_ENTRIES_SQL}, {_SPOILED}, v AS (SELECT * FROM sp WHERE placeholder <> '' AND original <> '' AND placeholder <> original),
+    bad AS (SELECT conv_id, 'INVALID_SESSION_MAP' AS error_code FROM v WHERE lower(placeholder) IN ('__proto__', 'prototype', 'constructor') OR regexp_matches(placeholder, '(?i)^\\[PAI[0-9]*_') AND NOT regexp_full_match(placeholder, '{I.CANONICAL}')),
+    amb AS (SELECT conv_id, 'AMBIGUOUS_SESSION_MAP' FROM v GROUP BY conv_id, lower(placeholder) HAVING count(DISTINCT placeholder) > 1 OR count(DISTINCT original) > 1 UNION ALL SELECT a.conv_id, 'AMBIGUOUS_SESSION_MAP' FROM v a JOIN v b ON a.conv_id = b.conv_id AND lower(a.placeholder) = lower(b.original))
+    SELECT conv_id, max(error_code) AS error_code FROM (SELECT * FROM bad UNION ALL SELECT * FROM amb) GROUP BY conv_id""",
+)
+def session_rules(t: Tables) -> DataFrame:
+    """Maps that break a rule; some are spoiled on purpose."""
+    return M.map_errors(_spoiled(t), "conv_id")
+
+
+@query(
+    "session_inherited",
+    f"""WITH {_ENTRIES_SQL}, cur AS (SELECT conv_id, placeholder, original FROM entries WHERE ord % 2 = 0), their AS (SELECT conv_id, ord, CASE WHEN conv_id % 5 = 1 AND ord % 4 = 0 THEN placeholder || 'x' ELSE placeholder END AS placeholder, CASE WHEN conv_id % 5 = 2 AND ord = 2 THEN original || '!' ELSE original END AS original FROM entries),
+    j AS (SELECT t.*, c.original AS has FROM their t LEFT JOIN cur c ON c.conv_id = t.conv_id AND c.placeholder = t.placeholder), n AS (SELECT * FROM j WHERE has IS NULL), h AS (SELECT conv_id, original, count(*) AS k FROM cur GROUP BY ALL),
+    e AS (SELECT conv_id, 0 AS r FROM j WHERE has <> original UNION ALL SELECT n.conv_id, 1 FROM n LEFT JOIN h ON h.conv_id = n.conv_id AND h.original = n.original GROUP BY n.conv_id, n.original HAVING count(*) + coalesce(any_value(k), 0) > 1)
+    SELECT conv_id, CAST(NULL AS VARCHAR) AS placeholder, CASE min(r) WHEN 0 THEN 'PLACEHOLDER_COLLISION' ELSE 'ALIAS_LIMIT' END AS error_code FROM e GROUP BY ALL UNION ALL SELECT conv_id, placeholder, NULL FROM n WHERE conv_id NOT IN (SELECT conv_id FROM e)""",
+)
+def session_inherited(t: Tables) -> DataFrame:
+    """What sessions take over of another map, and where that collides."""
+    rows, c, n = entries(t), F.col("conv_id") % 5, F.col("ord")
+    name = F.when((c == 1) & (n % 4 == 0), F.concat("placeholder", F.lit("x"))).otherwise(F.col("placeholder"))
+    value = F.when((c == 2) & (n == 2), F.concat("original", F.lit("!"))).otherwise(F.col("original"))
+    theirs = rows.select("conv_id", "ord", name.alias("placeholder"), value.alias("original"))
+    new, errors = M.inherited(rows.where("ord % 2 = 0"), theirs, "conv_id")
+    return errors.select("conv_id", F.lit(None).cast("string").alias("placeholder"), "error_code").unionByName(new.select("conv_id", "placeholder", F.lit(None).cast("string").alias("error_code")))
+
+
+@query(
+    "session_rebased",
+    f"""WITH {_ENTRIES_SQL}, a AS (SELECT conv_id, ord, '[PRIVATE_VALUE_' || (ord + 1) || ']' AS placeholder, CASE WHEN ord % 2 = 0 THEN original ELSE original || '+' END AS original FROM entries WHERE ord <= 3),
+    k AS (SELECT conv_id, count(*) AS n FROM entries GROUP BY ALL), f AS (SELECT a.*, e.placeholder AS keeps, k.n FROM a JOIN k USING (conv_id) LEFT JOIN entries e ON e.conv_id = a.conv_id AND e.original = a.original),
+    m AS (SELECT *, keeps IS NULL AND ord + 1 <= n AS moves, greatest(n, (SELECT max(ord) + 1 FROM a x WHERE x.conv_id = f.conv_id)) AS top FROM f)
+    SELECT conv_id, ord::BIGINT AS ord, placeholder, CASE WHEN keeps IS NOT NULL THEN keeps WHEN moves THEN '[PRIVATE_VALUE_' || (top + count(*) FILTER (moves) OVER (PARTITION BY conv_id ORDER BY ord)) || ']' ELSE placeholder END AS target, keeps IS NULL AS added FROM m""",
+)
+def session_rebased(t: Tables) -> DataFrame:
+    """Additions numbered from one again, fitted among the entries that a session has."""
+    rows = entries(t)
+    value = F.when(F.col("ord") % 2 == 0, F.col("original")).otherwise(F.concat("original", F.lit("+")))
+    new = rows.where("ord <= 3").select("conv_id", "ord", F.concat(F.lit("[PRIVATE_VALUE_"), (F.col("ord") + 1).cast("string"), F.lit("]")).alias("placeholder"), value.alias("original"))
+    return M.rebased(new, rows, "conv_id").select("conv_id", "ord", "placeholder", "target", "added")
+
+
+@query("session_known_text")
+def session_known_text(t: Tables) -> DataFrame:
+    """Known values put out of all turns, whatever their case; where that is ambiguous, why."""
+    rows = t.conversations.withColumn("text", F.when(F.col("turn") % 2 == 0, F.upper("text")).otherwise(F.col("text"))).join(_session(t), "conv_id")
+    return M.sanitize_known(rows.select("conv_id", "turn", "text", "session"), "text", "session").select("conv_id", "turn", "sanitized", "error_code")
+
+
+@query(
+    "model_spans",
+    r"""WITH w AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{5,}') AS w FROM documents) SELECT doc_id, CASE WHEN w = '' OR doc_id % 4 = 1 OR doc_id % 4 = 2 THEN NULL ELSE w END AS value, CASE WHEN w = '' OR doc_id % 4 = 1 OR doc_id % 4 = 2 THEN NULL ELSE len(string_split(text, w)) - 1 END AS n FROM w""",
+)
+def model_spans(t: Tables) -> DataFrame:
+    """Replies of a model with a span each (a type that is not allowed, a value that is not there, repeated, fenced), and where the span lies."""
+    word, way = F.regexp_extract("text", "[A-Za-z]{5,}", 0), F.col("doc_id") % 4
+    kind = F.when(way == 1, "SOMETHING").otherwise("PERSON")
+    value = F.when(way == 2, F.concat(word, F.lit(" #nowhere#"))).otherwise(word)
+    one = F.concat(F.lit('{"value":"'), value, F.lit('","type":"'), kind, F.lit('"}'))
+    reply = F.concat(F.lit('Here it is: {"spans":['), one, F.when(way == 3, F.concat(F.lit(","), one)).otherwise(""), F.lit("]}\n```"))
+    spans = M.model_spans(reply, F.col("text"))
+    rows = t.documents.select("doc_id", "text", spans.alias("spans"))
+    return rows.select("doc_id", F.get("spans", 0)["value"].alias("value"), F.when(F.size("spans") > 0, F.size(M.model_detections(F.col("spans"), F.col("text")))).cast("long").alias("n"))
