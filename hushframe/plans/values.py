@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import identity as I
-from ..operators import streams as K, values as B
+from ..operators import provenance as E, streams as K, values as B
 from ..sources import formats as X
 from .registry import Tables, query
 
@@ -347,3 +347,61 @@ def failures(t: Tables) -> DataFrame:
     table = t.spark.createDataFrame([(k, r, s) for k, (r, s) in FAILURES.items()], "category string, retryable boolean, status int")
     own = t.events.select(F.get(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % len(_NAMES)).cast("int")).alias("category"))
     return own.groupBy("category").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(table), "category").select("category", "retryable", "n")
+
+
+# ---- changes of files
+
+_NEXT = "CASE doc_id % 3 WHEN 0 THEN substr(text, 1, length(text) // 2) || 'Ω§' || substr(text, length(text) // 2 + 1) WHEN 1 THEN substr(text, 1, length(text) // 2) || 'Ω' || substr(text, length(text) // 2 + 6) ELSE text END"
+
+
+def _changed(t: Tables) -> DataFrame:
+    half = F.floor(F.length("text") / 2).cast("int")
+    head = F.substring(F.col("text"), F.lit(1), half)
+    tail = lambda skip: F.substring(F.col("text"), half + 1 + skip, F.length("text"))
+    new = F.when(F.col("doc_id") % 3 == 0, F.concat(head, F.lit("Ω§"), tail(0))).when(F.col("doc_id") % 3 == 1, F.concat(head, F.lit("Ω"), tail(5))).otherwise(F.col("text"))
+    return t.documents.select("doc_id", "text", new.alias("next"))
+
+
+@query(
+    "minimal_replacements",
+    """SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN length(text) // 2 END::INT AS "start", CASE doc_id % 3 WHEN 0 THEN length(text) // 2 WHEN 1 THEN least(length(text) // 2 + 5, length(text)) END::INT AS "end", CASE doc_id % 3 WHEN 0 THEN 'Ω§' WHEN 1 THEN 'Ω' END AS inserted FROM documents""",
+)
+def minimal_replacements(t: Tables) -> DataFrame:
+    """Documents that something was put into, that lost something for something else, or that stayed."""
+    return E.replacements(_changed(t), "text", "next").select("doc_id", "start", "end", "inserted")
+
+
+@query(
+    "files_reconciled",
+    f"""WITH c AS (SELECT doc_id, sha256(text) AS a, sha256({_NEXT}) AS b FROM documents), p AS (SELECT DISTINCT a AS h FROM c WHERE doc_id % 2 = 0)
+    SELECT doc_id, CASE WHEN a = b THEN 'unchanged' ELSE 'changed' END AS status, b IN (SELECT h FROM p) AS plan_reuse, a IN (SELECT h FROM p) AS has_previous FROM c""",
+)
+def files_reconciled(t: Tables) -> DataFrame:
+    """Files changed outside, against the plans at hand."""
+    rows = _changed(t).select("doc_id", F.sha2("text", 256).alias("old_hash"), F.sha2("next", 256).alias("new_hash"))
+    return E.reconciled(rows, rows.where("doc_id % 2 = 0").select(F.col("old_hash").alias("content_hash")), "doc_id")
+
+
+@query(
+    "patches_parsed",
+    "SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN 'update,add' END AS types, CASE WHEN doc_id % 4 < 3 THEN len(string_split(text, chr(10))) + 1 END::BIGINT AS n_lines FROM documents",
+)
+def patches_parsed(t: Tables) -> DataFrame:
+    """Patches of two files with a document as the body of one; every fourth climbs out of its folder and is none."""
+    path = F.when(F.col("doc_id") % 4 == 3, "../b.txt").otherwise("b.txt")
+    patch = F.concat(F.lit("*** Begin Patch\n*** Update File: a.txt\n"), "text", F.lit("\n*** Add File: "), path, F.lit("\n+x\n*** End Patch\n"))
+    found = E.patches(t.documents.select("doc_id", patch.alias("patch")), "patch")
+    n = F.aggregate("sections", F.lit(0).cast("long"), lambda s, x: s + F.size(x["body"]))
+    return found.select("doc_id", F.array_join(F.transform("sections", lambda x: x["type"]), ",").alias("types"), n.alias("n_lines"))
+
+
+@query(
+    "text_private_spans",
+    """WITH w AS (SELECT doc_id, lower(text) AS x, lower(regexp_extract(text, '[A-Za-z]{6,}')) AS w FROM documents) SELECT doc_id, len(string_split(x, w)) - 1 AS n, instr(x, w) - 1 AS first FROM w WHERE w <> ''""",
+)
+def text_private_spans(t: Tables) -> DataFrame:
+    """Where documents hold a known value, whatever its case."""
+    word = F.regexp_extract("text", "[A-Za-z]{6,}", 0)
+    rows = t.documents.select("doc_id", "text", F.array(F.struct(F.lit("[WORD_1]").alias("placeholder"), F.upper(word).alias("original"))).alias("session")).where(word != "")
+    spans = E.private_spans(rows, "text", "session")
+    return spans.select("doc_id", F.size("spans").cast("long").alias("n"), F.get("spans", 0)["start"].cast("long").alias("first"))
