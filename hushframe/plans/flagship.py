@@ -1,4 +1,4 @@
-"""The flagship query over the smallest tables."""
+"""The flagship query."""
 
 from __future__ import annotations
 
@@ -7,6 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from .catalog import QUERIES
 
 
-def entry(spark: SparkSession, folder: str = "/root/testdata/sf0.001") -> DataFrame:
+def entry(spark: SparkSession, folder: str) -> DataFrame:
     """Every document sanitised."""
     return QUERIES["sanitize"](spark, folder)

@@ -48,10 +48,17 @@ def restore_stream(chunks: DataFrame, session: dict[str, str], idle_ms: int = 60
     return chunks.groupBy("stream_key").applyInPandasWithState(step, "stream_key string, seq long, emitted string", "buffer string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def once_a_window(events: DataFrame, window_ms: int = 30_000) -> DataFrame:
-    """A stream of (diagnostic_key, event_id, at) without what follows the last one let through within the window."""
+def once_a_window(events: DataFrame, window_ms: int = 30_000, idle_ms: int | None = None) -> DataFrame:
+    """A stream of (diagnostic_key, event_id, at) without what follows the last one let through within the window.
+
+    ``idle_ms``: a key that is silent so long (the window at least) is forgotten, so that a stream without an end holds live
+    keys alone; without it keys stay, which suits a stream that ends.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
         out = []
@@ -61,6 +68,8 @@ def once_a_window(events: DataFrame, window_ms: int = 30_000) -> DataFrame:
                 out.append((key[0], int(event_id), last))
         if last is not None:
             state.update((last,))
+            if idle_ms is not None:
+                state.setTimeoutDuration(max(window_ms, idle_ms))
         yield pd.DataFrame(out, columns=["diagnostic_key", "event_id", "at"])
 
-    return events.groupBy("diagnostic_key").applyInPandasWithState(step, "diagnostic_key string, event_id long, at long", "last long", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("diagnostic_key").applyInPandasWithState(step, "diagnostic_key string, event_id long, at long", "last long", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
