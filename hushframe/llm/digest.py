@@ -113,8 +113,8 @@ def edits(docs: DataFrame) -> DataFrame:
     # the texts of equal digests alone are fetched again, by id and digest, to be compared
     wanted = shared.select("at").union(shared.where("kind = 1").select("next_at")).distinct()
     text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    text = text.join(wanted, "at", "left_semi").withColumn("form", canonical(F.col("text")))
-    # rows that share id and canonical text are one here
+    text = text.join(wanted.hint("merge"), "at", "left_semi").withColumn("form", canonical(F.col("text")))
+    # rows that share id and canonical text are one here; texts are dealt by id at every size
     text = text.select("at", *(h.alias(n) for h, n in zip(wide_hash(F.col("form")), ("h1", "h2"), strict=True)), "form", "text").dropDuplicates(["at", "h1", "h2", "text"])
     own = text.join(shared.where("kind = 0").select("at", "h1", "h2").distinct(), ["at", "h1", "h2"], "left_semi").select("h1", "h2", "form")
     following = text.select(*(F.col(c).alias(f"next_{c}") for c in ("at", "h1", "h2", "text")))
