@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import digest, hilbert, licenses, packing, pfor, pst, quality, simhash, warc, wumanber
+from . import digest, divergence, hilbert, ledger, licenses, packing, pfor, pst, quality, resample, simhash, warc, wumanber
 from .sql import ORACLES
 
 
@@ -80,6 +80,21 @@ def op10_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.sharded(_table(spark, sf_dir, "documents"), 8)
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language stand apart, over all documents."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, each different text scanned once."""
+    return ledger.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of all documents of 20 words or more, drawn towards the benchmark."""
+    return resample.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_token_files": op2_token_files,
@@ -91,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_digest": op8_digest,
     "op9_quality": op9_quality,
     "op10_hilbert": op10_hilbert,
+    "op11_divergence": op11_divergence,
+    "op12_secrets": op12_secrets,
+    "op13_resample": op13_resample,
 }
 
 __all__ = ["ORACLES", "QUERIES", "tokenizer_file"]

@@ -30,4 +30,49 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), q AS (SELECT
 SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range(8), lambda g: {_GROUP}), '') AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM q
 """
 
-ORACLES = {"op4_warc": WARC, "op6_decontaminate": DECONTAMINATE}
+_LETTERS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_SHARE = "1 + (1000000000::HUGEINT * ({c} + 1)) // ({n} + {v})"
+_APART = "(({p}) - ({q})) * (({p}) - ({q})) // ({q})"
+DIVERGENCE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LETTERS} AS words FROM documents),
+t AS (SELECT rid, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT rid) >= 3),
+langs AS (SELECT lang, sum(c) AS n, count(*) AS v FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN own USING (lang, source) GROUP BY ALL),
+given AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c, {_SHARE.format(c='coalesce(o.c, 0)', n='g.n', v='l.v')} AS p, {_SHARE.format(c='k.c', n='l.n', v='l.v')} AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum({_APART.format(p='a.p', q='b.p')}) AS value FROM given a JOIN given b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, {_APART.format(p='p', q='q')} AS value FROM given WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+_KEYWORDS = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_QUOTED = """["'']?"""
+_ASSIGN = f"({_KEYWORDS}){_QUOTED}\\x20*[:=]\\x20*{_QUOTED}([A-Za-z0-9+/_.=-]+)"
+# kind, pattern, what a match must be
+_KINDS = [
+    ("assign", _ASSIGN, f"length(regexp_extract(m, '{_ASSIGN}', 2)) >= 6"),
+    ("access", "AKIA[A-Z0-9]+", "length(m) >= 20"),
+    ("hex", "[0-9a-f]{24,}", "true"),
+    ("pem", "-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", "true"),
+    ("github", "\\bgh[pousr]_[A-Za-z0-9]{36,}", "true"),
+    ("slack", "\\bxox[abprs]-[A-Za-z0-9-]{10,}", "true"),
+    ("jwt", "\\beyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", "true"),
+]
+# a match begins after the pieces and matches before it
+_FOUND = " UNION ALL ".join(
+    f"SELECT rid, {place} AS place, '{kind}' AS kind, spot, spot + length(m) AS past FROM (SELECT rid, ms[i] AS m, list_sum(list_transform(ps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS spot"
+    f" FROM (SELECT rid, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT rid, regexp_extract_all(text, '{pattern}') AS ms, regexp_split_to_array(text, '{pattern}') AS ps FROM d))) WHERE {test}"
+    for place, (kind, pattern, test) in enumerate(_KINDS)
+)
+_LISTED = "string_agg(kind || ':' || spot::BIGINT || ':' || past::BIGINT, ',' ORDER BY spot, place)"
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents), found AS ({_FOUND}),
+each AS (SELECT rid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c, {_LISTED} FILTER (place < 3) AS base, {_LISTED} AS spans FROM found GROUP BY rid)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob FROM d LEFT JOIN each USING (rid)
+"""
+
+ORACLES = {"op4_warc": WARC, "op6_decontaminate": DECONTAMINATE, "op11_divergence": DIVERGENCE, "op12_secrets": SECRETS}
