@@ -75,4 +75,24 @@ each AS (SELECT rid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (ki
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob FROM d LEFT JOIN each USING (rid)
 """
 
-ORACLES = {"op4_warc": WARC, "op6_decontaminate": DECONTAMINATE, "op11_divergence": DIVERGENCE, "op12_secrets": SECRETS}
+# crc32 by its table of bytes
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_BYTES = "list_transform(range(strlen(word)), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)"
+RESAMPLE = f"""
+WITH tab AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {_CRC_STEP}) AS v FROM (SELECT unnest(range(256)) AS k))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_words('documents')} AS words FROM documents),
+b AS (SELECT unnest({_words('benchmark')}) AS word FROM benchmark),
+dw AS (SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(words) AS word FROM d) GROUP BY ALL),
+hashed AS (SELECT word, xor(list_reduce([4294967295::BIGINT] || {_BYTES}, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM b), tab),
+src AS (SELECT bucket, sum(n) AS s FROM dw JOIN hashed USING (word) GROUP BY bucket),
+tgt AS (SELECT bucket, count(*) AS t FROM b JOIN hashed USING (word) GROUP BY bucket),
+alls AS (SELECT (SELECT coalesce(sum(s), 0) FROM src) + 10000 AS s_all, (SELECT coalesce(sum(t), 0) FROM tgt) + 10000 AS t_all),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * s_all::DOUBLE / ((s + 1)::DOUBLE * t_all::DOUBLE)))::BIGINT AS g FROM src LEFT JOIN tgt USING (bucket), alls),
+total AS (SELECT rid, sum(n * g)::BIGINT AS x, sum(n)::BIGINT AS n FROM dw JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY rid),
+weighed AS (SELECT d.rid, doc_id, coalesce(n, 0) AS n_features, coalesce((x - ((x % n) + n) % n) // n, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN total USING (rid)),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM weighed),
+ranked AS (SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) OVER () AS fit FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * fit // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (rid)
+"""
+
+ORACLES = {"op4_warc": WARC, "op6_decontaminate": DECONTAMINATE, "op11_divergence": DIVERGENCE, "op12_secrets": SECRETS, "op13_resample": RESAMPLE}
