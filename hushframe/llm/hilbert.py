@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .store import new_path, range_bucket, range_edges, written
+from .store import new_path, quoted, range_bucket, range_edges, written
 
 BITS, DIMENSIONS = 4, ("source", "lang", "size", "doc_id")
 #: Buckets within a curve cell by text hash, and those by doc_id that a large group is split into.
@@ -142,7 +142,7 @@ def write_shards(docs: DataFrame, placed: DataFrame, folder: str | None = None,
     text = F.coalesce("text", F.lit(""))
     left = docs.select("*", F.struct("doc_id").alias("_id"), (F.octet_length(text) + 1).cast("long").alias("_size"), F.crc32(text.cast("binary")).alias("_crc")).select("*", number)
     right = placed.select(F.struct("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).select("*", number)
-    out = left.join(right, [*twin, "_nth"]).select(*docs.columns, F.col("_shard").alias("in_shard"), "_slot")
+    out = left.join(right, [*twin, "_nth"]).select(*quoted(docs), F.col("_shard").alias("in_shard"), "_slot")
     out = out.repartitionByRange(max(1, files), "in_shard", "_slot").sortWithinPartitions("in_shard", "_slot").drop("_slot")
     out.write.partitionBy("in_shard").parquet(folder)
     return folder

@@ -246,4 +246,5 @@ def deduplicate(docs: DataFrame, size: int = 5) -> DataFrame:
     keep = named.join(least, "component", "left").where("component_id is null or doc_id = component_id").select("doc_id").distinct()
     # rows of one doc_id may lie in several groups: what any of them keeps stays
     gone = named.select("doc_id").distinct().join(keep, "doc_id", "left_anti").where("doc_id is not null")
-    return docs.join(written(gone, "gone").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    gone = written(gone.withColumnRenamed("doc_id", "_gone"), "gone")
+    return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")

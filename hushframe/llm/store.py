@@ -12,8 +12,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: list[str] = []
@@ -98,11 +99,16 @@ def range_bucket(column, edges: list):
     return halve(0, len(edges)).cast("int")
 
 
-def plain_names(df: DataFrame) -> DataFrame:
-    """``df`` with other names for columns that Python functions cannot take: repeated ones and those with odd characters."""
-    seen: set[str] = set()
+def plain_names(df: DataFrame, taken: Iterable[str] = ()) -> DataFrame:
+    """``df`` with other names for columns that Python functions cannot take: repeated ones, those with odd characters, those ``taken``."""
+    seen = {c.lower() for c in taken}
     names = []
     for i, c in enumerate(df.columns):
         names.append(c if re.fullmatch(r"\w+", c) and c.lower() not in seen else f"_column_{i}")
         seen.add(c.lower())
     return df.toDF(*names)
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever is in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]

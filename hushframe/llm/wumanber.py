@@ -15,9 +15,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from .store import plain_names, written
@@ -115,49 +116,46 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def _later_hits(docs: DataFrame, tables: Broadcast) -> DataFrame:
-    """row (partition and place), spans, items of the documents that a further block of the benchmark hits."""
+def _later_hits(rows: DataFrame, tables: Broadcast) -> DataFrame:
+    """_row, more_spans, more_items of the rows that a further block of the benchmark hits."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             rows, spans, items = [], [], []
-            for text in batch.column("text").to_pylist():
+            for row, text in zip(batch.column("_row").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found, who = _hits(tables.value, words_of(text))
                 if found:
                     rows.append(row)
                     spans.append(_merged(found))
                     items.append(sorted(who))
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], ["row", "more_spans", "more_items"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], ["_row", "more_spans", "more_items"])
 
-    return docs.select("text").mapInArrow(search, "row long, more_spans array<struct<`first`:long,`last`:long>>, more_items array<string>")
+    return rows.select("_row", "text").mapInArrow(search, "_row long, more_spans array<struct<`first`:long,`last`:long>>, more_items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` with n_words, spans (hit ranges of words, merged), items (ids as sorted strings).
 
-    The benchmark is the query set: it is taken in blocks of bounded size, each searched for in all documents.  What later
-    blocks hit is kept by the place of the row in its partition, without its text, and joined in the end.
+    The benchmark is the query set: it is taken in blocks of bounded size, each searched for in all documents.  Where there
+    are several blocks, the documents are stored once with a number for each row; what later blocks hit is kept by that
+    number, without its text, and joined in the end.
     """
     spark = docs.sparkSession
     own = ["n_words", "spans", "items"]
     docs = docs.drop(*own)
-    plain = plain_names(docs)
+    plain = plain_names(docs, taken=[*own, "_row", "more_spans", "more_items"])
     names = plain.columns
-    extra = "`n_words` long, `spans` array<struct<`first`:long,`last`:long>>, `items` array<string>, `_row` long"
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields)
-    first, more = None, []
-    for block in _blocks(benchmark):
-        tables = spark.sparkContext.broadcast([Search(p) for p in windows(block, window)])
-        if first is None:
-            first = tables
-        else:
-            more.append(written(_later_hits(docs, tables), "hits"))
-            tables.unpersist()
+    blocks = (spark.sparkContext.broadcast([Search(p) for p in windows(block, window)]) for block in _blocks(benchmark))
+    first, second = next(blocks), next(blocks, None)
+    rows = plain.withColumn("_row", F.lit(0).cast("long"))
+    more = []
+    if second is not None:
+        rows = written(plain.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    for tables in chain([second], blocks) if second is not None else ():
+        more.append(written(_later_hits(rows, tables), "hits"))
+        tables.unpersist()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             counts, spans, found = [], [], []
             for text in batch.column("text").to_pylist():
@@ -166,15 +164,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
                 counts.append(len(words))
                 spans.append(_merged(hits))
                 found.append(sorted(items))
-            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
-            row += batch.num_rows
-            new = [pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string())), rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *new], [*names, *own, "_row"])
+            new = [pa.array(counts, pa.int64()), pa.array(spans, SPANS), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*names, "_row"]), *new], [*names, "_row", *own])
 
-    out = plain.mapInArrow(search, f"{kinds}, {extra}").toDF(*docs.columns, *own, "_row")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    out = rows.mapInArrow(search, f"{kinds}, `n_words` long, `spans` array<struct<`first`:long,`last`:long>>, `items` array<string>")
     if not more:
-        return out.drop("_row")
-    later = reduce(DataFrame.unionByName, more).groupBy("row").agg(F.flatten(F.collect_list("more_spans")).alias("more_spans"), F.flatten(F.collect_list("more_items")).alias("more_items"))
+        return out.drop("_row").toDF(*docs.columns, *own)
+    later = reduce(DataFrame.unionByName, more).groupBy("_row").agg(F.flatten(F.collect_list("more_spans")).alias("more_spans"), F.flatten(F.collect_list("more_items")).alias("more_items"))
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
     kind = "array<struct<first:bigint,last:bigint>>"
     spans = F.array_sort(F.concat("spans", none(F.col("more_spans"), kind)))
@@ -182,9 +179,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         spans, F.array().cast(kind),
         lambda acc, s: F.when((F.size(acc) > 0) & (s["first"] <= F.element_at(acc, -1)["last"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], s["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(s))),
     )
-    out = out.join(later.withColumnRenamed("row", "_row"), "_row", "left")
     items = F.array_sort(F.array_distinct(F.concat("items", none(F.col("more_items"), "array<string>"))))
-    return out.withColumn("spans", joined).withColumn("items", items).select(*docs.columns, *own)
+    out = out.join(later, "_row", "left").withColumn("spans", joined).withColumn("items", items)
+    return out.select(*names, *own).toDF(*docs.columns, *own)
 
 
 def hit_columns(found: DataFrame) -> DataFrame:

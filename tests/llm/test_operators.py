@@ -481,9 +481,9 @@ def test_equal_texts_stay_together_unless_heavy(spark):
     assert (small.groupby(small.doc_id.map(texts))["shard"].nunique() == 1).all()
 
 
-@pytest.mark.parametrize("name", ["op1_suffix_tree", "op2_token_files", "op3_simhash", "op5_licenses", "op6_decontaminate", "op7_pack", "op8_digest", "op9_quality", "op10_hilbert"])
+@pytest.mark.parametrize("name", ["op1_suffix_tree", "op2_token_files", "op3_simhash", "op4_warc", "op5_licenses", "op6_decontaminate", "op7_pack", "op8_digest", "op9_quality", "op10_hilbert", "op12_secrets", "op13_resample"])
 def test_empty_and_odd_tables(spark, tmp_path, name):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, `bucket` string, size int"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, `bucket` string, `n.x` int"
     odd = [(None, "a b", None, None, None, 1, "x", 1), (1, None, "en", "s", 0, 1, "x", 1), (1, None, "en", "s", 0, 1, "x", 1), (2, "", None, "s", 0, None, None, None), (2, "same doc_id", "en", "s", 0, 1, "x", 1), (3, "a b " * 30_000, "en", "s", 0, 1, "x", 1)]
     bench = spark.createDataFrame([(None, "a b a b a b a b a b"), (1, None), (1, "q")], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0), (2, None, None), (3, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
@@ -492,8 +492,15 @@ def test_empty_and_odd_tables(spark, tmp_path, name):
         spark.createDataFrame(rows, schema).write.parquet(f"{folder}/documents.parquet")
         (bench if rows else bench.limit(0)).write.parquet(f"{folder}/benchmark.parquet")
         (labels if rows else labels.limit(0)).write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(r[0], r[6], r[1], r[7], r[7]) for r in rows], "page_id long, url string, html string, payload_bytes int, `n.x` int").write.parquet(f"{folder}/pages.parquet")
         got = run(name, spark, folder)
-        if name == "op7_pack":  # pieces: as many as the ids of each document ask for
+        if name == "op4_warc":
+            first = {}
+            for i, html in ((r[0], r[1] or "") for r in rows):
+                first[html] = min(first.get(html, i), i, key=lambda x: (x is None, x or 0))
+            assert sorted(got.payload_bytes) == sorted(len((r[1] or "").encode()) for r in rows) and set(got.refers_to.dropna()) <= set(first.values())
+            assert sum(got.record_type == "response") == len(first) + 1 if rows else not len(got)  # the repeated row is a response again
+        elif name == "op7_pack":  # pieces: as many as the ids of each document ask for
             t = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
             want = sum(-(-(len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1) // 4096) for r in rows)
             assert len(got) == want and got.length.sum() == sum(len(t.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in rows)

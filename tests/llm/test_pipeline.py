@@ -144,3 +144,10 @@ def test_empty_and_null_documents(spark, sf, rows):
         docs = stage(spark, docs, sf)
     assert docs.count() <= len(rows)
     assert simhash.near_groups(table(spark, rows)).count() == len(rows)
+
+
+def test_near_duplicate_stage_keeps_odd_columns_in_order(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(5, text, 2), (1, text, 1), (1, text, 7), (None, text, 3), (9, "z " * 60_000, 4)], "doc_id long, text string, `n.x` int")
+    got = neardup.deduplicate(df.select("`n.x`", "doc_id", "text"))
+    assert got.columns == ["n.x", "doc_id", "text"] and sorted(r[0] for r in got.collect()) == [1, 3, 4, 7]
