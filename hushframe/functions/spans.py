@@ -5,12 +5,19 @@ Offsets count code points from 0; spans are half-open.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 SPAN = "array<struct<value:string,start:int,end:int>>"
 DETECTION = "array<struct<type:string,value:string,start:int,end:int,confidence:double,source:string>>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once: expressions that name it several times do not repeat its tree."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def find_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """value, start and end of every match of a Java pattern, or of one of its groups, in order.
 

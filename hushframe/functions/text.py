@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -70,16 +71,20 @@ STAND_INS: dict[str, tuple[str, int, int, str]] = {
 POOLS = {"PERSON": ("Person", PERSONS), "ORGANIZATION": ("Organization", ORGANIZATIONS), "LOCATION": ("Location", LOCATIONS)}
 
 
+def _literals(values: Iterable[str | int]) -> Column:
+    return F.expr("array(" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "\\'") + "'" for v in values) + ")")
+
+
 def stand_in(kind: Column, number: Column) -> Column:
     """The stand-in value number ``number`` (1 at least) of a type; unknown types have a general one."""
     n = F.greatest(F.lit(1), number).cast("int")
-    out = F.concat(F.lit("SensitiveValue"), n.cast("string"))
-    for name, (before, least, plus, after) in STAND_INS.items():
-        figure = (n + F.lit(plus)).cast("string")
-        figure = F.when(F.length(figure) < least, F.lpad(figure, least, "0")).otherwise(figure)
-        out = F.when(kind == name, F.concat(F.lit(before), figure, F.lit(after))).otherwise(out)
+    before, least, plus, after = (_literals(x) for x in zip(*STAND_INS.values(), strict=True))
+    at = (F.array_position(_literals(STAND_INS), kind) - 1).cast("int")  # -1, and so null, where it has none
+    figure = (n + F.get(plus, at)).cast("string")
+    padded = F.lpad(figure, F.greatest(F.get(least, at), F.length(figure)), F.lit("0"))
+    out = F.coalesce(F.concat(F.get(before, at), padded, F.get(after, at)), F.concat(F.lit("SensitiveValue"), n.cast("string")))
     for name, (label, pool) in POOLS.items():
-        picked = F.coalesce(F.get(F.array(*map(F.lit, pool)), n - 1), F.concat(F.lit(label + " "), n.cast("string")))
+        picked = F.coalesce(F.get(_literals(pool), n - 1), F.concat(F.lit(label + " "), n.cast("string")))
         out = F.when(kind == name, picked).otherwise(out)
     return out
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import patterns as P
-from ..functions.spans import DETECTION, by_start, contains_span, find_spans, occurrences, overlaps, splice
+from ..functions import patterns as P, scan
+from ..functions.known import put_out
+from ..functions.spans import DETECTION, bound, by_start, contains_span, find_spans, occurrences, overlaps, splice
 from ..functions.text import luhn, phone_digits, stand_in, stand_in_pattern
 
 # Priority of types in overlaps; others have ten times their confidence.
@@ -72,8 +73,8 @@ def merge_detections(found: Column) -> Column:
 
 
 def detections(text: Column) -> Column:
-    """The settled detections of a text."""
-    return merge_detections(raw_detections(text))
+    """The settled detections of a text, by one pass of all detectors over a batch of texts."""
+    return scan.detections(text, PRIORITY)
 
 
 def protected_spans(text: Column) -> Column:
@@ -82,16 +83,15 @@ def protected_spans(text: Column) -> Column:
     free = lambda spans, held, back=0: F.filter(spans, lambda s: ~F.exists(held, lambda h: contains_span(h, s["start"] - back, s["end"] - back)))
     urls = _where(text.rlike(r"(?i)://|www\."), as_type(find_spans(text, P.java(P.URL, True)), "URL"), PROTECTED)
     links = _where(F.contains(text, F.lit("://")), as_type(find_spans(text, P.java(P.CONNECTION_STRING, True)), "CONNECTION_STRING"), PROTECTED)
-    held = F.concat(urls, free(links, urls))
-    paths = F.filter(find_spans(text, P.java(P.FILE_PATH), 1), lambda s: (F.length(s["value"]) >= 5) & ~s["value"].rlike(r"//|@|\.com|\.org"))
     # a path is looked for among earlier spans from the white space before it
     lead = lambda s: F.when(s["start"] > 0, 1).otherwise(0)
-    paths = F.filter(paths, lambda s: ~F.exists(held, lambda h: contains_span(h, s["start"] - lead(s), s["end"] - lead(s))))
-    held = F.concat(held, _where(F.contains(text, F.lit("/")), as_type(paths, "FILE_PATH"), PROTECTED))
+    paths = F.filter(find_spans(text, P.java(P.FILE_PATH), 1), lambda s: (F.length(s["value"]) >= 5) & ~s["value"].rlike(r"//|@|\.com|\.org"))
+    apart = lambda held: F.filter(paths, lambda s: ~F.exists(held, lambda h: contains_span(h, s["start"] - lead(s), s["end"] - lead(s))))
     blocks = _where(F.contains(text, F.lit("```")), as_type(find_spans(text, P.java(P.CODE_BLOCK)), "CODE_BLOCK"), PROTECTED)
-    held = F.concat(held, blocks)
     ticks = _where(F.contains(text, F.lit("`")), as_type(find_spans(text, P.java(P.INLINE_CODE)), "INLINE_CODE"), PROTECTED)
-    return by_start(F.concat(held, free(ticks, held)))
+    with_links = bound(urls, lambda held: F.concat(held, free(links, held)))
+    with_paths = bound(with_links, lambda held: F.concat(held, _where(F.contains(text, F.lit("/")), as_type(apart(held), "FILE_PATH"), PROTECTED), blocks))
+    return by_start(bound(with_paths, lambda held: F.concat(held, free(ticks, held))))
 
 
 def inner_secrets(span: Column) -> Column:
@@ -107,15 +107,19 @@ def inner_secrets(span: Column) -> Column:
 
 def should_redact(d: Column, spans: Column) -> Column:
     """The default policy for a detection among the protected spans of its text."""
-    parent = F.get(F.filter(spans, lambda s: contains_span(s, d["start"], d["end"])), 0)
-    exact = F.exists(inner_secrets(parent), lambda s: (s["start"] == d["start"]) & (s["end"] == d["end"]))
-    inside = d["type"].isin(CREDENTIALS) | F.coalesce(exact, F.lit(False))
     outside = (
         F.when(d["type"].isin(SENSITIVE), True)
         .when(d["type"] == "IP_ADDRESS", (d["confidence"] >= CONFIDENT) & ~d["value"].rlike(PRIVATE_ADDRESS))
         .otherwise(d["confidence"] >= CONFIDENT)
     )
-    return F.when(F.trim(d["value"]).isin(P.PUBLIC_TERMS), False).when(parent.isNotNull(), inside).otherwise(outside)
+
+    def policy(parent: Column) -> Column:
+        exact = F.exists(inner_secrets(parent), lambda s: (s["start"] == d["start"]) & (s["end"] == d["end"]))
+        inside = d["type"].isin(CREDENTIALS) | F.coalesce(exact, F.lit(False))
+        return F.when(parent.isNotNull(), inside).otherwise(outside)
+
+    parents = F.filter(spans, lambda s: contains_span(s, d["start"], d["end"]))
+    return F.when(F.trim(d["value"]).isin(P.PUBLIC_TERMS), False).otherwise(bound(F.get(parents, 0), policy))
 
 
 def should_redact_strict(d: Column, spans: Column, threshold: float = 0.65) -> Column:
@@ -129,16 +133,15 @@ def classified(found: Column, spans: Column) -> Column:
     return F.transform(found, lambda d: d.withField("action", F.when(should_redact(d, spans), "redact").otherwise("keep")))
 
 
-def free_stand_in(text: Column, kind: Column, number: Column, taken: Column) -> Column:
-    """The first stand-in from ``number`` on that neither the text holds, whatever its case, nor a replacement uses.
+def free_stand_in(low: Column, kind: Column, number: Column, taken: Column) -> Column:
+    """The first stand-in from ``number`` on that neither the text (``low``: in lower case) holds, nor a replacement uses.
 
     It is an error if 1024 in a row are taken: a text must not go on without one.
     """
-    low = F.lower(text)
-    made = F.transform(F.sequence(number, number + 1023), lambda n: stand_in(kind, n))
     unused = lambda c: ~F.contains(low, F.lower(c)) & ~F.exists(taken, lambda r: r["replacement"] == c)
-    first = stand_in(kind, number)
-    return F.when(unused(first), first).otherwise(F.coalesce(F.get(F.filter(made, unused), 0), F.raise_error(F.lit("DUMMY_ALLOCATION_EXHAUSTED")).cast("string")))
+    none = F.raise_error(F.lit("DUMMY_ALLOCATION_EXHAUSTED")).cast("string")
+    later = lambda n: F.coalesce(F.get(F.filter(F.transform(F.sequence(n, n + 1023), lambda i: stand_in(kind, i)), unused), 0), none)
+    return bound(number, lambda n: bound(stand_in(kind, n), lambda first: F.when(unused(first), first).otherwise(later(n))))
 
 
 def _replacement(s: Column, value: Column, replacement: Column, reason: str) -> Column:
@@ -148,34 +151,59 @@ def _replacement(s: Column, value: Column, replacement: Column, reason: str) ->
 def redaction_plan(text: Column, found: Column, spans: Column) -> Column:
     """Replacements: secrets inside protected spans first, then detections, numbered by type."""
 
-    def policy(kept: Column, s: Column) -> Column:
+    def policy(low: Column, kept: Column, s: Column) -> Column:
         again = F.exists(kept, lambda r: (r["start"] == s["start"]) & (r["end"] == s["end"]))
         number = F.size(F.filter(kept, lambda r: r["type"] == s["type"])) + 1
-        new = _replacement(s, s["value"], free_stand_in(text, F.lit("API_KEY"), number, kept), "policy")
+        new = _replacement(s, s["value"], free_stand_in(low, F.lit("API_KEY"), number, kept), "policy")
         return F.when(again, kept).otherwise(F.concat(kept, F.array(new)))
 
-    def detector(kept: Column, d: Column) -> Column:
+    def detector(low: Column, kept: Column, d: Column) -> Column:
         again = F.exists(kept, lambda r: (r["start"] == d["start"]) & (r["end"] == d["end"]))
         number = F.size(F.filter(kept, lambda r: (r["type"] == d["type"]) & (r["reason"] == "detector"))) + 1
-        new = _replacement(d, d["value"], free_stand_in(text, d["type"], number, kept), "detector")
+        new = _replacement(d, d["value"], free_stand_in(low, d["type"], number, kept), "detector")
         return F.when(again, kept).otherwise(F.concat(kept, F.array(new)))
 
-    inner = F.flatten(F.transform(spans, inner_secrets))
-    by_policy = F.aggregate(inner, F.array().cast(REPLACEMENT), policy)
-    return F.aggregate(F.filter(found, lambda d: should_redact(d, spans)), by_policy, detector)
+    def plan(low: Column) -> Column:
+        inner = F.flatten(F.transform(spans, inner_secrets))
+        by_policy = F.aggregate(inner, F.array().cast(REPLACEMENT), lambda kept, s: policy(low, kept, s))
+        return F.aggregate(F.filter(found, lambda d: should_redact(d, spans)), by_policy, lambda kept, d: detector(low, kept, d))
+
+    # the lowered text is made once and named by the lambda; most texts need none
+    none = (F.size(found) == 0) & (F.size(F.filter(spans, lambda s: s["type"].isin("URL", "CONNECTION_STRING"))) == 0)
+    return F.when(none, F.array().cast(REPLACEMENT)).otherwise(F.get(F.transform(F.array(F.lower(text)), plan), 0))
 
 
 def strict_plan(text: Column, found: Column, spans: Column, threshold: float = 0.65) -> Column:
-    """Replacements under the strict policy: overlaps skipped, one stand-in for each value whatever its case."""
+    """Replacements under the strict policy: overlaps skipped, one stand-in for each value whatever its case.
 
-    def step(kept: Column, d: Column) -> Column:
+    Different values are numbered once each, by the type that each has first; their occurrences look the stand-in up.
+    """
+    item = "struct<start:int,end:int,original:string,folded:string,type:string>"
+
+    def free(acc: Column, d: Column) -> Column:
         value = F.substring(text, d["start"] + 1, d["end"] - d["start"])
-        same = F.get(F.filter(kept, lambda r: F.lower(r["original"]) == F.lower(value)), 0)["replacement"]
-        number = F.size(F.array_distinct(F.transform(F.filter(kept, lambda r: r["type"] == d["type"]), lambda r: r["replacement"]))) + 1
-        new = _replacement(d, value, F.coalesce(same, free_stand_in(text, d["type"], number, kept)), "strict")
-        return F.when(F.exists(kept, lambda r: overlaps(r, d)), kept).otherwise(F.concat(kept, F.array(new)))
+        new = F.struct(d["start"].alias("start"), d["end"].alias("end"), value.alias("original"), F.lower(value).alias("folded"), d["type"].alias("type"))
+        # spans come by their starts: one that begins before the end of those kept overlaps one of them
+        return F.when(d["start"] < acc["past"], acc).otherwise(F.struct(d["end"].alias("past"), F.concat(acc["kept"], F.array(new)).alias("kept")))
+
+    wanted = F.filter(found, lambda d: should_redact_strict(d, spans, threshold))
+    kept = F.aggregate(wanted, F.struct(F.lit(-1).alias("past"), F.array().cast(f"array<{item}>").alias("kept")), free, lambda acc: acc["kept"])
+    named = "array<struct<folded:string,type:string,replacement:string>>"
+
+    def number(low: Column, names: Column, x: Column) -> Column:
+        first = F.size(F.filter(names, lambda r: r["type"] == x["type"])) + 1
+        return F.concat(names, F.array(F.struct(x["folded"].alias("folded"), x["type"].alias("type"), free_stand_in(low, x["type"], first, names).alias("replacement"))))
 
-    return F.aggregate(F.filter(found, lambda d: should_redact_strict(d, spans, threshold)), F.array().cast(REPLACEMENT), step)
+    def plan(kept: Column, low: Column) -> Column:
+        folded = F.transform(kept, lambda x: x["folded"])
+        firsts = F.transform(F.array_distinct(folded), lambda v: F.element_at(kept, F.array_position(folded, v).cast("int")))
+        names = F.aggregate(firsts, F.array().cast(named), lambda acc, x: number(low, acc, x))
+        look_up = lambda of, x: F.element_at(F.filter(of, lambda r: r["folded"] == x["folded"]), 1)["replacement"]
+        return F.get(F.transform(F.array(names), lambda of: F.transform(kept, lambda x: _replacement(x, x["original"], look_up(of, x), "strict"))), 0)
+
+    # kept and the lowered text are made once and named by the lambda
+    once = F.array(F.struct(kept.alias("kept"), F.lower(text).alias("low")))
+    return F.get(F.transform(once, lambda o: plan(o["kept"], o["low"])), 0).cast(REPLACEMENT)
 
 
 def session_entries(plan: Column) -> Column:
@@ -189,12 +217,18 @@ def session_entries(plan: Column) -> Column:
 
 
 def sanitize(df: DataFrame, column: str = "text", strict: bool = False, threshold: float = 0.65) -> DataFrame:
-    """``df`` with protected, detections, plan, sanitized and session (placeholder, original) of a text column."""
+    """``df`` with protected, detections, plan, sanitized and session (placeholder, original) of a text column.
+
+    Strictly, the session is applied to the whole text: a value that was detected once is put out wherever the text has it,
+    whatever its case.  ``error_code`` says where that is ambiguous; such a text has no sanitized form.
+    """
     text = F.col(column)
     out = df.withColumn("protected", protected_spans(text)).withColumn("detections", detections(text))
     plan = strict_plan(text, F.col("detections"), F.col("protected"), threshold) if strict else redaction_plan(text, F.col("detections"), F.col("protected"))
-    out = out.withColumn("plan", plan)
-    return out.withColumn("sanitized", splice(text, F.col("plan"))).withColumn("session", session_entries(F.col("plan")))
+    out = out.withColumn("plan", plan).withColumn("session", session_entries(F.col("plan")))
+    if not strict:
+        return out.withColumn("sanitized", splice(text, F.col("plan")))
+    return put_out(out, column, "session")
 
 
 def restore(text: Column, session: Column) -> Column:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import identity as I
+from ..functions.known import KnownValues, fold, put_out
 from ..functions.spans import occurrences
 
 # Names that no placeholder may have, and error codes.
@@ -97,61 +98,84 @@ def rebased(additions: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return done.unionByName(wrong.select(key, none("ord", "long"), none("placeholder", "string"), none("original", "string"), none("target", "string"), none("added", "boolean"), "error_code"))
 
 
-class KnownValues:
-    """Puts placeholders in for the originals of a session, whatever their case; placeholders in the text stay as they are."""
+#: Known values put out of a text column by a session column of the same row.
+sanitize_known = put_out
 
-    def __init__(self, session: list[tuple[str, str]]):
-        """``session``: placeholder and original, in order."""
-        self.exact: dict[str, str] = {}
-        self.folded: dict[str, list[str]] = {}
-        for placeholder, _ in session:
-            self._add(placeholder, placeholder)
-        for placeholder, original in session:
-            if original not in self.exact:
-                self._add(original, placeholder)
-        values = sorted(self.exact, key=lambda v: (-len(v), v))
-        self.find = re.compile("|".join(map(re.escape, values)), re.IGNORECASE) if values else None
 
-    def _add(self, value: str, target: str) -> None:
-        if value not in self.exact:
-            self.exact[value] = target
-            self.folded.setdefault(value.lower(), []).append(target)
+_HELD = "array<struct<ord:bigint,placeholder:string,original:string,n:int,first:int>>"
+_HELD_ARROW = pa.list_(pa.struct([("ord", pa.int64()), ("placeholder", pa.string()), ("original", pa.string()), ("n", pa.int32()), ("first", pa.int32())]))
 
-    def __call__(self, text: str) -> tuple[str | None, str | None]:
-        """The text and no error, or no text and why: a value that two originals match apart from case."""
-        clash = False
 
-        def swap(m: re.Match) -> str:
-            nonlocal clash
-            if (target := self.exact.get(m[0])) is not None:
-                return target
-            found = self.folded.get(m[0].lower(), [])
-            clash |= len(found) != 1
-            return found[0] if found else m[0]
+def beside_session(rows: DataFrame, entries: DataFrame, key: str, column: str) -> DataFrame:
+    """``rows`` with what the session of their ``key`` knows of a text column: sanitized, error_code, held, session_size.
 
-        out = self.find.sub(swap, text) if self.find else text
-        return (None, "AMBIGUOUS_KNOWN_VALUE") if clash else (out, None)
+    ``entries``: key, ord, placeholder, original.  ``held``: each entry whose original the text holds, whatever its case, with
+    the number of its occurrences (those that overlap not counted twice) and the first of them (from 0).
 
+    Entries and rows meet in sorted partitions, the entries of a session before its rows, so that the automaton of a session
+    is built once and no row carries the session.  Sessions with more rows than an even share are dealt over all
+    partitions, each with the entries; there are fewer such sessions than partitions.
 
-def sanitize_known(df: DataFrame, column: str, session: str) -> DataFrame:
-    """``df`` with ``sanitized`` and ``error_code``: the known values of a session column put out of a text column.
-
-    ``session``: array of structs with placeholder and original, in order.  A null text stays null.
+    Cases: a null text is sanitized to null and holds nothing; rows without a session, or with a null key, know nothing;
+    entries with an empty side or equal sides are no entries.
     """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    share = rows.count() // n + 1
+    hot = F.broadcast(counts.where(F.col("count") > share).select(F.col(key).alias("_hot")))
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in rows.columns]
+    spread = F.pmod(F.xxhash64(*(c for c, (_, kind) in zip(own, rows.dtypes, strict=True) if "map<" not in kind and kind != "variant")), F.lit(n)).cast("int")
+    dealt = rows.join(hot, rows[key] == F.col("_hot"), "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    row = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(own)))
+    dealt = dealt.select(
+        F.col(key).alias("_key"), F.when(F.col("_hot").isNotNull(), spread).otherwise(0).alias("_part"), F.lit(1).alias("_kind"), none("long").alias("_ord"),
+        none("string").alias("_placeholder"), none("string").alias("_original"), F.col(column).alias("_text"), row.alias("_row"),
+    )
+    known = entries.where(F.col(key).isNotNull() & (F.col("placeholder") != "") & (F.col("original") != "") & (F.col("placeholder") != F.col("original")))
+    known = known.join(hot, known[key] == F.col("_hot"), "left")
+    parts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    known = known.select(
+        F.col(key).alias("_key"), F.explode(parts).alias("_part"), F.lit(0).alias("_kind"), F.col("ord").cast("long").alias("_ord"),
+        F.col("placeholder").alias("_placeholder"), F.col("original").alias("_original"), none("string").alias("_text"), none(dealt.schema["_row"].dataType).alias("_row"),
+    )
+    both = dealt.unionByName(known).repartition("_key", "_part").sortWithinPartitions("_key", "_part", "_kind", "_ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, known = None, KnownValues([])
+        at, session, known, of = None, [], None, {}
         for batch in batches:
-            out = []
-            for text, own in zip(batch.column(column).to_pylist(), batch.column(session).to_pylist(), strict=True):
-                if own != last:
-                    last, known = own, KnownValues([(e["placeholder"], e["original"]) for e in own or () if e["placeholder"] and e["original"] and e["placeholder"] != e["original"]])
-                out.append((None, None) if text is None else known(text))
-            texts, errors = zip(*out, strict=True) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], [*batch.schema.names, "sanitized", "error_code"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}, sanitized string, error_code string")
+            keep, sanitized, errors, held, sizes = [], [], [], [], []
+            columns = (batch.column(c).to_pylist() for c in ("_key", "_part", "_kind", "_ord", "_placeholder", "_original", "_text"))
+            for i, (key, part, kind, number, placeholder, original, text) in enumerate(zip(*columns, strict=True)):
+                if at != (key, part):
+                    at, session, known = (key, part), [], None
+                if not kind:
+                    session.append((number, placeholder, original))
+                    continue
+                if known is None:
+                    known, of = KnownValues([x[1:] for x in session]), {}
+                    for x in session:
+                        of.setdefault(fold(x[2]), []).append(x)
+                keep.append(i)
+                done = (None, None) if text is None else known(text)
+                sanitized.append(done[0])
+                errors.append(done[1])
+                sizes.append(len(session))
+                found: dict[str, list[int]] = {}  # count, first, end of the last counted
+                folded = fold(text or "")
+                for a, b in known.all(folded):
+                    if (value := folded[a:b]) in of:
+                        seen = found.setdefault(value, [0, a, 0])
+                        if a >= seen[2]:
+                            seen[0], seen[2] = seen[0] + 1, b
+                held.append(sorted((*x, n, first) for value, (n, first, _) in found.items() for x in of[value]))
+            names = ("ord", "placeholder", "original", "n", "first")
+            lists = pa.array([[dict(zip(names, x, strict=True)) for x in own] for own in held], _HELD_ARROW)
+            rows = batch.column("_row").take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(sanitized, pa.string()), pa.array(errors, pa.string()), lists, pa.array(sizes, pa.int32())], ["_row", "sanitized", "error_code", "held", "session_size"])
+
+    out = both.mapInArrow(run, f"_row {dealt.schema['_row'].dataType.simpleString()}, sanitized string, error_code string, held {_HELD}, session_size int")
+    return out.select(*(F.col(f"_row.c{i}") for i in range(len(own))), "sanitized", "error_code", "held", "session_size").toDF(*rows.columns, "sanitized", "error_code", "held", "session_size")
 
 
 # What a model may call a span, and how many and how long spans may be.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import identity as I, patterns as P
-from ..functions.spans import find_spans, occurrences
+from ..functions.spans import find_spans
 from ..functions.text import estimated_tokens, is_vague, looks_like_secret, luhn, secret_type, stand_in
 from ..operators import privacy as V, sessions as M
 from .registry import Tables, query
@@ -113,22 +113,30 @@ def sanitize(t: Tables) -> DataFrame:
     return done.select("doc_id", "sanitized", F.size("plan").alias("n_replacements"), F.to_json("session").alias("session"))
 
 
-@query("sanitize_round_trip", "SELECT doc_id, text AS restored FROM documents")
+_EMAIL = P.DETECTORS[0]
+_EMAILS_SQL = f"len(list_distinct(list_transform(regexp_extract_all(text, {P.duckdb(_EMAIL.pattern, True)}), lambda e: lower(e))))::INT AS n_emails"
+
+
+def _emails(plan: str) -> Column:
+    """How many different addresses a plan replaces."""
+    return F.size(F.array_distinct(F.transform(F.filter(plan, lambda r: r["type"] == "EMAIL"), lambda r: F.lower(r["original"])))).alias("n_emails")
+
+
+@query("sanitize_round_trip", f"SELECT doc_id, text AS restored, 0 AS n_left, {_EMAILS_SQL} FROM documents")
 def sanitize_round_trip(t: Tables) -> DataFrame:
-    """Sanitised and restored documents."""
+    """Sanitised and restored documents, the addresses that were replaced, and those that the sanitised text still holds."""
     done = V.sanitize(t.documents)
-    return done.select("doc_id", V.restore(F.col("sanitized"), F.col("session")).alias("restored"))
+    left = F.size(F.filter("plan", lambda r: (r["type"] == "EMAIL") & F.contains(F.col("sanitized"), r["original"])))
+    return done.select("doc_id", V.restore(F.col("sanitized"), F.col("session")).alias("restored"), left.alias("n_left"), _emails("plan"))
 
 
-@query("sanitize_strict_round_trip", "SELECT doc_id, text AS restored, 0 AS n_leaks FROM documents")
+@query("sanitize_strict_round_trip", f"SELECT doc_id, lower(text) AS restored, 0 AS n_leaks, {_EMAILS_SQL} FROM documents")
 def sanitize_strict_round_trip(t: Tables) -> DataFrame:
-    """Strictly sanitised documents: restored text, and originals that are left in the sanitised text at their places."""
+    """Strictly sanitised documents: restored text (in lower case, as one original stands for all its spellings), the originals
+    that the whole sanitised text still holds, whatever their case, and the addresses that were replaced."""
     done = V.sanitize(t.documents, strict=True, threshold=0.85)
-    at_places = F.size(F.filter("plan", lambda r: F.contains(r["replacement"], r["original"])))
-    return done.select("doc_id", V.restore(F.col("sanitized"), F.col("session")).alias("restored"), at_places.alias("n_leaks"))
-
-
-_EMAIL = P.DETECTORS[0]
+    left = F.size(V.leaks(F.col("sanitized"), F.col("session")))
+    return done.select("doc_id", F.lower(V.restore(F.col("sanitized"), F.col("session"))).alias("restored"), left.alias("n_leaks"), _emails("plan"))
 
 
 @query(
@@ -338,11 +346,6 @@ def session_normalize(t: Tables) -> DataFrame:
     return folded.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_values"), F.sum("spellings").alias("n_entries"), F.sum((F.col("spellings") > 1).cast("long")).alias("n_folded"))
 
 
-def _session(t: Tables) -> DataFrame:
-    """One row a conversation: its entries as an array, in order."""
-    return entries(t).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("ord", "placeholder", "original"))).alias("session"))
-
-
 @query(
     "session_inheritance",
     f"""WITH {_ENTRIES_SQL}, p AS (SELECT DISTINCT conv_id, conv_id - 1 AS parent FROM entries WHERE conv_id % 3 = 1)
@@ -357,17 +360,20 @@ def session_inheritance(t: Tables) -> DataFrame:
     return new.groupBy("conv_id").agg(F.count(F.lit(1)).alias("inherited"), F.countDistinct(F.lower("original")).alias("values"))
 
 
-def _with_session(t: Tables) -> DataFrame:
-    return t.conversations.join(_session(t), "conv_id")
+def _beside(t: Tables) -> DataFrame:
+    """Turns with what the session of their conversation knows of them."""
+    return M.beside_session(t.conversations, entries(t), "conv_id", "text")
 
 
-@query("session_round_trip", f"WITH {_ENTRIES_SQL} SELECT conv_id, turn, text AS restored, 0 AS n_leaks FROM conversations WHERE conv_id IN (SELECT conv_id FROM entries)")
+@query(
+    "session_round_trip",
+    f"""WITH {_ENTRIES_SQL}, h AS (SELECT c.conv_id, c.turn, count(*) AS n FROM conversations c JOIN entries e ON c.conv_id = e.conv_id AND contains(lower(c.text), lower(e.original)) GROUP BY ALL)
+    SELECT conv_id, turn, text AS restored, 0 AS n_leaks, coalesce(n, 0)::INT AS n_held FROM conversations LEFT JOIN h USING (conv_id, turn)""",
+)
 def session_round_trip(t: Tables) -> DataFrame:
-    """Known values put out of turns and back in; what is left of them in between."""
-    known = F.transform("session", lambda e: F.struct(e["original"].alias("placeholder"), e["placeholder"].alias("original")))
-    safe = _with_session(t).select("conv_id", "turn", "session", V.restore(F.col("text"), known).alias("safe"))
-    exact = F.size(F.filter("session", lambda e: F.contains(F.col("safe"), e["original"])))
-    return safe.select("conv_id", "turn", V.restore(F.col("safe"), F.col("session")).alias("restored"), exact.alias("n_leaks"))
+    """Known values put out of turns and back in; what is left of them in between, whatever its case."""
+    safe, held = F.col("sanitized"), F.col("held")
+    return _beside(t).select("conv_id", "turn", V.restore(safe, held).alias("restored"), F.size(V.leaks(safe, held)).alias("n_leaks"), F.size(held).alias("n_held"))
 
 
 @query(
@@ -376,8 +382,7 @@ def session_round_trip(t: Tables) -> DataFrame:
 )
 def session_relevant(t: Tables) -> DataFrame:
     """Entries of a session that a turn holds, whatever their case."""
-    rows = t.conversations.join(entries(t), "conv_id").where(F.contains(F.lower("text"), F.lower("original")))
-    return rows.select("conv_id", "turn", "placeholder", "original")
+    return _beside(t).select("conv_id", "turn", F.explode("held").alias("e")).select("conv_id", "turn", "e.placeholder", "e.original")
 
 
 @query(
@@ -386,8 +391,7 @@ def session_relevant(t: Tables) -> DataFrame:
 )
 def session_leaks(t: Tables) -> DataFrame:
     """Protected originals that unsanitised turns hold."""
-    rows = _with_session(t).select("conv_id", "turn", F.size(V.leaks(F.col("text"), F.col("session"))).cast("long").alias("leak_count"))
-    return rows.where("leak_count > 0")
+    return _beside(t).where(F.size("held") > 0).select("conv_id", "turn", F.size(F.array_distinct(F.transform("held", lambda e: e["original"]))).cast("long").alias("leak_count"))
 
 
 @query(
@@ -396,8 +400,7 @@ def session_leaks(t: Tables) -> DataFrame:
 )
 def session_detections(t: Tables) -> DataFrame:
     """How often turns hold the values of their session, whatever their case."""
-    rows = t.conversations.join(entries(t), "conv_id")
-    return rows.select("conv_id", "turn", "original", F.size(occurrences(F.lower("text"), F.lower("original"))).cast("long").alias("n")).where("n > 0")
+    return _beside(t).select("conv_id", "turn", F.explode("held").alias("e")).select("conv_id", "turn", "e.original", F.col("e.n").cast("long").alias("n"))
 
 
 @query(
@@ -408,35 +411,49 @@ def session_detections(t: Tables) -> DataFrame:
 def session_orientation(t: Tables) -> DataFrame:
     """Entries that came the wrong way round are turned by what the original text holds."""
     swap = F.col("ord") % 4 == 0
-    rows = entries(t).select("conv_id", F.when(swap, F.col("original")).otherwise(F.col("placeholder")).alias("k"), F.when(swap, F.col("placeholder")).otherwise(F.col("original")).alias("v"))
-    texts = t.conversations.groupBy("conv_id").agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")).alias("a"))
-    in_text = lambda c: F.contains(F.col("a"), F.lower(c))
-    both = rows.join(texts, "conv_id").where(in_text("v") | in_text("k"))
-    pick = lambda a, b: F.when(in_text("v"), F.col(a)).otherwise(F.col(b))
-    return both.select("conv_id", pick("k", "v").alias("placeholder"), pick("v", "k").alias("original"))
+    rows = entries(t).select("conv_id", "ord", F.when(swap, F.col("original")).otherwise(F.col("placeholder")).alias("k"), F.when(swap, F.col("placeholder")).otherwise(F.col("original")).alias("v"))
+    rows = rows.withColumn("ord", F.col("ord") * 2)
+    sides = [rows.select("conv_id", (F.col("ord") + i).alias("ord"), F.lit("[SIDE]").alias("placeholder"), F.col(c).alias("original")) for i, c in enumerate("vk")]
+    held = M.beside_session(t.conversations.select("conv_id", "text"), sides[0].unionByName(sides[1]), "conv_id", "text")
+    held = held.select("conv_id", F.explode("held.ord").alias("side")).groupBy("conv_id", (F.col("side") - F.col("side") % 2).alias("ord")).agg(F.bool_or(F.col("side") % 2 == 0).alias("by_v"))
+    pick = lambda a, b: F.when(F.col("by_v"), F.col(a)).otherwise(F.col(b))
+    return rows.join(held, ["conv_id", "ord"]).select("conv_id", pick("k", "v").alias("placeholder"), pick("v", "k").alias("original"))
+
+
+_REST_SQL = "(SELECT c.conv_id, c.turn, count(e.ord) FILTER (NOT contains(lower(c.text), lower(e.original))) AS n FROM conversations c LEFT JOIN entries e USING (conv_id) GROUP BY ALL)"
+
+
+def _rest(beside: DataFrame) -> DataFrame:
+    """How many entries of its session a turn does not hold."""
+    return beside.select("conv_id", "turn", (F.col("session_size") - F.size("held")).cast("long").alias("n"))
 
 
 @query(
     "session_valid_entries",
-    f"WITH {_ENTRIES_SQL} SELECT e.conv_id, t.turn, e.placeholder, contains(lower(t.text), lower(e.original)) AND length(e.original) <= 512 AND NOT (length(e.original) > 80 AND length(e.original) > length(t.text) * 0.35) AS valid FROM entries e JOIN conversations t USING (conv_id)",
+    f"""WITH {_ENTRIES_SQL} SELECT e.conv_id, t.turn, e.placeholder, length(e.original) <= 512 AND NOT (length(e.original) > 80 AND length(e.original) > length(t.text) * 0.35) AS valid, 1 AS n FROM entries e JOIN conversations t ON e.conv_id = t.conv_id AND contains(lower(t.text), lower(e.original))
+    UNION ALL SELECT conv_id, turn, NULL, false, n FROM {_REST_SQL}""",
 )
 def session_valid_entries(t: Tables) -> DataFrame:
-    """Entries that a turn supports: held by it, on one line, not too long."""
-    o, x = F.col("original"), F.col("text")
-    rows = entries(t).join(t.conversations.select("conv_id", "turn", "text"), "conv_id")
-    valid = F.contains(F.lower(x), F.lower(o)) & ~o.rlike("[\\r\\n]") & (F.length(o) <= 512) & ~((F.length(o) > 80) & (F.length(o) > F.length(x) * 0.35))
-    return rows.select("conv_id", "turn", "placeholder", valid.alias("valid"))
+    """Entries that a turn holds, and whether it supports them: on one line, not too long; the number of those that it does not hold."""
+    beside = _beside(t)
+    o, x = F.col("e.original"), F.col("text")
+    valid = ~o.rlike("[\\r\\n]") & (F.length(o) <= 512) & ~((F.length(o) > 80) & (F.length(o) > F.length(x) * 0.35))
+    held = beside.select("conv_id", "turn", "text", F.explode("held").alias("e")).select("conv_id", "turn", "e.placeholder", valid.alias("valid"), F.lit(1).cast("long").alias("n"))
+    return held.unionByName(_rest(beside).select("conv_id", "turn", F.lit(None).cast("string").alias("placeholder"), F.lit(False).alias("valid"), "n"))
 
 
 @query(
     "session_casing",
-    f"WITH {_ENTRIES_SQL} SELECT e.conv_id, t.turn, e.placeholder, CASE WHEN instr(lower(t.text), lower(e.original)) > 0 THEN substr(t.text, instr(lower(t.text), lower(e.original)), length(e.original)) ELSE upper(e.original) END AS original FROM entries e JOIN conversations t USING (conv_id)",
+    f"""WITH {_ENTRIES_SQL} SELECT e.conv_id, t.turn, e.placeholder, substr(t.text, instr(lower(t.text), lower(e.original)), length(e.original)) AS original, 1 AS n FROM entries e JOIN conversations t ON e.conv_id = t.conv_id AND contains(lower(t.text), lower(e.original))
+    UNION ALL SELECT conv_id, turn, NULL, NULL, n FROM {_REST_SQL}""",
 )
 def session_casing(t: Tables) -> DataFrame:
-    """Originals spelled as a turn first spells them."""
-    rows = entries(t).join(t.conversations.select("conv_id", "turn", "text"), "conv_id")
-    at = F.instr(F.lower("text"), F.lower("original"))
-    return rows.select("conv_id", "turn", "placeholder", F.when(at > 0, F.substring(F.col("text"), at, F.length("original"))).otherwise(F.upper("original")).alias("original"))
+    """Originals spelled as a turn first spells them; the number of those that it does not hold."""
+    beside = _beside(t)
+    spelled = F.substring(F.col("text"), F.col("e.first") + 1, F.length("e.original"))
+    held = beside.select("conv_id", "turn", "text", F.explode("held").alias("e")).select("conv_id", "turn", "e.placeholder", spelled.alias("original"), F.lit(1).cast("long").alias("n"))
+    none = F.lit(None).cast("string")
+    return held.unionByName(_rest(beside).select("conv_id", "turn", none.alias("placeholder"), none.alias("original"), "n"))
 
 
 @query(
@@ -508,7 +525,7 @@ def session_inherited(t: Tables) -> DataFrame:
 
 @query(
     "session_rebased",
-    f"""WITH {_ENTRIES_SQL}, a AS (SELECT conv_id, ord, '[PRIVATE_VALUE_' || (ord + 1) || ']' AS placeholder, CASE WHEN ord % 2 = 0 THEN original ELSE original || '+' END AS original FROM entries WHERE ord <= 3),
+    f"""WITH {_ENTRIES_SQL}, a AS (SELECT conv_id, ord, '[PRIVATE_VALUE_' || (ord + 1) || ']' AS placeholder, CASE WHEN ord % 2 = 0 THEN original ELSE original || '+' END AS original FROM entries),
     k AS (SELECT conv_id, count(*) AS n FROM entries GROUP BY ALL), f AS (SELECT a.*, e.placeholder AS keeps, k.n FROM a JOIN k USING (conv_id) LEFT JOIN entries e ON e.conv_id = a.conv_id AND e.original = a.original),
     m AS (SELECT *, keeps IS NULL AND ord + 1 <= n AS moves, greatest(n, (SELECT max(ord) + 1 FROM a x WHERE x.conv_id = f.conv_id)) AS top FROM f)
     SELECT conv_id, ord::BIGINT AS ord, placeholder, CASE WHEN keeps IS NOT NULL THEN keeps WHEN moves THEN '[PRIVATE_VALUE_' || (top + count(*) FILTER (moves) OVER (PARTITION BY conv_id ORDER BY ord)) || ']' ELSE placeholder END AS target, keeps IS NULL AS added FROM m""",
@@ -517,15 +534,15 @@ def session_rebased(t: Tables) -> DataFrame:
     """Additions numbered from one again, fitted among the entries that a session has."""
     rows = entries(t)
     value = F.when(F.col("ord") % 2 == 0, F.col("original")).otherwise(F.concat("original", F.lit("+")))
-    new = rows.where("ord <= 3").select("conv_id", "ord", F.concat(F.lit("[PRIVATE_VALUE_"), (F.col("ord") + 1).cast("string"), F.lit("]")).alias("placeholder"), value.alias("original"))
+    new = rows.select("conv_id", "ord", F.concat(F.lit("[PRIVATE_VALUE_"), (F.col("ord") + 1).cast("string"), F.lit("]")).alias("placeholder"), value.alias("original"))
     return M.rebased(new, rows, "conv_id").select("conv_id", "ord", "placeholder", "target", "added")
 
 
 @query("session_known_text")
 def session_known_text(t: Tables) -> DataFrame:
     """Known values put out of all turns, whatever their case; where that is ambiguous, why."""
-    rows = t.conversations.withColumn("text", F.when(F.col("turn") % 2 == 0, F.upper("text")).otherwise(F.col("text"))).join(_session(t), "conv_id")
-    return M.sanitize_known(rows.select("conv_id", "turn", "text", "session"), "text", "session").select("conv_id", "turn", "sanitized", "error_code")
+    rows = t.conversations.withColumn("text", F.when(F.col("turn") % 2 == 0, F.upper("text")).otherwise(F.col("text")))
+    return M.beside_session(rows, entries(t), "conv_id", "text").where("session_size > 0").select("conv_id", "turn", "sanitized", "error_code")
 
 
 @query(

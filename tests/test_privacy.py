@@ -92,6 +92,14 @@ def test_detections_equal_plain_python(spark, sf):
         assert short(r["merged"]) == python_merge(python_detect(r["text"]))
 
 
+def test_batch_scan_equals_the_column_form(spark, sf):
+    docs, pages = spark.read.parquet(f"{sf}/documents.parquet").select("text"), spark.read.parquet(f"{sf}/pages.parquet").select(F.col("html").alias("text"))
+    more = [None, "", "tel: 555-1234\u00a0or\u2003+49 30 1234 5678", "name: İbrahim Ünal, name: Jo Ann", "a@b.co\nc@d.org" * 50, "zip: 12345\u3000my name is Jane Doe", "4111 1111 1111 1111 and 4111 1111 1111 1112", "MRN 123456\u2028patient Ann Lee said", "K@\u212aelvin.com \u017f@x.org"]
+    rows = docs.unionByName(pages).unionByName(spark.createDataFrame([(t,) for t in more], "text string"))
+    both = rows.where("text is not null").select(V.detections(F.col("text")).alias("batch"), V.merge_detections(V.raw_detections(F.col("text"))).alias("columns"))
+    assert both.where("not (batch <=> columns)").count() == 0 and both.selectExpr("sum(size(batch))").head()[0] > 100
+
+
 def test_sanitize_and_restore(spark):
     texts = [
         "Ask jane@example.com or bob@example.com, not jane@example.com.",
@@ -152,3 +160,13 @@ def test_identity_is_hmac(spark):
     assert got[0] == want and re.fullmatch(I.CANONICAL, got[1]) and got[2] == "E_MAIL_ADDRESS"
     free = spark.range(1).select(I.next_legacy_alias(F.lit("[PERSON_1]"), F.array(F.lit("[person_2]"), F.lit("[person_3]")))).head()[0]
     assert free == "[PERSON_4]"
+
+
+def test_strict_redaction_leaves_no_original(spark):
+    texts = ["my name is Jane Doe, and JANE DOE wrote to jane doe.", "nothing", "", None, "mail Ann@Example.org again\n" * 2000 + "mail ANN@EXAMPLE.ORG again\n" * 2000]
+    got = [r.asDict() for r in column(spark, texts).select("text").transform(lambda d: V.sanitize(d, strict=True, threshold=0.85)).withColumn("left", V.leaks(F.col("sanitized"), F.col("session"))).withColumn("back", V.restore(F.col("sanitized"), F.col("session"))).collect()]
+    by = {r["text"]: r for r in got}
+    assert by[texts[0]]["sanitized"] == "my name is Alex Morgan, and Alex Morgan wrote to Alex Morgan."
+    for text, r in by.items():
+        assert r["error_code"] is None and not r["left"] and (text is None or r["back"].lower() == text.lower())
+    assert by[texts[4]]["sanitized"].count("contact1@example.com") == 4000

@@ -51,6 +51,41 @@ def test_known_values_of_rows(spark):
     assert got == {1: ("[X_1] met [X_1] and [X_1]", None), 2: (None, "AMBIGUOUS_KNOWN_VALUE"), 3: (None, None), 4: ("none", None), 5: ("a", None)}
 
 
+def brute_held(text, session):
+    """Entries that a text holds whatever their case: count without overlaps, and the first place."""
+    low, out = text.lower(), []
+    for number, placeholder, original in session:
+        if (at := low.find(original.lower())) >= 0:
+            out.append((number, placeholder, original, low.count(original.lower()), at))
+    return out
+
+
+def test_rows_beside_their_session(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abAB") for _ in range(n))
+    sessions = {k: [(i, f"[W_{i}]", word(rng.randint(1, 4))) for i in range(1, 6)] for k in ["hot", *(f"k{i}" for i in range(12))]}
+    rows = [("hot", i, word(20)) for i in range(300)] + [(k, i, word(15)) for k in sessions for i in range(3)] + [("alone", 1, "ab"), (None, 2, "ab"), ("k1", 3, None), ("k1", 4, ""), ("k2", 5, "aB" * 40_000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "k string, n int, text string, `a.b` int")
+    entries = frame(spark, [(k, *e) for k, own in sessions.items() for e in own] + [("k3", 9, "", "x"), ("k3", 10, "y", "y"), (None, 1, "[N_1]", "ab")])
+    out = M.beside_session(df, entries, "k", "text")
+    assert out.columns == ["k", "n", "text", "a.b", "sanitized", "error_code", "held", "session_size"]
+    got = sorted(((r["k"], r["n"], r["text"], r["sanitized"], r["error_code"], [tuple(h) for h in r["held"]], r["session_size"]) for r in out.collect()), key=str)
+    want = []
+    for k, n, text in rows:
+        own = sessions.get(k, [])
+        done = (None, None) if text is None else M.KnownValues([e[1:] for e in own])(text)
+        want.append((k, n, text, *done, brute_held(text or "", own), len(own)))
+    assert got == sorted(want, key=str) and any(r[4] for r in got)
+
+
+def test_folding_keeps_places():
+    from hushframe.functions.known import fold
+
+    for text in ("İstanbul ΟΔΟΣ straße", "ǅ ﬁ İİ", "plain", ""):
+        assert len(fold(text)) == len(text)
+    assert M.KnownValues([("[P_1]", "οδος")])("İ ΟΔΟΣ x") == ("İ [P_1] x", None)
+
+
 def test_rules(spark):
     rows = [
         ("fine", 1, "[A_1]", "x"), ("fine", 2, "[A_2]", "x"), ("fine", 3, "", "y"), ("fine", 4, "z", "z"), ("fine", 5, None, "q"),
