@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 OVERLAP, LEAST = 512, 1024
 
 
-def strings(df: DataFrame, column: str, key: str, keys: bool = False) -> DataFrame:
-    """Every string of a JSON column: key, path (JSON pointer), value; object keys too where asked.  Broken JSON has none."""
+def strings(df: DataFrame, column: str, key: str, keys: bool = False, number: bool = False) -> DataFrame:
+    """Every string of a JSON column: key, path (JSON pointer), value; object keys too where asked.  Broken JSON has none.
+
+    ``number``: with ``slot`` as well, the place of the string among those of its value.
+    """
 
     def walk(value, path: str, out: list[tuple[str, str]]) -> None:
         if isinstance(value, str):
@@ -34,7 +37,7 @@ def strings(df: DataFrame, column: str, key: str, keys: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, paths, values = [], [], []
+            at, paths, values, places = [], [], [], []
             for i, text in enumerate(batch.column(column).to_pylist()):
                 found: list[tuple[str, str]] = []
                 try:
@@ -44,9 +47,11 @@ def strings(df: DataFrame, column: str, key: str, keys: bool = False) -> DataFra
                 at += [i] * len(found)
                 paths += [p for p, _ in found]
                 values += [v for _, v in found]
-            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.string())], [key, "path", "value"])
+                places += range(len(found))
+            columns = [batch.column(key).take(pa.array(at, pa.int64())), pa.array(paths, pa.string()), pa.array(values, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(places, pa.int32())] * number, [key, "path", "value"] + ["slot"] * number)
 
-    return df.select(key, column).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, path string, value string")
+    return df.select(key, column).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, path string, value string" + ", slot int" * number)
 
 
 def stable(df: DataFrame, column: str, into: str) -> DataFrame:
@@ -153,29 +158,30 @@ def chunks(df: DataFrame, key: str, column: str = "text", most_chars: int = 4096
     return df.select(key, column).mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, nth int, start int, end int, chunk string")
 
 
-def packed(units: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """Units put into batches one after another: a new batch begins where the next unit would not fit.
+def packed(units: DataFrame, group: str, order: str | list[str], size: str | list[str], most: int | list[int]) -> DataFrame:
+    """Units put into batches one after another: a new batch begins where the next unit would not fit one of the budgets.
 
     An ordered fold over each group's sizes; a unit larger than a batch has one of its own, a null size counts as 0.  A
     group's units pass in order through a sorted partition.  Adds ``batch``.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in units.schema.fields)
+    order, sizes, limits = ([x] if isinstance(x, (str, int)) else list(x) for x in (order, size, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, key, used, number = True, None, 0, 0
+        first, key, used, number = True, None, [0] * len(sizes), 0
         for batch in batches:
             out = []
-            for own, n in zip(batch.column(group).to_pylist(), batch.column(size).to_pylist(), strict=True):
-                n = n or 0
+            for own, *needs in zip(batch.column(group).to_pylist(), *(batch.column(s).to_pylist() for s in sizes), strict=True):
+                needs = [n or 0 for n in needs]
                 if first or own != key:
-                    first, key, used, number = False, own, 0, 0
-                if used and used + n > most:
-                    used, number = 0, number + 1
-                used += n
+                    first, key, used, number = False, own, [0] * len(sizes), 0
+                if any(used) and any(u + n > m for u, n, m in zip(used, needs, limits, strict=True)):
+                    used, number = [0] * len(sizes), number + 1
+                used = [u + n for u, n in zip(used, needs, strict=True)]
                 out.append(number)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "batch"])
 
-    return units.repartition(group).sortWithinPartitions(group, order).mapInArrow(run, f"{fields}, `batch` int")
+    return units.repartition(group).sortWithinPartitions(group, *order).mapInArrow(run, f"{fields}, `batch` int")
 
 
 def apply_edits(df: DataFrame, key: str, column: str, edits: str) -> DataFrame:

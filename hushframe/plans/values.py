@@ -2,20 +2,71 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import identity as I
-from ..operators import provenance as E, streams as K, values as B
+from ..functions.known import KnownValues
+from ..operators import privacy as V, provenance as E, streams as K, structured as T, values as B
 from ..sources import formats as X
 from .registry import Tables, query
 
 # ---- JSON
 
 
-@query("json_strings", """SELECT event_id, '/' || k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) WHERE json_type(json_extract(props, '$.' || k)) = 'VARCHAR'""")
+def _nested(t: Tables) -> DataFrame:
+    """Turns as nested JSON values: id, body."""
+    words = F.slice(F.split("text", " "), 1, 3)
+    body = F.struct(F.col("role").alias("role"), F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content"), F.struct(words.alias("a/b"), F.col("turn").alias("n")).alias("meta~"))
+    return t.conversations.select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.to_json(body).alias("body"))
+
+
+@query(
+    "json_strings",
+    """WITH c AS (SELECT conv_id || ':' || turn AS id, role, text, string_split(text, ' ')[1:3] AS w FROM conversations)
+    SELECT id, '/role' AS path, role AS value FROM c WHERE role IS NOT NULL UNION ALL SELECT id, '/content/0/type', 'text' FROM c UNION ALL SELECT id, '/content/0/text', text FROM c WHERE text IS NOT NULL
+    UNION ALL SELECT id, '/meta~0/a~1b/' || (i - 1), w[i] FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM c)""",
+)
 def json_strings(t: Tables) -> DataFrame:
-    """Every string in the properties of events, with its path."""
-    return B.strings(t.events.select("event_id", "props"), "props", "event_id")
+    """Every string of nested values, with its path."""
+    return B.strings(_nested(t), "body", "id")
+
+
+def long_words(least: int) -> T.Classifier:
+    """A stand-in for a model: words of so many letters are private."""
+
+    def classify(text: str) -> tuple[str, list[tuple[str, str]]]:
+        found = dict.fromkeys(m.group() for m in re.finditer(f"[A-Za-z]{{{least},}}", text))
+        pairs = [(f"[PRIVATE_VALUE_{i}]", v) for i, v in enumerate(found, 1)]
+        return KnownValues(pairs)(text)[0] or "", pairs
+
+    return classify
+
+
+@query("structured_values", "SELECT conv_id || ':' || turn AS id, lower(text) AS restored, 0 AS n_left, regexp_matches(text, '[A-Za-z]{9,}') AS changed FROM conversations WHERE text IS NOT NULL")
+def structured_values(t: Tables) -> DataFrame:
+    """Nested values through a classifier and back: the text again, private words left in between, and whether any was found."""
+    rows = t.conversations.where("text is not null").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.to_json(F.struct(F.array(F.struct("text")).alias("content"), F.col("turn").alias("n"))).alias("body"))
+    done, found, _ = T.sanitize_values(rows, "id", "body", long_words(9))
+    session = found.groupBy("id").agg(F.collect_list(F.struct("placeholder", "original")).alias("session"))
+    safe = F.get_json_object("sanitized", "$.content[0].text")
+    back = V.restore(safe, F.coalesce("session", F.array().cast("array<struct<placeholder:string,original:string>>")))
+    return done.join(session, "id", "left").select("id", F.lower(back).alias("restored"), F.size(F.regexp_extract_all(safe, F.lit("[A-Za-z]{9,}"), F.lit(0))).alias("n_left"), "changed")
+
+
+@query(
+    "artifact_fan_out",
+    """WITH s AS (SELECT doc_id, coalesce(lang, '') AS artifact_type, coalesce(text, '') AS text FROM documents), c AS (SELECT DISTINCT artifact_type, text FROM s WHERE doc_id % 5 = 0)
+    SELECT s.artifact_type, count(*) AS slots, count(c.text) AS hits, 0::BIGINT AS n_left, 0::BIGINT AS failed FROM s LEFT JOIN c USING (artifact_type, text) GROUP BY ALL""",
+)
+def artifact_fan_out(t: Tables) -> DataFrame:
+    """Documents through a classifier by distinct content: a run over an earlier snapshot fills the table that a run over all asks first."""
+    slots = t.documents.select(F.col("doc_id").cast("string").alias("slot_key"), F.coalesce("lang", F.lit("")).alias("artifact_type"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))).alias("value"), (F.col("doc_id") % 5 == 0).alias("early"))
+    _, cache, _ = T.fan_out(slots.where("early"), long_words(12))
+    out, _, _ = T.fan_out(slots, long_words(12), cache)
+    left = F.size(F.regexp_extract_all(F.get_json_object("sanitized", "$.text"), F.lit("[A-Za-z]{12,}"), F.lit(0)))
+    return out.groupBy("artifact_type").agg(F.count(F.lit(1)).alias("slots"), F.sum(F.col("hit").cast("long")).alias("hits"), F.sum(left).cast("long").alias("n_left"), F.count("error_code").alias("failed"))
 
 
 @query("json_round_trip", "SELECT event_id, md5(json(props)::VARCHAR) AS digest FROM events")
