@@ -326,18 +326,16 @@ def startup_files(t: Tables) -> DataFrame:
     return X.content_tiers(files, last, blobs).select("doc_id", "tier", F.col("h").alias("content_hash"))
 
 
-_STARTS = "[0, 8, 20, 28, 40]"
 
 
 @query(
     "plan_references",
-    f"""WITH s AS (SELECT doc_id, CAST(i - 1 AS INT) AS nth, substr(text, ({_STARTS})[i] + 1, 8) AS value FROM documents, range(1, 6) r(i) WHERE length(text) > ({_STARTS})[i]), f AS (SELECT *, min(nth) OVER (PARTITION BY doc_id, value) AS first FROM s)
+    """WITH s AS (SELECT doc_id, unnest(w) AS value, CAST(generate_subscripts(w, 1) - 1 AS INT) AS nth FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{8,}') AS w FROM documents)), f AS (SELECT *, min(nth) OVER (PARTITION BY doc_id, value) AS first FROM s)
     SELECT doc_id, nth, value, sha256(value) AS reference, '[WORD_' || dense_rank() OVER (PARTITION BY doc_id ORDER BY first) || ']' AS placeholder FROM f""",
 )
 def plan_references(t: Tables) -> DataFrame:
     """Spans of a plan checked against the text by digest, and numbered by first occurrence of their value."""
-    spans = F.posexplode(F.array(*map(F.lit, (0, 8, 20, 28, 40)))).alias("nth", "start")
-    rows = t.documents.select("doc_id", "text", spans).where("length(text) > start").select("doc_id", "nth", F.substring(F.col("text"), F.col("start") + 1, F.lit(8)).alias("value"))
+    rows = t.documents.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("nth", "value"))
     first = F.min("nth").over(Window.partitionBy("doc_id", "value"))
     rows = rows.withColumn("first", first)
     number = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first"))
