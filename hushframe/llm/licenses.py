@@ -1,15 +1,23 @@
 """Licence scans: sparse TF-IDF cosine of lines, headers and licence files to templates, then inheritance by directory.
 
 Terms are words and word pairs.  Document frequencies are counted over all lines of all files, for the terms of the
-templates; any other term has the frequency zero, so the vocabulary that is sent round is bounded by the templates.  Each
-line, each run of up to ``LINES`` neighbouring lines and, for licence files, the whole text is compared with every template.
+templates; any other term has the frequency zero, so the vocabulary that is sent round is bounded by the templates.
+
+A run of lines grows from each line that shares enough with the templates, for as long as its cosine to some template
+grows: it ends where ``PATIENCE`` further words have raised none.  Each template's best run from each line is a candidate,
+and the candidate that explains most of a template (squared cosine times the template's squared weight) is taken first;
+those that overlap a taken one go.  So a whole header comes before the short notice that it begins with, and a file has
+every licence that it names, however its lines are wrapped.  A taken run is named by its nearest template.  For licence
+files the whole text is compared as well.
 
 A file that says nothing takes the licence of the nearest directory above it that holds a licence file: a file whose name
 says so (LICENSE, COPYING, ...) or whose whole text is one of the templates.
 
 Cases: null text is empty and matches nothing; a null path lies in no directory and inherits nothing; of equally near
-templates the first by name wins, of several licence files in a directory the most similar and then the first by path;
-repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
+templates the first by name wins, of runs that explain as much the first and then the shorter; a bare rights notice
+('Proprietary') beside another licence, with ``BESIDE`` lines between them at most, is part of it; of several licence files
+in a directory the most similar counts and then the first by path; repeated rows are scanned each; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -94,10 +102,13 @@ TEMPLATES: list[tuple[str, str]] = [
 THRESHOLD = 0.7
 #: Cosine from which a file that is named like a licence counts as a template.
 NAMED = 0.5
-#: Neighbouring lines that are compared together, at most.
-LINES = 6
-#: Parts in which the files of a directory look up its licence.
-PARTS = 16
+#: A run of lines is given up when so many words have not brought it nearer to any template.
+PATIENCE = 40
+#: The licence of a bare rights notice.
+NOTICE = "Proprietary"
+#: Lines between a rights notice and the licence that it belongs to, at most.
+BESIDE = 2
+_FOUND = pa.list_(pa.struct([("licence", pa.string()), ("similarity", pa.float64()), ("first_line", pa.int64()), ("last_line", pa.int64())]))
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
 _FILE_NAME = r"(?i)^(un)?licen[cs]es?(\.\w+)?$|^copying(\.\w+)?$|^copyright(\.\w+)?$"
 
@@ -118,9 +129,11 @@ class Model:
         self.other = log(1 + lines) + 1
         self.holders: dict[str, list[tuple[int, float]]] = {}
         self.names = [name for name, _ in templates]
+        self.sizes: list[float] = []
         for i, (_, text) in enumerate(templates):
             own = {t: n * self.idf[t] for t, n in terms(text).items()}
             size = sqrt(sum(x * x for x in own.values()))
+            self.sizes.append(size)
             for t, x in own.items():
                 self.holders.setdefault(t, []).append((i, x / size))
 
@@ -138,6 +151,50 @@ class Model:
         i = min(dots, key=lambda i: (-dots[i], self.names[i], i))
         return dots[i] / sqrt(total), self.names[i]
 
+    def grown(self, lines: list[str], shared: list[bool], first: int, threshold: float) -> list[tuple[float, int, int]]:
+        """What each template's best run from line ``first`` explains of it, and the run: its first and last line."""
+        held: Counter = Counter()
+        dots: dict[int, float] = {}
+        nearest: dict[int, tuple[float, int]] = {}
+        total, idle, before = 0.0, 0, None
+        for at in range(first, len(lines)):
+            words = _WORD.findall(lines[at].lower())
+            for word in words:
+                for t in (word,) if before is None else (word, f"{before} {word}"):
+                    w = self.idf.get(t, self.other)
+                    total += (2 * held[t] + 1) * w * w
+                    held[t] += 1
+                    for i, y in self.holders.get(t, ()):
+                        dots[i] = dots.get(i, 0.0) + w * y
+                before = word
+            idle += len(words)
+            if shared[at]:
+                size = sqrt(total)
+                for i, dot in dots.items():
+                    if dot / size > nearest.get(i, (0.0, 0))[0] + 1e-12:
+                        nearest[i] = (dot / size, at)
+                        idle = 0
+            if idle > PATIENCE:
+                break
+        return [((s * self.sizes[i]) ** 2, first, last) for i, (s, last) in nearest.items() if s >= threshold]
+
+    def runs(self, lines: list[str], threshold: float) -> list[tuple[float, str, int, int]]:
+        """Runs of lines that do not overlap: similarity, licence, first and last line, what explains most first."""
+        # a cosine of t needs a share of t * t of the squared weight in known terms
+        share = threshold * threshold
+        shared = [known > 0 and known >= share * (known + other) for known, other in map(self.weights, lines)]
+        found = [x for at, begins in enumerate(shared) if begins for x in self.grown(lines, shared, at, threshold)]
+        taken: set[int] = set()
+        out: list[tuple[float, str, int, int]] = []
+        for _, first, last in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+            if taken.isdisjoint(range(first, last + 1)):
+                taken.update(range(first, last + 1))
+                s, name = self.best(" ".join(lines[first : last + 1]))
+                if name is not None:
+                    out.append((s, name, first, last))
+        near = {k for _, name, first, last in out if name != NOTICE for k in range(first - BESIDE - 1, last + BESIDE + 2)}
+        return [x for x in out if x[1] != NOTICE or near.isdisjoint(x[2:])]
+
     def weights(self, line: str) -> tuple[float, float]:
         """What the template terms of a line weigh, squared, and what its other terms do."""
         words = _WORD.findall(line.lower())
@@ -179,37 +236,34 @@ def frequencies(files: DataFrame, templates: list[tuple[str, str]]) -> tuple[int
 
 
 def scan(files: DataFrame, path: Column, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, path, licence, similarity, place ('line', 'file' or null), line, is_file (a licence file) of every file."""
+    """doc_id, path, licence, similarity, place ('line', 'file' or null), line, is_file (a licence file) and licences of every
+    file.
+
+    licences: every licence of the file by its lines (licence, similarity, first_line, last_line; lines from 0), empty if there
+    is none.  licence: the one that explains most, or that of the whole file if it is as near.
+    """
     templates = templates or TEMPLATES
     model = files.sparkSession.sparkContext.broadcast(Model(templates, *frequencies(files, templates)))
     rows = files.select("doc_id", path.alias("path"), "text")
 
-    def found_in(m: Model, text: str, named: bool) -> tuple[str | None, float | None, str | None, int | None, bool]:
-        found: tuple[float, str | None, str | None, int | None] = (0.0, None, None, None)
+    def found_in(m: Model, text: str, named: bool) -> tuple[str | None, float | None, str | None, int | None, bool, list[dict]]:
         lines = text.split("\n")
-        # a cosine of t needs a share of t * t of the squared weight in known terms
-        share = threshold * threshold
-        shared = [known > 0 and known >= share * (known + other) for known, other in map(m.weights, lines)]
-        for i, first in enumerate(shared):
-            if not first:
-                continue
-            for last in range(i, min(i + LINES, len(lines))):  # a run begins and ends in a line that shares enough
-                if not shared[last]:
-                    continue
-                s, name = m.best(" ".join(lines[i : last + 1]))
-                if s >= threshold and s > found[0]:
-                    found = (s, name, "line", i)
+        runs = m.runs(lines, threshold)
+        listed = [dict(zip(("licence", "similarity", "first_line", "last_line"), (name, s, first, last))) for s, name, first, last in sorted(runs, key=lambda x: x[2])]
+        found: tuple[float, str | None, str | None, int | None] = (runs[0][0], runs[0][1], "line", runs[0][2]) if runs else (0.0, None, None, None)
         alone = False
-        if named or any(shared):
+        if named or runs:
             s, name = m.best(text)
             alone = s >= threshold
             if (alone or (named and s >= NAMED)) and s >= found[0]:
                 found = (s, name, "file", None)
-        return found[1], found[0] if found[1] else None, found[2], found[3], (named and found[1] is not None) or alone
+                if not listed:
+                    listed = [{"licence": name, "similarity": s, "first_line": 0, "last_line": len(lines) - 1}]
+        return found[1], found[0] if found[1] else None, found[2], found[3], (named and found[1] is not None) or alone, listed
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.float64(), pa.string(), pa.int64(), pa.bool_()]
-        names = ["doc_id", "path", "licence", "similarity", "place", "line", "is_file"]
+        kinds = [pa.string(), pa.float64(), pa.string(), pa.int64(), pa.bool_(), _FOUND]
+        names = ["doc_id", "path", "licence", "similarity", "place", "line", "is_file", "licences"]
         for batch in batches:
             paths = batch.column("path").to_pylist()
             named = [p is not None and re.search(_FILE_NAME, p.rpartition("/")[2]) is not None for p in paths]
@@ -218,7 +272,7 @@ def scan(files: DataFrame, path: Column, templates: list[tuple[str, str]] | None
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("path"), *columns], names)
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(look, f"doc_id {kind}, path string, licence string, similarity double, place string, line long, is_file boolean")
+    return rows.mapInArrow(look, f"doc_id {kind}, path string, licence string, similarity double, place string, line long, is_file boolean, licences array<struct<licence:string,similarity:double,first_line:long,last_line:long>>")
 
 
 def inherit(scanned: DataFrame) -> DataFrame:
@@ -231,16 +285,18 @@ def inherit(scanned: DataFrame) -> DataFrame:
     # the most similar licence file of each directory, then the first by path
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "path", "licence"))
     holders = rows.where("is_file and directory is not null").groupBy("directory").agg(best.alias("x")).select(F.col("directory").alias("above"), F.col("x.licence").alias("given"))
-    asking = rows.where("licence is null and directory is not null").select("directory").distinct()
-    parts = F.split("directory", "/")
-    ups = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("above")))
-    pairs = asking.select("directory", F.explode(ups).alias("x")).select("directory", "x.depth", "x.above").distinct()
-    near = pairs.join(holders, "above").groupBy("directory").agg(F.max(F.struct("depth", "above", "given")).alias("x"))
-    near = near.select("directory", F.col("x.above").alias("from_directory"), F.col("x.given").alias("given"))
-    # a directory may hold a third of all files: its answer is there once for each part of them
-    part = F.pmod(F.xxhash64("path", "doc_id"), F.lit(PARTS)).cast("int")
-    near = near.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    out = rows.withColumn("part", part).join(near, ["directory", "part"], "left")
+    # a directory may hold a third of all files: its answer is there once for each even share of them
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, rows.count() // width)
+    asking = rows.where("licence is null and directory is not null").groupBy("directory").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
+    levels = F.split("directory", "/")
+    ups = F.transform(F.sequence(F.lit(0), F.size(levels)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(levels, F.lit(1), k), "/").alias("above")))
+    pairs = asking.select("directory", "parts", F.explode(ups).alias("x")).select("directory", "parts", "x.depth", "x.above").dropDuplicates(["directory", "above"])
+    near = pairs.join(holders, "above").groupBy("directory").agg(F.max(F.struct("depth", "above", "given")).alias("x"), F.max("parts").alias("parts"))
+    near = near.select("directory", F.col("x.above").alias("from_directory"), F.col("x.given").alias("given"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    counts = near.groupBy("directory").agg(F.count("*").alias("parts")).where("parts > 1")  # as many as the width at most
+    part = F.pmod(F.xxhash64("path", "doc_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    out = rows.join(F.broadcast(counts), "directory", "left").withColumn("part", part).join(near, ["directory", "part"], "left")
     silent = F.col("licence").isNull()
     return out.select(
         *scanned.columns,

@@ -268,20 +268,26 @@ def test_licences(spark):
     }
 
 
-def brute_cosines(texts, line):
-    """The cosine of a text to every template, from counts over all lines, by plain vectors."""
+def brute_templates(texts):
+    """A function from a text to its cosine to every template and what it explains of it, from counts over all lines, by plain vectors."""
     lines = [set(licenses.terms(x)) for t in texts for x in (t or "").split("\n")]
     known = {t for _, text in licenses.TEMPLATES for t in licenses.terms(text)}
     df = Counter(t for own in lines for t in own & known)
     idf = lambda t: math.log((1 + len(lines)) / (1 + df[t])) + 1 if t in known else math.log(1 + len(lines)) + 1
     vector = lambda x: {t: n * idf(t) for t, n in licenses.terms(x).items()}
     size = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    own = vector(line)
-    out = {}
-    for name, text in licenses.TEMPLATES:
-        v = vector(text)
-        out[name] = max(out.get(name, 0), sum(x * v.get(t, 0) for t, x in own.items()) / (size(own) * size(v) or 1))
-    return out
+    templates = [(name, v, size(v)) for name, text in licenses.TEMPLATES for v in [vector(text)]]
+
+    def look(text):
+        own = vector(text)
+        long = size(own) or 1
+        out = []
+        for name, v, n in templates:
+            s = sum(x * v.get(t, 0) for t, x in own.items()) / (long * n)
+            out.append((s, name, (s * n) ** 2))
+        return out
+
+    return look
 
 
 def test_op5(spark, sf, docs):
@@ -294,15 +300,54 @@ def test_op5(spark, sf, docs):
     for d, t in docs.items():
         own = {lines[x] for x in t.split("\n") if x in lines}
         assert (got.loc[d].licence in own) if own else got.loc[d].licence is None
+    look = brute_templates(docs.values())
     for d in list(got.index[got.licence.notna()])[:8] + list(docs)[:8]:
-        text = docs[d].split("\n")
-        best = max((max(c.values()), max(c, key=c.get)) for x in text if (c := brute_cosines(docs.values(), x)))
-        if got.loc[d].place == "line":
-            at = int(got.loc[d].line)
-            runs_of = [brute_cosines(docs.values(), " ".join(text[at : at + k])) for k in range(1, licenses.LINES + 1)]
-            assert math.isclose(got.loc[d].similarity, max(max(c.values()) for c in runs_of), rel_tol=1e-9) and got.loc[d].similarity >= best[0] - 1e-9
-        elif got.loc[d].licence is None:
-            assert best[0] < licenses.THRESHOLD
+        text, row = docs[d].split("\n"), got.loc[d]
+        single = [max(look(x))[0] for x in text]
+        if row.place == "line":
+            first = row.licences[[x["first_line"] for x in row.licences].index(row.line)]
+            own = look(" ".join(text[first["first_line"] : first["last_line"] + 1]))
+            assert math.isclose(row.similarity, max(own)[0], rel_tol=1e-9)
+            near = [k for k, s in enumerate(single) if s > 0.2] or [0]
+            every = [c for i in near for j in range(i, min(i + 12, len(text))) for c in look(" ".join(text[i : j + 1]))]
+            assert math.isclose(max(w for s, _, w in own if s >= licenses.THRESHOLD), max(w for s, _, w in every if s >= licenses.THRESHOLD), rel_tol=1e-9)
+        elif row.licence is None:
+            assert max(single) < licenses.THRESHOLD and len(row.licences) == 0
+
+
+def wrapped(text, width, prefix="# "):
+    import textwrap
+
+    return "\n".join(prefix + x for x in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+
+def test_licences_wrapped_at_any_width_and_several_of_a_file(spark):
+    code = "\n".join(f"value_{k} = compute(step={k}, of=total)  # the rest of the work" for k in range(20))
+    whole = [(name, text) for name, text in licenses.TEMPLATES if name != licenses.NOTICE]
+    rows, want = [], {}
+    for name, text in whole:
+        for width in range(30, 101, 10):
+            rows.append((f"{len(rows)}/x.py", f"#!/usr/bin/env python\n# Copyright (c) 2021 The Makers\n# All rights reserved.\n#\n{wrapped(text, width)}\n\n{code}"))
+            want[rows[-1][0]] = [name]
+    long = {name: text for name, text in licenses.TEMPLATES if len(text) > 400}
+    for a, b in [("MIT", "BSD-3-Clause"), ("Apache-2.0", "GPL-2.0"), ("ISC", "BSD-2-Clause"), ("LGPL-2.1", "LGPL-3.0")]:
+        for gap in ("\n#\n", f"\n{code}\n"):
+            rows.append((f"{len(rows)}/x.py", f"{wrapped(long[a], 72)}{gap}{wrapped(long[b], 72)}\n{code}"))
+            want[rows[-1][0]] = [a, b]
+    rows.append(("n/x.py", f"{code}\n# All rights reserved.\n{code}"))
+    want["n/x.py"] = [licenses.NOTICE]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id int, p string, text string")
+    got = licenses.scan(df, F.col("p")).collect()
+    assert {r["path"]: [x["licence"] for x in r["licences"]] for r in got} == want
+    assert all(r["licence"] in want[r["path"]] for r in got)
+
+
+def test_a_hot_directory_is_looked_up_in_parts(spark):
+    rows = [(0, "r/LICENSE", "Released under the MIT License.")] + [(i, "r/hot/x.c" if i % 3 else f"q{i % 7}/y.c", "int x;") for i in range(1, 400)]
+    df = spark.createDataFrame([*rows, (5, "r/hot/x.c", "int x;"), (6, None, None)], "doc_id int, p string, text string")
+    got = licenses.inherit(licenses.scan(df, F.col("p"))).collect()
+    assert len(got) == 402
+    assert all(r["from_directory"] == ("r" if (r["path"] or "").startswith("r/hot") else None) for r in got)
 
 
 def test_wrapped_headers_whole_licences_and_names(spark):
