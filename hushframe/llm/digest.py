@@ -1,6 +1,6 @@
 """Canonical exact fingerprints of documents, by SQL functions alone.
 
-A text is normalised (NFKC), lower-cased, and its runs of white space become single blanks without those at the ends.
+A text is normalised (NFKC), case-folded (all of Unicode: ß as ss, final sigmas as others) and normalised again, and its runs of white space become single blanks without those at the ends.
 Its digest is 128 bits: two xxHash64 values of the canonical text with different beginnings.  Texts that share a digest are
 compared byte by byte; should two different canonical texts ever share one, their fingerprints get a number each.
 
@@ -21,9 +21,10 @@ SALT = "canonical text"
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form; ICU, which Spark brings along, normalises."""
-    normal = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(normal), r"(?U)\s+", " "))
+    """The canonical form; ICU, which Spark brings along, normalises and folds."""
+    normal = lambda x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), x, F.lit(True))
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), normal(text), F.lit(True))
+    return F.trim(F.regexp_replace(normal(folded), r"(?U)\s+", " "))
 
 
 def wide_hash(form: Column) -> list[Column]:

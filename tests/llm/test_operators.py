@@ -444,7 +444,7 @@ def test_fullest_is_the_best_subset():
 
 
 def canonical(t):
-    return " ".join(unicodedata.normalize("NFKC", t).lower().split())
+    return " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split())
 
 
 def test_op8(spark, sf, docs):
@@ -623,3 +623,10 @@ def test_one_step_of_training_is_that_of_the_definition():
     for text in ("good words", "BAD!!", ""):
         at, share = quality.gathered(text)
         assert math.isclose(quality.log_odds([text], table)[0], float(share @ table[at]), rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_digests_fold_the_case_of_all_scripts(spark):
+    same = [["Straße", "STRASSE", "strasse"], ["ΟΔΟΣ", "οδος", "οδοσ"], ["ﬃ", "FFI"], ["İx", "i̇X"], ["Ǆ", "ǆ", "dž"]]
+    rows = [(i, t, k) for k, own in enumerate(same) for i, t in enumerate(own, 10 * k)]
+    got = {r["doc_id"]: r["fingerprint"] for r in digest.fingerprint(spark.createDataFrame(rows, "doc_id int, text string, k int")).collect()}
+    assert len({got[i] for i, _, _ in rows}) == len(same) and all(len({got[i] for i, _, k in rows if k == g}) == 1 for g in range(len(same)))
