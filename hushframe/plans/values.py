@@ -444,6 +444,59 @@ def patches_parsed(t: Tables) -> DataFrame:
     return found.select("doc_id", F.array_join(F.transform("sections", lambda x: x["type"]), ",").alias("types"), n.alias("n_lines"))
 
 
+#: A document as a file of lines, its first line, and how often that line's text stands in it, as SQL.
+_FILE_SQL = r"""f AS (SELECT doc_id, coalesce(text, '') || chr(10) AS t, replace(split_part(coalesce(text, ''), chr(10), 1) || chr(10), chr(13) || chr(10), chr(10)) AS c FROM documents),
+    n AS (SELECT *, (length(t) - length(replace(t, c, ''))) // length(c) AS k, replace(t, c, replace(c, chr(10), ' (changed)' || chr(10))) AS a FROM f)"""
+
+
+@query(
+    "patches_applied",
+    f"""WITH {_FILE_SQL}, s AS (
+        SELECT doc_id, 'a.txt' AS path, CASE WHEN k = 1 THEN md5(a) END AS next_md5, length(t) AS source_length, length(a) AS next_length, CASE WHEN k = 0 THEN 'NOT_FOUND' WHEN k > 1 THEN 'AMBIGUOUS' END AS error_code FROM n WHERE doc_id % 7 > 0
+        UNION ALL SELECT doc_id, 'b.txt', md5('x' || chr(10)), 0, 2, CASE WHEN doc_id % 4 = 1 THEN 'EXISTS' END FROM n WHERE doc_id % 7 > 0
+        UNION ALL SELECT doc_id, 'c/d.txt', NULL, 2, 0, CASE WHEN doc_id % 2 = 1 THEN 'ABSENT' END FROM n WHERE doc_id % 7 > 0 AND doc_id % 5 = 0
+        UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'NOT_A_PATCH' FROM n WHERE doc_id % 7 = 0)
+    SELECT doc_id, path, CASE WHEN error_code IS NULL THEN next_md5 END AS next_md5, CASE WHEN error_code IS NULL THEN source_length END::INT AS source_length, CASE WHEN error_code IS NULL THEN next_length END::INT AS next_length, error_code, count(error_code) OVER (PARTITION BY doc_id) = 0 AS applied FROM s""",
+)
+def patches_applied(t: Tables) -> DataFrame:
+    """A patch of up to three files for every document: its first line is changed, a file is added that may be there, one is
+    deleted that may not; every seventh climbs out of its folder and is none."""
+    docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    line = F.split("text", "\n")[0]
+    gone = F.when(F.col("doc_id") % 5 == 0, "*** Delete File: c/d.txt\n").otherwise("")
+    added = F.when(F.col("doc_id") % 7 == 0, "c/../../b.txt").otherwise("b.txt")
+    patch = F.concat(F.lit("*** Begin Patch\n*** Update File: a.txt\n@@ first line\n-"), line, F.lit("\n+"), F.regexp_replace(line, "\r$", ""), F.lit(" (changed)\n*** Add File: "), added, F.lit("\n+x\n"), gone, F.lit("*** End Patch\n"))
+    other = lambda path, rest: docs.where(rest).select("doc_id", F.lit(path).alias("path"), F.lit("y\n").alias("text"))
+    files = docs.select("doc_id", F.lit("a.txt").alias("path"), F.concat("text", F.lit("\n")).alias("text"))
+    files = files.union(other("b.txt", "doc_id % 4 = 1")).union(other("c/d.txt", "doc_id % 2 = 0"))
+    found = E.apply_patches(docs.select("doc_id", patch.alias("patch")), files, "doc_id")
+    return found.select("doc_id", "path", F.md5("next").alias("next_md5"), "source_length", "next_length", "error_code", "applied")
+
+
+_WORD_SQL = "w AS (SELECT doc_id, text, CASE WHEN doc_id % 11 = 0 THEN 'no such words' ELSE regexp_extract(text, '[A-Za-z]{6,}') END AS o, doc_id % 5 AS kind FROM documents), k AS (SELECT *, CASE WHEN o = '' THEN 0 ELSE (length(text) - length(replace(text, o, ''))) // length(o) END AS n FROM w)"
+
+
+@query(
+    "files_predicted",
+    f"""WITH {_WORD_SQL}, e AS (SELECT *, CASE WHEN kind = 0 THEN NULL WHEN text IS NULL THEN 'ABSENT' WHEN o = '' THEN 'EMPTY_SEARCH' WHEN n = 0 THEN 'NOT_FOUND' WHEN kind = 1 AND n > 1 THEN 'AMBIGUOUS' END AS error_code,
+        CASE kind WHEN 0 THEN 'new content' WHEN 1 THEN replace(text, o, '[GONE]') WHEN 2 THEN replace(text, o, '[GONE]') ELSE replace(replace(text, o, '[GONE]'), '[GONE]', '[DONE, TWICE]') END AS a FROM k)
+    SELECT doc_id, error_code, CASE WHEN error_code IS NULL THEN md5(a) END AS next_md5, CASE WHEN error_code IS NULL THEN length(a) END::INT AS next_length, CASE WHEN error_code IS NULL THEN CASE kind WHEN 0 THEN 0 WHEN 1 THEN n WHEN 2 THEN n ELSE 1 END END::INT AS n_edits,
+        CASE WHEN error_code IS NULL AND kind IN (1, 2) THEN instr(text, o) - 1 END::INT AS first_start FROM e""",
+)
+def files_predicted(t: Tables) -> DataFrame:
+    """What files will be once written, edited at one or every place, or edited twice; some edits have no place, some several."""
+    kind, word = F.col("doc_id") % 5, F.when(F.col("doc_id") % 11 == 0, "no such words").otherwise(F.regexp_extract("text", "[A-Za-z]{6,}", 0))
+    edit = lambda old, new, every: F.struct(old.alias("old_text"), F.lit(new).alias("new_text"), every.alias("every"))
+    first = edit(word, "[GONE]", kind != 1)
+    rows = t.documents.select(
+        "doc_id", "text", F.when(kind == 0, "write").when(kind < 3, "edit").otherwise("multi_edit").alias("tool"), F.lit("new content").alias("content"),
+        F.when(kind < 3, F.array(first)).otherwise(F.array(first, edit(F.lit("[GONE]"), "[DONE, TWICE]", F.lit(True)))).alias("asked"),
+    )
+    found = E.predicted(rows, "text", "tool", "content", "asked")
+    start = F.when(kind.isin(1, 2), F.try_element_at("edits", F.lit(1))["start"])
+    return found.select("doc_id", "error_code", F.md5("next").alias("next_md5"), "next_length", F.when(F.col("edits").isNotNull(), F.size("edits")).alias("n_edits"), start.alias("first_start"))
+
+
 @query(
     "text_private_spans",
     """WITH w AS (SELECT doc_id, lower(text) AS x, lower(regexp_extract(text, '[A-Za-z]{6,}')) AS w FROM documents) SELECT doc_id, len(string_split(x, w)) - 1 AS n, instr(x, w) - 1 AS first FROM w WHERE w <> ''""",
