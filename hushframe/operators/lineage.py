@@ -2,17 +2,56 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stored
 
 # Event types.
-EVENT_TYPES = (
-    "session_created value_protected placeholder_assigned provider_request provider_response restoration cache_hit cache_miss cache_write transformation session_closed error"
-).split()
-# Metadata that may be kept.
-METADATA_INTS = ["count", "cacheHits", "cacheMisses", "cacheWrites", "durationMs", "bytes"]
-METADATA_FLAGS = ["streamed", "restored", "reused", "truncated"]
+EVENT_TYPES = [
+    "session_created",
+    "value_protected",
+    "value_derived",
+    "placeholder_assigned",
+    "transformation",
+    "provider_request",
+    "provider_response",
+    "cache_hit",
+    "cache_miss",
+    "cache_write",
+    "restoration",
+    "reveal",
+]
+# Why an event came about.
+REASONS = [
+    "session_start", "session_resume", "session_fork", "policy_match", "detector_match", "derived_value", "transformation_output", "identity_assigned", "identity_reused", "policy_application", "sanitization",
+    "redaction", "image_masking", "cache_lookup", "cache_write", "cache_refresh", "provider_dispatch", "provider_retry", "provider_completion", "provider_failure", "local_restoration", "response_restore", "explicit_reveal",
+]
+# Metadata that may be kept, whole numbers and flags.
+METADATA_INTS = ["attempt", "byteLength", "durationMs", "itemCount", "restoredCount", "retryCount"]
+METADATA_FLAGS = ["cacheHit", "partial", "streaming", "success"]
+# The forms of ids and tokens.
+IDENTITY = r"\A[a-z][a-z0-9_-]{0,31}:(?:[0-9a-f]{32,128}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|[A-Za-z0-9_-]{43,172})\z"
+TOKEN = r"\A[A-Za-z0-9][A-Za-z0-9._:/-]{0,127}\z"
+IDS = ["parent_event_id", "parent_value_id", "value_id", "placeholder_id", "policy_ref", "transformation_ref", "request_ref", "response_ref", "restoration_ref", "cache_ref"]
+TOKENS = ["provider", "operation", "model", "artifact_type", "phase", "transformation"]
+# What each type of event must have, must not have, and of what it must have one.
+REQUIRED = {
+    "value_protected": ["value_id"],
+    "value_derived": ["value_id", "parent_value_id", "transformation"],
+    "placeholder_assigned": ["value_id", "placeholder_id", "placeholder"],
+    "transformation": ["value_id", "transformation"],
+    "provider_request": ["provider", "operation", "request_ref"],
+    "provider_response": ["provider", "request_ref", "response_ref"],
+    "cache_hit": ["cache_ref", "operation"],
+    "cache_miss": ["cache_ref", "operation"],
+    "cache_write": ["cache_ref", "operation"],
+    "restoration": ["restoration_ref"],
+    "reveal": ["restoration_ref"],
+}
+FORBIDDEN = {"session_created": ["value_id", "parent_value_id", "placeholder_id", "placeholder"], "value_protected": ["parent_value_id"]}
+EITHER = {"value_protected": ["policy_ref", "transformation"], "restoration": ["value_id", "placeholder_id"], "reveal": ["value_id", "placeholder_id"]}
 OPAQUE = r"^[A-Za-z0-9:._-]{8,256}$"
 LIMIT, MOST = 10_000, 100_000
 
@@ -28,6 +67,56 @@ def event_error(event_type: Column, event_id: Column, parent: Column, occurred_a
     )
 
 
+def normal_metadata(metadata: Column) -> Column:
+    """A JSON object of metadata with its keys in order, or null where it may not be kept; none at all is the empty object.
+
+    Whole numbers are at least zero and exact in a double; numbers as text count as numbers and null as zero; flags are true
+    or false; no other key may be there.
+    """
+    text = F.coalesce(metadata, F.lit("{}"))
+    value = F.try_parse_json(text)
+    keys = F.json_object_keys(text)
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(value, f"$.{k}", "variant"))
+    number = lambda k: F.when(kind(k) == "VOID", 0.0).otherwise(F.try_variant_get(value, f"$.{k}", "double"))
+    there = lambda k: F.array_contains(keys, k)
+    right = F.startswith(F.schema_of_variant(value), F.lit("OBJECT")) & (F.size(F.array_except(keys, F.array(*map(F.lit, METADATA_INTS + METADATA_FLAGS)))) == 0)
+    for k in METADATA_INTS:
+        n = number(k)
+        right = right & (~there(k) | F.coalesce((n >= 0) & (n == F.floor(n)) & (n <= 2**53 - 1), F.lit(False)))
+    for k in METADATA_FLAGS:
+        right = right & (~there(k) | F.coalesce(kind(k) == "BOOLEAN", F.lit(False)))
+    fields = {k: F.when(there(k), number(k).cast("long")) for k in METADATA_INTS} | {k: F.try_variant_get(value, f"$.{k}", "boolean") for k in METADATA_FLAGS}
+    return F.when(right, F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields)))))
+
+
+def shape_error(events: DataFrame, diagnostics: str = "HUSHFRAME_") -> Column:
+    """Why an event of ``events`` is not accepted by itself, or null: the first of its form, its type's fields, its placeholder.
+
+    ``diagnostics`` is what diagnostic codes begin with.  Columns that ``events`` lacks count as null.  Codes name the column: INVALID_..., PARENT_REQUIRED, FORBIDDEN_...,
+    MISSING_..., and MISSING_..._OR_... where one of two must be there.
+    """
+    have = set(events.columns)
+    field = lambda c: F.col(f"`{c}`") if c in have else F.lit(None).cast("string")
+    kind, at, shown = field("event_type"), field("occurred_at"), field("placeholder")
+    rules = [
+        (kind.isNull() | ~kind.isin(EVENT_TYPES), "INVALID_EVENT_TYPE"),
+        *((field(c).isNull() | ~field(c).rlike(IDENTITY), f"INVALID_{c.upper()}") for c in ("event_id", "session_id")),
+        (at.isNull() | (at < 0) | (at > 2**53 - 1), "INVALID_OCCURRED_AT"),
+        *((~field(c).rlike(IDENTITY), f"INVALID_{c.upper()}") for c in IDS),
+        ((shown == "") | (F.octet_length(shown) > 256) | shown.rlike(r"[\x00-\x1f\x7f]"), "INVALID_PLACEHOLDER"),
+        *((~field(c).rlike(TOKEN), f"INVALID_{c.upper()}") for c in TOKENS),
+        (field("reason_code").isNull() | ~field("reason_code").isin(REASONS), "INVALID_REASON_CODE"),
+        (~field("diagnostic_code").rlike(rf"\A{re.escape(diagnostics)}[A-Z0-9_]{{1,96}}\z"), "INVALID_DIAGNOSTIC_CODE"),
+        (normal_metadata(field("metadata")).isNull(), "INVALID_METADATA"),
+        ((kind != "session_created") & field("parent_event_id").isNull(), "PARENT_REQUIRED"),
+        *(((kind == t) & field(c).isNull(), f"MISSING_{c.upper()}") for t, own in REQUIRED.items() for c in own),
+        *(((kind == t) & field(c).isNotNull(), f"FORBIDDEN_{c.upper()}") for t, own in FORBIDDEN.items() for c in own),
+        *(((kind == t) & field(a).isNull() & field(b).isNull(), f"MISSING_{a.upper()}_OR_{b.upper()}") for t, (a, b) in EITHER.items()),
+        (shown.isNotNull() & field("placeholder_id").isNull(), "MISSING_PLACEHOLDER_ID"),
+    ]
+    return F.coalesce(*(F.when(broken, code) for broken, code in rules))
+
+
 def recorded(events: DataFrame, session: str = "session_id") -> DataFrame:
     """Events with a recording time that strictly rises within a session, never before the event's own time.
 

@@ -316,6 +316,38 @@ def lineage_validate(t: Tables) -> DataFrame:
     return ev.select("event_id", L.event_error(kind, eid, parent, F.col("occurred_at")).alias("error_code"))
 
 
+_TYPES_SQL = "[" + ", ".join(f"'{x}'" for x in L.EVENT_TYPES) + "]"
+
+
+@query(
+    "lineage_shapes",
+    f"""WITH e AS (SELECT conv_id, turn, conv_id % 9 AS spoilt, {_TYPES_SQL}[turn % 12 + 1] AS kind FROM conversations)
+    SELECT conv_id, turn, kind AS event_type, CASE
+        WHEN spoilt = 1 AND kind IN ('value_protected', 'value_derived', 'placeholder_assigned', 'transformation') THEN 'MISSING_VALUE_ID' WHEN spoilt = 2 AND kind <> 'session_created' THEN 'PARENT_REQUIRED'
+        WHEN spoilt = 3 THEN 'INVALID_REASON_CODE' WHEN spoilt = 4 AND turn % 3 > 0 THEN 'INVALID_METADATA' WHEN spoilt = 5 AND kind = 'value_protected' THEN 'MISSING_POLICY_REF_OR_TRANSFORMATION'
+        WHEN spoilt = 5 AND kind IN ('value_derived', 'transformation') THEN 'MISSING_TRANSFORMATION' WHEN spoilt = 6 THEN 'INVALID_PROVIDER' WHEN spoilt = 7 AND kind = 'placeholder_assigned' THEN 'MISSING_PLACEHOLDER_ID'
+        WHEN spoilt = 8 AND kind IN ('session_created', 'value_protected') THEN 'FORBIDDEN_PARENT_VALUE_ID' END AS error_code,
+        CASE WHEN spoilt <> 4 OR turn % 3 = 0 THEN '{{"attempt":' || turn || ',"byteLength":' || strlen(coalesce(e2.text, '')) || ',"success":' || (turn % 2 = 0) || '}}' END AS metadata
+    FROM e JOIN conversations e2 USING (conv_id, turn)""",
+)
+def lineage_shapes(t: Tables) -> DataFrame:
+    """Why events of all types are not accepted by themselves, and their metadata in order; some are spoilt on purpose."""
+    c, n = F.col("conv_id"), F.col("turn")
+    spoilt, kind = c % 9, F.element_at(F.array(*map(F.lit, L.EVENT_TYPES)), (n % 12 + 1).cast("int"))
+    ref = lambda name, *of: F.concat(F.lit(f"{name}:"), F.md5(F.concat_ws("/", *(x.cast("string") for x in of))))
+    unless = lambda k, x: F.when(spoilt != k, x)
+    new = kind == "session_created"
+    extra = F.when((spoilt == 4) & (n % 3 == 1), ',"note":1').when((spoilt == 4) & (n % 3 == 2), ',"retryCount":-1').otherwise("")
+    given = F.concat(F.lit('{"success":'), (n % 2 == 0).cast("string"), F.lit(',"byteLength":"'), F.octet_length(F.coalesce("text", F.lit(""))).cast("string"), F.lit('","attempt":'), n.cast("string"), extra, F.lit("}"))
+    ev = t.conversations.select(
+        c, n, kind.alias("event_type"), ref("event", c, n).alias("event_id"), ref("session", c).alias("session_id"), (c * 1000 + n).alias("occurred_at"), unless(2, ref("event", c, n - 1)).alias("parent_event_id"),
+        unless(1, F.when(~new, ref("value", c))).alias("value_id"), F.when((spoilt == 8) | (kind == "value_derived"), ref("value", n)).alias("parent_value_id"), unless(5, F.lit("mask")).alias("transformation"),
+        unless(7, F.when(~new, ref("placeholder", c))).alias("placeholder_id"), F.when(kind == "placeholder_assigned", "[PERSON_1]").alias("placeholder"), F.when(spoilt == 6, "a blank").otherwise("local").alias("provider"),
+        F.lit("chat").alias("operation"), *(ref(x, c, n).alias(f"{x}_ref") for x in ("request", "response", "restoration", "cache")), F.when(spoilt == 3, "because").otherwise("redaction").alias("reason_code"), given.alias("metadata"),
+    )
+    return ev.select("conv_id", "turn", "event_type", L.shape_error(ev).alias("error_code"), L.normal_metadata(F.col("metadata")).alias("metadata"))
+
+
 @query("lineage_append", f"WITH {_LINEAGE_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY occurred_at, event_id) AS k FROM ev) SELECT event_id, max(occurred_at - k) OVER (PARTITION BY session_id ORDER BY k) + k AS recorded_at FROM n")
 def lineage_append(t: Tables) -> DataFrame:
     """Recording times that rise within a session."""
