@@ -5,28 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 OVERLAP = 64
+#: Places in a block of running sums.
+BLOCK = 65_536
+
+
+def running(rows: DataFrame, key: str, place: str, order: list[str], sums: list[str]) -> DataFrame:
+    """``rows`` with the columns ``sums`` as running sums within a key by ``place`` and then ``order``, each row's own included.
+
+    Sums run within blocks of ``BLOCK`` places side by side, and over the totals of the blocks before, so one key, however
+    long, is not one task.  Keys and places are not null.
+    """
+    block = F.floor(F.col(place) / BLOCK).alias("_block")
+    rows = rows.select("*", block)
+    total = rows.groupBy(key, "_block").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
+    within = Window.partitionBy(key, "_block").orderBy(place, *order).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.select(*(F.sum(c).over(within).alias(c) if c in sums else c for c in rows.columns))
+    own = own.join(total, (F.col(key) == F.col("_key")) & (F.col("_block") == F.col("_of")))
+    return own.select(*((F.col(c) + F.col(f"_{c}")).alias(c) if c in sums else c for c in rows.columns if c != "_block"))
 
 
 def with_shift(edits: DataFrame, key: str) -> DataFrame:
     """Edits (key, start, end, inserted) with the shift that those before them cause."""
-    before = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     delta = F.col("inserted") - (F.col("end") - F.col("start"))
-    return edits.withColumn("shift", F.coalesce(F.sum(delta).over(before), F.lit(0)).cast("long"))
+    order = ["end", *(["nth"] if "nth" in edits.columns else [])]
+    return running(edits.withColumn("shift", delta), key, "start", order, ["shift"]).withColumn("shift", (F.col("shift") - delta).cast("long"))
 
 
 def propagate(spans: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     """Spans (key, start, end, ...) after non-overlapping edits; those that an edit cuts into are gone.
 
-    An insertion at the end of a span leaves it, one at its start moves it, one inside ends it.  Edits meet the spans of
-    their own key as one sorted array, so the spans are not multiplied.
+    An insertion at the end of a span leaves it, one at its start moves it, one inside ends it.  The edits of a key are a
+    map that is constant between them: places of spans and edits are sorted together, and what lies before a place is a
+    running sum.  A span is cut if more edits begin before its end than end at its start; otherwise those that begin before
+    its end move it.  Spans meet the map by place, so the work is that of sorting, and a key with many of either is
+    spread out.  Spans of a null key have no edits.
     """
-    own = edits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "inserted"))).alias("_edits"))
-    rows = spans.join(own, key, "left").withColumn("_edits", F.coalesce("_edits", F.array().cast("array<struct<start:long,end:long,inserted:long>>")))
-    s, e = F.col("start"), F.col("end")
-    reach = F.filter("_edits", lambda x: e > x["start"])
-    hit = F.exists(reach, lambda x: ~(s >= x["end"]))
-    moved = F.aggregate(reach, F.lit(0).cast("long"), lambda acc, x: acc + x["inserted"] - (x["end"] - x["start"]))
-    return rows.where(~hit).withColumn("start", s + moved).withColumn("end", e + moved).drop("_edits")
+    delta = F.col("inserted") - (F.col("end") - F.col("start"))
+    zero = F.lit(0).cast("long")
+    row = lambda at, tag, begun, moved, ended: F.struct(at.cast("long").alias("_at"), F.lit(tag).alias("_tag"), begun.alias("begun"), moved.alias("moved"), ended.alias("ended"))
+    one = F.lit(1).cast("long")
+    edge = edits.where(F.col(key).isNotNull()).select(key, F.explode(F.array(row(F.col("end"), 0, zero, zero, one), row(F.col("start"), 2, one, delta.cast("long"), zero))).alias("x")).select(key, "x.*")
+    edge = edge.groupBy(key, "_at", "_tag").agg(*(F.sum(c).alias(c) for c in ("begun", "moved", "ended")))
+    ask = spans.where(F.col(key).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()).select(key, F.explode(F.array(F.col("start").cast("long"), F.col("end").cast("long"))).alias("_at")).distinct()
+    ask = ask.select(key, "_at", F.lit(1).alias("_tag"), *(zero.alias(c) for c in ("begun", "moved", "ended")))
+    place = running(edge.union(ask), key, "_at", ["_tag"], ["begun", "moved", "ended"]).where("_tag = 1")
+    at_start = place.select(F.col(key).alias("_k0"), F.col("_at").alias("_p0"), F.col("ended").alias("_ended"))
+    at_end = place.select(F.col(key).alias("_k1"), F.col("_at").alias("_p1"), F.col("begun").alias("_begun"), F.col("moved").alias("_moved"))
+    rows = spans.join(at_start, (F.col(key) == F.col("_k0")) & (F.col("start") == F.col("_p0")), "left").join(at_end, (F.col(key) == F.col("_k1")) & (F.col("end") == F.col("_p1")), "left")
+    whole = F.coalesce(F.col("_begun") <= F.col("_ended"), F.lit(True))
+    moved = F.coalesce("_moved", zero)
+    return rows.where(whole).select(*((F.col(c) + moved).alias(c) if c in ("start", "end") else F.col("`" + c.replace("`", "``") + "`") for c in spans.columns))
 
 
 def merged_ranges(ranges: DataFrame, key: str, limit: Column) -> DataFrame:
@@ -43,8 +73,8 @@ def rescan_ranges(edits: DataFrame, key: str, length: str, overlap: int = OVERLA
     """Where the text after the edits (key, start, end, inserted, <length>) must be scanned again."""
     shifted = with_shift(edits, key)
     at = F.col("start") + F.col("shift")
-    total = F.sum(F.col("inserted") - (F.col("end") - F.col("start"))).over(Window.partitionBy(key))
-    rows = shifted.select(key, (at - overlap).alias("start"), (at + F.col("inserted") + overlap).alias("end"), (F.col(length) + total).alias("_next"))
+    total = edits.groupBy(key).agg(F.sum(F.col("inserted") - (F.col("end") - F.col("start"))).alias("_total"))
+    rows = shifted.join(total, key).select(key, (at - overlap).alias("start"), (at + F.col("inserted") + overlap).alias("end"), (F.col(length) + F.col("_total")).alias("_next"))
     return merged_ranges(rows, key, F.col("_next"))
 
 
