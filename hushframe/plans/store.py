@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators import geometry as G, lineage as L, store as S
+from ..operators.derived import derived_plans
 from .registry import Tables, query
 
 _MS = "(epoch_us(ts) // 1000)"
@@ -256,6 +257,38 @@ def geometry_lengths(t: Tables) -> DataFrame:
     return rows.select("doc_id", "source_length", (F.col("source_length") + F.col("d")).alias("next_length"), "valid")
 
 
+@query(
+    "plans_derived",
+    f"""WITH d AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 11 = 0 THEN 'pending' ELSE 'committed' END AS status, CASE WHEN doc_id % 7 = 0 THEN 'write_file' ELSE 'replace_in_file' END AS kind, CASE WHEN doc_id % 13 <> 0 THEN n_chars END AS source, doc_id % 17 = 0 AND n_chars >= 40 AS spoilt FROM documents),
+    sp AS ({_SPANS_SQL}), ed AS ({_EDITS_SQL}), sh AS (SELECT *, row_number() OVER w - 1 AS nth, coalesce(sum(inserted - (e - s)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM ed WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+    o AS (SELECT d.doc_id, d.source, CASE WHEN status <> 'committed' THEN 'mutation_not_committed' WHEN kind = 'write_file' AND (source IS NULL OR d.doc_id % 2 = 0) THEN 'full_write_lengths_unknown' WHEN source IS NULL THEN 'source_length_unknown' WHEN spoilt THEN 'edits_invalid' END AS reason, coalesce(g.grown, 0) AS grown FROM d LEFT JOIN (SELECT doc_id, sum(inserted - (e - s)) AS grown FROM ed GROUP BY ALL) g USING (doc_id)),
+    j AS (SELECT sp.doc_id, sp.s, sp.e, coalesce(sum(CASE WHEN sp.s >= ed.e THEN ed.inserted - (ed.e - ed.s) END), 0) AS shift, count(*) FILTER (sp.e > ed.s AND NOT sp.s >= ed.e) AS cut FROM sp LEFT JOIN ed ON ed.doc_id = sp.doc_id AND sp.e > ed.s GROUP BY ALL),
+    r AS (SELECT sh.doc_id, greatest(0, least(o.source + o.grown, s + shift - 64)) AS a, greatest(0, least(o.source + o.grown, s + shift + inserted + 64)) AS b FROM sh JOIN o ON o.doc_id = sh.doc_id AND o.reason IS NULL),
+    m AS (SELECT *, CASE WHEN a <= max(b) OVER w THEN 0 ELSE 1 END AS fresh FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), i AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m)
+    SELECT doc_id, 'outcome' AS part, coalesce(reason, 'derived') AS note, CAST(NULL AS BIGINT) AS "start", CAST(CASE WHEN reason IS NULL THEN source + grown END AS BIGINT) AS "end" FROM o
+    UNION ALL SELECT j.doc_id, 'span', 'place', CAST(s + shift AS BIGINT), CAST(e + shift AS BIGINT) FROM j JOIN o ON o.doc_id = j.doc_id AND o.reason IS NULL WHERE cut = 0
+    UNION ALL SELECT sh.doc_id, 'span', 'inserted', CAST(s + shift + 1 AS BIGINT), CAST(s + shift + 5 AS BIGINT) FROM sh JOIN o ON o.doc_id = sh.doc_id AND o.reason IS NULL WHERE inserted >= 5
+    UNION ALL SELECT doc_id, 'range', 'scan', CAST(min(a) AS BIGINT), CAST(max(b) AS BIGINT) FROM i GROUP BY doc_id, island""",
+)
+def plans_derived(t: Tables) -> DataFrame:
+    """What is known of documents' plans after their edits: outcomes, spans, ranges to scan; some mutations cannot be used."""
+    d, n = F.col("doc_id"), F.col("n_chars")
+    old, new = F.concat(F.lit("old"), d.cast("string")), F.concat(F.lit("new"), d.cast("string"))
+    muts = t.documents.select(
+        d.alias("mutation_id"), F.when(d % 11 == 0, "pending").otherwise("committed").alias("status"), F.when(d % 7 == 0, "write_file").otherwise("replace_in_file").alias("operation_type"),
+        F.when(d % 13 != 0, n.cast("long")).alias("source_length"), F.when(d % 2 == 1, n.cast("long")).alias("next_length"), old.alias("expected_content_hash"), new.alias("next_content_hash"),
+    )
+    nth = F.floor(F.col("start") / 250)
+    # spoilt mutations lack their first edit's number
+    edits = _edits(t).select(d.alias("mutation_id"), (nth + (d % 17 == 0).cast("long")).alias("nth"), "start", "end", "inserted")
+    put = edits.where("inserted >= 5").select("mutation_id", "nth", F.lit(0).alias("place"), F.lit(1).cast("long").alias("offset"), F.lit(4).cast("long").alias("length"), F.lit("inserted").alias("classification"), F.lit("ref").alias("reference"))
+    spans = _spans(t).select(old.alias("content_hash"), F.lit("strict").alias("policy_fingerprint"), "start", "end", F.lit("place").alias("classification"), F.lit("ref").alias("reference"))
+    outcomes, found, ranges = derived_plans(muts, edits, put, t.documents.select(old.alias("content_hash"), F.lit("strict").alias("policy_fingerprint")), spans)
+    row = lambda df, part, note, start, end: df.select(F.col("mutation_id").alias("doc_id"), F.lit(part).alias("part"), note.alias("note"), start.alias("start"), end.alias("end"))
+    rows = row(outcomes, "outcome", F.coalesce("reason", "status"), F.lit(None).cast("long"), F.col("next_length"))
+    return rows.union(row(found, "span", F.col("classification"), F.col("start"), F.col("end"))).union(row(ranges, "range", F.lit("scan"), F.col("start"), F.col("end")))
+
+
 @query("geometry_merge_spans", f"WITH sp AS ({_SPANS_SQL}) SELECT DISTINCT doc_id, s AS \"start\", e AS \"end\" FROM (SELECT * FROM sp WHERE s % 200 = 0 UNION ALL SELECT * FROM sp WHERE s % 300 = 0)")
 def geometry_merge_spans(t: Tables) -> DataFrame:
     """The distinct spans of two plans."""
