@@ -40,14 +40,18 @@ def detector_values(t: Tables) -> DataFrame:
 _WORD_EDGE = "(^|[^0-9A-Za-z])"
 
 
+# No text of the tables holds such a number: two are added to each, of which some are too short.
+_CALLS_SQL = "text || ' call +' || (doc_id % 998 + 1) || ' ' || (doc_id * 7919 + 5000000) || ' or +' || (doc_id % 98 + 1) || '.20-' || (doc_id % 9000 + 1000) || ' ' || (doc_id % 900 + 100)"
+
+
 @query(
     "detector_phone_international",
-    rf"""SELECT doc_id, v[-1:] <> '' AS held, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_WORD_EDGE}(\+\d{{1,3}}(?:[\s.-]?\d){{8,14}})', 2)) AS v FROM documents) GROUP BY ALL""",
+    rf"""SELECT doc_id, v[-1:] <> '' AS held, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_WORD_EDGE}(\+\d{{1,3}}(?:[\s.-]?\d){{8,14}})', 2)) AS v FROM (SELECT doc_id, {_CALLS_SQL} AS text FROM documents)) GROUP BY ALL""",
 )
 def detector_phone_international(t: Tables) -> DataFrame:
-    """International phone numbers by document."""
+    """International phone numbers by document, with two candidates of its own added to each text."""
     d = next(d for d in P.DETECTORS if d.name == "phone_international")
-    found = t.documents.select("doc_id", F.explode(V.detector_spans(F.col("text"), d)).alias("x"))
+    found = t.documents.select("doc_id", F.explode(V.detector_spans(F.expr(_CALLS_SQL), d)).alias("x"))
     return found.groupBy("doc_id").agg(F.lit(True).alias("held"), F.count(F.lit(1)).alias("n")).select("doc_id", "held", "n")
 
 
