@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stored
 from .geometry import OVERLAP, propagate, rescan_ranges, running, with_shift
 
 SPAN = ["start", "end", "classification", "reference"]
@@ -82,13 +83,16 @@ def derived_plans(mutations: DataFrame, edits: DataFrame, insertions: DataFrame,
     rows = rows.withColumn("reason", reason)
     state = F.when(F.col("reason").isNull(), "derived").when(F.col("reason").endswith("_invalid") | (F.col("reason") == "mutation_repeated"), "invalid").otherwise("unavailable")
     derived = F.col("reason").isNull()
+    # outcomes, and what they admit, are each used several times below
     outcomes = rows.select("mutation_id", "policy_fingerprint", state.alias("status"), "reason", F.when(derived, F.col("next_content_hash")).alias("content_hash"), F.when(derived, F.col("source_length") + F.coalesce("grown", F.lit(0))).cast("long").alias("next_length"))
+    outcomes = stored(outcomes)
 
     good = outcomes.where("status = 'derived'").select("mutation_id", "policy_fingerprint")
     ids = good.select("mutation_id").distinct()
-    sound = place.join(ids, "mutation_id", "left_semi")
+    sound = stored(place.join(ids, "mutation_id", "left_semi"))
     kept = held.join(good.select(F.col("mutation_id").alias("_m"), F.col("policy_fingerprint").alias("_p")), (F.col("mutation_id") == F.col("_m")) & F.col("policy_fingerprint").eqNullSafe(F.col("_p")), "left_semi")
-    moved = propagate(kept.select("mutation_id", "policy_fingerprint", *SPAN), sound, "mutation_id")
+    kept = stored(kept.select("mutation_id", "policy_fingerprint", *SPAN))
+    moved = propagate(kept, sound, "mutation_id")
     shifted = with_shift(sound, "mutation_id").select("mutation_id", "nth", (F.col("start") + F.col("shift")).alias("_at"))
     start = F.col("_at") + F.col("offset")
     new = own.join(shifted, ["mutation_id", "nth"]).join(good, "mutation_id").select("mutation_id", "policy_fingerprint", start.alias("start"), (start + F.col("length")).alias("end"), "classification", "reference")
