@@ -106,6 +106,38 @@ _HELD = "array<struct<ord:bigint,placeholder:string,original:string,n:int,first:
 _HELD_ARROW = pa.list_(pa.struct([("ord", pa.int64()), ("placeholder", pa.string()), ("original", pa.string()), ("n", pa.int32()), ("first", pa.int32())]))
 
 
+def _hot(rows: DataFrame, key: str) -> tuple[int, DataFrame]:
+    """The number of partitions, and the keys with more rows than an even share of them, as ``_hot``; these are fewer."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
+    share = rows.count() // n + 1
+    return n, F.broadcast(counts.where(F.col("count") > share).select(F.col(key).alias("_hot")))
+
+
+def _spread(rows: DataFrame, n: int) -> Column:
+    """One of ``n`` partitions by the whole row."""
+    own = (F.col("`" + c.replace("`", "``") + "`") for c, kind in rows.dtypes if "map<" not in kind and kind != "variant")
+    return F.pmod(F.xxhash64(*own), F.lit(n)).cast("int")
+
+
+def beside_every_entry(rows: DataFrame, entries: DataFrame, key: str, column: str) -> DataFrame:
+    """``rows`` with each entry (ord, placeholder, original) of the session of their ``key``: one row for every pair.
+
+    ``at``: where a text column first holds the original, whatever its case (from 1; 0: nowhere, null: no text).  The pairs
+    of a session are as many as its rows times its entries, so no task holds them: rows of sessions with more of them than
+    an even share are dealt over all partitions, and entries follow.  Rows without a session are left out.
+
+    Folding keeps the length of a text: the one capital whose lower case is longer is folded to a plain letter.
+    """
+    n, hot = _hot(rows, key)
+    fold_case = lambda c: F.lower(F.translate(c, "\u0130", "i"))
+    left = rows.withColumn("_low", fold_case(F.col(column))).join(hot, F.col(key) == F.col("_hot"), "left")
+    left = left.withColumn("_part", F.when(F.col("_hot").isNotNull(), _spread(rows, n)).otherwise(0)).drop("_hot")
+    right = entries.select(key, "ord", "placeholder", "original", fold_case(F.col("original")).alias("_o")).join(hot, F.col(key) == F.col("_hot"), "left")
+    right = right.withColumn("_part", F.explode(F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return left.join(right, [key, "_part"]).withColumn("at", F.instr(F.col("_low"), F.col("_o"))).drop("_part", "_low", "_o")
+
+
 def beside_session(rows: DataFrame, entries: DataFrame, key: str, column: str) -> DataFrame:
     """``rows`` with what the session of their ``key`` knows of a text column: sanitized, error_code, held, session_size.
 
@@ -119,17 +151,13 @@ def beside_session(rows: DataFrame, entries: DataFrame, key: str, column: str) -
     Cases: a null text is sanitized to null and holds nothing; rows without a session, or with a null key, know nothing;
     entries with an empty side or equal sides are no entries.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.where(F.col(key).isNotNull()).groupBy(key).count()
-    share = rows.count() // n + 1
-    hot = F.broadcast(counts.where(F.col("count") > share).select(F.col(key).alias("_hot")))
+    n, hot = _hot(rows, key)
     own = [F.col("`" + c.replace("`", "``") + "`") for c in rows.columns]
-    spread = F.pmod(F.xxhash64(*(c for c, (_, kind) in zip(own, rows.dtypes, strict=True) if "map<" not in kind and kind != "variant")), F.lit(n)).cast("int")
     dealt = rows.join(hot, rows[key] == F.col("_hot"), "left")
     none = lambda kind: F.lit(None).cast(kind)
     row = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(own)))
     dealt = dealt.select(
-        F.col(key).alias("_key"), F.when(F.col("_hot").isNotNull(), spread).otherwise(0).alias("_part"), F.lit(1).alias("_kind"), none("long").alias("_ord"),
+        F.col(key).alias("_key"), F.when(F.col("_hot").isNotNull(), _spread(rows, n)).otherwise(0).alias("_part"), F.lit(1).alias("_kind"), none("long").alias("_ord"),
         none("string").alias("_placeholder"), none("string").alias("_original"), F.col(column).alias("_text"), row.alias("_row"),
     )
     known = entries.where(F.col(key).isNotNull() & (F.col("placeholder") != "") & (F.col("original") != "") & (F.col("placeholder") != F.col("original")))

@@ -434,16 +434,13 @@ def _rest(beside: DataFrame) -> DataFrame:
 
 @query(
     "session_valid_entries",
-    f"""WITH {_ENTRIES_SQL} SELECT e.conv_id, t.turn, e.placeholder, length(e.original) <= 512 AND NOT (length(e.original) > 80 AND length(e.original) > length(t.text) * 0.35) AS valid, 1 AS n FROM entries e JOIN conversations t ON e.conv_id = t.conv_id AND contains(lower(t.text), lower(e.original))
-    UNION ALL SELECT conv_id, turn, NULL, false, n FROM {_REST_SQL}""",
+    f"WITH {_ENTRIES_SQL} SELECT e.conv_id, t.turn, e.placeholder, contains(lower(t.text), lower(e.original)) AND length(e.original) <= 512 AND NOT (length(e.original) > 80 AND length(e.original) > length(t.text) * 0.35) AS valid FROM entries e JOIN conversations t USING (conv_id)",
 )
 def session_valid_entries(t: Tables) -> DataFrame:
-    """Entries that a turn holds, and whether it supports them: on one line, not too long; the number of those that it does not hold."""
-    beside = _beside(t)
-    o, x = F.col("e.original"), F.col("text")
-    valid = ~o.rlike("[\\r\\n]") & (F.length(o) <= 512) & ~((F.length(o) > 80) & (F.length(o) > F.length(x) * 0.35))
-    held = beside.select("conv_id", "turn", "text", F.explode("held").alias("e")).select("conv_id", "turn", "e.placeholder", valid.alias("valid"), F.lit(1).cast("long").alias("n"))
-    return held.unionByName(_rest(beside).select("conv_id", "turn", F.lit(None).cast("string").alias("placeholder"), F.lit(False).alias("valid"), "n"))
+    """Every entry of a session beside every turn, and whether the turn supports it: held by it, on one line, not too long."""
+    o, x = F.col("original"), F.col("text")
+    valid = (F.col("at") > 0) & ~o.rlike("[\\r\\n]") & (F.length(o) <= 512) & ~((F.length(o) > 80) & (F.length(o) > F.length(x) * 0.35))
+    return M.beside_every_entry(t.conversations, entries(t), "conv_id", "text").select("conv_id", "turn", "placeholder", valid.alias("valid"))
 
 
 @query(

@@ -122,3 +122,27 @@ def test_replies_of_models(spark):
     spans = M.model_spans(F.col("reply"), F.col("text"))
     got = {r["id"]: (None if r["s"] is None else len(r["s"]), r["d"]) for r in df.select("id", spans.alias("s"), F.transform(M.model_detections(spans, F.col("text")), lambda d: d["start"]).alias("d")).collect()}
     assert got == {0: (1, [0, 8]), 1: (None, None), 2: (None, None), 3: (None, None), 4: (0, []), 5: (None, None), 6: (None, None)}
+
+
+def test_rows_beside_every_entry(spark):
+    sessions = {"hot": ["ab", "ANN", "zed"], "k": ["Bo"], "no rows": ["x"]}
+    rows = [("hot", i, "İ Ann " + "ab" * (i % 2)) for i in range(60)] + [("k", 1, "to BO"), ("k", 2, None), ("k", 3, ""), ("no session", 1, "Bo"), (None, 1, "Bo")]
+    entries = frame(spark, [(k, i, f"[W_{i}]", o) for k, own in sessions.items() for i, o in enumerate(own)])
+    out = M.beside_every_entry(spark.createDataFrame(rows, "k string, n int, text string"), entries, "k", "text")
+    got = sorted((tuple(r[c] for c in ("k", "n", "text", "ord", "original", "at")) for r in out.collect()), key=str)
+    assert got == sorted(((k, n, x, i, o, None if x is None else x.lower().replace("i̇", "i").find(o.lower()) + 1) for k, n, x in rows for i, o in enumerate(sessions.get(k, []))), key=str)
+
+
+def test_every_turn_meets_every_entry_of_its_session(spark, sf):
+    """A pair that does not occur is a row of its own, not part of a count."""
+    from hushframe.plans.catalog import QUERIES
+
+    words = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", F.regexp_extract_all("text", F.lit("[A-Za-z]{9,}"), F.lit(0)).alias("w")).collect()
+    own, turns = {}, {}
+    for r in words:
+        own.setdefault(r["conv_id"], set()).update(r["w"] or ())
+        turns[r["conv_id"]] = turns.get(r["conv_id"], 0) + 1
+    n = sum(len(own[c]) * k for c, k in turns.items())
+    for name in ("session_valid_entries",):
+        rows = QUERIES[name](spark, sf)
+        assert rows.count() == rows.select("conv_id", "turn", "placeholder").where("placeholder is not null").distinct().count() == n > 0
