@@ -424,14 +424,6 @@ def session_orientation(t: Tables) -> DataFrame:
     return rows.join(held, ["conv_id", "ord"]).select("conv_id", pick("k", "v").alias("placeholder"), pick("v", "k").alias("original"))
 
 
-_REST_SQL = "(SELECT c.conv_id, c.turn, count(e.ord) FILTER (NOT contains(lower(c.text), lower(e.original))) AS n FROM conversations c LEFT JOIN entries e USING (conv_id) GROUP BY ALL)"
-
-
-def _rest(beside: DataFrame) -> DataFrame:
-    """How many entries of its session a turn does not hold."""
-    return beside.select("conv_id", "turn", (F.col("session_size") - F.size("held")).cast("long").alias("n"))
-
-
 @query(
     "session_valid_entries",
     f"WITH {_ENTRIES_SQL} SELECT e.conv_id, t.turn, e.placeholder, contains(lower(t.text), lower(e.original)) AND length(e.original) <= 512 AND NOT (length(e.original) > 80 AND length(e.original) > length(t.text) * 0.35) AS valid FROM entries e JOIN conversations t USING (conv_id)",
@@ -445,16 +437,12 @@ def session_valid_entries(t: Tables) -> DataFrame:
 
 @query(
     "session_casing",
-    f"""WITH {_ENTRIES_SQL} SELECT e.conv_id, t.turn, e.placeholder, substr(t.text, instr(lower(t.text), lower(e.original)), length(e.original)) AS original, 1 AS n FROM entries e JOIN conversations t ON e.conv_id = t.conv_id AND contains(lower(t.text), lower(e.original))
-    UNION ALL SELECT conv_id, turn, NULL, NULL, n FROM {_REST_SQL}""",
+    f"WITH {_ENTRIES_SQL} SELECT e.conv_id, t.turn, e.placeholder, CASE WHEN instr(lower(t.text), lower(e.original)) > 0 THEN substr(t.text, instr(lower(t.text), lower(e.original)), length(e.original)) ELSE upper(e.original) END AS original FROM entries e JOIN conversations t USING (conv_id)",
 )
 def session_casing(t: Tables) -> DataFrame:
-    """Originals spelled as a turn first spells them; the number of those that it does not hold."""
-    beside = _beside(t)
-    spelled = F.substring(F.col("text"), F.col("e.first") + 1, F.length("e.original"))
-    held = beside.select("conv_id", "turn", "text", F.explode("held").alias("e")).select("conv_id", "turn", "e.placeholder", spelled.alias("original"), F.lit(1).cast("long").alias("n"))
-    none = F.lit(None).cast("string")
-    return held.unionByName(_rest(beside).select("conv_id", "turn", none.alias("placeholder"), none.alias("original"), "n"))
+    """Every original of a session as every turn first spells it; in upper case where the turn does not hold it."""
+    spelled = F.when(F.col("at") > 0, F.substring(F.col("text"), F.col("at"), F.length("original"))).otherwise(F.upper("original"))
+    return M.beside_every_entry(t.conversations, entries(t), "conv_id", "text").select("conv_id", "turn", "placeholder", spelled.alias("original"))
 
 
 @query(

@@ -143,6 +143,6 @@ def test_every_turn_meets_every_entry_of_its_session(spark, sf):
         own.setdefault(r["conv_id"], set()).update(r["w"] or ())
         turns[r["conv_id"]] = turns.get(r["conv_id"], 0) + 1
     n = sum(len(own[c]) * k for c, k in turns.items())
-    for name in ("session_valid_entries",):
+    for name in ("session_valid_entries", "session_casing"):
         rows = QUERIES[name](spark, sf)
         assert rows.count() == rows.select("conv_id", "turn", "placeholder").where("placeholder is not null").distinct().count() == n > 0
