@@ -70,34 +70,74 @@ def rebased(additions: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
     An original that has a placeholder keeps that one (``added`` is false).  A placeholder that is taken by another original,
     or that is an existing original, gets the next free number.  An original that is an existing placeholder is an error
-    (AMBIGUOUS, in ``error_code``; the key's other columns are null then).  A key's additions are one array: a text has few.
+    (AMBIGUOUS, in ``error_code``; the key's other columns are null then).  Additions of equal ``ord`` come by placeholder and original.
     """
     have = counted(existing)
     order = F.min_by("placeholder", "ord").alias("_keeps")
     of_original = have.groupBy(key, "original").agg(order)
     names = have.groupBy(key, F.lower("placeholder").alias("_p")).agg(F.min("original").alias("_taken_by"))
     originals = have.select(key, F.lower("original").alias("_p"), F.lit(True).alias("_is_original")).distinct()
-    rows = counted(additions).select(key, "ord", "placeholder", "original", F.lower("placeholder").alias("_p"), F.lower("original").alias("_o"))
+    rows = counted(additions).where(F.col(key).isNotNull()).select(key, "ord", "placeholder", "original", F.lower("placeholder").alias("_p"), F.lower("original").alias("_o"))
     wrong = rows.join(names.select(key, F.col("_p").alias("_o")), [key, "_o"], "left_semi").select(key).distinct().withColumn("error_code", F.lit(AMBIGUOUS))
     rows = rows.join(of_original, [key, "original"], "left").join(names, [key, "_p"], "left").join(originals, [key, "_p"], "left")
     moves = F.col("_keeps").isNull() & (F.coalesce("_is_original", F.lit(False)) | F.coalesce(F.col("_taken_by") != F.col("original"), F.lit(False)))
-    side = lambda df: df.select(key, F.explode(F.array(F.lower("placeholder"), F.lower("original"))).alias("_t"))
-    taken = side(have).union(side(counted(additions))).groupBy(key).agg(F.collect_set("_t").alias("_taken"))
-    item = F.struct("ord", "placeholder", "original", F.col("_keeps").alias("keeps"), moves.alias("moves"))
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_items")).join(taken, key)
-    kind = "array<struct<ord:bigint,placeholder:string,original:string,target:string,added:boolean>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        target = F.when(x["keeps"].isNotNull(), x["keeps"]).when(x["moves"], I.next_legacy_alias(x["placeholder"], acc["taken"])).otherwise(x["placeholder"])
-        made = F.struct(x["ord"].cast("long").alias("ord"), x["placeholder"].alias("placeholder"), x["original"].alias("original"), target.alias("target"), x["keeps"].isNull().alias("added"))
-        return F.struct(F.concat(acc["taken"], F.array(F.lower(target))).alias("taken"), F.concat(acc["out"], F.array(made)).alias("out"))
-
-    start = F.struct(F.col("_taken").alias("taken"), F.array().cast(kind).alias("out"))
-    done = grouped.join(wrong, key, "left_anti").select(key, F.explode(F.aggregate("_items", start, step, lambda a: a["out"])).alias("x")).select(key, "x.*", F.lit(None).cast("string").alias("error_code"))
+    rows = rows.join(wrong, key, "left_anti").withColumn("_moves", moves)
+    still = rows.where("not _moves").select(key, "ord", "placeholder", "original", F.coalesce("_keeps", "placeholder").alias("target"), F.col("_keeps").isNull().alias("added"))
+    moved = _renumbered(rows.where("_moves"), have.select(key, "placeholder", "original").unionByName(counted(additions).select(key, "placeholder", "original")), key)
+    done = still.unionByName(moved.withColumn("added", F.lit(True))).withColumn("ord", F.col("ord").cast("long")).withColumn("error_code", F.lit(None).cast("string"))
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
     return done.unionByName(wrong.select(key, none("ord", "long"), none("placeholder", "string"), none("original", "string"), none("target", "string"), none("added", "boolean"), "error_code"))
 
 
+def _renumbered(rows: DataFrame, taken: DataFrame, key: str) -> DataFrame:
+    """key, ord, placeholder, original, target: each placeholder, in order, as the next free [CATEGORY_n] after it.
+
+    ``taken``: entries whose placeholders and originals are not free, whatever their case.  Only names of that form can be
+    met, so a name is its category and number.  Rows pass in sorted partitions, the taken numbers of a category before its
+    rows; a task holds the taken numbers of one category of one key, with a link from each to the next that may be free, so
+    the work grows with the rows whatever the length of a key.
+    """
+    parsed = I.parse_alias(F.col("placeholder"))
+    name = F.explode(F.array(F.lower("placeholder"), F.lower("original")))
+    form = r"\A\[(.*)_([1-9][0-9]{0,17})\]\z"
+    none = lambda kind: F.lit(None).cast(kind)
+    used = taken.select(key, name.alias("_t")).where(F.col("_t").rlike(form)).select(
+        F.col(key).alias("_key"), F.regexp_extract("_t", form, 1).alias("_category"), F.lit(0).alias("_kind"), F.regexp_extract("_t", form, 2).cast("long").alias("_n"),
+        none("string").alias("_name"), none("long").alias("ord"), none("string").alias("placeholder"), none("string").alias("original"),
+    ).distinct()
+    name = F.coalesce(parsed["category"], I.inferred_category(F.col("placeholder")))
+    asks = rows.select(
+        F.col(key).alias("_key"), F.lower(name).alias("_category"), F.lit(1).alias("_kind"), F.coalesce(parsed["ordinal"] + 1, F.lit(1)).cast("long").alias("_n"),
+        name.alias("_name"), F.col("ord").cast("long").alias("ord"), "placeholder", "original",
+    )
+    used = used.join(asks.select("_key", "_category").distinct(), ["_key", "_category"], "left_semi").select(*asks.columns)
+    both = asks.unionByName(used).repartition("_key", "_category").sortWithinPartitions("_key", "_category", "_kind", "ord", "placeholder", "original")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, after = None, {}  # of each taken number, one behind it: the next free one is at the end of such links
+        for batch in batches:
+            keep, targets = [], []
+            columns = (batch.column(c).to_pylist() for c in ("_key", "_category", "_kind", "_n", "_name"))
+            for i, (own, category, kind, n, name) in enumerate(zip(*columns, strict=True)):
+                if at != (own, category):
+                    at, after = (own, category), {}
+                if not kind:
+                    after[n] = n + 1
+                    continue
+                path = []
+                while n in after:
+                    path.append(n)
+                    n = after[n]
+                for x in (*path, n):
+                    after[x] = n + 1
+                keep.append(i)
+                targets.append(f"[{name}_{n}]")
+            chosen = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("_key", "ord", "placeholder", "original")]
+            yield pa.RecordBatch.from_arrays([*chosen, pa.array(targets, pa.string())], [key, "ord", "placeholder", "original", "target"])
+
+    return both.mapInArrow(run, f"`{key}` {dict(rows.dtypes)[key]}, ord long, placeholder string, original string, target string")
+
+
 #: Known values put out of a text column by a session column of the same row.
 sanitize_known = put_out
 

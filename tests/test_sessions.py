@@ -146,3 +146,38 @@ def test_every_turn_meets_every_entry_of_its_session(spark, sf):
     for name in ("session_valid_entries", "session_casing"):
         rows = QUERIES[name](spark, sf)
         assert rows.count() == rows.select("conv_id", "turn", "placeholder").where("placeholder is not null").distinct().count() == n > 0
+
+
+def plain_rebased(new, have):
+    """Targets of one key's additions, one after another."""
+    keeps = {}
+    for _, p, o in have:
+        keeps.setdefault(o, p)
+    names, originals = {p.lower(): o for _, p, o in reversed(have)}, {o.lower() for _, _, o in have}
+    taken, out = {x.lower() for _, p, o in (*have, *new) for x in (p, o)}, []
+    for number, p, o in sorted(new):
+        target = keeps.get(o, p)
+        if o not in keeps and (p.lower() in originals or names.get(p.lower(), o) != o):
+            kind, n = p[1:-1].upper().rsplit("_", 1)
+            n = int(n) + 1
+            while f"[{kind}_{n}]".lower() in taken:
+                n += 1
+            target = f"[{kind}_{n}]"
+        taken.add(target.lower())
+        out.append((number, p, o, target, o not in keeps))
+    return out
+
+
+def test_long_sessions_are_rebased_like_a_plain_loop(spark):
+    rng = random.Random(3)
+    sessions = {}
+    for k in ("a", "b"):
+        have = [(i, f"[{rng.choice('AB')}_{i}]", f"o{i}") for i in rng.sample(range(1, 60), 30)] + [(99, "[B_70]", "[a_75]")]
+        sessions[k] = (sorted(have), [(i, f"[{rng.choice('AaBb')}_{rng.randint(1, 80)}]", rng.choice([f"o{i}", f"n{i}", f"[C_{i}]"])) for i in range(1, 50)])
+    # one key with so many additions that a fold over arrays of them would not end
+    many = 3000
+    sessions["long"] = ([(i, f"[A_{i}]", f"o{i}") for i in range(1, many + 1)], [(i, f"[A_{i}]", f"n{i}") for i in range(1, many + 1)])
+    have = frame(spark, [(k, *e) for k, (h, _) in sessions.items() for e in h] + [(None, 1, "[A_1]", "x")])
+    new = frame(spark, [(k, *e) for k, (_, n) in sessions.items() for e in n] + [(None, 1, "[A_1]", "y")])
+    got = sorted(tuple(r[c] for c in ("k", "ord", "placeholder", "original", "target", "added", "error_code")) for r in M.rebased(new, have, "k").collect())
+    assert got == sorted((k, *x, None) for k, (h, n) in sessions.items() for x in plain_rebased(n, h))
