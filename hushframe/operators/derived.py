@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stored
-from .geometry import OVERLAP, propagate, rescan_ranges, running, with_shift
+from .geometry import OVERLAP, parts, propagate, rescan_ranges, running, with_shift
 
 SPAN = ["start", "end", "classification", "reference"]
 
@@ -15,9 +15,10 @@ def _broken(condition: Column) -> Column:
     return F.max(F.coalesce(condition, F.lit(True))).alias("broken")
 
 
-def _after_previous(rows: DataFrame, keys: list[str], nth: str, start: str, end: Column) -> DataFrame:
+def _after_previous(rows: DataFrame, keys: list[str], nth: str, start: str, end: Column, n: int) -> DataFrame:
     """``rows`` with ``_after``: whether each begins no earlier than the one before it, numbered from 0 without a gap, ends."""
     before = rows.select(*(F.col(k).alias(f"_{k}") for k in keys), (F.col(nth) + 1).alias("_follows"), end.alias("_ended")).groupBy(*(f"_{k}" for k in keys), "_follows").agg(F.max("_ended").alias("_ended"))
+    rows, before = rows.repartition(n, nth, *keys), before.repartition(n, "_follows", *(f"_{k}" for k in keys))
     same = F.col(nth) == F.col("_follows")
     for k in keys:
         same = same & (F.col(k) == F.col(f"_{k}"))
@@ -44,26 +45,28 @@ def derived_plans(mutations: DataFrame, edits: DataFrame, insertions: DataFrame,
     (edits_invalid), known insertions do or leave the inserted text (insertions_invalid), or a plan's spans leave the source
     (spans_invalid, this plan only).  A mutation without edits moves nothing; edits and insertions of no mutation are left out.
     """
+    # joins with edits and with spans are in partitions of so many rows, not of so many bytes
+    n, m = parts(edits), parts(spans)
     columns = ["mutation_id", "status", "operation_type", "source_length", "next_length", "expected_content_hash", "next_content_hash"]
     each = mutations.select(*columns)
     again = each.groupBy("mutation_id").count().where("count > 1").select(F.col("mutation_id").alias("_repeated"), F.lit(True).alias("again"))
     length = each.where("mutation_id is not null").groupBy("mutation_id").agg(F.max("source_length").alias("source_length"))
     place = edits.select("mutation_id", "nth", "start", "end", "inserted").where("mutation_id is not null")
 
-    at = _after_previous(place, ["mutation_id"], "nth", "start", F.col("end")).join(length, "mutation_id")
+    at = _after_previous(place, ["mutation_id"], "nth", "start", F.col("end"), n).join(length, "mutation_id")
     fine = F.col("_after") & (F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("inserted") >= 0) & (F.col("end") <= F.col("source_length"))
     tally = at.groupBy("mutation_id").agg(_broken(~fine), F.count(F.lit(1)).alias("n"), F.max("nth").alias("last"), F.sum(F.col("inserted") - (F.col("end") - F.col("start"))).alias("grown"))
     tally = tally.select("mutation_id", (F.col("broken") | (F.col("n") != F.col("last") + 1)).alias("bad_edits"), "grown")
 
     own = insertions.select("mutation_id", "nth", "place", "offset", "length", "classification", "reference").where("mutation_id is not null")
     room = place.groupBy("mutation_id", "nth").agg(F.max("inserted").alias("_room"))
-    put = _after_previous(own, ["mutation_id", "nth"], "place", "offset", F.col("offset") + F.col("length")).join(room, ["mutation_id", "nth"], "left")
+    put = _after_previous(own, ["mutation_id", "nth"], "place", "offset", F.col("offset") + F.col("length"), n).join(room, ["mutation_id", "nth"], "left")
     within = F.col("_after") & (F.col("offset") >= 0) & (F.col("length") >= 0) & (F.col("offset") + F.col("length") <= F.col("_room")) & F.col("reference").isNotNull()
     put = put.groupBy("mutation_id").agg(_broken(~within)).select("mutation_id", F.col("broken").alias("bad_insertions"))
 
     old = plans.select(F.col("content_hash").alias("expected_content_hash"), "policy_fingerprint").distinct()
     planned = each.join(old, "expected_content_hash", "left")
-    held = spans.select(F.col("content_hash").alias("expected_content_hash"), "policy_fingerprint", *SPAN).join(each.where("mutation_id is not null").select("mutation_id", "expected_content_hash", "source_length"), "expected_content_hash")
+    held = spans.select(F.col("content_hash").alias("expected_content_hash"), "policy_fingerprint", *SPAN).repartition(m, "expected_content_hash").join(each.where("mutation_id is not null").select("mutation_id", "expected_content_hash", "source_length"), "expected_content_hash")
     held = held.join(old.select("expected_content_hash", F.col("policy_fingerprint").alias("_policy")).distinct(), ["expected_content_hash"]).where(F.col("policy_fingerprint").eqNullSafe(F.col("_policy"))).drop("_policy")
     inside = (F.col("start") >= 0) & (F.col("end") >= F.col("start")) & (F.col("end") <= F.col("source_length")) & F.col("reference").isNotNull()
     out_of = held.groupBy("mutation_id", "policy_fingerprint").agg(_broken(~inside)).where("broken").select(F.col("mutation_id").alias("_m"), F.col("policy_fingerprint").alias("_p"), F.lit(True).alias("bad_spans"))
@@ -90,13 +93,15 @@ def derived_plans(mutations: DataFrame, edits: DataFrame, insertions: DataFrame,
     good = outcomes.where("status = 'derived'").select("mutation_id", "policy_fingerprint")
     ids = good.select("mutation_id").distinct()
     sound = stored(place.join(ids, "mutation_id", "left_semi"))
-    kept = held.join(good.select(F.col("mutation_id").alias("_m"), F.col("policy_fingerprint").alias("_p")), (F.col("mutation_id") == F.col("_m")) & F.col("policy_fingerprint").eqNullSafe(F.col("_p")), "left_semi")
+    policy = [F.coalesce("policy_fingerprint", F.lit("")).alias("_policy"), F.isnull("policy_fingerprint").alias("_none")]
+    of_good = ["mutation_id", "_policy", "_none"]
+    kept = held.select("*", *policy).repartition(m, *of_good).join(good.select("mutation_id", *policy).repartition(m, *of_good), of_good, "left_semi")
     kept = stored(kept.select("mutation_id", "policy_fingerprint", *SPAN))
     moved = propagate(kept, sound, "mutation_id")
-    shifted = with_shift(sound, "mutation_id").select("mutation_id", "nth", (F.col("start") + F.col("shift")).alias("_at"))
+    shifted = with_shift(sound, "mutation_id", n).select("mutation_id", "nth", (F.col("start") + F.col("shift")).alias("_at")).repartition(n, "mutation_id", "nth")
     start = F.col("_at") + F.col("offset")
-    new = own.join(shifted, ["mutation_id", "nth"]).join(good, "mutation_id").select("mutation_id", "policy_fingerprint", start.alias("start"), (start + F.col("length")).alias("end"), "classification", "reference")
-    ranges = rescan_ranges(sound.join(length, "mutation_id"), "mutation_id", "source_length", overlap)
+    new = own.repartition(n, "mutation_id", "nth").join(shifted, ["mutation_id", "nth"]).repartition(n, "mutation_id").join(good, "mutation_id").select("mutation_id", "policy_fingerprint", start.alias("start"), (start + F.col("length")).alias("end"), "classification", "reference")
+    ranges = rescan_ranges(sound.join(length, "mutation_id"), "mutation_id", "source_length", overlap, n)
     return outcomes, moved.union(new), ranges.select("mutation_id", "start", "end")
 
 

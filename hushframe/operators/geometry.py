@@ -7,16 +7,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 OVERLAP = 64
 #: Places in a block of running sums.
 BLOCK = 65_536
+#: Rows of a task where spans meet edits: its sorts take some 2 kB for each.
+ROWS = 100_000
 
 
-def running(rows: DataFrame, key: str, place: str, order: list[str], sums: list[str]) -> DataFrame:
+def parts(*frames: DataFrame) -> int:
+    """Partitions that hold ``ROWS`` rows of these frames each, and as many as the session asks for at least.
+
+    Spans are small in a shuffle and large in a sort, so partitions by bytes, or a fixed number, would give tasks that grow.
+    """
+    n = int(frames[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, sum(df.count() for df in frames) // ROWS + 1)
+
+
+def running(rows: DataFrame, key: str, place: str, order: list[str], sums: list[str], n: int | None = None) -> DataFrame:
     """``rows`` with the columns ``sums`` as running sums within a key by ``place`` and then ``order``, each row's own included.
 
     Sums run within blocks of ``BLOCK`` places side by side, and over the totals of the blocks before, so one key, however
-    long, is not one task.  Keys and places are not null.
+    long, is not one task.  Keys and places are not null.  ``n``: partitions of the blocks, where the session's are too few.
     """
     block = F.floor(F.col(place) / BLOCK).alias("_block")
     rows = rows.select("*", block)
+    if n:
+        rows = rows.repartition(n, key, "_block")
     total = rows.groupBy(key, "_block").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     total = total.select(F.col(key).alias("_key"), F.col("_block").alias("_of"), *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}") for c in sums))
@@ -26,11 +39,11 @@ def running(rows: DataFrame, key: str, place: str, order: list[str], sums: list[
     return own.select(*((F.col(c) + F.col(f"_{c}")).alias(c) if c in sums else c for c in rows.columns if c != "_block"))
 
 
-def with_shift(edits: DataFrame, key: str) -> DataFrame:
+def with_shift(edits: DataFrame, key: str, n: int | None = None) -> DataFrame:
     """Edits (key, start, end, inserted) with the shift that those before them cause."""
     delta = F.col("inserted") - (F.col("end") - F.col("start"))
     order = ["end", *(["nth"] if "nth" in edits.columns else [])]
-    return running(edits.withColumn("shift", delta), key, "start", order, ["shift"]).withColumn("shift", (F.col("shift") - delta).cast("long"))
+    return running(edits.withColumn("shift", delta), key, "start", order, ["shift"], n).withColumn("shift", (F.col("shift") - delta).cast("long"))
 
 
 def propagate(spans: DataFrame, edits: DataFrame, key: str) -> DataFrame:
@@ -42,6 +55,7 @@ def propagate(spans: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     its end move it.  Spans meet the map by place, so the work is that of sorting, and a key with many of either is
     spread out.  Spans of a null key have no edits.
     """
+    n = parts(spans, edits)
     delta = F.col("inserted") - (F.col("end") - F.col("start"))
     zero = F.lit(0).cast("long")
     row = lambda at, tag, begun, moved, ended: F.struct(at.cast("long").alias("_at"), F.lit(tag).alias("_tag"), begun.alias("begun"), moved.alias("moved"), ended.alias("ended"))
@@ -50,10 +64,12 @@ def propagate(spans: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     edge = edge.groupBy(key, "_at", "_tag").agg(*(F.sum(c).alias(c) for c in ("begun", "moved", "ended")))
     ask = spans.where(F.col(key).isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()).select(key, F.explode(F.array(F.col("start").cast("long"), F.col("end").cast("long"))).alias("_at")).distinct()
     ask = ask.select(key, "_at", F.lit(1).alias("_tag"), *(zero.alias(c) for c in ("begun", "moved", "ended")))
-    place = running(edge.union(ask), key, "_at", ["_tag"], ["begun", "moved", "ended"]).where("_tag = 1")
-    at_start = place.select(F.col(key).alias("_k0"), F.col("_at").alias("_p0"), F.col("ended").alias("_ended"))
-    at_end = place.select(F.col(key).alias("_k1"), F.col("_at").alias("_p1"), F.col("begun").alias("_begun"), F.col("moved").alias("_moved"))
-    rows = spans.join(at_start, (F.col(key) == F.col("_k0")) & (F.col("start") == F.col("_p0")), "left").join(at_end, (F.col(key) == F.col("_k1")) & (F.col("end") == F.col("_p1")), "left")
+    place = running(edge.union(ask), key, "_at", ["_tag"], ["begun", "moved", "ended"], 2 * n).where("_tag = 1")
+    at_start = place.select(F.col(key).alias("_k0"), F.col("_at").alias("_p0"), F.col("ended").alias("_ended")).repartition(n, "_k0", "_p0")
+    at_end = place.select(F.col(key).alias("_k1"), F.col("_at").alias("_p1"), F.col("begun").alias("_begun"), F.col("moved").alias("_moved")).repartition(n, "_k1", "_p1")
+    place_of = lambda c: F.col(c).cast("long").alias(f"_{c}")
+    rows = spans.select("*", place_of("start"), place_of("end")).repartition(n, key, "_start")
+    rows = rows.join(at_start, (F.col(key) == F.col("_k0")) & (F.col("_start") == F.col("_p0")), "left").repartition(n, key, "_end").join(at_end, (F.col(key) == F.col("_k1")) & (F.col("_end") == F.col("_p1")), "left")
     whole = F.coalesce(F.col("_begun") <= F.col("_ended"), F.lit(True))
     moved = F.coalesce("_moved", zero)
     return rows.where(whole).select(*((F.col(c) + moved).alias(c) if c in ("start", "end") else F.col("`" + c.replace("`", "``") + "`") for c in spans.columns))
@@ -69,9 +85,11 @@ def merged_ranges(ranges: DataFrame, key: str, limit: Column) -> DataFrame:
     return rows.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
-def rescan_ranges(edits: DataFrame, key: str, length: str, overlap: int = OVERLAP) -> DataFrame:
-    """Where the text after the edits (key, start, end, inserted, <length>) must be scanned again."""
-    shifted = with_shift(edits, key)
+def rescan_ranges(edits: DataFrame, key: str, length: str, overlap: int = OVERLAP, n: int | None = None) -> DataFrame:
+    """Where the text after the edits (key, start, end, inserted, <length>) must be scanned again, in ``n`` partitions."""
+    shifted = with_shift(edits, key, n)
+    if n:
+        shifted = shifted.repartition(n, key)
     at = F.col("start") + F.col("shift")
     total = edits.groupBy(key).agg(F.sum(F.col("inserted") - (F.col("end") - F.col("start"))).alias("_total"))
     rows = shifted.join(total, key).select(key, (at - overlap).alias("start"), (at + F.col("inserted") + overlap).alias("end"), (F.col(length) + F.col("_total")).alias("_next"))

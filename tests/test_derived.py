@@ -107,3 +107,13 @@ def test_outcomes(spark):
         (1, "", 0, 1, "e"), (1, "", 2, 4, "r1"), (1, "", 4, 7, "r2"), (1, "p", 0, 2, "a"), (1, "p", 2, 4, "r1"), (1, "p", 4, 7, "r2"), (1, "p", 9, 9, "d"), (11, "", 0, 1, "e"),
     ]
     assert sorted(map(tuple, ranges.collect())) == [(1, 0, 13), (9, 0, 4)]
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    """Spans that meet edits are dealt by their number, so that a task's sorts do not grow with the table."""
+    monkeypatch.setattr(G, "ROWS", 100)
+    spans = spark.range(5000).select((F.col("id") % 50).alias("k"), (F.floor(F.col("id") / 50) * 100).alias("start"), (F.floor(F.col("id") / 50) * 100 + 20).alias("end"))
+    edits = spans.where("start % 200 = 0").select("k", (F.col("start") + 30).alias("start"), (F.col("start") + 40).alias("end"), F.lit(15).alias("inserted"))
+    moved = G.propagate(spans, edits, "k")
+    assert moved.rdd.getNumPartitions() >= 75
+    assert sorted(map(tuple, moved.collect())) == sorted((k, s + d, s + 20 + d) for k in range(50) for s in range(0, 10_000, 100) for d in [-(-s // 200) * 5])
