@@ -39,15 +39,15 @@ class KnownValues:
         if self.targets:
             self.automaton.make_automaton()
 
-    def all(self, folded: str) -> Iterator[tuple[int, int]]:
+    def all(self, folded: str) -> list[tuple[int, int]]:
         """Every occurrence of a known value in a folded text, also those that overlap, by their ends."""
-        return ((last + 1 - size, last + 1) for last, size in self.automaton.iter(folded)) if self.targets else iter(())
+        return [(last + 1 - size, last + 1) for last, size in self.automaton.iter(folded)] if self.targets else []
 
-    def chosen(self, folded: str) -> list[tuple[int, int]]:
+    def chosen(self, found: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """The occurrences that count: the longest at each place, from left to right."""
         longest: dict[int, int] = {}
-        for a, b in self.all(folded):
-            longest[a] = max(b, longest.get(a, b))
+        for a, b in found:
+            longest[a] = b  # those at one place come by their ends
         out, at = [], 0
         for a in sorted(longest):
             if a >= at:
@@ -57,8 +57,13 @@ class KnownValues:
 
     def __call__(self, text: str) -> tuple[str | None, str | None]:
         """The text with placeholders for originals and no error; or no text and why: a spelling that two values could mean."""
-        folded, parts, at = fold(text), [], 0
-        for a, b in self.chosen(folded):
+        folded = fold(text)
+        return self.put(text, folded, self.all(folded))
+
+    def put(self, text: str, folded: str, found: list[tuple[int, int]]) -> tuple[str | None, str | None]:
+        """The same, of a text whose folded form and occurrences are known."""
+        parts, at = [], 0
+        for a, b in self.chosen(found):
             meant = self.targets[folded[a:b]]
             target = meant.get(text[a:b]) or (next(iter(meant.values())) if len(meant) == 1 else None)
             if target is None:

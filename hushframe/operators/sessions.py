@@ -143,7 +143,32 @@ sanitize_known = put_out
 
 
 _HELD = "array<struct<ord:bigint,placeholder:string,original:string,n:int,first:int>>"
-_HELD_ARROW = pa.list_(pa.struct([("ord", pa.int64()), ("placeholder", pa.string()), ("original", pa.string()), ("n", pa.int32()), ("first", pa.int32())]))
+_HELD_ARROW = {"ord": pa.int64(), "placeholder": pa.string(), "original": pa.string(), "n": pa.int32(), "first": pa.int32()}
+#: Held entries, of a batch's rows together, at which what is done of it is passed on.
+HELD = 50_000
+
+
+class _Held:
+    """Held entries of rows, in columns."""
+
+    def __init__(self) -> None:
+        self.ends, self.columns = [0], {c: [] for c in _HELD_ARROW}
+
+    def add(self, folded: str, spans: list[tuple[int, int]], of: dict[str, list]) -> None:
+        found: dict[str, list[int]] = {}  # count, first, end of the last counted
+        for a, b in spans:
+            if (value := folded[a:b]) in of:
+                seen = found.setdefault(value, [0, a, 0])
+                if a >= seen[2]:
+                    seen[0], seen[2] = seen[0] + 1, b
+        for x in sorted((*x, n, first) for value, (n, first, _) in found.items() for x in of[value]):
+            for column, v in zip(self.columns.values(), x, strict=True):
+                column.append(v)
+        self.ends.append(len(self.columns["n"]))
+
+    def array(self) -> pa.Array:
+        made = pa.StructArray.from_arrays([pa.array(self.columns[c], kind) for c, kind in _HELD_ARROW.items()], list(_HELD_ARROW))
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), made)
 
 
 def _hot(rows: DataFrame, key: str) -> tuple[int, DataFrame]:
@@ -178,11 +203,13 @@ def beside_every_entry(rows: DataFrame, entries: DataFrame, key: str, column: st
     return left.join(right, [key, "_part"]).withColumn("at", F.instr(F.col("_low"), F.col("_o"))).drop("_part", "_low", "_o")
 
 
-def beside_session(rows: DataFrame, entries: DataFrame, key: str, column: str) -> DataFrame:
+def beside_session(rows: DataFrame, entries: DataFrame, key: str, column: str, put: bool = True, again: bool = False) -> DataFrame:
     """``rows`` with what the session of their ``key`` knows of a text column: sanitized, error_code, held, session_size.
 
     ``entries``: key, ord, placeholder, original.  ``held``: each entry whose original the text holds, whatever its case, with
-    the number of its occurrences (those that overlap not counted twice) and the first of them (from 0).
+    the number of its occurrences (those that overlap not counted twice) and the first of them (from 0).  Without ``put``
+    nothing is sanitized: sanitized and error_code are null.  With ``again`` there is also ``left``: what the sanitized text
+    still holds, like ``held``.
 
     Entries and rows meet in sorted partitions, the entries of a session before its rows, so that the automaton of a session
     is built once and no row carries the session.  Sessions with more rows than an even share are dealt over all
@@ -209,10 +236,18 @@ def beside_session(rows: DataFrame, entries: DataFrame, key: str, column: str) -
     )
     both = dealt.unionByName(known).repartition("_key", "_part").sortWithinPartitions("_key", "_part", "_kind", "_ord")
 
+    extra = ["sanitized", "error_code", "held", *(["left"] if again else []), "session_size"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, session, known, of = None, [], None, {}
         for batch in batches:
-            keep, sanitized, errors, held, sizes = [], [], [], [], []
+            keep, sanitized, errors, sizes, held, left = [], [], [], [], _Held(), _Held()
+
+            def made(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                rows = batch.column("_row").take(pa.array(keep, pa.int64()))
+                lists = [x.array() for x in ([held, left] if again else [held])]
+                return pa.RecordBatch.from_arrays([rows, pa.array(sanitized, pa.string()), pa.array(errors, pa.string()), *lists, pa.array(sizes, pa.int32())], ["_row", *extra])
+
             columns = (batch.column(c).to_pylist() for c in ("_key", "_part", "_kind", "_ord", "_placeholder", "_original", "_text"))
             for i, (key, part, kind, number, placeholder, original, text) in enumerate(zip(*columns, strict=True)):
                 if at != (key, part):
@@ -224,26 +259,25 @@ def beside_session(rows: DataFrame, entries: DataFrame, key: str, column: str) -
                     known, of = KnownValues([x[1:] for x in session]), {}
                     for x in session:
                         of.setdefault(fold(x[2]), []).append(x)
+                folded = fold(text or "")
+                spans = known.all(folded)
+                done = known.put(text, folded, spans) if put and text is not None else (None, None)
                 keep.append(i)
-                done = (None, None) if text is None else known(text)
                 sanitized.append(done[0])
                 errors.append(done[1])
                 sizes.append(len(session))
-                found: dict[str, list[int]] = {}  # count, first, end of the last counted
-                folded = fold(text or "")
-                for a, b in known.all(folded):
-                    if (value := folded[a:b]) in of:
-                        seen = found.setdefault(value, [0, a, 0])
-                        if a >= seen[2]:
-                            seen[0], seen[2] = seen[0] + 1, b
-                held.append(sorted((*x, n, first) for value, (n, first, _) in found.items() for x in of[value]))
-            names = ("ord", "placeholder", "original", "n", "first")
-            lists = pa.array([[dict(zip(names, x, strict=True)) for x in own] for own in held], _HELD_ARROW)
-            rows = batch.column("_row").take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows, pa.array(sanitized, pa.string()), pa.array(errors, pa.string()), lists, pa.array(sizes, pa.int32())], ["_row", "sanitized", "error_code", "held", "session_size"])
-
-    out = both.mapInArrow(run, f"_row {dealt.schema['_row'].dataType.simpleString()}, sanitized string, error_code string, held {_HELD}, session_size int")
-    return out.select(*(F.col(f"_row.c{i}") for i in range(len(own))), "sanitized", "error_code", "held", "session_size").toDF(*rows.columns, "sanitized", "error_code", "held", "session_size")
+                held.add(folded, spans, of)
+                if again:
+                    folded = fold(done[0] or "")
+                    left.add(folded, known.all(folded), of)
+                if held.ends[-1] + left.ends[-1] > HELD:
+                    yield made()
+                    keep, sanitized, errors, sizes, held, left = [], [], [], [], _Held(), _Held()
+            yield made()
+
+    kinds = {"sanitized": "string", "error_code": "string", "held": _HELD, "left": _HELD, "session_size": "int"}
+    out = both.mapInArrow(run, f"_row {dealt.schema['_row'].dataType.simpleString()}, " + ", ".join(f"{c} {kinds[c]}" for c in extra))
+    return out.select(*(F.col(f"_row.c{i}") for i in range(len(own))), *extra).toDF(*rows.columns, *extra)
 
 
 # What a model may call a span, and how many and how long spans may be.

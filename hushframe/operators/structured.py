@@ -110,10 +110,12 @@ def _asked(windows: DataFrame, classifier: Classifier) -> DataFrame:
         return None, pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # one window's spans at a time: a batch's windows have many
         for batch in batches:
-            got = [one(t) for t in batch.column("text").to_pylist()]
-            spans = pa.array([[{"placeholder": p, "original": o} for p, o in own] for _, own in got], kind)
-            yield pa.RecordBatch.from_arrays([batch.column("window"), pa.array([e for e, _ in got], pa.string()), spans], ["window", "error_code", "spans"])
+            for i, text in enumerate(batch.column("text")):
+                error, own = one(text.as_py())
+                spans = pa.array([[{"placeholder": p, "original": o} for p, o in own]], kind)
+                yield pa.RecordBatch.from_arrays([batch.column("window").slice(i, 1), pa.array([error], pa.string()), spans], ["window", "error_code", "spans"])
 
     return windows.select("window", "text").mapInArrow(run, "window string, error_code string, spans array<struct<placeholder:string,original:string>>")
 

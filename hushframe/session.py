@@ -36,4 +36,7 @@ def ship(spark: SparkSession) -> SparkSession:
         # rows hold whole texts: the default of 10,000 to a batch is too many
         if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        # and a thousand long ones are too many as well
+        if spark.sparkContext.getConf().get("spark.sql.execution.arrow.maxBytesPerBatch") is None:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark

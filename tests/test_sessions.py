@@ -181,3 +181,15 @@ def test_long_sessions_are_rebased_like_a_plain_loop(spark):
     new = frame(spark, [(k, *e) for k, (_, n) in sessions.items() for e in n] + [(None, 1, "[A_1]", "y")])
     got = sorted(tuple(r[c] for c in ("k", "ord", "placeholder", "original", "target", "added", "error_code")) for r in M.rebased(new, have, "k").collect())
     assert got == sorted((k, *x, None) for k, (h, n) in sessions.items() for x in plain_rebased(n, h))
+
+
+def test_held_entries_are_passed_on_in_parts_and_looked_for_again(spark):
+    """More held entries than one part has, and what sanitized texts still hold."""
+    words = ["".join(w) for w in zip(*[iter("abcdefghijklmnopqrstuvwxyz" * 3)] * 3)][:26]
+    entries = frame(spark, [("k", i, "[zz]" if i == 3 else f"[W_{i}]", w) for i, w in enumerate(words)] + [("k", 99, "[Q_1]", "zz")])
+    rows = [("k", i, " ".join(words)) for i in range(M.HELD // 13)]
+    out = M.beside_session(spark.createDataFrame(rows, "k string, n int, text string").repartition(1), entries, "k", "text", again=True)
+    got = out.selectExpr("n", "size(held) as held", "transform(left, e -> e.original) as left", "sanitized").distinct().collect()
+    assert len(got) == len(rows) and {(r["held"], tuple(r["left"])) for r in got} == {(len(words), ("zz",))}
+    plain = M.beside_session(spark.createDataFrame(rows[:3], "k string, n int, text string"), entries, "k", "text", put=False).collect()
+    assert {(r["sanitized"], r["error_code"], len(r["held"])) for r in plain} == {(None, None, len(words))}
