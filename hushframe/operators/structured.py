@@ -36,16 +36,14 @@ HEADER_ROOM, LONGEST = 128, 512
 TOO_LARGE, CHANGED, BAD_SPAN, LEAK = "CONTEXT_TOO_LARGE", "INVALID_SANITIZED_CONTEXT", "INVALID_CLASSIFIER_SPAN", "PROTECTED_VALUE_LEAK"
 BOUNDARY = "__BOUNDARY_"
 
-_RUN = re.compile(r"(\s+)|([A-Za-z]+)|([0-9]+)|([^\x00-\x7F])|[^A-Za-z0-9\s]")
+# each match is a token: runs in pieces of 4, 3 and 2; what is not ASCII counts twice
+_TOKEN = re.compile(r"\s{1,4}|[A-Za-z]{1,3}|[0-9]{1,2}|[^A-Za-z0-9\s]")
+_WIDE = re.compile(r"[^\x00-\x7F\s]")
 
 
 def tokens(text: str) -> int:
     """The token estimate of :func:`hushframe.functions.text.estimated_tokens` for one text."""
-    cost = 0
-    for m in _RUN.finditer(text):
-        kind, n = m.lastindex, m.end() - m.start()
-        cost += -(-n // (5 - kind)) if kind in (1, 2, 3) else 2 if kind == 4 else 1
-    return max(cost, 1) if text else 0
+    return len(_TOKEN.findall(text)) + (0 if text.isascii() else len(_WIDE.findall(text)))
 
 
 @dataclass(frozen=True)
@@ -64,12 +62,12 @@ def header(slot: int, nth: int) -> str:
     return f"\n__SLOT_{slot}_{nth}__\n"
 
 
-def cut(text: str, slot: int, window: Budget) -> list[tuple[int, int]]:
-    """Windows of a string that fit both budgets under their headers; neighbours share ``OVERLAP`` characters."""
+def cut(text: str, slot: int, window: Budget) -> list[tuple[int, int, int]]:
+    """Windows (start, end, tokens) of a string that fit both budgets under their headers; neighbours share ``OVERLAP`` characters."""
     room = window.chars - HEADER_ROOM
     while True:
-        spans = chunk(text, room)
-        if all(tokens(header(slot, i) + text[a:b]) <= window.tokens for i, (a, b) in enumerate(spans)):
+        spans = [(a, b, tokens(header(slot, i) + text[a:b])) for i, (a, b) in enumerate(chunk(text, room))]
+        if all(n <= window.tokens for _, _, n in spans):
             return spans
         room = room * 3 // 4
         if room < LEAST:  # dense in tokens beyond what the window takes
@@ -84,10 +82,9 @@ def units(values: DataFrame, key: str, column: str, window: Budget) -> DataFrame
         for batch in batches:
             at, rows = [], []
             for i, (slot, text) in enumerate(zip(batch.column("slot").to_pylist(), batch.column("value").to_pylist(), strict=True)):
-                for n, (a, b) in enumerate(cut(text, slot, window)):
-                    head = header(slot, n)
+                for n, (a, b, cost) in enumerate(cut(text, slot, window)):
                     at.append(i)
-                    rows.append((n, a, text[a:b], len(head) + b - a, tokens(head + text[a:b])))
+                    rows.append((n, a, text[a:b], len(header(slot, n)) + b - a, cost))
             kinds = [("nth", pa.int32()), ("start", pa.int32()), ("text", pa.string()), ("chars", pa.int32()), ("tokens", pa.int32())]
             made = [pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)]
             own = [batch.column(c).take(pa.array(at, pa.int64())) for c in (key, "slot")]
@@ -144,14 +141,15 @@ def sanitize_values(values: DataFrame, key: str, column: str, classifier: Classi
     none = spark.createDataFrame([], f"`{key}` {own_kind}, ord long, placeholder string, original string")
     session = none if session is None else session.select(key, F.col("ord").cast("long").alias("ord"), "placeholder", "original")
     parts = units(values, key, column, window)
-    shielded = M.beside_session(parts, _shield(session, key), key, "text").drop("held", "session_size", "error_code") if session is not none else parts.withColumn("sanitized", F.col("text"))
+    shielded = M.beside_session(parts, _shield(session, key), key, "text").drop("held", "session_size", "error_code") if session is not none else parts
+    shown = "sanitized" if session is not none else "text"
     # values share windows: units run through as many sorted partitions as the cluster has
     dealt = shielded.withColumn("lane", F.pmod(F.xxhash64(key), F.lit(4 * n)).cast("int"))
     placed = packed(dealt, "lane", [key, "slot", "nth"], ["chars", "tokens"], [window.chars, window.tokens])
     placed = stored(placed.withColumn("window", F.concat_ws(":", "lane", "batch")))
     head = F.concat(F.lit("\n__SLOT_"), F.col("slot").cast("string"), F.lit("_"), F.col("nth").cast("string"), F.lit("__\n"))
     # a window holds so many characters at most, whatever its number of units
-    texts = placed.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "slot", "nth", F.concat(head, F.col("sanitized")).alias("t")))).alias("u"), F.sum("chars").cast("long").alias("chars"))
+    texts = placed.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "slot", "nth", F.concat(head, F.col(shown)).alias("t")))).alias("u"), F.sum("chars").cast("long").alias("chars"))
     texts = texts.select("window", F.array_join(F.transform("u", lambda u: u["t"]), "").alias("text"), F.size("u").alias("n_units"), "chars")
     replies = stored(_asked(texts, classifier))
     asked = texts.drop("text").join(replies.select("window", "error_code"), "window")
@@ -166,7 +164,7 @@ def sanitize_values(values: DataFrame, key: str, column: str, classifier: Classi
         again = partly.join(places.select(key, "window").distinct(), "window").join(known, key)
         again = again.select("window", "ord", "placeholder", V.restore(F.col("original"), F.col("tokens")).alias("original")).distinct()
         entries = entries.where(~F.contains(F.lower("original"), F.lit(BOUNDARY.lower()))).unionByName(again)
-    held = M.beside_session(places, entries, "window", "text").select(key, "slot", "start", "text", F.explode("held").alias("e"))
+    held = M.beside_session(places, entries, "window", "text", put=False).select(key, "slot", "start", "text", F.explode("held").alias("e"))
     held = held.where(F.contains("text", F.col("e.original")))
     first = held.groupBy(key, F.lower("e.original").alias("folded")).agg(F.min(F.struct("slot", (F.col("start") + F.col("e.first")).alias("at"), F.col("e.ord").alias("ord"), F.col("e.placeholder").alias("placeholder"), F.col("e.original").alias("original"))).alias("x"))
     if session is not none:
@@ -183,10 +181,10 @@ def sanitize_values(values: DataFrame, key: str, column: str, classifier: Classi
     # every string is rewritten with all that is known of its value, and looked at again
     every = found.unionByName(session.select(*found.columns)) if session is not none else found
     slots = strings(values, column, key, number=True)
-    done = M.beside_session(slots, every, key, "value").select(key, "slot", F.col("sanitized").alias("put"), F.col("error_code").alias("why"))
-    left = M.beside_session(done.where("put is not null"), every, key, "put").select(key, "slot", "put", F.when(F.size(F.filter("held", lambda e: ~F.exists("held", lambda o: o["placeholder"] == e["original"]))) > 0, LEAK).alias("why"))
-    bad = done.where("put is null")
-    rows = left.unionByName(bad).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "put"))).alias("_slots"), F.max("why").alias("_why"))
+    done = M.beside_session(slots, every, key, "value", again=True)
+    leak = F.size(F.filter("left", lambda e: ~F.exists("left", lambda o: o["placeholder"] == e["original"]))) > 0
+    rows = done.select(key, "slot", F.col("sanitized").alias("put"), F.coalesce("error_code", F.when(leak, LEAK)).alias("why"))
+    rows = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slot", "put"))).alias("_slots"), F.max("why").alias("_why"))
     broken = placed.join(replies.where("error_code is not null"), "window").groupBy(key).agg(F.max("error_code").alias("_asked"))
     whole = values.select(key, F.col(column).alias("_value")).join(rows, key, "left").join(broken, key, "left").withColumn("error_code", F.coalesce("_asked", "_why"))
     return _rebuilt(whole, key), found, asked
