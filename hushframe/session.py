@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -11,17 +12,43 @@ from pyspark.sql import DataFrame, SparkSession
 _SHIPPED: set[str] = set()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder that the session names; one of its own only where none is named."""
-    context = df.sparkSession.sparkContext
+#: Deletes the shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _folder(spark: SparkSession) -> str:
+    """The shared folder that the session names; one of its own only where none is named."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hushframe-"))
+    return context.getCheckpointDir()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: for texts, which a checkpoint would hold as they are.
+
+    What was shuffled to make it is deleted at once, not when the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path, before = f"{_folder(spark)}/{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        # the execution takes the setting over when it begins
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's source files to the executors of the session, once an application."""
     app = spark.sparkContext.applicationId

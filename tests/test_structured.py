@@ -2,12 +2,15 @@
 
 import json
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from hushframe.functions.text import estimated_tokens
 from hushframe.operators import structured as T
+from hushframe.session import kept
 
 NAMES = re.compile(r"\b(?:Ann|Bob|Zoe) [A-Z][a-z]+\b")
 
@@ -126,3 +129,57 @@ def test_second_run_asks_nothing(spark):
     assert asked.count() == 1 and grown.count() == 6 and out.where("not hit").count() == 1
     bad, kept, _ = T.fan_out(more, lambda t: (t + "!", []), cache)
     assert kept.count() == 5 and [r["error_code"] for r in bad.where("not hit").collect()] == [T.CHANGED]
+
+
+def on_disk(spark):
+    """Bytes in the folders of shuffles, spills and intermediates."""
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    return sum(p.stat().st_size for d in (*local, shared) for p in Path(d).rglob("*") if p.is_file())
+
+
+def least_on_disk(spark):
+    """The same, when executors have had time to delete what they were told to."""
+    found = []
+    while len(found) < 4:
+        time.sleep(0.5)
+        found.append(on_disk(spark))
+    return min(found)
+
+
+def test_texts_are_on_disk_once_when_all_is_asked(spark):
+    _, _, warm = T.fan_out(spark.createDataFrame([("s", "t", '"Ann Lee"')], "slot_key string, artifact_type string, value string"), names)
+    warm.count()
+    # texts that hardly compress
+    text = F.concat(F.lit('"Ann Lee '), *(F.sha2(F.concat_ws(":", "id", F.lit(i)), 512) for i in range(40)), F.lit('"'))
+    slots = spark.range(1000).select(F.col("id").cast("string").alias("slot_key"), (F.col("id") % 3).cast("string").alias("artifact_type"), text.alias("value"))
+    size = slots.agg(F.sum(F.length("value"))).head()[0]
+    before = on_disk(spark)
+    _, cache, _ = T.fan_out(slots, names)
+    grown = least_on_disk(spark) - before
+    assert grown < 1.2 * size
+    assert cache.where("sanitized like '\"[PERSON_1] %'").count() == 1000
+
+
+def test_copies_are_asked_once_in_the_words_of_their_first_slot(spark):
+    rows = [(f"s{i:03}", f"t{i % 3}", '"Zoe Fox"' if i % 2 else None) for i in range(60)] + [("s900", "t0", "null")]
+    slots = spark.createDataFrame(rows, "slot_key string, artifact_type string, value string").repartition(7)
+    out, cache, asked = T.fan_out(slots, names)
+    assert {(r["slot_key"], r["sanitized"]) for r in out.collect()} == {(k, '"[PERSON_1]"' if v and v != "null" else None) for k, _, v in rows}
+    assert cache.count() == 6 and sum(r["n_units"] for r in asked.collect()) == 1
+
+
+def test_kept_tables_leave_no_shuffles(spark):
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 512).alias("t")).repartition("t")
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    kept(rows.limit(1))
+    spark.conf.set(name, "false")
+    before = on_disk(spark)
+    try:
+        table = kept(rows)
+        assert spark.conf.get(name) == "false"
+    finally:
+        spark.conf.unset(name)
+    # texts of 128 hexadecimal digits: half is left in the table, the shuffle would have as much again
+    assert least_on_disk(spark) - before < 20_000 * 128 * 0.75
+    assert table.count() == 20_000 and table.exceptAll(rows).count() == 0
