@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_KEPT: list[str] = []
 
 
 #: Deletes the shuffle files of an execution when it ends.
@@ -45,10 +46,19 @@ def kept(df: DataFrame) -> DataFrame:
         # the execution takes the setting over when it begins
         df.write.option("compression", "zstd").parquet(path)
     finally:
+        _KEPT.append(path)
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete every table of :func:`kept`; call it once what uses them has been stored."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _KEPT:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's source files to the executors of the session, once an application."""
     app = spark.sparkContext.applicationId

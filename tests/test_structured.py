@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.text import estimated_tokens
 from hushframe.operators import structured as T
-from hushframe.session import kept
+from hushframe.session import kept, release
 
 NAMES = re.compile(r"\b(?:Ann|Bob|Zoe) [A-Z][a-z]+\b")
 
@@ -183,3 +183,7 @@ def test_kept_tables_leave_no_shuffles(spark):
     # texts of 128 hexadecimal digits: half is left in the table, the shuffle would have as much again
     assert least_on_disk(spark) - before < 20_000 * 128 * 0.75
     assert table.count() == 20_000 and table.exceptAll(rows).count() == 0
+    files = [Path(p.removeprefix("file://")) for p in table.inputFiles()]
+    assert files and all(p.exists() for p in files)
+    release(spark)
+    assert not any(p.exists() for p in files)
